@@ -139,7 +139,7 @@ def cutoffs(features: DataFrame, labels: DataFrame, max_false_rejection: float =
     made = rules()
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     held = features.join(marked, "doc_id").select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("bin")) for k, v in made.items()))).alias("x"))
-    counts = held.groupBy("stratum", "x.rule", "x.bin").agg(F.count_if("quality = 1").alias("good"), F.count_if("quality = 0").alias("bad"))
+    counts = held.groupBy("stratum", "x.rule", "x.bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     strata = features.select("stratum").distinct().count()
     limit, level = max_false_rejection / len(made), (1 - confidence) / (len(made) * max(strata, 1))
 

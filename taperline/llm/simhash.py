@@ -134,17 +134,14 @@ def _matches(distance: int):
             size = np.diff(np.r_[first, len(entry)])
             found: list[tuple[int, int]] = []
             use = (size > 1) & ~probe[first]  # an entry in which nothing is filed has probes only
+            pair = first[use & (size == 2)]
+            near = pair[np.bitwise_count((fp[pair] ^ fp[pair + 1]).view(np.uint64)) <= distance]
+            found += list(zip(fp[near].view(np.uint64).tolist(), fp[near + 1].view(np.uint64).tolist()))
+            use &= size > 2
             for a, n in zip(first[use].tolist(), size[use].tolist()):
-                filed = int(n - probe[a : a + n].sum())
-                x = fp[a : a + n]
-                if n == 2:
-                    if int(x[0] ^ x[1]).bit_count() <= distance if x[0] >= 0 and x[1] >= 0 else np.bitwise_count((x[:1] ^ x[1:]).view(np.uint64))[0] <= distance:
-                        found.append((int(x[0]), int(x[1])))
-                else:
-                    u = x.view(np.uint64)
-                    found += links_within(u[:filed], u[filed:], distance)
-            ends = np.array(found, dtype=object).reshape(-1, 2)
-            ends = np.array([[e & (2**64 - 1) for e in p] for p in ends], np.uint64).reshape(-1, 2).view(np.int64)
+                filed, x = int(n - probe[a : a + n].sum()), fp[a : a + n].view(np.uint64)
+                found += links_within(x[:filed], x[filed:], distance)
+            ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
         for batch in batches:
