@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, decontaminate, license_scan, sharding, simhash, suffix_dedup, toxicity
 from . import chat_format as chat
 from . import quality_rules as quality
-from . import simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +63,74 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_simhash)}
-ORACLE_SQL = {"op2_chat_format": OP2_SQL}
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200, keep="none")
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        suffix_dedup.removed_bytes(F.col("spans")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def held_out(every: int) -> Column:
+    """Whether crc32 of doc_id as text leaves 0 when divided by ``every``; a null doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % every == 0, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(5))
+    model = toxicity.fit_toxicity(docs, labels)
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out(5).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), decode=True)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_sentences", F.array_join("sentence_ids", ";").alias("sentence_ids"), "license", F.array_join("licenses", ";").alias("licenses"))
+
+
+def _op8_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    case = "case " + " ".join(f"when contains(plain, {q(p)}) then {q(i)}" for i, p in license_scan.SENTENCES) + " end"
+    fits = [f"case when regexp_matches(line, {q(';' + ';(.*;)?'.join(need) + ';')}) then {q(name)} end" for name, need in license_scan.RULES]
+    return f"""
+with cut as (
+  select doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:]){license_scan.SPACE}+', '\\1' || chr(10), 'g'), chr(10))) as s,
+         generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?;:]){license_scan.SPACE}+', '\\1' || chr(10), 'g'), chr(10)), 1) as i
+  from documents),
+named as (select doc_id, i, {case} as id from (select *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) as plain from cut)),
+lines as (select doc_id, count(id) as n, coalesce(string_agg(id, ';' order by i), '') as ids from named group by doc_id),
+fits as (select doc_id, n, ids, list_filter([{", ".join(fits)}], lambda x: x is not null) as every from (select *, ';' || ids || ';' as line from lines))
+select doc_id, n as n_sentences, ids as sentence_ids, every[1] as license,
+  coalesce(array_to_string(list_filter(every, lambda x, k: list_position(every, x) = k), ';'), '') as licenses
+from fits
+"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matches", "doc_start", "doc_end")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_chat_format, op3_simhash, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_sharding, op8_license_scan, op10_decontaminate)
+}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_license_scan": _op8_sql()}

@@ -40,14 +40,14 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for each row; a null text has no words, and without words the fingerprint is 0."""
+    """(doc_id, text_hash, fp long) for each row; a null text has no words, and without words the fingerprint is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(x.as_py() or "", shingle, seed) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+            made = [fingerprint(x.as_py() or "", shingle, seed) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long")
 
 
 def segment_layout(segments: int) -> list[tuple[int, int]]:
@@ -171,9 +171,9 @@ def near_links(fps: DataFrame, distance: int = 4, segments: int = 3) -> DataFram
 
 
 def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, segments: int = 3) -> DataFrame:
-    """(doc_id, fp, component, component_id): one row per row of ``docs``.
+    """(doc_id, text_hash, fp, component, component_id): one row per row of ``docs``.
 
-    component is the least fingerprint of the group, component_id its least doc_id. Equal fingerprints always link; texts without words
+    text_hash is Spark's xxhash64 of the text; component is the least fingerprint of the group, component_id its least doc_id. Equal fingerprints always link; texts without words
     share fingerprint 0. A null doc_id gets its row but never is a component_id, unless all of the group are null. Repeated
     rows are each returned. An empty table gives no rows. Columns besides doc_id and text are not read.
     """
@@ -184,9 +184,19 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: i
     groups = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = grouped.select("fp", "component").join(groups, "component")
     alone = least.join(tied, least["fp"] == tied["node"], "left_anti").select("fp", F.col("fp").alias("component"), F.col("least").alias("component_id"))
-    return fps.join(linked.unionByName(alone), "fp").select("doc_id", "fp", "component", "component_id")
+    return fps.join(linked.unionByName(alone), "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def hexed(fp):
     """16 lower-case hex digits of a signed 64-bit fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one_each(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, segments: int = 3) -> DataFrame:
+    """``docs`` with one row of each group: that of the least doc_id and, where ids are null or repeat, of the least text_hash."""
+    groups = stored(simhash_groups(docs, distance, shingle, seed, segments), "simhash-groups").where("doc_id <=> component_id")
+    kept = stored(groups.groupBy("component").agg(F.min("text_hash").alias("_hash"), F.first("component_id").alias("_id")).select("_id", "_hash"), "kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"]), "left_semi")
+    # equal rows can be left only where an id and text occur twice
+    twice = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return rows if twice.isEmpty() else rows.dropDuplicates(["doc_id", "text"])

@@ -1,15 +1,45 @@
-"""The stages of the corpus pipeline; each takes (spark, docs, sf_dir)."""
+"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir); all but the last return the columns of ``docs``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe as encoder
+from . import decontaminate as leaks
 from . import simhash as near
+from . import suffix_dedup as suffixes
+from . import toxicity as toxic
+from .queries import held_out, table, vocabulary
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. The labels to learn from are those that op5 learns from."""
+    model = toxic.fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(5)))
+    return toxic.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Of each group the row with the least doc_id stays."""
+    return near.keep_one_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of 200 bytes go out of the texts, the first stays; n_chars follows."""
+    done = suffixes.suffix_dedup(docs, keep="first")
+    text = suffixes.kept_text(F.col("text"), F.col("spans"))
+    cut = done.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(text))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
+    return cut.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-toxicity = suffix_dedup = decontaminate = bpe = simhash
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, text, n_tokens, ids (little-endian unsigned 32-bit) and round_trip, which says that decoding gives the text back."""
+    done = encoder.bpe_encode(docs, vocabulary(), decode=True)
+    return done.select("doc_id", "text", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
