@@ -1,7 +1,7 @@
 """Repeated passages by suffix arrays and longest-previous-factor arrays.
 
 Two equal strings of ``length`` bytes have the same least hash among their ANCHOR-byte windows. Start positions are therefore dealt out
-by that hash: a run of starts with the same hash, and the bytes that their strings cover, is a piece. Pieces whose hash occurs once can
+by that hash: a run of starts whose least hash lies at the same place, and the bytes that their strings cover, is a piece. Pieces whose hash occurs once can
 hold no repeat. Of the others, equal pieces repeat as a whole, and one of each is sorted into a suffix array with the other pieces of its
 hash. There the previous and next smaller (or greater) positions in suffix order give the longest earlier (or later) match of each start.
 """
@@ -20,8 +20,10 @@ from pyspark.sql.window import Window
 from .tables import stored
 
 ANCHOR = 48
-#: Starts in a piece at most; bytes of texts hashed at a time; bytes in a suffix array, unless one hash has more.
-RUN, CHUNK, ARRAY = 4096, 1 << 19, 1 << 22
+#: Bytes of texts hashed at a time; bytes in a suffix array, unless one hash has more.
+CHUNK, ARRAY = 1 << 19, 1 << 22
+#: Low bits of a hash that make room for the place, so that the leftmost of equal hashes is the least; longer texts are hashed in parts.
+PLACE_BITS = 21
 _B = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240117).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -58,49 +60,59 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(key, text, first start, number of starts) of the pieces of some texts."""
+    """(key, text, first start, number of starts) of the pieces of some texts, of 2 ** PLACE_BITS bytes in all at most."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none.astype(np.uint64), none, none, none
-    least = sliding_min(anchor_hashes(raw), length - ANCHOR + 1)
+    hashed = anchor_hashes(raw)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    place = (sliding_min(hashed & ~low | np.arange(len(hashed), dtype=np.uint64), length - ANCHOR + 1) & low).astype(np.int64)
     sizes = np.array([len(x) for x in texts])
     ends = np.cumsum(sizes)
-    first = np.zeros(len(least) + 1, bool)
+    first = np.zeros(len(place) + 1, bool)
     first[0] = True
-    first[1:-1] = least[1:] != least[:-1]
-    first[(ends - sizes)[(ends - sizes) <= len(least)]] = True
+    first[1:-1] = place[1:] != place[:-1]
+    first[(ends - sizes)[(ends - sizes) <= len(place)]] = True
     stops = ends - length + 1  # after a text's last start
-    first[stops[(sizes >= length) & (stops <= len(least))]] = True
+    first[stops[(sizes >= length) & (stops <= len(place))]] = True
     a = np.flatnonzero(first[:-1])
-    n = np.diff(np.r_[a, len(least)])
-    if (n > RUN).any():
-        a = np.concatenate([np.arange(x, x + m, RUN) for x, m in zip(a, n)])
-        n = np.diff(np.r_[a, len(least)])
+    n = np.diff(np.r_[a, len(place)])
     text = np.searchsorted(ends, a, side="right")
     keep = a + length <= ends[text]
     a, n, text = a[keep], n[keep], text[keep]
-    return least[a], text, a - (ends - sizes)[text], n
+    return hashed[place[a]], text, a - (ends - sizes)[text], n
 
 
 def _dealt(length: int):
+    def one(batch: pa.RecordBatch, texts: list[bytes], owner: list[int], offset: list[int]) -> pa.RecordBatch:
+        key, text, start, n = pieces(texts, length)
+        body = [xxhash.xxh3_64_intdigest(texts[t][a : a + m]) for t, a, m in zip(text.tolist(), start.tolist(), (n + length - 1).tolist())]
+        ids = batch.column(0).take(pa.array(np.array(owner)[text]))
+        start = start + np.array(offset)[text]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), ids, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+            names=["key", "body", "rid", "start", "n"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                texts, size, hi = [], 0, lo
-                while hi < batch.num_rows and size < CHUNK:
-                    texts.append(batch.column(1)[hi].as_buffer().to_pybytes())
+            texts: list[bytes] = []
+            owner: list[int] = []
+            offset: list[int] = []
+            size = 0
+            for i in range(batch.num_rows):
+                raw = batch.column(1)[i].as_buffer().to_pybytes()
+                for at in range(0, len(raw) - length + 1, CHUNK):
+                    texts.append(raw[at : at + CHUNK + length - 1])
+                    owner.append(i)
+                    offset.append(at)
                     size += len(texts[-1])
-                    hi += 1
-                key, text, start, n = pieces(texts, length)
-                body = [xxhash.xxh3_64_intdigest(texts[t][a : a + m]) for t, a, m in zip(text.tolist(), start.tolist(), (n + length - 1).tolist())]
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), ids, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["key", "body", "rid", "start", "n"],
-                )
-                lo = hi
+                    if size >= CHUNK:
+                        yield one(batch, texts, owner, offset)
+                        texts, owner, offset, size = [], [], [], 0
+            if texts:
+                yield one(batch, texts, owner, offset)
 
     return run
 
