@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, decontaminate, license_scan, lm_score, sharding, simhash, suffix_dedup, toxicity
 from . import chat_format as chat
 from . import quality_rules as quality
 
@@ -125,12 +125,18 @@ from fits
 """
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    done = lm_score.lm_score(table(spark, sf_dir, "documents"), fold)
+    return done.select("doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matches", "doc_start", "doc_end")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_chat_format, op3_simhash, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_sharding, op8_license_scan, op10_decontaminate)
+    for f in (op1_quality_rules, op2_chat_format, op3_simhash, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_sharding, op8_license_scan, op9_lm_score, op10_decontaminate)
 }
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_license_scan": _op8_sql()}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import stored
+from .tables import numbered, stored
 
 ANCHOR = 48
 #: Bytes of texts hashed at a time; bytes in a suffix array, unless one hash has more.
@@ -279,11 +279,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pi
     if length < ANCHOR or keep not in ("first", "none"):
         raise ValueError(f"length must be {ANCHOR} or more, and keep first or none")
     docs = docs.drop("spans", "kept", "_rid")
-    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if n == ids and dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
-        rows = docs.withColumn("_rid", F.col("doc_id").cast("long"))
-    else:
-        rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs)
     text = F.coalesce("text", F.lit(""))
     spans = repeated_spans(rows.select(F.col("_rid").alias("rid"), text.alias("text")), length, keep, hot_pieces)
     per = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("raw_spans")).withColumnRenamed("rid", "_rid")  # bounded by the text

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most rows of a table that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -30,18 +29,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_map(fn: Callable[[str, bytes], tuple], names_types: list[tuple[str, pa.DataType]], text: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for ``mapInArrow`` that keeps every column but ``text`` and adds what ``fn(text)`` returns.
-
-    Null texts reach ``fn`` as empty. Texts are taken one at a time, so that only one is held decoded.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            out = [fn(x.as_py() or "") for x in batch.column(at)]
-            cols = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if i != at]
-            cols += [(n, pa.array([r[k] for r in out], t)) for k, (n, t) in enumerate(names_types)]
-            yield pa.RecordBatch.from_arrays([c for _, c in cols], names=[n for n, _ in cols])
-
-    return run
+def numbered(docs: DataFrame, name: str = "_rid") -> DataFrame:
+    """``docs`` with a long that names each row: doc_id where ids are whole numbers, none is null and none repeats, else its place in
+    the order in which a stored copy was read."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids and dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
