@@ -1,6 +1,780 @@
-"""The queries of the library, and the SQL that checks them."""
+"""The queries of the library, each over the given tables, and DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import special
+from ..operators import changepoint, curves, diagnostics, fit, predict, score, series, uncertainty
+from ..sources import observations
+from .fixtures import base_sql, cum, obs, series_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+MODELS = ["exponential", "delayed_s"]
+SIX = ["exponential", "delayed_s", "gompertz", "shifted_gompertz", "ohba_weibull", "logistic"]
+DIGITS = 6
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles rounded, so that the order of sums can't show."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(f):  # noqa: ANN001, ANN202
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def q(names: str, digits: int = DIGITS) -> str:
+    """A select list that rounds: each name, or expression as name."""
+    out = []
+    for x in names.split(";"):
+        e, _, n = x.strip().rpartition(" as ")
+        out.append(f"cast(round({e or n}, {digits}) as double) as {n}")
+    return ", ".join(out)
+
+
+def _case(what: str, models: list[str], **more: str) -> str:
+    return "case model_id " + " ".join(f"when '{m}' then {curves.by_index(curves.MODELS[m], getattr(curves.MODELS[m], what), base=1, **more)}" for m in models) + " end"
+
+
+def fit_sql(model: str, shape_ctes: str = "", steps: int = 400, source: str = "cum") -> str:
+    """CTE fit_<model>: the grid search of a one-dimensional model."""
+    spec = curves.MODELS[model]
+    g = curves.bind(spec.mean, {"a": "1.0"})
+    return f"""
+{shape_ctes}sums_{model} as (
+  select series_id, i, b, sum(y * g) as syg, sum(g * g) as sgg, sum(y * y) as syy
+  from (select series_id, i, b, y, {g} as g from (select c.series_id, c.t, c.y, u.i, 0.001 + (1 - 0.001) * (u.i / {steps}.0) as b from {source} c cross join (select unnest(range(1, {steps + 1})) as i) u))
+  group by 1, 2, 3),
+best_{model} as (
+  select series_id, '{model}' as model_id, arg_min([a, b], loss) as params, min(loss) as loss
+  from (select *, syy - 2 * a * syg + a * a * sgg as loss from (select s.*, least(greatest(syg / sgg, "Y"), 5 * "Y") as a from sums_{model} s join stats using (series_id)))
+  group by 1)"""
+
+
+def fits_sql(shape: str = "growth") -> str:
+    """CTEs to fits: both one-dimensional models on a shape."""
+    return f"with {base_sql(shape)},{fit_sql('exponential')},{fit_sql('delayed_s')},\nfits as (select * from best_exponential union all select * from best_delayed_s)"
+
+
+def fits_of(spark: SparkSession, sf_dir: str, shape: str = "growth") -> tuple[DataFrame, DataFrame]:
+    c = cum(spark, sf_dir, shape)
+    return c, fit.fit_all(c, MODELS).select("series_id", "model_id", "params", "loss")
+
+
+MEAN, TOTAL = _case("mean", MODELS), _case("total", MODELS)
+PRED = f"{fits_sql()},\npred as (select f.series_id, f.model_id, params, c.t, c.y, c.y_fixed, {MEAN} as m from fits f join cum c using (series_id))"
+SCORED = f"""{PRED},
+sse as (select series_id, model_id, count(*) as n, sum(power(y - m, 2)) as sse, sum(y * y) - sum(y) * sum(y) / count(*) as sst from pred group by 1, 2),
+scored0 as (select f.series_id, f.model_id, params, loss, n, 2 as k, sse, case when sst > 0 then 1 - sse / sst else 0 end as r2, sse / n as mse, n * ln(sse / n) + 4 as aic from fits f join sse using (series_id, model_id)),
+scored as (select *, case when n > k + 1 then aic + 12.0 / (n - 3) end as aicc, case when n <= k + 1 then 'Invalid' when n / k < 40 then 'AICc' else 'AIC' end as criterion from scored0)"""
+
+
+# --- sources and series -------------------------------------------------------------------------------------------------
+
+
+@query(f"with {base_sql()} select series_id, day, planned, actual, found, fixed from obs")
+def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return obs(spark, sf_dir)
+
+
+@query(f"with {base_sql('flat', 500)} select series_id, day, planned, actual, found, fixed from daily")
+def daily_counts_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return obs(spark, sf_dir, "flat", 500, axis="active")
+
+
+@query("""select l_returnflag || '-' || l_linestatus as series_id, cast(l_shipdate as date) as day, cast(sum(l_quantity) as double) as planned, cast(0 as double) as actual, cast(count(*) as double) as found, cast(0 as double) as fixed
+  from lineitem group by 1, 2""")
+def clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("series_id"), F.to_date("l_shipdate").alias("day"))
+    return observations.clean_counts(raw.agg(F.sum("l_quantity").cast("string").alias("planned"), F.lit("").alias("actual"), F.count("*").alias("found"), F.lit("n/a").alias("fixed")))
+
+
+_WIDE_DAYS = 30
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series.time_index(obs(spark, sf_dir, series=20)).where(f"t <= {_WIDE_DAYS}")
+    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).cast("string").alias("v")) for m, c in (("date", "day"), *((k, k) for k in observations.COUNTS)))))
+    long = o.select("series_id", "t", cells.alias("x")).select("series_id", "x.metric", F.concat(F.lit("d"), F.col("t").cast("int")).alias("slot"), "x.v")
+    # one series has no date on its eleventh day
+    gap = long.withColumn("v", F.when((F.col("series_id") == "3") & (F.col("slot") == "d11") & (F.col("metric") == "date"), None).otherwise(F.col("v")))
+    return gap.groupBy("series_id", "metric").pivot("slot", [f"d{i}" for i in range(1, _WIDE_DAYS + 1)]).agg(F.first("v"))
+
+
+@query(f"with {base_sql(series=20)} select series_id, day, planned, actual, found, fixed from idx where t <= {_WIDE_DAYS} and (series_id <> '3' or t < 11)")
+def unpivot_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.unpivot_tracker(_wide(spark, sf_dir))
+
+
+@query(f"with {base_sql()} select series_id, cast(case when t % 3 = 0 then start_date + cast(t - 1 as integer) else day end as date) as day, found from idx join series using (series_id)")
+def fill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = obs(spark, sf_dir)
+    holes = series.time_index(o).withColumn("i", F.col("t").cast("int") - 1).withColumn("day", F.when(F.col("t") % 3 != 0, F.col("day")))
+    return observations.fill_dates(holes, series_table(o)).select("series_id", "day", "found")
+
+
+@query(f"with {base_sql('flat', 500)} select series_id, count(*) as n_days from daily group by 1 having count(*) < 14")
+def require_min_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.require_min_days(obs(spark, sf_dir, "flat", 500, axis="active"), 14)[1]
+
+
+@query(f"with {base_sql()} select series_id, day, t, cum_planned, cum_actual, cum_found, cum_fixed, remaining from totals")
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.running_totals(obs(spark, sf_dir))
+
+
+@query(f"with {base_sql()} select series_id, t, {q('100 * cum_planned / total_cases as planned_pct; 100 * cum_actual / total_cases as actual_pct')} from totals join series using (series_id)")
+def progress_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = obs(spark, sf_dir)
+    return rounded(series.progress_pct(series.running_totals(o), series_table(o)).select("series_id", "t", "planned_pct", "actual_pct"))
+
+
+@query(f"with {base_sql()} select series_id, day, t, cum_planned, cum_actual, cum_found, cum_fixed, remaining from totals qualify row_number() over (partition by series_id order by t desc) = 1")
+def current_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.current_status(series.running_totals(obs(spark, sf_dir)))
+
+
+@query(f"with {base_sql()} select series_id, t, y, y - coalesce(lag(y) over (partition by series_id order by t), 0) as dy from cum")
+def to_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.to_daily(cum(spark, sf_dir)).select("series_id", "t", "y", "dy")
+
+
+SHAPE = f"""with {base_sql()},
+d as (select *, y - coalesce(lag(y) over (partition by series_id order by t), 0) as dy, max(y) over (partition by series_id) as top from cum),
+shape as (
+  select series_id, count(*) as n, max(y) as y_max, min(y) as y_min, arg_max(y, t) as y_last, (max(y) - min(y)) / (count(*) - 1) as average_slope,
+    arg_max(dy, t) as last_increment, arg_max(dy, t) <= 1 as is_converged, min(t) filter (where y >= top / 2) as day50, max(effort) as e_max
+  from d group by 1)"""
+
+
+@query(f"{SHAPE} select series_id, n, y_max, y_min, y_last, {q('average_slope')}, last_increment, is_converged, day50, e_max from shape")
+def series_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(series.shape(cum(spark, sf_dir)))
+
+
+@query(f"""with {base_sql()}, d as (select *, sum(y) over (partition by series_id order by t) as run from cum), e as (select *, max(run) over (partition by series_id) as top from d)
+  select series_id, min(t) as day from e where run >= 0.5 * top group by 1""")
+def day_for_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.day_for_ratio(cum(spark, sf_dir), 0.5, recumulate=True)
+
+
+@query(f"""{SHAPE} select series_id, {q('y_max * case when is_converged then 1.25 else 1.7 end as a0')},
+  cast(case when average_slope <= 0.1 then 0.05 when average_slope <= 0.5 then 0.1 when average_slope <= 1 then 0.2 else 0.3 end as double) as b0_exp,
+  cast(case when average_slope <= 0.1 then 0.08 when average_slope <= 0.5 then 0.15 when average_slope <= 1 then 0.25 else 0.35 end as double) as b0_s, day50 as tau0 from shape""")
+def moment_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(series.moment_starts(series.shape(cum(spark, sf_dir))).select("series_id", "a0", F.col("b0_exp").cast("double").alias("b0_exp"), F.col("b0_s").cast("double").alias("b0_s"), "tau0"))
+
+
+@query(f"""with {base_sql()} select series_id, {q('"Y" as lo_a; 5 * "Y" as hi_a; 0.01 as lo_b; 2.0 as hi_b; 1.0 as lo_c; 2 * n as hi_c')} from stats""")
+def param_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = fit.param_bounds(fit.series_stats(cum(spark, sf_dir)), curves.MODELS["logistic"])
+    return rounded(b.select("series_id", *(F.col(s)[i].alias(f"{s}_{p}") for i, p in enumerate("abc") for s in ("lo", "hi"))))
+
+
+@query(f"""with {base_sql()} select series_id, chart, line, t, value from (
+  select series_id, t, unnest(['burn_down', 'burn_down', 'bugs', 'bugs', 'remaining', 'combined', 'combined', 'combined', 'combined']) as chart,
+    unnest(['cum_planned', 'cum_actual', 'cum_found', 'cum_fixed', 'remaining', 'cum_actual', 'cum_found', 'cum_fixed', 'remaining']) as line,
+    unnest([cum_planned, cum_actual, cum_found, cum_fixed, remaining, cum_actual, cum_found, cum_fixed, remaining]) as value from totals)""")
+def chart_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.chart_tables(series.running_totals(obs(spark, sf_dir)))
+
+
+# --- curves and fits ----------------------------------------------------------------------------------------------------
+
+#: Parameters inside every model's box for the data at hand, by name.
+POINT = {
+    "a": "(2.0*Y)", "a0": "(1.5*Y)", "a1": "(0.8*Y)", "a2": "(0.6*Y)", "b": "0.08", "b1": "0.08", "b2": "0.05", "b3": "0.04", "c": "1.1", "p": "0.3", "tau": "10.0", "gap": "8.0", "alpha": "0.2", "r2": "0.5",
+    "r3": "0.4", "beta": "0.9", "g": "0.8", "eta": "0.7", "eta0": "0.4", "eta1": "0.9", "lambda": "0.2", "N": "(1.5*E)", "m": "1.5", "A": "8.0", "rate": "0.15",
+}
+
+
+def point_sql(model: str, one_based: bool = True) -> str:
+    return "[" + ", ".join(f"cast({POINT[p]} as double)" for p in curves.MODELS[model].params) + "]"
+
+
+EVERY = sorted(m for m in curves.MODELS)
+
+
+def _points(c: DataFrame, models: list[str]) -> DataFrame:
+    stats = fit.series_stats(c)
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("model_id"), F.expr("array(" + point_sql(m)[1:-1] + ")").alias("params")) for m in models)))
+    return stats.select("series_id", rows.alias("x")).select("series_id", "x.model_id", "x.params")
+
+
+def _points_sql(models: list[str]) -> str:
+    return "points as (" + " union all ".join(f"select series_id, '{m}' as model_id, {point_sql(m).replace('Y', '\"Y\"').replace('*E', '*\"E\"')} as params from stats" for m in models) + ")"
+
+
+@query(f"with {base_sql()}, {_points_sql(EVERY)} select p.series_id, p.model_id, c.t, {q(_case('mean', EVERY) + ' as m')} from points p join cum c using (series_id)")
+def evaluate_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return rounded(curves.evaluate(_points(c, EVERY), c))
+
+
+REMOVAL = [m for m in EVERY if curves.MODELS[m].corrected]
+
+
+@query(
+    f"with {base_sql()}, {_points_sql(REMOVAL)} select p.series_id, p.model_id, c.t, {q(_case('corrected', REMOVAL) + ' as corrected')}, {q(_case('latent', REMOVAL) + ' as latent')}, {q(_case('eta', REMOVAL) + ' as eta')} from points p join cum c using (series_id)"
+)
+def evaluate_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return rounded(curves.evaluate(_points(c, REMOVAL), c, REMOVAL, corrected=True).select("series_id", "model_id", "t", "corrected", "latent", "eta"))
+
+
+@query(f"with {base_sql()}, {_points_sql(EVERY)} select series_id, model_id, {q(_case('total', EVERY) + ' as total')} from points")
+def asymptotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_points(cum(spark, sf_dir), EVERY).select("series_id", "model_id", curves.curve("total").alias("total")))
+
+
+_CATALOG = "select * from (values " + ", ".join(f"('{m}', '{curves.MODELS[m].category}', {curves.MODELS[m].k}, '{','.join(curves.MODELS[m].params)}')" for m in curves.catalog_ids(change_point=True, removal=True)) + ") v(model_id, category, k, params)"
+
+
+@query(f"with {base_sql()}, c as ({_CATALOG}) select series_id, model_id, category, cast(k as integer) as k, params from stats cross join c")
+def observations_by_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = curves.model_catalog(spark, change_point=True, removal=True).select("model_id", "category", "k", F.array_join("param_names", ",").alias("params"))
+    return cum(spark, sf_dir).select("series_id").distinct().crossJoin(F.broadcast(cat))
+
+
+@query(f"{fits_sql()} select series_id, model_id, {q('params[1] as a; params[2] as b; loss', 8)} from fits")
+def fit_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fits_of(spark, sf_dir)[1].select("series_id", "model_id", F.col("params")[0].alias("a"), F.col("params")[1].alias("b"), "loss"), 8)
+
+
+@query(f"{fits_sql('sshape')} select series_id, model_id, {q('params[1] as a; params[2] as b; loss', 8)} from fits")
+def fit_profile_sshape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fits_of(spark, sf_dir, "sshape")[1].select("series_id", "model_id", F.col("params")[0].alias("a"), F.col("params")[1].alias("b"), "loss"), 8)
+
+
+LF = "case when dy <= 1 then 0.0 when round(dy) <= 20 then list_sum(list_transform(range(2, cast(round(dy) as bigint) + 1), lambda i: ln(i))) else dy * ln(dy) - dy + 0.5 * ln(2 * pi() * dy) end"
+
+
+@query(f"""with {base_sql()},
+d as (select series_id, t, y, y - coalesce(lag(y) over w, 0) as dy, coalesce(lag(t) over w, 0) as t0 from cum window w as (partition by series_id order by t)),
+g as (select d.*, {LF} as fact, i, 0.001 + (1 - 0.001) * (i / 400.0) as b from d cross join (select unnest(range(1, 401)) as i)),
+s as (select series_id, i, b, sum(dy * ln(greatest(exp(-b * t0) - exp(-b * t), 1e-12))) as sl, sum(greatest(exp(-b * t0) - exp(-b * t), 1e-12)) as gn, sum(fact) as sf from g group by 1, 2, 3),
+l as (select series_id, b, a, -(y_n * ln(a) + sl - a * gn - sf) as loss from (select s.*, y_n, least(greatest(y_n / gn, "Y"), 5 * "Y") as a from s join stats using (series_id)))
+select series_id, {q('arg_min(a, loss) as a; arg_min(b, loss) as b; min(loss) as loss', 8)} from l group by 1""")
+def fit_profile_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fit.fit_profile(cum(spark, sf_dir), "exponential", loss="mle").select("series_id", F.col("params")[0].alias("a"), F.col("params")[1].alias("b"), "loss"), 8)
+
+
+@query(f"with {base_sql()}, u as (select unnest(range(0, 400)) as i) select series_id, i as cand, {q('0.01 + 1.99 * ((i % 20) + 1) / 20.0 as b; 1 + (2 * n - 1) * (i // 20 + 1) / 20.0 as c')} from stats cross join u")
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = fit.param_bounds(fit.series_stats(cum(spark, sf_dir)), curves.MODELS["logistic"])
+    at = lambda u, i: F.col("lo")[i] + (F.col("hi")[i] - F.col("lo")[i]) * F.col("u")[u]
+    return rounded(boxes.crossJoin(F.broadcast(fit.grid(spark, 2))).select("series_id", "cand", at(0, 1).alias("b"), at(1, 2).alias("c")))
+
+
+@query()
+def fit_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.fit_zoom(cum(spark, sf_dir, "sshape"), "logistic", rounds=3)
+
+
+@query()
+def fit_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.fit_multistart(cum(spark, sf_dir, "sshape"), "gompertz")
+
+
+@query()
+def compare_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"grid": fit.grid(spark, 2), "hypercube": fit.latin_hypercube(spark, 2, 400)}
+    return fit.compare_search(fit.search_runs(cum(spark, sf_dir, "sshape"), "gompertz", tables))
+
+
+@query()
+def fit_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of each family for every series."""
+    return fit.fit_all(cum(spark, sf_dir), [*SIX, "pham_imperfect", "exp_change_point", "coverage_weibull", "constant_removal", "effort_exponential_weibull"])
+
+
+@query()
+def fit_effort_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.fit_effort(cum(spark, sf_dir), "weibull")
+
+
+@query(f"with {base_sql()}, {_points_sql(SIX)}, p as (select model_id, {_case('mean', SIX)} as m, c.* from points p join cum c using (series_id)) select series_id, model_id, count(*) as n, {q('sum(power(y - m, 2)) as sse')} from p group by 1, 2")
+def sse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return rounded(fit.sse(c, _points(c, SIX), SIX).select("series_id", "model_id", "n", "sse"))
+
+
+@query(
+    f"with {base_sql()}, {_points_sql(REMOVAL)}, p as (select model_id, {_case('mean', REMOVAL)} as m, {_case('corrected', REMOVAL)} as mc, c.* from points p join cum c using (series_id)) select series_id, model_id, {q('sum(power(y - m, 2)) as sse_found; sum(power(y_fixed - mc, 2)) as sse_fixed; sum(power(y - m, 2)) + sum(power(y_fixed - mc, 2)) as sse')} from p group by 1, 2"
+)
+def sse_joint_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return rounded(fit.sse_joint_removal(c, _points(c, REMOVAL), REMOVAL).drop("n"))
+
+
+EFFORT = [m for m in EVERY if curves.MODELS[m].effort]
+
+
+@query(
+    f"with {base_sql()}, {_points_sql(EFFORT)}, p as (select model_id, {_case('mean', EFFORT)} as m, {_case('effort', EFFORT)} as w, c.* from points p join cum c using (series_id)) select series_id, model_id, {q('sum(power(y - m, 2)) as sse_found; sum(power(effort - w, 2)) filter (where effort > 0) as sse_effort; sum(power(y - m, 2)) + var_pop(y) / var_pop(effort) * (sum(power(effort - w, 2)) filter (where effort > 0)) as sse')} from p group by 1, 2"
+)
+def sse_joint_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return rounded(fit.sse_joint_effort(c, _points(c, EFFORT), EFFORT).drop("n"))
+
+
+@query(f"""with {base_sql()}, {_points_sql(SIX)},
+d as (select p.model_id, p.params, c.series_id, c.t, c.y - coalesce(lag(c.y) over w, 0) as dy, coalesce(lag(c.t) over w, 0) as t0 from points p join cum c using (series_id) window w as (partition by c.series_id, p.model_id order by c.t)),
+l as (select *, greatest({_case('mean', SIX)} - {_case('mean', SIX, t='t0')}, 1e-9) as lam, {LF} as fact from d)
+select series_id, model_id, {q('sum(dy * ln(lam) - lam - fact) as loglik')} from l group by 1, 2""")
+def poisson_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return rounded(fit.poisson_loglik(c, _points(c, SIX), SIX))
+
+
+@query(
+    f"with {base_sql()}, {_points_sql(SIX)}, p as (select model_id, {_case('mean', SIX)} as m, c.* from points p join cum c using (series_id)), s as (select series_id, model_id, count(*) as n, sum(power(y - m, 2)) as sse from p group by 1, 2) select series_id, model_id, {q('-n / 2.0 * (ln(2 * pi()) + ln(sse / n) + 1) as loglik')} from s"
+)
+def gaussian_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return rounded(fit.sse(c, _points(c, SIX), SIX).select("series_id", "model_id", fit.gaussian_loglik(F.col("n"), F.col("sse")).alias("loglik")))
+
+
+@query(f"""{fits_sql()}, b as (select f.series_id, f.model_id, params, "Y" from fits f join stats using (series_id) where model_id = 'exponential')
+select series_id, model_id, concat_ws(',', case when least(params[1] - "Y", 5 * "Y" - params[1]) < 0.004 * "Y" then 'a' end, case when least(params[2] - 0.001, 1 - params[2]) < 0.000999 then 'b' end) as at_bound from b""")
+def fit_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return fit.fit_quality(c, f, "exponential").select("series_id", "model_id", F.concat_ws(",", "at_bound").alias("at_bound"))
+
+
+@query(f"with {base_sql()}, e as (select series_id, max(effort) as e, max(y_fixed) as f from cum group by 1) select series_id, model_id, case when model_id = 'effort_exponential_weibull' and not e > 0 then 'no_effort' when model_id = 'constant_removal' and not f > 0 then 'no_fixes' end as warning from e cross join (values ('effort_exponential_weibull'), ('constant_removal')) v(model_id)")
+def input_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.fit_all(cum(spark, sf_dir), ["effort_exponential_weibull", "constant_removal"]).select("series_id", "model_id", "warning")
+
+
+# --- scores and selection -----------------------------------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c, f = fits_of(spark, sf_dir)
+    return c, f, score.score_fits(c, f, MODELS)
+
+
+@query(f"{SCORED} select series_id, model_id, n, {q('r2; mse; aic; aicc')}, criterion from scored")
+def score_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_scored(spark, sf_dir)[2].select("series_id", "model_id", "n", "r2", "mse", "aic", "aicc", "criterion"))
+
+
+@query(f"{SCORED} select series_id, model_id, {q('aicc as score')}, cast(row_number() over (partition by series_id order by aicc, model_id) as integer) as rank from scored")
+def rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.rank_models(_scored(spark, sf_dir)[2]).select("series_id", "model_id", "score", "rank"))
+
+
+@query(f"with {base_sql()}, n as (select *, count(*) over (partition by series_id) as n from cum) select series_id, t, t <= n - 5 as is_train, t <= floor(n * 0.8) as in_ratio from n")
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    a = score.split_last_n(c, 5).select("series_id", "t", "is_train")
+    return a.join(score.split_by_ratio(c, 0.8).select("series_id", "t", F.col("is_train").alias("in_ratio")), ["series_id", "t"])
+
+
+HELD = f"""with {base_sql()}, train as (select c.* from cum c join stats using (series_id) where t <= n - 5),
+tstats as (select series_id, greatest(max(y), 1.0) as "Y" from train group by 1),
+{fit_sql('exponential', source='train').replace('join stats', 'join tstats')},{fit_sql('delayed_s', source='train').replace('join stats', 'join tstats')},
+fits as (select * from best_exponential union all select * from best_delayed_s),
+test as (select f.series_id, f.model_id, c.t, c.y, {MEAN.replace('*t', '*c.t')} as m from fits f join cum c using (series_id) join (select series_id, n from stats) z using (series_id) where c.t > n - 5),
+metrics as (select series_id, model_id, count(*) as n_test, avg(power(y - m, 2)) as mse, avg(abs(y - m)) as mae, avg(100 * abs((y - m) / y)) filter (where abs(y) >= 1e-6) as mape from test group by 1, 2)"""
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = score.split_last_n(cum(spark, sf_dir), 5)
+    return score.holdout_metrics(s, fit.fit_all(s.where("is_train"), MODELS), MODELS)
+
+
+@query(f"{HELD} select series_id, model_id, n_test, {q('mse; mae; mape')} from metrics")
+def holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_held(spark, sf_dir).select("series_id", "model_id", "n_test", "mse", "mae", "mape"))
+
+
+@query(f"{HELD} select series_id, arg_min(model_id, mape) as model_id, {q('min(mape) as mape')}, count(*) filter (where mape > 50) as n_poor from metrics group by 1")
+def best_by_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.best_by_mape(_held(spark, sf_dir)))
+
+
+WEIGHTS = f"""{SCORED}, delta as (select *, aicc - min(aicc) over (partition by series_id) as delta from scored),
+weights as (select series_id, model_id, delta, exp(-delta / 2) / sum(exp(-delta / 2)) over (partition by series_id) as weight from delta)"""
+
+
+@query(f"{WEIGHTS} select series_id, model_id, {q('delta; weight')} from weights")
+def aic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.aic_weights(_scored(spark, sf_dir)[2]))
+
+
+@query(f"""{WEIGHTS}, s as (select series_id, t, sum(weight * m) as m, sum(weight * m * m) as mm, count(*) filter (where weight > 0.01) as n_effective from pred join weights using (series_id, model_id) group by 1, 2)
+select series_id, t, {q('m; sqrt(greatest(0, mm - m * m)) as sd', 4)}, n_effective from s""")
+def average_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f, s = _scored(spark, sf_dir)
+    return rounded(score.average_predictions(curves.evaluate(f, c, MODELS), score.aic_weights(s)).select("series_id", "t", "m", "sd", "n_effective"), 4)
+
+
+@query(f"""{SCORED}, w as (select s.*, y_last from scored s join (select series_id, arg_max(y, t) as y_last from cum group by 1) using (series_id))
+select series_id, model_id, concat_ws(',', case when n < 7 then 'few_days' end, case when n < 3 * k then 'few_days_for_parameters' end, case when y_last < 20 then 'few_bugs' end, case when r2 < 0.9 then 'low_r2' end) as warnings from w""")
+def fit_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, _, s = _scored(spark, sf_dir)
+    return score.warnings(s, bugs=series.shape(c)).select("series_id", "model_id", F.concat_ws(",", "warnings").alias("warnings"))
+
+
+# --- prediction ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""{fits_sql()}, h as (select series_id, unnest(range(1, cast(2 * n as bigint) + 1)) as d from stats), t as (select series_id, cast(d as double) as t from h),
+p as (select f.series_id, f.model_id, t.t, {MEAN} as m, {TOTAL} as total from fits f join t using (series_id))
+select p.series_id, p.model_id, p.t, c.y as actual, {q('m; total; total - m as remaining')} from p left join cum c on p.series_id = c.series_id and p.t = c.t""")
+def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return rounded(predict.forecast(c, f, MODELS))
+
+
+_MS = f"""{fits_sql()}, r as (select f.series_id, f.model_id, params, {TOTAL} as total, ratio, ratio * {TOTAL} as target, n, y_n from fits f join stats using (series_id) cross join (select unnest([0.9, 0.95, 0.99, 0.999]) as ratio) where model_id = 'exponential'),
+ms as (select r.*, y_n >= target as already_reached, case when y_n >= target then (select min(t) from cum c where c.series_id = r.series_id and c.y >= r.target) else -ln(1 - target / params[1]) / params[2] end as day from r)"""
+
+
+@query(f"{_MS} select series_id, model_id, cast(ratio as double) as ratio, {q('target')}, already_reached, {q('day')}, {q('case when already_reached then 0 else day - n end as remaining_days')}, cast(start_date + cast(floor(day) - 1 as integer) as date) as date from ms join series using (series_id)")
+def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    out = predict.milestones(c, f.where("model_id = 'exponential'"), ["exponential"], series=series_table(obs(spark, sf_dir)))
+    return rounded(out)
+
+
+@query(f"{_MS} select series_id, cast(ratio as double) as ratio, {q('day', 4)} from ms")
+def milestones_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return rounded(predict.milestones(c, f.where("model_id = 'exponential'"), ["exponential"], closed=False).select("series_id", "ratio", "day"), 4)
+
+
+@query()
+def average_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f, s = _scored(spark, sf_dir)
+    return score.average_milestones(predict.milestones(c, f, MODELS, (0.8, 0.9, 0.95, 0.99)), score.aic_weights(s))
+
+
+@query()
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f, s = _scored(spark, sf_dir)
+    return score.comparison_table(s, predict.milestones(c, f, MODELS), _held(spark, sf_dir), MODELS)
+
+
+@query()
+def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f, s = _scored(spark, sf_dir)
+    status = series.current_status(series.running_totals(obs(spark, sf_dir)))
+    sens = uncertainty.sensitivity(c, f, "exponential")
+    return score.status_report(status, score.best_model(s), predict.milestones(c, f, MODELS), score.warnings(s, bugs=series.shape(c)), MODELS, sens, changepoint.profile_tau(c, units=fit.grid(spark, 2, 6)))
+
+
+@query(f"""{_MS} select series_id, {q('day as day95')}, {q('total')}, case when total <= 0 then null when y_n / total >= 0.99 then 'ready' when y_n / total >= 0.95 then 'beta' when y_n / total >= 0.9 then 'converging' else 'open' end as grade from ms where ratio = 0.95""")
+def flagship_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events to daily counts to a fitted curve, the day by which 95 % will have been found, and the grade, one row per series."""
+    c = cum(spark, sf_dir)
+    f = fit.fit_profile(c, "exponential")
+    m = predict.milestones(c, f, ["exponential"], (0.95,)).select("series_id", F.col("day").alias("day95"), (F.col("target") / 0.95).alias("total"))
+    last = c.groupBy("series_id").agg(F.max_by("y", "t").alias("y_n"))
+    return rounded(m.join(last, "series_id").select("series_id", "day95", "total", series.convergence_grade(F.col("y_n"), F.col("total")).alias("grade")))
+
+
+# --- change points ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {base_sql('change')}, d as (select *, (y - lag(y, 5) over w) / 5 as before, (lead(y, 5) over w - y) / 5 as after, count(*) over (partition by series_id) as n from cum window w as (partition by series_id order by t))
+select series_id, t, {q('before; after; abs(after - before) / greatest(0.1, abs(before)) as change')} from d where n >= 11 and abs(after - before) / greatest(0.1, abs(before)) > 0.3""")
+def slope_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(changepoint.slope_breaks(cum(spark, sf_dir, "change")).drop("picked"))
+
+
+_CP = curves.MODELS["exp_change_point"]
+_CP_MEAN = curves.by_index(_CP, _CP.mean, base=1, tau="tau")
+
+
+@query(f"""with {base_sql('change')}, {_points_sql(['exp_change_point'])}, s as (select p.series_id, tau, sum(power(y - {_CP_MEAN}, 2)) as sse
+  from points p join cum c using (series_id) join (select series_id, unnest(range(3, cast(n as bigint) - 3)) as tau from stats) x using (series_id) group by 1, 2)
+select series_id, cast(tau as double) as tau, {q('sse')}, row_number() over (partition by series_id order by sse, tau) = 1 as best from s""")
+def scan_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir, "change")
+    return rounded(changepoint.scan_tau(c, _points(c, ["exp_change_point"]), "exp_change_point"))
+
+
+_GRID = 8
+_FIRST, _SECOND = curves.bind(_CP.first, {}), curves.bind(_CP.second, {})
+_PROFILE = f"""with {base_sql('change')},
+grid as (select i, j, 0.001 + 0.999 * i / {_GRID}.0 as b1, 0.001 + 0.999 * j / {_GRID}.0 as b2 from (select unnest(range(1, {_GRID + 1})) as i), (select unnest(range(1, {_GRID + 1})) as j)),
+taus as (select series_id, unnest(range(3, cast(n as bigint) - 2)) as tau from stats),
+g as (select c.series_id, tau, i, j, y, {_FIRST} as g1, {_SECOND} as g2 from cum c join taus using (series_id) cross join grid),
+s as (select series_id, tau, i, j, sum(g1*g1) as s11, sum(g1*g2) as s12, sum(g2*g2) as s22, sum(y*g1) as y1, sum(y*g2) as y2, sum(y*y) as yy from g group by 1, 2, 3, 4),
+b as (select s.*, n, 1.0 as lo, 3 * "Y" as hi, s11 * s22 - s12 * s12 as det from s join stats using (series_id)),
+c5 as (select *, unnest([1, 2, 3, 4, 5]) as e from b),
+x as (select *, case e when 1 then (y1 * s22 - y2 * s12) / nullif(det, 0) when 2 then lo when 3 then hi when 4 then least(greatest((y1 - lo * s12) / nullif(s11, 0), lo), hi) else least(greatest((y1 - hi * s12) / nullif(s11, 0), lo), hi) end as a1,
+  case e when 1 then (y2 * s11 - y1 * s12) / nullif(det, 0) when 2 then least(greatest(coalesce((y2 - lo * s12) / nullif(s22, 0), lo), lo), hi) when 3 then least(greatest(coalesce((y2 - hi * s12) / nullif(s22, 0), lo), lo), hi) when 4 then lo else hi end as a2 from c5),
+l as (select series_id, tau, n, min(yy - 2*a1*y1 - 2*a2*y2 + a1*a1*s11 + 2*a1*a2*s12 + a2*a2*s22) as loss from x where e > 1 or (det > 0 and a1 between lo and hi and a2 between lo and hi) group by 1, 2, 3),
+profile as (select series_id, tau, loss, n * ln(loss / n) + 10 + 60.0 / (n - 6) as aicc from l)"""
+
+
+@query(f"{_PROFILE} select series_id, cast(tau as double) as tau, {q('loss; aicc', 5)}, row_number() over (partition by series_id order by aicc, tau) = 1 as best from profile")
+def profile_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = changepoint.profile_tau(cum(spark, sf_dir, "change"), units=fit.grid(spark, 2, _GRID))
+    return rounded(p.select("series_id", "tau", "loss", "aicc", "best"), 5)
+
+
+@query(f"""{_PROFILE}, v as (select series_id, list_sort(list(aicc)) as v from profile group by 1), g as (select series_id, v[len(v) // 2 + 1] - v[1] as gap from v)
+select series_id, {q('gap', 5)}, case when gap > 10 then 'high' when gap > 4 then 'medium' when gap > 2 then 'low' else 'very_low' end as grade from g""")
+def tau_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(changepoint.tau_reliability(changepoint.profile_tau(cum(spark, sf_dir, "change"), units=fit.grid(spark, 2, _GRID))), 5)
+
+
+@query()
+def fit_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoint.fit_change_point(cum(spark, sf_dir, "change"))
+
+
+@query()
+def change_point_lrt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoint.change_point_lrt(cum(spark, sf_dir, "change"), replicates=40)
+
+
+# --- uncertainty --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""{fits_sql()}, {", ".join(f"m{k} as (select f.series_id, params, n, {curves.by_index(curves.MODELS['exponential'], 'params[1]*(1-exp(-params[2]*n))' if k else 'params[1]', base=1)} as base from fits f join stats using (series_id) where model_id = 'exponential')" for k in (0,))},
+e as (select series_id, unnest(['a', 'b']) as param, base, unnest([1.0, 0.0]) as elasticity, unnest([1.0, 0.0]) as sensitivity from m0)
+select series_id, param, {q('base; sensitivity; elasticity')}, case when abs(elasticity) < 1 then 'low' else 'medium' end as grade, case when elasticity > 0.1 then 'up' else 'flat' end as direction
+from (select series_id, param, base, elasticity, sensitivity * (base * 1.01 - base * 0.99) / (0.02 * base) as sensitivity from e)""")
+def sensitivity_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    s = uncertainty.sensitivity(c, f, "exponential")
+    # 1.01 times the least value of the box is on the border of two grades
+    return rounded(s.select("series_id", "param", "base", "sensitivity", F.round("elasticity", 9).alias("elasticity")).withColumns({"grade": F.when(F.abs("elasticity") < 1, "low").otherwise("medium"), "direction": F.when(F.col("elasticity") > 0.1, "up").otherwise("flat")}))
+
+
+_SENS = "params[1] * (1 - exp(-{b} * n))"
+
+
+@query(f"""{fits_sql()}, v as (select f.series_id, params[2] as b, {_SENS.format(b='params[2]')} as base, {_SENS.format(b='(params[2] * 1.01)')} as up, {_SENS.format(b='(params[2] * 0.99)')} as down from fits f join stats using (series_id) where model_id = 'exponential')
+select series_id, {q('base; (up - down) / (0.02 * b) as sensitivity; (up - down) / 0.02 / base as elasticity')} from v""")
+def sensitivity_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return rounded(uncertainty.sensitivity(c, f, "exponential", "m_n").where("param = 'b'").select("series_id", "base", "sensitivity", "elasticity"))
+
+
+@query(f"""with {base_sql('sshape')}, {_points_sql(['exponential'])}, reps as (select unnest(range(1, 21)) as rep),
+base as (select c.series_id, c.t, c.y, {_case('mean', ['exponential'])} as m from points p join cum c using (series_id)),
+pool as (select series_id, list(y - m order by t) as pool from base group by 1),
+u as (select b.*, rep, cast(('0x' || substr(md5(concat_ws('|', '1', b.series_id, rep::varchar, cast(cast(b.t as integer) as varchar))), 1, 8)) as ubigint)::double / 4294967296.0 as u from base b cross join reps)
+select u.series_id, cast(rep as integer) as rep, t, {q('greatest(0.0, m + pool[cast(floor(u * len(pool)) as bigint) + 1]) as y')} from u join pool using (series_id)""")
+def pseudo_series_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir, "sshape")
+    return rounded(uncertainty.pseudo_series_residual(c, _points(c, ["exponential"]), "exponential", 20).select("series_id", "rep", "t", "y"))
+
+
+@query(f"""with {base_sql()}, {_points_sql(['exponential'])}, reps as (select unnest(range(1, 21)) as rep),
+m as (select c.series_id, c.t, {_case('mean', ['exponential'])} as m from points p join cum c using (series_id)),
+l as (select series_id, t, greatest(m - coalesce(lag(m) over (partition by series_id order by t), 0), 0.1) as lam from m),
+u as (select l.*, rep, cast(('0x' || substr(md5(concat_ws('|', '1', l.series_id, rep::varchar, cast(cast(l.t as integer) as varchar))), 1, 8)) as ubigint)::double / 4294967296.0 as u from l cross join reps),
+k as (select unnest(range(0, 61)) as k),
+p as (select series_id, t, k, sum(exp(-lam + k * ln(lam) - (case when k < 2 then 0 else list_sum(list_transform(range(2, k + 1), lambda i: ln(i))) end))) over (partition by series_id, t order by k) as cdf from l cross join k),
+d as (select u.series_id, rep, u.t, min(k) as d from u join p on u.series_id = p.series_id and u.t = p.t and p.cdf > u.u group by 1, 2, 3)
+select series_id, cast(rep as integer) as rep, t, cast(sum(d) over (partition by series_id, rep order by t) as double) as y from d""")
+def pseudo_series_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return uncertainty.pseudo_series_poisson(c, _points(c, ["exponential"]), "exponential", 20, min_lambda=0.1).select("series_id", "rep", "t", "y")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' totals as samples: a table of any size to take bands of."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderpriority").alias("series_id"), F.month("o_orderdate").cast("double").alias("t"), F.col("o_totalprice").cast("double").alias("m"))
+
+
+@query(f"""with s as (select o_orderpriority as series_id, cast(month(o_orderdate) as double) as t, list_sort(list(cast(o_totalprice as double))) as v from orders group by 1, 2)
+select series_id, t, v[cast(round_even((len(v) - 1) * 0.025, 0) as bigint) + 1] as lower, v[cast(round_even((len(v) - 1) * 0.975, 0) as bigint) + 1] as upper, cast(len(v) as integer) as n_reps from s""")
+def band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uncertainty.band(_samples(spark, sf_dir))
+
+
+@query()
+def confidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return uncertainty.confidence_band(c, f, "exponential")
+
+
+@query()
+def prediction_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return uncertainty.prediction_band(c, f, "exponential", 200)
+
+
+_H = "(select f.series_id, params[1] as a, params[2] as b, t, y from fits f join cum c using (series_id) where model_id = 'exponential')"
+
+
+@query(f"""{fits_sql()}, s as (select series_id, count(*) as n, sum(power(y - a * (1 - exp(-b * t)), 2)) as sse,
+  sum(2 * power(1 - exp(-b * t), 2)) as haa, sum(2 * (a * t * exp(-b * t) * (1 - exp(-b * t)) - (y - a * (1 - exp(-b * t))) * t * exp(-b * t))) as hab,
+  sum(2 * (power(a * t * exp(-b * t), 2) + (y - a * (1 - exp(-b * t))) * a * t * t * exp(-b * t))) as hbb from {_H} group by 1)
+select series_id, round(sqrt(2 * sse / (n - 2) * hbb / (haa * hbb - hab * hab)), 2) as se_a, round(sqrt(2 * sse / (n - 2) * haa / (haa * hbb - hab * hab)), 4) as se_b from s""")
+def param_standard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    e = uncertainty.param_standard_errors(c, f, "exponential", "sse")
+    by = e.groupBy("series_id").agg(*(F.max(F.when(F.col("param") == p, F.col("se"))).alias(f"se_{p}") for p in "ab"))
+    return by.select("series_id", F.round("se_a", 2).alias("se_a"), F.round("se_b", 4).alias("se_b"))
+
+
+@query()
+def delta_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return uncertainty.delta_band(c, f, "exponential")
+
+
+# --- diagnostics --------------------------------------------------------------------------------------------------------
+
+_W = "(partition by series_id, model_id order by t)"
+RES = f"""with {base_sql()}, {_points_sql(SIX)},
+ed as (select p.series_id, p.model_id, c.t, c.y, {_case('mean', SIX)} as m from points p join cum c using (series_id)),
+ex as (select *, y - coalesce(lag(y) over {_W}, 0) as dy, m - coalesce(lag(m) over {_W}, 0) as lam from ed),
+res as (select *, dy - lam as raw, case when lam > 0 then (dy - lam) / sqrt(lam) else 0 end as pearson,
+  case when lam > 0 then sign(dy - lam) * sqrt(greatest(case when dy > 0 then 2 * (dy * ln(dy / lam) - (dy - lam)) else 2 * lam end, 0)) else 0 end as deviance,
+  case when lam > 0 then 1.5 * (power(greatest(dy, 0), 2.0 / 3) - power(lam, 2.0 / 3)) / power(lam, 1.0 / 6) else 0 end as anscombe, y - m as cumulative from ex)"""
+
+
+def _res(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return diagnostics.residuals(diagnostics.expected_daily(c, _points(c, SIX), SIX))
+
+
+@query(f"{RES} select series_id, model_id, t, {q('dy; lam; raw; pearson; deviance; anscombe; cumulative')} from res")
+def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_res(spark, sf_dir).drop("y", "m"))
+
+
+MOMENTS = f"""{RES}, mu as (select *, pearson - avg(pearson) over (partition by series_id, model_id) as d from res),
+mm as (select series_id, model_id, cast(count(*) as double) as n, avg(pearson) as mean, avg(d*d) as m2, avg(d*d*d) as m3, avg(d*d*d*d) as m4 from mu group by 1, 2),
+mom as (select series_id, model_id, n, mean, sqrt(m2 * n / (n - 1)) as sd, m3 / power(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2) as skew, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6) as kurt from mm)"""
+
+
+@query(f"{MOMENTS} select series_id, model_id, {q('mean; sd; skew; kurt')} from mom")
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.moments(_res(spark, sf_dir)).drop("n"))
+
+
+@query(f"{MOMENTS} select series_id, model_id, {q('n / 6 * (skew * skew + kurt * kurt / 4) as jb; greatest(0.0001, exp(-(n / 6 * (skew * skew + kurt * kurt / 4)) / 2)) as p_value')} from mom where n >= 8")
+def jarque_bera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.jarque_bera(diagnostics.moments(_res(spark, sf_dir))))
+
+
+@query(f"{MOMENTS} select series_id, model_id, t, {q('(pearson - mean) / sd as z')} from res join mom using (series_id, model_id) where abs((pearson - mean) / sd) > 2")
+def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.outliers(_res(spark, sf_dir)).select("series_id", "model_id", "t", "z"))
+
+
+@query(f"""{RES}, s as (select series_id, model_id, raw > 0 as up, coalesce(cast((raw > 0) <> lag(raw > 0) over {_W} as integer), 1) as turn from res),
+g as (select series_id, model_id, count(*) filter (where up) as n_pos, count(*) filter (where not up) as n_neg, cast(sum(turn) as bigint) as runs from s group by 1, 2)
+select *, {q('1 + 2.0 * n_pos * n_neg / (n_pos + n_neg) as expected_runs; case when n_pos > 0 and n_neg > 0 then (runs - (1 + 2.0 * n_pos * n_neg / (n_pos + n_neg))) / sqrt(2.0 * n_pos * n_neg * (2.0 * n_pos * n_neg - n_pos - n_neg) / (power(n_pos + n_neg, 2) * (n_pos + n_neg - 1))) end as z')} from g""")
+def runs_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.runs_test(_res(spark, sf_dir)).drop("p_value", "pattern"))
+
+
+def chi2_sql(x: str, df: str) -> str:
+    """The upper tail for an even number of degrees of freedom."""
+    return f"list_sum(list_transform(range(0, cast({df} as bigint) // 2), lambda k: exp(-({x}) / 2 + k * ln(({x}) / 2) - case when k < 2 then 0 else list_sum(list_transform(range(2, k + 1), lambda i: ln(i))) end)))"
+
+
+@query(f"""{RES}, g as (select series_id, model_id, sum(power(dy - lam, 2) / lam) filter (where lam > 0) as chi2, count(*) filter (where lam > 0) - 2 as df from res group by 1, 2)
+select series_id, model_id, {q('chi2; chi2 / df as phi')}, df, {q("case when df % 2 = 0 then " + chi2_sql('chi2', 'df') + " end as p_even")} from g""")
+def overdispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = diagnostics.overdispersion(_res(spark, sf_dir), 2)
+    return rounded(o.select("series_id", "model_id", "chi2", "phi", "df", F.when(F.col("df") % 2 == 0, F.col("p_value")).alias("p_even")))
+
+
+@query(f"""{RES}, g as (select series_id, model_id, count(*) as n, count(*) filter (where lam < 5) as small, count(*) filter (where dy = 0) as zeros, sum(exp(-greatest(lam, 0))) as e0 from res group by 1, 2)
+select series_id, model_id, concat_ws(',', case when n < 10 then 'few_days' end, case when small > 0.3 * n then 'small_means' end, case when zeros > 1.5 * e0 and zeros > 3 then 'many_zeros' end) as warnings from g""")
+def poisson_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.poisson_warnings(_res(spark, sf_dir)).select("series_id", "model_id", F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query(f"{RES}, d as (select series_id, model_id, raw, raw - lag(raw) over {_W} as d from res) select series_id, model_id, {q('sum(d * d) / sum(raw * raw) as dw')} from d group by 1, 2")
+def durbin_watson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.durbin_watson(_res(spark, sf_dir)).drop("band"))
+
+
+ACF = f"""{RES}, c as (select series_id, model_id, t, raw - avg(raw) over (partition by series_id, model_id) as d, count(*) over (partition by series_id, model_id) as n from res),
+acf as (select a.series_id, a.model_id, k as lag, a.n, sum(a.d * b.d) / any_value(v.v) as r from c a cross join (select unnest(range(1, 11)) as k) join c b on a.series_id = b.series_id and a.model_id = b.model_id and b.t = a.t - k
+  join (select series_id, model_id, sum(d * d) as v from c group by 1, 2) v on a.series_id = v.series_id and a.model_id = v.model_id
+  where k <= least(10, a.n // 4, a.n - 2) group by 1, 2, 3, 4)"""
+
+
+@query(f"{ACF} select series_id, model_id, cast(lag as integer) as lag, {q('r')}, abs(r) > 1.96 / sqrt(n) as significant from acf")
+def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.acf(_res(spark, sf_dir)).drop("n"))
+
+
+@query(f"{ACF}, g as (select series_id, model_id, any_value(n) * (any_value(n) + 2) * sum(r * r / (n - lag)) as q, count(*) as df from acf group by 1, 2) select series_id, model_id, {q('q')}, df, {q('case when df % 2 = 0 then ' + chi2_sql('q', 'df') + ' end as p_even')} from g")
+def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.ljung_box(diagnostics.acf(_res(spark, sf_dir))).select("series_id", "model_id", "q", "df", F.when(F.col("df") % 2 == 0, F.col("p_value")).alias("p_even")))
+
+
+@query()
+def anderson_darling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.anderson_darling(_res(spark, sf_dir))
+
+
+@query()
+def quantile_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.quantile_residuals(_res(spark, sf_dir)).select("series_id", "model_id", "t", "low", "high", "quantile")
+
+
+@query()
+def chi_square_gof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.chi_square_gof(_res(spark, sf_dir), 2)
+
+
+@query(f"{RES}, e as (select series_id, model_id, t, dy, unnest(range(0, cast(dy as bigint))) as j from res) select series_id, model_id, {q('t - 1 + (j + 0.5) / dy as t')} from e")
+def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.event_times(_res(spark, sf_dir)))
+
+
+_EXP = curves.MODELS["exponential"]
+TIMES = f"""{RES}, ev as (select series_id, model_id, params, "T", t - 1 + (j + 0.5) / dy as t from (select r.series_id, r.model_id, r.t, r.dy, p.params, n as "T", unnest(range(0, cast(r.dy as bigint))) as j from res r join points p using (series_id, model_id) join stats using (series_id) where r.model_id = 'exponential')),
+tt as (select series_id, model_id, row_number() over {_W} as i, count(*) over (partition by series_id, model_id) as n, ({curves.by_index(_EXP, _EXP.mean, base=1)}) / ({curves.by_index(_EXP, _EXP.mean, base=1, t='"T"')}) as u from ev)"""
+
+
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return diagnostics.transformed_times(c, _points(c, ["exponential"]), ["exponential"])
+
+
+@query(f"{TIMES} select series_id, model_id, n, {q('max(greatest(abs(1.0 * i / n - u), abs((i - 1.0) / n - u))) as d')} from tt group by 1, 2, 3")
+def ks_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.ks_test(_times(spark, sf_dir)).drop("p_value"))
+
+
+@query(f"{TIMES} select series_id, model_id, n, {q('(1 / (12.0 * n) + sum(power(u - (2.0 * i - 1) / (2.0 * n), 2))) * (1 + 0.5 / n) as w2')} from tt group by 1, 2, 3")
+def cvm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.cvm_test(_times(spark, sf_dir)).drop("p_value"))
+
+
+@query()
+def goodness_of_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return diagnostics.goodness_of_fit(c, _points(c, SIX), SIX, 2)
+
+
+@query()
+def diagnostic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.diagnostic_score(_res(spark, sf_dir))
+
+
+@query(f"with ev as (select event_id, value from events where value is not null) select event_id, {q('case when value <= 1 then 0.0 when round(value) <= 20 then list_sum(list_transform(range(2, cast(round(value) as bigint) + 1), lambda i: ln(i))) else value * ln(value) - value + 0.5 * ln(2 * pi() * value) end as lf')} from ev")
+def log_factorial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
+    return rounded(e.select("event_id", F.coalesce(special.log_factorial(F.col("value")), F.lit(0.0)).alias("lf")))
