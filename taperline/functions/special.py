@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def clamp(x: Column, lo, hi) -> Column:
     """x moved into [lo, hi]; null stays null."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo) if not isinstance(lo, Column) else lo), F.lit(hi) if not isinstance(hi, Column) else hi))
@@ -16,12 +22,16 @@ def clamp(x: Column, lo, hi) -> Column:
 def log_factorial(n: Column) -> Column:
     """ln n!: 0 up to 1, an exact sum to 20, Stirling's formula beyond."""
     whole = F.round(n).cast("int")
-    exact = F.aggregate(F.sequence(F.lit(2), F.greatest(whole, F.lit(2))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    exact = F.aggregate(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
     return F.when(n <= 1, 0.0).when(whole <= 20, exact).otherwise(n * F.log(n) - n + 0.5 * F.log(2 * pi * n))
 
 
 def erfc(x: Column) -> Column:
     """1 - erf(x): Taylor's series within 3, a continued fraction of 60 levels beyond."""
+    return let(x.cast("double"), _erfc)
+
+
+def _erfc(x: Column) -> Column:
     a = F.abs(x)
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(80)),
@@ -53,19 +63,24 @@ def _horner(coefficients: tuple, x: Column) -> Column:
 
 def normal_quantile(p: Column) -> Column:
     """The inverse of normal_cdf on (0, 1), by a rational approximation and one Newton step."""
+    return let(p.cast("double"), _normal_quantile)
+
+
+def _normal_quantile(p: Column) -> Column:
     low = F.least(p, 1 - p)
     q = F.sqrt(-2 * F.log(F.greatest(low, F.lit(1e-300))))
-    tail = _horner(_C, q) / _horner(_D, q)
-    d = p - 0.5
-    mid = d * _horner(_A, d * d) / _horner(_B, d * d)
-    x = F.when(low < 0.02425, F.when(p < 0.5, tail).otherwise(-tail)).otherwise(mid)
-    step = (normal_cdf(x) - p) * (2 * pi) ** 0.5 * F.exp(x * x / 2)
-    return x - F.when(F.abs(x) < 6, step).otherwise(0.0)
+    tail = let(q, lambda v: _horner(_C, v) / _horner(_D, v))
+    mid = let(p - 0.5, lambda d: d * _horner(_A, d * d) / _horner(_B, d * d))
+    first = F.when(low < 0.02425, F.when(p < 0.5, tail).otherwise(-tail)).otherwise(mid)
+    return let(first, lambda x: x - F.when(F.abs(x) < 6, (normal_cdf(x) - p) * (2 * pi) ** 0.5 * F.exp(x * x / 2)).otherwise(0.0))
 
 
 def chi2_sf(x: Column, df: Column) -> Column:
     """P(chi-square with a whole number df of degrees of freedom > x); df under 1: null."""
-    h = F.greatest(x, F.lit(0.0)) / 2
+    return let(F.greatest(x, F.lit(0.0)).cast("double") / 2, lambda h: _chi2_sf(h, df))
+
+
+def _chi2_sf(h: Column, df: Column) -> Column:
     n = F.floor(df / 2).cast("int")
     even = F.aggregate(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
@@ -83,6 +98,10 @@ def chi2_sf(x: Column, df: Column) -> Column:
 
 def poisson_cdf(k: Column, lam: Column) -> Column:
     """P(Poisson(lam) <= k), a finite sum; 0 for k < 0. Above a mean of 700, by the normal law with continuity correction."""
+    return let(F.struct(k.alias("k"), lam.alias("lam")), lambda x: _poisson_cdf(x["k"], x["lam"]))
+
+
+def _poisson_cdf(k: Column, lam: Column) -> Column:
     n = F.floor(k).cast("int")
     total = F.aggregate(
         F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
@@ -100,9 +119,14 @@ def uniform(*parts: Column | str) -> Column:
 
 def poisson_quantile(u: Column, lam: Column) -> Column:
     """The least k with P(Poisson(lam) <= k) > u up to a mean of 30, a rounded normal draw above; 0 for lam <= 0."""
-    low = F.least(lam, F.lit(30.0))
+    return let(F.struct(u.alias("u"), lam.alias("lam")), lambda x: _poisson_quantile(x["u"], x["lam"]))
+
+
+def _poisson_quantile(u: Column, lam: Column) -> Column:
+    low = F.greatest(F.lit(0.0), F.least(lam, F.lit(30.0)))
+    most = F.ceil(low + 8 * F.sqrt(low) + 10).cast("int")  # u has 32 bits
     exact = F.aggregate(
-        F.sequence(F.lit(0), F.lit(90)),
+        F.sequence(F.lit(0), most),
         F.struct(F.exp(-low).alias("term"), F.exp(-low).alias("cdf"), F.lit(0).alias("k")),
         lambda s, i: F.when(s["cdf"] > u, s).otherwise(
             F.struct((s["term"] * low / (s["k"] + 1)).alias("term"), (s["cdf"] + s["term"] * low / (s["k"] + 1)).alias("cdf"), (s["k"] + 1).alias("k"))

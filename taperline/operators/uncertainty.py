@@ -71,7 +71,7 @@ def replicate_curves(refits: DataFrame, times: DataFrame, model: str) -> DataFra
 
 def band(samples: DataFrame, level: float = 0.95, value: str = "m") -> DataFrame:
     """(series_id, t, lower, upper, n_reps): order statistics at round((B - 1) alpha / 2) and round((B - 1)(1 - alpha / 2)), halves to even (H4)."""
-    alpha = 1 - level
+    alpha = round(1 - level, 12)
     lists = samples.groupBy("series_id", "t").agg(F.sort_array(F.collect_list(value)).alias("v"))  # bounded by the number of replicates
     at = lambda q: F.get("v", F.bround((F.size("v") - 1) * F.lit(q)).cast("int"))
     return lists.select("series_id", "t", at(alpha / 2).alias("lower"), at(1 - alpha / 2).alias("upper"), F.size("v").alias("n_reps"))

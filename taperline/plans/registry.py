@@ -39,7 +39,7 @@ def q(names: str, digits: int = DIGITS) -> str:
     out = []
     for x in names.split(";"):
         e, _, n = x.strip().rpartition(" as ")
-        out.append(f"cast(round({e or n}, {digits}) as double) as {n}")
+        out.append(f"cast(round({e or n}, {digits}) as double) + cast(0 as double) as {n}")
     return ", ".join(out)
 
 
@@ -529,8 +529,8 @@ def profile_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(p.select("series_id", "tau", "loss", "aicc", "best"), 5)
 
 
-@query(f"""{_PROFILE}, v as (select series_id, list_sort(list(aicc)) as v from profile group by 1), g as (select series_id, v[len(v) // 2 + 1] - v[1] as gap from v)
-select series_id, {q('gap', 5)}, case when gap > 10 then 'high' when gap > 4 then 'medium' when gap > 2 then 'low' else 'very_low' end as grade from g""")
+@query(f"""{_PROFILE}, v as (select series_id, list_sort(list(aicc)) as v from profile group by 1), gaps as (select series_id, v[len(v) // 2 + 1] - v[1] as gap from v)
+select series_id, {q('gap', 5)}, case when gap > 10 then 'high' when gap > 4 then 'medium' when gap > 2 then 'low' else 'very_low' end as grade from gaps""")
 def tau_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(changepoint.tau_reliability(changepoint.profile_tau(cum(spark, sf_dir, "change"), units=fit.grid(spark, 2, _GRID))), 5)
 
@@ -542,7 +542,7 @@ def fit_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def change_point_lrt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changepoint.change_point_lrt(cum(spark, sf_dir, "change"), replicates=40)
+    return changepoint.change_point_lrt(cum(spark, sf_dir, "change"), replicates=20)
 
 
 # --- uncertainty --------------------------------------------------------------------------------------------------------
@@ -744,8 +744,8 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXP = curves.MODELS["exponential"]
-TIMES = f"""{RES}, ev as (select series_id, model_id, params, "T", t - 1 + (j + 0.5) / dy as t from (select r.series_id, r.model_id, r.t, r.dy, p.params, n as "T", unnest(range(0, cast(r.dy as bigint))) as j from res r join points p using (series_id, model_id) join stats using (series_id) where r.model_id = 'exponential')),
-tt as (select series_id, model_id, row_number() over {_W} as i, count(*) over (partition by series_id, model_id) as n, ({curves.by_index(_EXP, _EXP.mean, base=1)}) / ({curves.by_index(_EXP, _EXP.mean, base=1, t='"T"')}) as u from ev)"""
+TIMES = f"""{RES}, evt as (select series_id, model_id, params, t_end, t - 1 + (j + 0.5) / dy as t from (select r.series_id, r.model_id, r.t, r.dy, p.params, n as t_end, unnest(range(0, cast(r.dy as bigint))) as j from res r join points p using (series_id, model_id) join stats using (series_id) where r.model_id = 'exponential')),
+tt as (select series_id, model_id, row_number() over {_W} as i, count(*) over (partition by series_id, model_id) as n, ({curves.by_index(_EXP, _EXP.mean, base=1)}) / ({curves.by_index(_EXP, _EXP.mean, base=1, t='t_end')}) as u from evt)"""
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -774,7 +774,7 @@ def diagnostic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.diagnostic_score(_res(spark, sf_dir))
 
 
-@query(f"with ev as (select event_id, value from events where value is not null) select event_id, {q('case when value <= 1 then 0.0 when round(value) <= 20 then list_sum(list_transform(range(2, cast(round(value) as bigint) + 1), lambda i: ln(i))) else value * ln(value) - value + 0.5 * ln(2 * pi() * value) end as lf')} from ev")
+@query(f"with evn as (select event_id, value from events where value is not null) select event_id, {q('case when value <= 1 then 0.0 when round(value) <= 20 then coalesce(list_sum(list_transform(range(2, cast(round(value) as bigint) + 1), lambda i: ln(i))), 0) else value * ln(value) - value + 0.5 * ln(2 * pi() * value) end as lf')} from evn")
 def log_factorial(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
     return rounded(e.select("event_id", F.coalesce(special.log_factorial(F.col("value")), F.lit(0.0)).alias("lf")))
