@@ -31,11 +31,11 @@ def seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def best_stretch(flags: Column) -> Column:
-    """struct<score, start, end, matches> of the best stretch of an array of booleans; the first of equals; score 0 if none matches."""
+    """struct<score, start, end, matches> of the best stretch of an array of booleans; of equals the first to end, from its earliest start; score 0 if none matches."""
     zero = F.struct(*(F.lit(0).alias(c) for c in ("i", "run", "from", "hits", "score", "start", "end", "matches")))
 
     def step(a: Column, same: Column) -> Column:
-        fresh = a["run"] <= 0
+        fresh = a["run"] < 0
         run = F.when(fresh, 0).otherwise(a["run"]) + F.when(same, 1).otherwise(-4)
         hits = F.when(fresh, 0).otherwise(a["hits"]) + F.when(same, 1).otherwise(0)
         first = F.when(fresh, a["i"]).otherwise(a["from"])
