@@ -217,3 +217,17 @@ def evaluate(fits: DataFrame, times: DataFrame, models: list[str] | None = None,
     if corrected:
         cols += [curve(x, models).alias(x) for x in ("corrected", "latent", "eta")]
     return rows.select("series_id", "model_id", "t", *cols)
+
+
+def evaluate_efforts(points: DataFrame, times: DataFrame) -> DataFrame:
+    """(series_id, effort, t, w, rate) of effort curves; ``points`` has effort (a name of EFFORTS) and params, N first."""
+    rows = points.select("series_id", "effort", "params").join(times.select("series_id", "t"), "series_id")
+
+    def pick(k: int) -> Column:
+        out = None
+        for name, parts in EFFORTS.items():
+            value = F.expr(bind(parts[k], {p: f"params[{i}]" for i, p in enumerate(["N", *parts[2]])})).cast("double")
+            out = F.when(F.col("effort") == name, value) if out is None else out.when(F.col("effort") == name, value)
+        return out
+
+    return rows.select("series_id", "effort", "t", pick(0).alias("w"), pick(1).alias("rate"))

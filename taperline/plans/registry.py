@@ -222,6 +222,54 @@ def evaluate_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.evaluate(_points(c, EVERY), c))
 
 
+def _effort_sql(k: int) -> str:
+    return "case effort " + " ".join(f"when '{e}' then {curves.bind(v[k], {p: f'params[{i + 1}]' for i, p in enumerate(['N', *v[2]])})}" for e, v in curves.EFFORTS.items()) + " end"
+
+
+def _effort_points(sql: bool) -> list[tuple[str, str]]:
+    return [(e, ("[{}]" if sql else "array({})").format(", ".join(f"cast({POINT[p]} as double)" for p in ["N", *v[2]]))) for e, v in curves.EFFORTS.items()]
+
+
+_EFFORT_POINTS = " union all ".join(f"select series_id, '{e}' as effort, {p.replace('*E', '*' + chr(34) + 'E' + chr(34))} as params from stats" for e, p in _effort_points(True))
+
+
+@query(f"with {base_sql()}, ep as ({_EFFORT_POINTS}) select ep.series_id, ep.effort, t, {q(_effort_sql(0) + ' as w')}, {q(_effort_sql(1) + ' as rate')} from (select series_id, effort, params from ep) ep join (select series_id, t from cum) c using (series_id)")
+def effort_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    rows = F.explode(F.array(*(F.struct(F.lit(e).alias("effort"), F.expr(p).alias("params")) for e, p in _effort_points(False))))
+    points = fit.series_stats(c).select("series_id", rows.alias("x")).select("series_id", "x.effort", "x.params")
+    return rounded(curves.evaluate_efforts(points, c))
+
+
+@query(f"""{fits_sql()}, r as (select f.series_id, f.model_id, {TOTAL} as total, y_n from fits f join stats using (series_id))
+select series_id, model_id, case when y_n / total >= 0.99 then 'ready' when y_n / total >= 0.95 then 'beta' when y_n / total >= 0.9 then 'converging' else 'open' end as grade from r""")
+def convergence_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    last = c.groupBy("series_id").agg(F.max_by("y", "t").alias("y_n"))
+    return f.withColumn("total", curves.curve("total", MODELS)).join(last, "series_id").select("series_id", "model_id", series.convergence_grade(F.col("y_n"), F.col("total")).alias("grade"))
+
+
+@query()
+def parameter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fitted parameter with its name and a readable value."""
+    _, f = fits_of(spark, sf_dir)
+    names = f.join(F.broadcast(curves.model_catalog(spark).select("model_id", "param_names")), "model_id")
+    each = names.select("series_id", "model_id", F.explode(F.arrays_zip(F.col("param_names").alias("name"), F.col("params").alias("value"))).alias("x"))
+    return each.select("series_id", "model_id", "x.name", special.parameter_label(F.col("x.name"), F.col("x.value")).alias("label"))
+
+
+@query()
+def hessians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return uncertainty.numeric_hessian(c, f, "exponential")
+
+
+@query()
+def param_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, f = fits_of(spark, sf_dir)
+    return uncertainty.correlations(uncertainty.param_standard_errors(c, f, "exponential", "sse"), "exponential")
+
+
 REMOVAL = [m for m in EVERY if curves.MODELS[m].corrected]
 
 
