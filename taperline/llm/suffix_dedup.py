@@ -278,13 +278,13 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pi
     """
     if length < ANCHOR or keep not in ("first", "none"):
         raise ValueError(f"length must be {ANCHOR} or more, and keep first or none")
-    docs = docs.drop("spans", "kept", "_rid")
+    docs = docs.drop("spans", "kept", "_rid", "_raw_spans")
     rows = numbered(docs)
     text = F.coalesce("text", F.lit(""))
     spans = repeated_spans(rows.select(F.col("_rid").alias("rid"), text.alias("text")), length, keep, hot_pieces)
-    per = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("raw_spans")).withColumnRenamed("rid", "_rid")  # bounded by the text
+    per = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("_raw_spans")).withColumnRenamed("rid", "_rid")  # bounded by the text
     joined = rows.join(per, "_rid", "left").drop("_rid")
-    kept = joined.drop("raw_spans")
+    kept = joined.drop("_raw_spans")
     at = [*kept.columns].index("text")
     shape = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
@@ -305,7 +305,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pi
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out_spans, shape), pa.array(out_kept, pa.binary())], names=[*batch.schema.names[:-1], "spans", "kept"])
 
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return joined.select(*kept.columns, "raw_spans").mapInArrow(cut, ", ".join([*types, "spans array<struct<begin:bigint,end:bigint>>", "kept binary"]))
+    return joined.select(*kept.columns, "_raw_spans").mapInArrow(cut, ", ".join([*types, "spans array<struct<begin:bigint,end:bigint>>", "kept binary"]))
 
 
 def removed_bytes(spans: Column) -> Column:
