@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as encoder
 from . import decontaminate as leaks
-from . import simhash as near
+from . import similar as near
 from . import suffix_dedup as suffixes
 from . import toxicity as toxic
 from .queries import held_out, table, vocabulary
@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the row with the least doc_id stays."""
-    return near.keep_one_each(docs)
+    """Of each group of texts that are alike in 0.8 of their five-word shingles or more the row with the least doc_id stays."""
+    return near.keep_one_similar(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
