@@ -1,7 +1,7 @@
 """Licence recognition by sentences and rules.
 
-A text is cut into sentences; each is normalised and, where one of the known phrases stands in it, gets that phrase's
-identifier. The identifiers of a text, in order, are matched against ordered rules; the first rule that fits names the licence.
+A text is cut into sentences, whatever their line breaks; each is normalised and gives the identifiers of all known phrases that stand in
+it. The identifiers of a text, in order, are matched against ordered rules; the first rule that fits names the licence.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identifier and the phrase, normalised, that marks its sentence. The first that fits counts.
+#: Identifier and the phrase, normalised, that marks its sentence.
 SENTENCES = [
     ("ApacheGrant", "licensed under the apache license version 2 0"),
     ("ApacheCompliance", "may not use this file except in compliance with the license"),
@@ -53,19 +53,30 @@ RULES = [
     ("MPL-2.0", ["Mpl2"]),
     ("Proprietary", ["Reserved"]),
 ]
+#: Phrases and rules that the registered SQL doesn't have. The rules come before that of GPL without a version.
+MORE_SENTENCES = [
+    ("AgplGrant", "gnu affero general public license"),
+    ("EitherVersion3", "either version 3 of the license"),
+    ("EitherVersion2", "either version 2 of the license"),
+]
+MORE_RULES = [("AGPL", ["AgplGrant"]), ("GPL-3.0", ["GplAny", "EitherVersion3"]), ("GPL-2.0", ["GplAny", "EitherVersion2"])]
 #: A word of which each phrase has one: texts without any need no further look.
-HINTS = ("licen", "permission", "software", "redistribution", "rights reserved", "cc0")
+HINTS = ("licen", "permission", "software", "redistribution", "reserved", "cc0")
 SPACE = r"[\t\n\f\r ]"
 
 
-def sentence_id(sentence: Column) -> Column:
+def sentence_ids(sentence: Column) -> Column:
+    """The identifiers of all known phrases of a sentence in order of their places, as often as they occur."""
     plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    return reduce(lambda rest, x: F.when(plain.contains(x[1]), F.lit(x[0])).otherwise(rest), reversed(SENTENCES), F.lit(None).cast("string"))
+    names = F.create_map(*(F.lit(x) for name, phrase in SENTENCES + MORE_SENTENCES for x in (phrase, name)))
+    found = F.regexp_extract_all(plain, F.lit("(?=(" + "|".join(phrase for _, phrase in SENTENCES + MORE_SENTENCES) + "))"), F.lit(1))
+    return F.transform(found, lambda x: names[x])
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text: cut at line ends and, where white space follows, after . ! ? ; and :"""
-    return F.split(F.regexp_replace(text, rf"([.!?;:]){SPACE}+", "$1\n"), "\n")
+    """The sentences of a text: cut at blank lines and, where white space follows, after . ! ? ; and : but not between v. and a number"""
+    whole = F.regexp_replace(text, rf"(?i)\b(v|ver|vers)\.{SPACE}+(?=[0-9])", "$1 ")
+    return F.split(F.regexp_replace(whole, rf"([.!?;:]){SPACE}+", "$1\n\n"), r"\n[\t\f\r ]*\n")
 
 
 def hinted(x: Column) -> Column:
@@ -76,15 +87,16 @@ def hinted(x: Column) -> Column:
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, license, licenses): one row per row of ``docs``, in one pass without a shuffle.
 
-    n_sentences int and sentence_ids array: the recognised sentences in order; license: that of the first rule that fits, else null;
+    n_sentences int and sentence_ids array: the recognised phrases in order; license: that of the first rule that fits, else null;
     licenses: of all that fit, in the order of the rules, each once. Null or empty text: none. Repeated rows are each returned; an empty
-    table gives no rows; other columns are not read. Licence text longer than a sentence is recognised whatever its wrapping only where
-    a phrase stands on one line.
+    table gives no rows; other columns are not read.
     """
-    found = F.filter(F.transform(F.filter(sentences(F.col(text)), hinted), sentence_id), lambda x: x.isNotNull())
+    found = F.flatten(F.transform(F.filter(sentences(F.col(text)), hinted), sentence_ids))
     none = F.array().cast("array<string>")
     ids = docs.select("doc_id", F.when(hinted(F.col(text)), found).otherwise(none).alias("sentence_ids"))
     line = F.concat(F.lit(";"), F.array_join("sentence_ids", ";"), F.lit(";"))
-    fits = [(name, line.rlike(";" + ";(.*;)?".join(need) + ";")) for name, need in RULES]
+    at = RULES.index(("GPL", ["GplAny"]))
+    rules = RULES[:at] + MORE_RULES + RULES[at:]
+    fits = [(name, line.rlike(";" + ";(.*;)?".join(need) + ";")) for name, need in rules]
     every = F.array_distinct(F.array_compact(F.array(*(F.when(fit, F.lit(name)) for name, fit in fits))))
     return ids.select("doc_id", F.size("sentence_ids").alias("n_sentences"), "sentence_ids", F.get(every, F.lit(0)).alias("license"), every.alias("licenses"))
