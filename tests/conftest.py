@@ -7,7 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
-DATA = Path(os.environ.get("TEST_DATA", "/root/testdata"))
+sys.path.insert(0, str(ROOT / "tests"))
 
 
 @pytest.fixture(scope="session")
@@ -33,4 +33,6 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def data():
+    from fixtures_path import DATA
+
     return str(DATA / "sf0.001")

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import DATA
+from fixtures_path import DATA
 
 from taperline.plans.registry import ORACLE_SQL, QUERIES
 
