@@ -11,32 +11,35 @@ from . import similar as near
 from . import suffix_dedup as suffixes
 from . import toxicity as toxic
 from .queries import held_out, table, vocabulary
+from .tables import packed, unpacked
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. The labels to learn from are those that op5 learns from."""
     model = toxic.fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(5)))
-    return toxic.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return unpacked(toxic.score_toxicity(packed(docs), model).where("predicted = 0"), docs.columns)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that are alike in 0.8 of their five-word shingles or more the row with the least doc_id stays."""
-    return near.keep_one_similar(docs)
+    return unpacked(near.keep_one_similar(packed(docs)), docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 200 bytes go out of the texts, the first stays; n_chars follows."""
-    done = suffixes.suffix_dedup(docs, keep="first")
-    text = suffixes.kept_text(F.col("text"), F.col("spans"))
-    cut = done.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(text))
+    done = suffixes.suffix_dedup(packed(docs), keep="first").withColumnRenamed("spans", "cut_spans").drop("kept")
+    text = suffixes.kept_text(F.col("text"), F.col("cut_spans"))
+    whole = F.size("cut_spans") == 0
+    cut = done.withColumn("text", F.when(whole, F.col("text")).otherwise(text)).withColumn("whole", whole)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return cut.select(*docs.columns)
+        kind = dict(docs.dtypes)["n_chars"]
+        cut = cut.withColumn("rest", F.col("rest").withField("n_chars", F.when(F.col("whole"), F.col("rest.n_chars")).otherwise(F.length("text").cast(kind))))
+    return unpacked(cut, docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    return leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return unpacked(leaks.decontaminate(packed(docs), table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Repeated passages by suffix arrays and longest-previous-factor arrays.
 
-Two equal strings of ``length`` bytes have the same least hash among their ANCHOR-byte windows. Start positions are therefore dealt out
-by that hash: a run of starts whose least hash lies at the same place, and the bytes that their strings cover, is a piece. Pieces whose hash occurs once can
-hold no repeat. Of the others, equal pieces repeat as a whole, and one of each is sorted into a suffix array with the other pieces of its
-hash. There the previous and next smaller (or greater) positions in suffix order give the longest earlier (or later) match of each start.
+Two equal strings of ``length`` bytes have the same least hash among their anchor windows. Start positions are therefore dealt out
+by that hash: a run of starts whose least hash lies at the same place, and the bytes that their strings cover, is a piece. Pieces whose hash
+occurs once can hold no repeat. Of the others, equal pieces repeat as a whole, and the first of each is sorted into a suffix array with the
+other pieces of its hash. There the previous and next smaller (or greater) positions in suffix order give the longest earlier (or later)
+factor of each start, and its length decides.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .tables import numbered, stored
+from .tables import numbered, stored, unstored
 
-ANCHOR = 48
+#: Bytes of an anchor window, for strings of 200 bytes or more; two fifths of shorter strings.
+ANCHOR = 80
+#: Shortest strings that can be asked for.
+SHORTEST = 40
 #: Bytes of texts hashed at a time; bytes in a suffix array, unless one hash has more.
-CHUNK, ARRAY = 1 << 19, 1 << 22
+CHUNK, ARRAY = 1 << 19, 1 << 21
 #: Low bits of a hash that make room for the place, so that the leftmost of equal hashes is the least; longer texts are hashed in parts.
 PLACE_BITS = 21
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -32,7 +35,7 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_B), n, 1 << 64))
 
 
-def anchor_hashes(raw: np.ndarray, width: int = ANCHOR) -> np.ndarray:
+def anchor_hashes(raw: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each ``width``-byte string."""
     parts: list[tuple[int, np.ndarray]] = []
     now, size, rest = _TABLE[raw], 1, width
@@ -65,9 +68,10 @@ def pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none.astype(np.uint64), none, none, none
-    hashed = anchor_hashes(raw)
+    width = min(ANCHOR, 2 * length // 5)
+    hashed = anchor_hashes(raw, width)
     low = np.uint64((1 << PLACE_BITS) - 1)
-    place = (sliding_min(hashed & ~low | np.arange(len(hashed), dtype=np.uint64), length - ANCHOR + 1) & low).astype(np.int64)
+    place = (sliding_min(hashed & ~low | np.arange(len(hashed), dtype=np.uint64), length - width + 1) & low).astype(np.int64)
     sizes = np.array([len(x) for x in texts])
     ends = np.cumsum(sizes)
     first = np.zeros(len(place) + 1, bool)
@@ -89,10 +93,15 @@ def _dealt(length: int):
         key, text, start, n = pieces(texts, length)
         body = [xxhash.xxh3_64_intdigest(texts[t][a : a + m]) for t, a, m in zip(text.tolist(), start.tolist(), (n + length - 1).tolist())]
         ids = batch.column(0).take(pa.array(np.array(owner)[text]))
+        # an earlier piece of the same text, if near enough, has the same bytes
+        again = np.ones(len(body), bool)
+        seen = np.zeros(len(body), [("text", np.int64), ("body", np.uint64)])
+        seen["text"], seen["body"] = np.array(owner)[text], body
+        again[np.unique(seen, return_index=True)[1]] = False
         start = start + np.array(offset)[text]
         return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), ids, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-            names=["key", "body", "rid", "start", "n"],
+            [pa.array(key.view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), ids, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
+            names=["key", "body", "rid", "start", "n", "again"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,44 +126,120 @@ def _dealt(length: int):
     return run
 
 
-def ranks(raw: np.ndarray, length: int) -> np.ndarray:
-    """For each position the rank of its next ``length`` bytes among all; ranks in which the end is passed mean nothing.
+def suffix_order(word: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The places in ``starts`` (ascending) in the order of their strings of ``length`` bytes; equal strings by place.
 
-    Prefix doubling from 8 bytes on; the last step overlaps, so that the depth is met exactly.
+    ``word`` has the next 8 bytes of every position, as numbers. What is tied after some bytes is sorted by as many more as fit beside the
+    number of its group. Now and then groups are compared with their first string directly, so that equal strings need no more rounds.
     """
-    n = len(raw)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + n]
-    rank, depth = np.unique(word, return_inverse=True)[1], 8
-    if length < 8:
-        return np.unique(word >> np.uint64(8 * (8 - length)), return_inverse=True)[1]
-    while depth < length:
-        step = min(depth, length - depth)
-        other = np.zeros(n, np.int64)
-        other[: n - step] = rank[step:]
-        rank, depth = np.unique(rank * np.int64(n + 1) + other, return_inverse=True)[1], depth + step
-    return rank
+    first = word[starts]
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    head = np.r_[True, first[1:] != first[:-1]] if len(order) else np.zeros(0, bool)
+    depth, rounds = 8, 0
+    slots = np.flatnonzero(~(head & np.r_[head[1:], True])) if len(order) else np.zeros(0, np.int64)
+    while len(slots) and depth < length:
+        begins = head[slots]
+        group = np.cumsum(begins) - 1
+        at = starts[order[slots]]
+        if rounds % 8 == 3:
+            lead = at[np.flatnonzero(begins)][group]
+            same = np.ones(len(slots), bool)
+            for d in range(depth, length, 8):
+                same &= word[at + min(d, length - 8)] == word[lead + min(d, length - 8)]
+            settled = np.bincount(group[~same], minlength=int(group[-1]) + 1) == 0
+            for_more = ~settled[group]
+            slots, group, at, begins = slots[for_more], group[for_more], at[for_more], begins[for_more]
+            if not len(slots):
+                break
+            group = np.cumsum(begins) - 1
+        size = min(8, (64 - int(group[-1]).bit_length()) // 8, length - depth)
+        key = word[at + depth] >> np.uint64(64 - 8 * size)
+        if size < 8:
+            key |= group.astype(np.uint64) << np.uint64(8 * size)
+        by = np.argsort(key, kind="stable")
+        order[slots] = order[slots][by]
+        key = key[by]
+        head[slots[1:]] |= key[1:] != key[:-1]
+        slots = slots[~(head[slots] & np.r_[head, True][slots + 1])]
+        depth, rounds = depth + size, rounds + 1
+    return order
+
+
+def common_prefix(word: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """How many of their next bytes, ``length`` at most, the positions a and b have in common; 0 where one of them is negative."""
+    out = np.zeros(len(a), np.int32)
+    open_ = np.flatnonzero((a >= 0) & (b >= 0))
+    for d in range(0, length, 8):
+        if not len(open_):
+            break
+        other = word[a[open_] + d] ^ word[b[open_] + d]
+        same = other == 0
+        ends = open_[~same]
+        # leading zero bytes of the difference
+        rest = other[~same]
+        more = np.zeros(len(rest), np.int32)
+        for k in range(1, 8):
+            more += rest < np.uint64(1 << (64 - 8 * k))
+        out[ends] = np.minimum(d + more, length)
+        open_ = open_[same]
+    out[open_] = length
+    return out
 
 
 def smaller_neighbours(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For positions in suffix order, the indices of the previous and the next smaller one; -1 and len(place) where none is."""
 
     def previous(x: np.ndarray) -> np.ndarray:
-        padded = np.r_[x, -1]  # index -1: smaller than all
-        at = np.arange(-1, len(x) - 1)
-        jump = np.r_[at, -1]
-        open_ = np.flatnonzero(padded[at] > x)
-        while len(open_):
-            jump[:-1] = at
-            at[open_] = jump[at[open_]]
-            open_ = open_[padded[at[open_]] > x[open_]]
+        """By a tree of minima: up until a left neighbour's minimum is smaller, then down to the last smaller place below it."""
+        least = [x]
+        while len(least[-1]) > 1:
+            low = least[-1] if len(least[-1]) % 2 == 0 else np.append(least[-1], np.iinfo(x.dtype).max)
+            least.append(np.minimum(low[::2], low[1::2]))
+        at = np.full(len(x), -1)
+        node, open_ = np.arange(len(x)), np.arange(len(x))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for low in least[:-1]:
+            beside = (node & 1 == 1) & (low[node - 1] < x[open_])
+            found.append((open_[beside], node[beside] - 1))
+            open_, node = open_[~beside], node[~beside] >> 1
+        open_, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for level in range(len(found) - 1, -1, -1):
+            open_, node = np.r_[open_, found[level][0]], np.r_[node, found[level][1]]
+            if level:
+                low = least[level - 1]
+                right = np.minimum(2 * node + 1, len(low) - 1)
+                node = np.where(low[right] < x[open_], right, 2 * node)
+        at[open_] = node
         return at
 
     return previous(place), len(place) - 1 - previous(place[::-1])[::-1]
 
 
+def longest_factors(word: np.ndarray, starts: np.ndarray, length: int, later: bool = False) -> np.ndarray:
+    """The longest-previous-factor array of ``starts``: how many bytes, ``length`` at most, each has in common with the string at an earlier
+    start that has most; with ``later``, at a later start."""
+    order = suffix_order(word, starts, length)
+    place = starts[order]
+    before, after = smaller_neighbours(place if not later else -place + (place.max() if len(place) else 0))
+    padded = np.r_[place, -1]
+    previous = common_prefix(word, place, padded[before], length)
+    following = common_prefix(word, place, padded[np.where(after < len(place), after, -1)], length)
+    out = np.zeros(len(starts), np.int32)
+    out[order] = np.maximum(previous, following)
+    return out
+
+
+def words_at(raw: np.ndarray) -> np.ndarray:
+    """The next 8 bytes of every position as numbers, the first byte the highest; zeros beyond the end, and 8 more numbers of them."""
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    n = len(raw) + 8
+    word = np.zeros(n, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[k : k + n]
+    return word
+
+
 def repeats(found: list[tuple[int, int, bytes]], length: int, keep: str) -> tuple[np.ndarray, ...]:
     """(rid, begin, end) of what the strings that repeat among some pieces (rid, start, bytes) cover.
 
@@ -163,23 +248,12 @@ def repeats(found: list[tuple[int, int, bytes]], length: int, keep: str) -> tupl
     found = sorted(found, key=lambda x: x[:2])
     sizes = np.array([len(x[2]) for x in found])
     ends = np.cumsum(sizes)
-    rank = ranks(np.frombuffer(b"".join(x[2] for x in found), np.uint8), length)
+    word = words_at(np.frombuffer(b"".join(x[2] for x in found), np.uint8))
     starts = np.concatenate([np.arange(b - s, b - length + 1) for b, s in zip(ends, sizes)])
-    own = rank[starts]
-    count = np.bincount(own)
-    starts = starts[count[own] > 1]  # suffixes unlike all others need no place in the order
-    order = np.lexsort((starts, rank[starts]))
-    place = starts[order]
-    own = np.r_[rank[place], -1]
-
-    def matched(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Where the longest factor at a smaller (greater) position has ``length`` bytes."""
-        return ((before >= 0) & (own[before] == own[:-1])) | (own[after] == own[:-1])
-
-    hit = matched(*smaller_neighbours(place))
+    longest = longest_factors(word, starts, length)
     if keep == "none":
-        hit |= matched(*smaller_neighbours(-place + (place.max() if len(place) else 0)))
-    at = np.sort(place[hit])
+        longest = np.maximum(longest, longest_factors(word, starts, length, later=True))
+    at = starts[longest >= length]
     which = np.searchsorted(ends, at, side="right")
     begin = at - (ends - sizes)[which] + np.array([x[1] for x in found], np.int64)[which]
     first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (begin[1:] != begin[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
@@ -247,37 +321,47 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_spans(rows: DataFrame, length: int, keep: str, hot_pieces: int) -> DataFrame:
     """(rid, begin, end): spans, which may overlap, of the bytes of ``rows`` (rid long, text) that a repeated string covers."""
-    dealt = rows.where(F.octet_length("text") >= length).select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(_dealt(length), "key long, body long, rid long, start int, n int")
-    w = Window.partitionBy("key").orderBy("body", "rid", "start")
-    near = dealt.withColumns({"before": F.lag("body").over(w), "after": F.lead("body").over(w)}).where("before is not null or after is not null")
-    again = F.coalesce(F.col("body") == F.col("before"), F.lit(False))
-    whole = again if keep == "first" else again | F.coalesce(F.col("body") == F.col("after"), F.lit(False))
-    shared = stored(near.select("key", "rid", "start", "n", whole.alias("whole"), (~again).alias("lead")).where("whole or lead"), "shared-pieces")
-    lead = shared.where("lead")
-    hot = lead.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_pieces).select("key", F.lit(True).alias("hot"))
-    lead = lead.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    asked = lead.groupBy("rid").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("cut"))  # bounded by the text
+    shape = "key long, body long, rid long, start int, n int, again boolean"
+    dealt = stored(rows.where(F.octet_length("text") >= length).select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(_dealt(length), shape), "pieces")
+    # counts are added up before they are shuffled, and joins on keys can be split: no window over all pieces of a key
+    shared = dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    live = stored(dealt.join(shared, "key", "left_semi"), "shared-pieces")
+    unstored(dealt)
+    bodies = live.groupBy("key", "body").agg(F.count("*").alias("copies"), F.min("rid").alias("first")).where("copies > 1")
+    marked = live.join(bodies, ["key", "body"], "left")
+    lead = (F.coalesce("first", "rid") == F.col("rid")) & ~F.col("again")
+    whole = F.col("copies").isNotNull() if keep == "none" else F.col("again") | (F.col("first") < F.col("rid"))
+    marked = stored(marked.select("key", "rid", "start", "n", F.coalesce(whole, F.lit(False)).alias("whole"), lead.alias("lead")).where("whole or lead"), "marked-pieces")
+    unstored(live)
+    lead = marked.where("lead")
+    met = lead.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", (F.col("m") > hot_pieces).alias("hot"))
+    asked = lead.join(met, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("cut"))  # bounded by the text
     raw = stored(rows.join(asked, "rid").select("rid", F.col("text").cast("binary").alias("text"), "cut").mapInArrow(_slices(length), "key long, rid long, start int, raw binary, hot boolean"), "piece-bytes")
     found = raw.where("not hot").select("key", "rid", "start", "raw").repartition("key").sortWithinPartitions("key").mapInArrow(_arrays(length, keep), "rid long, begin long, end long")
-    each = raw.where("hot").select("key", "rid", "start", "raw").mapInArrow(_strings(length), "h binary, rid long, begin long")
-    v = Window.partitionBy("h").orderBy("rid", "begin")
-    seen = F.lag("rid").over(v).isNotNull() if keep == "first" else F.lag("rid").over(v).isNotNull() | F.lead("rid").over(v).isNotNull()
-    strings = each.withColumn("seen", seen).where("seen").select("rid", "begin", (F.col("begin") + length).alias("end"))
-    pieces_ = shared.where("whole").select("rid", F.col("start").cast("long").alias("begin"), (F.col("start").cast("long") + F.col("n") + length - 1).alias("end"))
-    return pieces_.unionByName(found).unionByName(strings)
-
-
-def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pieces: int = 50_000) -> DataFrame:
+    pieces_ = marked.where("whole").select("rid", F.col("start").cast("long").alias("begin"), (F.col("start").cast("long") + F.col("n") + length - 1).alias("end"))
+    out = pieces_.unionByName(found)
+    if raw.where("hot").isEmpty():
+        return out
+    each = stored(raw.where("hot").select("key", "rid", "start", "raw").mapInArrow(_strings(length), "h binary, rid long, begin long"), "hot-strings")
+    within = each.groupBy("h", "rid").agg(F.count("*").alias("n"), F.min("begin").alias("at"))
+    over = within.groupBy("h").agg(F.sum("n").alias("copies"), F.min("rid").alias("first")).where("copies > 1")
+    strings = each.join(over, "h")
+    if keep == "first":
+        strings = strings.join(within.select("h", "rid", "at"), ["h", "rid"]).where("rid > first or begin > at")
+    return out.unionByName(strings.select("rid", "begin", (F.col("begin") + length).alias("end")))
+
+
+def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pieces: int = 8192) -> DataFrame:
     """``docs`` with spans array<struct<begin, end>> (maximal runs of bytes to remove) and kept binary (what is left) added.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else ("none") or earlier ("first": by doc_id, then
     position; where ids are null or repeat, in the order in which rows are read). Strings never cross rows, and are judged on the input.
-    Null text: empty. Texts under ``length`` bytes stay whole. Columns of these names, and a column _rid, are replaced; all others stay.
-    Repeated rows are copies of each other. A hash with more than ``hot_pieces`` different pieces has its strings counted by their
-    128-bit hashes instead of sorted in one task: the result is the same.
+    Null text: empty. Texts under ``length`` bytes stay whole; very long ones are hashed in parts. An empty table gives no rows. Columns spans,
+    kept, _rid and _raw_spans of the input are replaced; all others stay. Repeated rows are copies of each other. A hash with more than
+    ``hot_pieces`` different pieces has its strings counted by their 128-bit hashes instead of sorted in one task: the result is the same.
     """
-    if length < ANCHOR or keep not in ("first", "none"):
-        raise ValueError(f"length must be {ANCHOR} or more, and keep first or none")
+    if length < SHORTEST or keep not in ("first", "none"):
+        raise ValueError(f"length must be {SHORTEST} or more, and keep first or none")
     docs = docs.drop("spans", "kept", "_rid", "_raw_spans")
     rows = numbered(docs)
     text = F.coalesce("text", F.lit(""))

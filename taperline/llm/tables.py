@@ -29,6 +29,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstored(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``df``. Only for tables that no later job reads: a lost executor's tasks read them again."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``rest``, a struct of all other columns, so that none of their names can clash with an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*rest).alias("rest")] if rest else []))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` that ``packed`` was given, in their order."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns))
+
+
 def numbered(docs: DataFrame, name: str = "_rid") -> DataFrame:
     """``docs`` with a long that names each row: doc_id where ids are whole numbers, none is null and none repeats, else its place in
     the order in which a stored copy was read."""
