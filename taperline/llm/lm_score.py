@@ -1,12 +1,11 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation of word bigrams and unigrams.
 
-Words of a relative frequency of ``common`` or more are classes of their own (1 / common at most, so they can be broadcast); all others are
-one class. P(w | previous) = P1(w) * (L * r + 1 - L), where P1 is the maximum-likelihood unigram beside a share for unknown
-words, r = P2 / P1 the ratio of the class bigram to it, and L the weight of the context's frequency bucket. The shares and weights
-are learned on the counts of a deleted fold, the weights by expectation-maximisation.
+P(w | previous) = L * P2 + (1 - L) * P1: the maximum-likelihood bigram and the maximum-likelihood unigram beside a share for unknown words. L
+is the weight of the frequency bucket of the context (the previous word), learned by expectation-maximisation on the counts of a
+deleted fold. Every word and every pair of words has its own count; nothing is pruned or folded into classes.
 
-Counts are exact and over all training rows. A text's score is a sum over its words and bigrams, so these are not brought to the
-texts: what is common is added up where the text is read, and the rest travels as posting lists to where its count is.
+Texts are tokenised once, into chunks of numbers. A chunk asks for the counts of its distinct words and pairs: they are dealt out by hash,
+added up where they meet, and sent back to the chunk, so a frequent word costs one entry a chunk, however often it occurs.
 """
 
 from __future__ import annotations
@@ -17,357 +16,368 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .tables import numbered, stored
 
-#: The token after the last word; no word has a space.
-END = b" "
-#: Tokens that a task holds before it hands on what it has counted.
+#: Tokens in a chunk: what a task holds. Only a longer text makes a larger one.
 CHUNK = 2_000_000
-#: Postings that a task holds before it hands on their sums by text.
-HELD = 1_500_000
-#: Texts in a block, whose sums meet in one task.
-BLOCK = 1024
+#: Bytes of texts tokenised at a time; only a longer word takes more.
+BLOCK = 1 << 20
+#: Words and pairs, at a guess, that are added up at a time.
+PART = 1_500_000
 SMOOTH = 0.1
+#: Ratios of bigram to unigram are learned from in bins of about 5 percent.
+BINS = 20.0
 
+_TABLE = np.random.default_rng(20240611).integers(0, 2**64, 256, dtype=np.uint64)
+#: A-Z as a-z, and all white space as a space.
+_PLAIN = bytes(0x20 if 0x09 <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_B = 0x9E3779B97F4A7C15
+#: Numbers of what is no word: the end of a text (a token), and its start (a context only).
+END, START = np.uint64(0x51A3C0DE00000001), np.uint64(0x51A3C0DE00000002)
 
-def tokens_of(text: str) -> list[bytes]:
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]  # bytes.lower: A-Z only
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def key_of(word: bytes) -> int:
-    k = xxhash.xxh64_intdigest(word)
-    return k - (1 << 64) if k >> 63 else k
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-@dataclass
-class Chunk:
-    """Some texts as numbers: ``known`` has the words' numbers, ``word`` those of all tokens, ``sizes`` the texts' numbers of tokens."""
 
-    rids: np.ndarray
-    folds: np.ndarray
-    known: dict[bytes, int]
-    word: np.ndarray
-    sizes: np.ndarray
+def word_keys(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes, first bytes) of the words between the spaces of ``plain``, which ends with one."""
+    found, at = [], 0
+    while at < len(plain):
+        end = plain.rfind(b" ", at, at + BLOCK) + 1 or plain.find(b" ", at) + 1
+        keys, starts = _hashed(plain[at:end])
+        found.append((keys, starts + at))
+        at = end
+    return tuple(map(np.concatenate, zip(*found)))
 
-    @property
-    def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
+def _hashed(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    buf = np.frombuffer(plain, np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[True, buf == 0x20]))
+    starts, ends = edge[::2], edge[1::2]
+    if not _cache or len(_cache[0]) < len(buf):
+        _cache[:] = [_powers(_B, len(buf)), _powers(pow(_B, -1, 1 << 64), len(buf))]
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * _cache[0][: len(buf)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * _cache[1][starts] + (ends - starts).astype(np.uint64)), starts
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """Rows (rid, fold, text), CHUNK tokens or a little more at a time; the words themselves are kept once."""
-    rids, folds, parts, known, n = [], [], [], {}, 0
 
-    def made() -> Chunk:
-        return Chunk(np.array(rids, np.int64), np.array(folds, np.int64), known, np.concatenate(parts), np.array([len(x) for x in parts]))
+_cache: list[np.ndarray] = []
 
-    for batch in batches:
-        for i in range(batch.num_rows):
-            tokens = tokens_of(batch.column(2)[i].as_py() or "")
-            rids.append(batch.column(0)[i].as_py())
-            folds.append(batch.column(1)[i].as_py())
-            parts.append(np.array([known.setdefault(w, len(known)) for w in tokens], np.int32))
-            n += len(tokens)
-            if n >= CHUNK:
-                yield made()
-                rids, folds, parts, known, n = [], [], [], {}, 0
-    if parts:
-        yield made()
 
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, each text's end among them; numbers of tokens of the texts)."""
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    keys, starts = word_keys(b" ".join([*texts, b""]).translate(_PLAIN))
+    of = np.searchsorted(offsets, starts, side="right") - 1
+    sizes = np.bincount(of, minlength=len(texts)) + 1
+    out = np.full(len(keys) + len(texts), END)
+    out[np.arange(len(keys)) + of] = keys
+    return out, sizes
 
-def _batches(cols: list[pa.Array], names: list[str], size: int = 50_000) -> Iterator[pa.RecordBatch]:
-    table = pa.RecordBatch.from_arrays(cols, names=names)
-    for lo in range(0, max(table.num_rows, 1), size):
-        yield table.slice(lo, size)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for c in _chunks(batches):
-        fold = c.folds[c.row]
-        kept, deleted = (np.bincount(c.word[where], minlength=len(c.known)) for where in ((fold != 0) & (fold != 1), fold == 1))
-        seen = np.flatnonzero(kept + deleted)
-        keys = np.array([key_of(w) for w in c.known], np.int64)
-        yield from _batches([pa.array(x[seen]) for x in (keys, kept, deleted)], ["key", "kept", "deleted"])
-
-
-@dataclass
-class CommonWords:
-    """Classes: the common words in the order of ``keys`` (sorted), then all others, then the start of a text."""
-
-    keys: np.ndarray
-    kept: np.ndarray
-    deleted: np.ndarray
-    n: int  # training tokens
-    n_kept: int
-    n_deleted: int
-    kinds: int
-    unknown: float  # share of tokens that training hasn't seen
 
-    @property
-    def classes(self) -> int:
-        return len(self.keys) + 2
+_ROW = "chunk long, part int, deleted boolean, tokens long, trained long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_FIRST = _NAMES.index("b0")
 
-    def class_of(self, words: list[bytes]) -> np.ndarray:
-        keys = np.array([key_of(w) for w in words], np.int64)
-        if not len(self.keys):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, len(self.keys))
 
-    def shares(self, c: np.ndarray, n: int) -> np.ndarray:
-        """P1 of the classes but the start."""
-        own = (1 - self.unknown) * c / max(n, 1)
-        return np.append(own, max(1 - own.sum(), 1e-12))
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of rows (chunk, part, deleted, tokens, trained, blobs...)."""
+    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    cols = zip(*((*r, *[b""] * (len(types) - len(r))) for r in rows))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=_NAMES)
 
 
-def _classes(c: Chunk, common: CommonWords) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token its class and the class before it."""
-    kind = common.class_of(list(c.known)).astype(np.int32)[c.word]
-    before = np.empty_like(kind)
-    before[1:] = kind[:-1]
-    before[np.cumsum(c.sizes) - c.sizes] = common.classes - 1
-    return kind, before
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, fold, text) to a row for each chunk: rids, whether trained on, sizes, distinct words' hashes, each token's place among them.
 
+    Texts of the deleted fold (1) are in chunks of their own.
+    """
+    task = TaskContext.get()
+    first, made = (task.partitionId() if task else 0) << 32, 0
+    held: dict[bool, list] = {False: [[], [], [], [], 0], True: [[], [], [], [], 0]}
+
+    def done(deleted: bool) -> pa.RecordBatch:
+        nonlocal made
+        rids, train, sizes, keys, n = held[deleted]
+        held[deleted] = [[], [], [], [], 0]
+        known, word = np.unique(np.concatenate(keys), return_inverse=True)
+        made += 1
+        blobs = [np.array(rids, np.int64), np.array(train, np.uint8), np.concatenate(sizes).astype(np.int32), known, word.astype(np.int32)]
+        return _rows([(first + made, -1, deleted, n, int(blobs[2][blobs[1] != 0].sum()), *(b.tobytes() for b in blobs))])
+
+    def put(deleted: bool, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        at = held[deleted]
+        keys, sizes = token_keys([t for *_, t in rows])
+        at[0] += [r for r, *_ in rows]
+        at[1] += [f != 0 for _, f, _ in rows]
+        at[2].append(sizes)
+        at[3].append(keys)
+        at[4] += len(keys)
+        if at[4] >= CHUNK:
+            yield done(deleted)
 
-def _count_pairs(common: CommonWords):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches):
-            kind, before = _classes(c, common)
-            fold = c.folds[c.row]
-            use = fold != 0
-            pair, back = np.unique(before[use].astype(np.int64) * common.classes + kind[use], return_inverse=True)
-            both = [np.bincount(back, weights=w, minlength=len(pair)).astype(np.int64) for w in (fold[use] != 1, fold[use] == 1)]
-            yield from _batches([pa.array(pair), *map(pa.array, both)], ["key", "kept", "deleted"])
+    for batch in batches:
+        waiting: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+        for i in range(batch.num_rows):
+            raw = batch.column(2)[i].as_buffer()
+            raw = raw.to_pybytes() if raw is not None else b""
+            fold = batch.column(1)[i].as_py()
+            k = fold == 1
+            waiting[k].append((batch.column(0)[i].as_py(), fold, raw))
+            size[k] += len(raw)
+            if size[k] >= BLOCK:
+                yield from put(k, waiting[k])
+                waiting[k], size[k] = [], 0
+        for k in (False, True):
+            if waiting[k]:
+                yield from put(k, waiting[k])
+    for k in (False, True):
+        if held[k][4]:
+            yield done(k)
 
-    return run
 
+@dataclass
+class Grams:
+    """A chunk's distinct words (hashes ascending) and pairs (in the order of their own hashes), and where each token's are among them."""
 
-def em_weights(groups: dict[int, list[tuple[float, float]]], rounds: int = 200) -> dict[int, float]:
-    """For each bucket the weight L that maximises the sum of n * log(L * r + 1 - L) over its (n, r); 0 without events."""
-    out = {}
-    for b, events in groups.items():
-        n, r = np.array(events, float).reshape(-1, 2).T
-        w = 0.5
-        for _ in range(rounds if n.sum() else 0):
-            new = float((n * w * r / (w * r + 1 - w)).sum() / n.sum())
-            done = abs(new - w) < 1e-9
-            w = min(new, 0.999)
-            if done:
-                break
-        out[b] = w if n.sum() else 0.0
+    rids: np.ndarray
+    train: np.ndarray  # of each token
+    sizes: np.ndarray
+    words: np.ndarray
+    word: np.ndarray
+    pairs: np.ndarray
+    pair: np.ndarray
+    before: np.ndarray  # of each pair its context's place among the words; their number for the start
+    after: np.ndarray
+
+    @classmethod
+    def of(cls, blobs: list[bytes]) -> Grams:
+        rids, train, sizes, words, word = (np.frombuffer(b, t) for b, t in zip(blobs, (np.int64, np.uint8, np.int32, np.uint64, np.int32)))
+        previous = np.empty(len(word), np.int64)
+        previous[1:] = word[:-1]
+        previous[np.cumsum(sizes) - sizes] = len(words)
+        local, pair = np.unique(previous * len(words) + word, return_inverse=True)
+        before, after = np.divmod(local, len(words))
+        pairs = _mixed(np.append(words, START)[before] * np.uint64(0xFF51AFD7ED558CCD) + words[after])
+        order = np.argsort(pairs)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(rids, np.repeat(train, sizes) != 0, sizes, words, word, pairs[order], place[pair], before[order], after[order])
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part begins among ascending hashes, and the end."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+def packed_counts(n: np.ndarray) -> bytes:
+    """Counts, most of them small: one byte each, and the rest in full before them."""
+    large = n >= 255
+    rest = n[large].astype("<u8")
+    return np.uint64(len(rest)).tobytes() + rest.tobytes() + np.where(large, 255, n).astype(np.uint8).tobytes()
+
+
+def counts_of(raw: bytes) -> np.ndarray:
+    many = int(np.frombuffer(raw, "<u8", 1)[0])
+    out = np.frombuffer(raw, np.uint8, offset=8 + 8 * many).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", many, 8)
     return out
 
 
-def _postings(own: np.ndarray, row: np.ndarray, rids: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """(distinct values of ``own``, their rows' rids as 64-bit numbers, their counts there as 32-bit numbers)."""
-    pair, n = np.unique(own.astype(np.int64) * len(rids) + row, return_counts=True)
-    value, first = np.unique(pair // len(rids), return_index=True)
-    ends = np.r_[first, len(pair)]
-    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(value), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-    return value, blob(rids[pair % len(rids)]), blob(n.astype("<u4"))
+def _asked(parts: int):
+    """From each chunk to each part: words' hashes and training counts, pairs' hashes and training counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, deleted = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                g = Grams.of([batch.column(_FIRST + k)[i].as_py() for k in range(5)])
+                uses = [np.bincount(x[g.train], minlength=len(k)) for x, k in ((g.word, g.words), (g.pair, g.pairs))]
+                cuts = [_cuts(k, parts) for k in (g.words, g.pairs)]
+                rows = []
+                for p in range(parts):
+                    (a, b), (c, d) = ((x[p], x[p + 1]) for x in cuts)
+                    if b > a or d > c:
+                        rows.append((chunk, p, deleted, 0, 0, g.words[a:b].tobytes(), packed_counts(uses[0][a:b]), g.pairs[c:d].tobytes(), packed_counts(uses[1][c:d])))
+                yield _rows(rows)
 
-@dataclass
-class Weights:
-    """Values of classes and of frequent class pairs; ``rest``: log10(1 - L) of each class as a context."""
+    return run
 
-    base: np.ndarray
-    score: np.ndarray
-    rest: np.ndarray
-    pairs: np.ndarray
-    gain: np.ndarray
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _asked sorted by part to the same rows with sums: all training counts of words and pairs, and those but of the deleted
+    fold (for its chunks). A row of chunk -1 has the numbers of distinct words and of the deleted fold's tokens whose word is not seen elsewhere."""
+    now, held = None, []
 
-_OUT = "kind int, key long, n long, rids binary, counts binary, tokens long, known long, base double, score double"
-_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+    def done() -> pa.RecordBatch:
+        chunks, deleted, *blobs = zip(*held)
+        away = np.array(deleted)
+        sums, kinds, new = [], 0, 0
+        for k in (0, 2):
+            keys = [np.frombuffer(b, np.uint64) for b in blobs[k]]
+            counts = [counts_of(b) for b in blobs[k + 1]]
+            of = np.repeat(away, [len(x) for x in keys])
+            _, back = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.concatenate(counts)
+            total = np.bincount(back, weights=n).astype(np.int64)
+            kept = np.bincount(back, weights=np.where(of, 0, n), minlength=len(total)).astype(np.int64)
+            ends = np.cumsum([len(x) for x in keys])[:-1]
+            sums += [np.split(total[back], ends), np.split(kept[back], ends)]
+            if k == 0:
+                kinds, new = int((total > 0).sum()), int(total[kept == 0].sum())
+        rows = [(c, now, deleted[i], 0, 0, *(packed_counts(sums[k][i]) for k in ((0, 2, 1, 3) if deleted[i] else (0, 2)))) for i, c in enumerate(chunks)]
+        return _rows([*rows, (-1, now, False, 0, 0, np.array([kinds, new], np.int64).tobytes())])
 
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part = batch.column(1)[i].as_py()
+            if held and part != now:
+                yield done()
+                held = []
+            now = part
+            held.append((batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), *(batch.column(_FIRST + k)[i].as_py() for k in range(4))))
+    if held:
+        yield done()
 
-def _scored(common: CommonWords, w: Weights):
-    """Rows of kind 0 (words) and 1 (class pairs), with posting lists, and of kind 2: a text's sums over what is common."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            rids, known, word, row = chunk.rids, chunk.known, chunk.word, chunk.row
-            kind, before = _classes(chunk, common)
-            train = (chunk.folds != 0)[row]
-            own = kind < len(common.keys)
-            sums = lambda v, where: np.bincount(row[where], weights=v, minlength=len(rids)).astype(float)
-            tokens = np.bincount(row, minlength=len(rids))
-            base = sums(w.base[kind[own]], own)
-            score = sums(w.score[kind[own]], own) + np.bincount(row, weights=w.rest[before], minlength=len(rids))
-            pair = before.astype(np.int64) * common.classes + kind
-            at = np.minimum(np.searchsorted(w.pairs, pair), max(len(w.pairs) - 1, 0))
-            hot = w.pairs[at] == pair if len(w.pairs) else np.zeros(len(pair), bool)
-            score += sums(w.gain[at[hot]], hot)
-            none = pa.array([b""] * len(rids), pa.binary())
-            cols = [pa.array(np.full(len(rids), 2, np.int32)), pa.array(rids), pa.array(np.zeros(len(rids), np.int64)), none, none, pa.array(tokens), pa.array(np.bincount(row[own], minlength=len(rids)))]
-            yield from _batches([*cols, pa.array(base), pa.array(score.astype(float))], _NAMES)
-            names = np.array([key_of(x) for x in known], np.int64)
-            for k, value, where in ((0, word, ~own), (1, pair, ~hot)):
-                got, lists, counts = _postings(value[where], row[where], rids)
-                n = np.bincount(value[where & train], minlength=len(known))[got] if k == 0 else _sums_of(got, value[where & train])
-                zero = [np.zeros(len(got), t) for t in (np.int64, np.int64, float, float)]
-                cols = [pa.array(np.full(len(got), k, np.int32)), pa.array(names[got] if k == 0 else got), pa.array(n.astype(np.int64)), lists, counts, *map(pa.array, zero)]
-                yield from _batches(cols, _NAMES)
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Grams, list[np.ndarray]]]:
+    """Of rows sorted by chunk and part (-1: the chunk itself) each chunk with its words' and pairs' counts: all, then those but of the deleted fold."""
+    now, grams, parts = None, None, []
 
-    return run
+    def done() -> tuple[Grams, list[np.ndarray]]:
+        return grams, [np.concatenate([counts_of(p[k]) for p in parts if p[k]] or [np.zeros(0, np.int64)]) for k in range(4)]
 
+    for batch in batches:
+        for i in range(batch.num_rows):
+            chunk, part = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            if chunk != now and grams is not None:
+                yield done()
+                grams, parts = None, []
+            now = chunk
+            if part < 0:
+                grams = Grams.of([batch.column(_FIRST + k)[i].as_py() for k in range(5)])
+            else:
+                parts.append([batch.column(_FIRST + k)[i].as_py() for k in range(4)])
+    if grams is not None:
+        yield done()
 
-def _sums_of(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    found, n = np.unique(among, return_counts=True)
-    out = np.zeros(len(values), np.int64)
-    out[np.searchsorted(values, found)] = n
-    return out
 
+@dataclass(frozen=True)
+class Unigrams:
+    n: int
+    kinds: int
+    unknown: float
 
-def _gains(common: CommonWords, weight: np.ndarray, shares: np.ndarray, context: np.ndarray, pair: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log10(L * r + 1 - L) - log10(1 - L) of class pairs that occur c times in training."""
-    before, kind = np.divmod(pair, common.classes)
-    r = c / np.maximum(context[before], 1) / shares[kind]
-    own = weight[before]
-    return np.log10(own * r + 1 - own) - np.log10(1 - own)
+    def shares(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, (1 - self.unknown) * c / max(self.n, 1), self.unknown)
 
 
-def _block(rid: np.ndarray, blocks: int) -> np.ndarray:
-    """Texts are dealt to blocks of about BLOCK, whatever their ids."""
-    return ((rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+def _contexts(g: Grams, words: np.ndarray) -> np.ndarray:
+    """Counts of the pairs' contexts: a word is followed by one token wherever it stands, and a text starts as often as it ends."""
+    end = np.searchsorted(g.words, END)
+    return np.append(words, words[end])[g.before]
 
 
-def _packed(rid: np.ndarray, sums: list[np.ndarray], blocks: int) -> pa.RecordBatch:
-    """A row for each block: its texts' rids and sums, as packed numbers."""
-    block = _block(rid, blocks)
-    order = np.argsort(block, kind="stable")
-    value, first = np.unique(block[order], return_index=True)
-    offsets = pa.py_buffer((np.r_[first, len(rid)] * 8).astype(np.int32))
-    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(value), [None, offsets, pa.py_buffer(np.ascontiguousarray(x[order]))])
-    return pa.RecordBatch.from_arrays([pa.array(value), blob(rid), *(blob(x.astype("<f8")) for x in sums)], names=["block", "rids", *SUMS])
+def buckets(context: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(context, 1))).astype(np.int64)
 
 
-SUMS = ["tokens", "known", "base", "score"]
+def _events(kept: Unigrams):
+    """Over chunks of the deleted fold: (bucket, bin, n, ratios), where a context is known elsewhere."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, (_, _, words, pairs) in _met(batches):
+            n = np.bincount(g.pair, minlength=len(g.pairs))
+            context = _contexts(g, words)
+            use = context > 0
+            r = pairs[use] / context[use] / kept.shares(words[g.after[use]])
+            bins = np.where(r > 0, np.floor(BINS * np.log(np.maximum(r, 1e-30))), -1e6).astype(np.int64)
+            key, back = np.unique(buckets(context[use]) * 10_000_000 + bins + 5_000_000, return_inverse=True)
+            sums = [np.bincount(back, weights=w, minlength=len(key)) for w in (n[use], n[use] * r)]
+            yield pa.RecordBatch.from_arrays([pa.array(key // 10_000_000), pa.array(key % 10_000_000), pa.array(sums[0]), pa.array(sums[1])], names=["bucket", "bin", "n", "ratios"])
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by text over rows of packed sums, sorted by block: one block, of a bounded number of texts, is held at a time."""
-    now, held = None, []
+    return run
 
-    def done() -> pa.RecordBatch:
-        rid, *sums = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), ("<i8", *["<f8"] * len(SUMS))))
-        ids, back = np.unique(rid, return_inverse=True)
-        tokens, known, base, score = (np.bincount(back, weights=x, minlength=len(ids)).astype(float) for x in sums)
-        cols = [ids, np.rint(tokens).astype(np.int64), np.rint(known).astype(np.int64), base, score]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["rid", *SUMS])
 
-    for batch in batches:
-        for block, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and block != now:
-                yield done()
-                held = []
-            now = block
-            held.append(blobs)
-    if held:
-        yield done()
+def em_weights(groups: dict[int, list[tuple[float, float]]], rounds: int = 200) -> dict[int, float]:
+    """For each bucket the weight L that maximises the sum of n * log(L * r + 1 - L) over its (n, r); 0 without events."""
+    out = {}
+    for b, events in groups.items():
+        n, r = np.array(events, float).reshape(-1, 2).T
+        w = 0.5
+        for _ in range(rounds if n.sum() else 0):
+            new = float((n * w * r / (w * r + 1 - w)).sum() / n.sum())
+            done = abs(new - w) < 1e-9
+            w = min(new, 0.999)
+            if done:
+                break
+        out[b] = w if n.sum() else 0.0
+    return out
 
 
-def _summed(common: CommonWords, weight: np.ndarray, shares: np.ndarray, context: np.ndarray, blocks: int):
-    """Sums by text of rows (kind, key, c, rids, counts, and the sums of kind 2), packed by block."""
-    least = log10(common.n + SMOOTH * (common.kinds + 1))
+def _scored(unigrams: Unigrams, weights: np.ndarray):
+    least = log10(unigrams.n + SMOOTH * (unigrams.kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-
-        def done() -> pa.RecordBatch:
-            rid, *rest = [np.concatenate(x) for x in zip(*held)]
-            ids, back = np.unique(rid, return_inverse=True)
-            return _packed(ids, [np.bincount(back, weights=x, minlength=len(ids)) for x in rest], blocks)
-
-        for batch in batches:
-            kind, key, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            own = kind == 2
-            if own.any():
-                held.append([key[own], *(batch.column(i).to_numpy(zero_copy_only=False)[own].astype(float) for i in range(5, 9))])
-                size += int(own.sum())
-            for k in (0, 1):
-                use = kind == k
-                if not use.any():
-                    continue
-                part = batch.filter(pa.array(use))
-                rid, n = (np.frombuffer(b"".join(part.column(i).to_pylist()), t) for i, t in ((3, "<i8"), (4, "<u4")))
-                each = np.array([len(x) // 4 for x in part.column(4).to_pylist()])
-                count = c[use].astype(float)
-                if k == 0:
-                    seen = count > 0
-                    base = np.log10(count + SMOOTH) - least
-                    score = np.log10(np.where(seen, (1 - common.unknown) * count / max(common.n, 1), common.unknown))
-                else:
-                    seen, base = np.zeros(len(count)), np.zeros(len(count))
-                    score = _gains(common, weight, shares, context, key[use], count)
-                held.append([rid, np.zeros(len(rid)), *(np.repeat(x.astype(float), each) * n for x in (seen, base, score))])
-                size += len(rid)
-            if size >= HELD:
-                yield done()
-                held, size = [], 0
-        if held:
-            yield done()
+        for g, (words, pairs, _, _) in _met(batches):
+            row = np.repeat(np.arange(len(g.sizes)), g.sizes)
+            sums = lambda v: np.bincount(row, weights=v, minlength=len(g.sizes))
+            share = unigrams.shares(words)[g.after]
+            context = _contexts(g, words)
+            weight = np.where(context > 0, weights[np.minimum(buckets(context), len(weights) - 1)], 0)
+            value = np.log10(weight * pairs / np.maximum(context, 1) + (1 - weight) * share)
+            cols = [g.rids, g.sizes.astype(np.int64), np.rint(sums(words[g.word] > 0)).astype(np.int64), sums(np.log10(words + SMOOTH)[g.word] - least), sums(value[g.pair])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["rid", "tokens", "known", "base", "score"])
 
     return run
 
 
-def lm_score(docs: DataFrame, fold: Column, common: float = 1e-4) -> DataFrame:
+def lm_score(docs: DataFrame, fold: Column) -> DataFrame:
     """(doc_id, fold, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``docs``; scores are log10.
 
     ``fold``: 0 is never learned from, 1 gives the interpolation weights, any other the counts; a null counts as 2. The counts that scores use are
     those of all folds but 0. base_score: unigrams with SMOOTH added to each count and one kind more. Null or empty text:
-    the end token alone. Repeated rows are each returned, and null ids too. An empty table gives no rows. Nothing to learn from: every token
-    is unknown. Columns besides doc_id, text and those of ``fold`` are not read.
+    the end token alone. A very long text makes a chunk of its own. Repeated rows are each returned, and null ids too. An empty table gives no
+    rows. Nothing to learn from: every token is unknown. Columns besides doc_id, text and those of ``fold`` are not read.
     """
     rows = numbered(docs.withColumn("_fold", F.coalesce(fold.cast("int"), F.lit(2))).select("doc_id", "text", "_fold"))
-    read = rows.select(F.col("_rid").alias("rid"), F.col("_fold").alias("fold"), "text")
-    counted = read.mapInArrow(_count_words, "key long, kept long, deleted long")
-    words = stored(counted.groupBy("key").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted")), "words")
-    n, n_deleted, kinds, new = (x or 0 for x in words.agg(F.sum(F.col("kept") + F.col("deleted")), F.sum("deleted"), F.count("*"), F.sum(F.when(F.col("kept") == 0, F.col("deleted")))).first())
-    got = words.where(F.col("kept") + F.col("deleted") >= max(1.0, common * n)).orderBy("key").toPandas()  # 1 / common rows at most
-    made = CommonWords(
-        got["key"].to_numpy(np.int64), got["kept"].to_numpy(np.int64), got["deleted"].to_numpy(np.int64), n, n - n_deleted, n_deleted, kinds, min(0.5, (new + 1) / (n_deleted + 2)) if n else 1.0
-    )
-    k = len(made.keys)
-    pairs = stored(read.mapInArrow(_count_pairs(made), "key long, kept long, deleted long").groupBy("key").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted")), "pairs")
-    # contexts: every class, by the counts of what follows it; one row a class
-    ctx = pairs.groupBy(F.floor(F.col("key") / made.classes).cast("int").alias("before")).agg(F.sum("kept").alias("kept"), F.sum(F.col("kept") + F.col("deleted")).alias("all")).toPandas()
-    context_kept, context = np.zeros(made.classes), np.zeros(made.classes)
-    context_kept[ctx["before"]], context[ctx["before"]] = ctx["kept"], ctx["all"]
-    bucket = np.floor(np.log2(np.maximum(context_kept, 1))).astype(int)
-    shares_kept, shares = made.shares(made.kept, made.n_kept), made.shares(made.kept + made.deleted, made.n)
-    spark = docs.sparkSession
-    rows_ = [(i, int(bucket[i]), float(max(context_kept[i], 1))) for i in range(made.classes)]
-    by_context = F.broadcast(spark.createDataFrame(rows_, "before int, bucket int, context double"))
-    by_kind = F.broadcast(spark.createDataFrame([(i, float(max(x, 1e-300))) for i, x in enumerate(shares_kept)], "kind int, share double"))
-    split = pairs.where("deleted > 0").select("kept", "deleted", F.floor(F.col("key") / made.classes).cast("int").alias("before"), (F.col("key") % made.classes).cast("int").alias("kind"))
-    ratio = F.col("kept") / F.col("context") / F.col("share")
-    events = split.join(by_context, "before").join(by_kind, "kind").select("bucket", "deleted", ratio.alias("r"))
-    # ratios in bins of 5 percent: a few hundred rows a bucket
-    bins = events.groupBy("bucket", F.when(F.col("r") > 0, F.floor(20 * F.log(F.greatest("r", F.lit(1e-9))))).alias("bin")).agg(F.sum("deleted").alias("n"), (F.sum(F.col("deleted") * F.col("r")) / F.sum("deleted")).alias("r")).collect()
+    read = rows.select(F.col("_rid").alias("rid"), F.col("_fold").alias("fold"), F.col("text").cast("binary").alias("text"))
+    chunks = stored(read.mapInArrow(_chunked, _ROW), "chunks")
+    n_chunks, tokens, trained, deleted = (x or 0 for x in chunks.agg(F.count("*"), F.sum("tokens"), F.sum("trained"), F.sum(F.when(F.col("deleted"), F.col("trained")))).first())
+    parts = max(1, 2 * tokens // PART)
+    asked = chunks.mapInArrow(_asked(parts), _ROW).repartition(parts, "part").sortWithinPartitions("part")
+    replies = stored(asked.mapInArrow(_added, _ROW), "counts")
+    kinds = new = 0
+    for x in replies.where("chunk = -1").select("b0").toLocalIterator():  # a row of two numbers a part
+        a, b = np.frombuffer(x["b0"], np.int64)
+        kinds, new = kinds + int(a), new + int(b)
+    unknown = min(0.5, (new + 1) / (deleted + 2)) if trained else 1.0
+    replies = replies.where("chunk >= 0")
+    met = lambda where: chunks.where(where).unionByName(replies.where(where)).repartition(max(1, n_chunks), "chunk").sortWithinPartitions("chunk", "part")
+    events = met("deleted").mapInArrow(_events(Unigrams(trained - deleted, kinds, unknown)), "bucket long, bin long, n double, ratios double")
+    bins = events.groupBy("bucket", "bin").agg(F.sum("n").alias("n"), F.sum("ratios").alias("ratios")).collect()  # 64 buckets of a few hundred bins at most
     groups: dict[int, list] = {}
-    for x in bins:
-        groups.setdefault(x["bucket"], []).append((x["n"], x["r"]))
+    for x in sorted(bins, key=lambda x: (x["bucket"], x["bin"])):
+        groups.setdefault(x["bucket"], []).append((x["n"], x["ratios"] / x["n"]))
     learned = em_weights(groups)
-    weight = np.array([learned.get(int(b), 0.0) for b in bucket])
-    often = pairs.where(F.col("kept") + F.col("deleted") >= max(1.0, common * n)).orderBy("key").toPandas()  # 1 / common rows at most
-    hot, c = often["key"].to_numpy(np.int64), (often["kept"] + often["deleted"]).to_numpy(float)
-    total = made.kept + made.deleted
-    w = Weights(
-        np.log10(total + SMOOTH) - log10(n + SMOOTH * (kinds + 1)), np.log10((1 - made.unknown) * total / max(n, 1)) if k else np.zeros(0), np.log10(1 - weight), hot, _gains(made, weight, shares, context, hot, c)
-    )
-    sent = read.mapInArrow(_scored(made, w), _OUT)
-    blocks = max(1, rows.count() // BLOCK)
-    whole = sent.withColumn("n", F.sum("n").over(Window.partitionBy("kind", "key"))).mapInArrow(_summed(made, weight, shares, context, blocks), "block long, rids binary, " + ", ".join(f"{x} binary" for x in SUMS))
-    sums = whole.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "rid long, tokens long, known long, base double, score double")
+    weights = np.array([learned.get(b, 0.0) for b in range(64)])
+    sums = met("true").mapInArrow(_scored(Unigrams(trained, kinds, unknown), weights), "rid long, tokens long, known long, base double, score double")
     ids = rows.select("doc_id", F.col("_fold").alias("fold"), "_rid")
     return ids.join(sums, ids["_rid"] == sums["rid"]).select(
-        "doc_id", "fold", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
+        "doc_id", "fold", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(trained).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
     )

@@ -365,7 +365,7 @@ def test_lm_query(spark, data, rows):
 
     got = {r["doc_id"]: r for r in queries.op9_lm_score(spark, data).collect()}
     held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0 for r in rows}
-    tokens = {r["doc_id"]: lm_score.tokens_of(r["text"] or "") for r in rows}
+    tokens = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b" "] for r in rows}
     c = Counter(w for i, t in tokens.items() if not held[i] for w in t)
     n, v = sum(c.values()), len(c)
     for i, t in tokens.items():
@@ -376,22 +376,80 @@ def test_lm_query(spark, data, rows):
     assert sum(x["score"] for x in out) > sum(x["base_score"] for x in out)
 
 
+def brute_lm(rows, fold):
+    """{id: log10 of P}, and P(word | context); counts and weights by plain dictionaries."""
+    from collections import Counter, defaultdict
+
+    texts = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
+    count = lambda ids: (Counter(w for i in ids for w in texts[i]), Counter(p for i in ids for p in zip([0, *texts[i]], texts[i])), Counter(a for i in ids for a in [0, *texts[i][:-1]]))
+    kept, every = count([i for i in texts if fold(i) > 1]), count([i for i in texts if fold(i) > 0])
+    deleted = [w for i in texts if fold(i) == 1 for w in texts[i]]
+    unknown = min(0.5, (sum(w not in kept[0] for w in deleted) + 1) / (len(deleted) + 2)) if every[0] else 1.0
+    share = lambda w, c: (1 - unknown) * c[0][w] / sum(c[0].values()) if c[0][w] else unknown
+    bins = defaultdict(list)
+    for i in texts:
+        if fold(i) == 1:
+            for a, w in zip([0, *texts[i]], texts[i]):
+                if kept[2][a]:
+                    r = kept[1][a, w] / kept[2][a] / share(w, kept)
+                    bins[int(math.log2(kept[2][a])), math.floor(20 * math.log(r)) if r else None].append(r)
+    groups = defaultdict(list)
+    for (b, _), rs in bins.items():
+        groups[b].append((len(rs), sum(rs) / len(rs)))
+    learned = lm_score.em_weights(groups)
+
+    def p(w, a):
+        lam = learned.get(int(math.log2(every[2][a])), 0.0) if every[2][a] else 0.0
+        return lam * (every[1][a, w] / every[2][a] if every[2][a] else 0) + (1 - lam) * share(w, every)
+
+    return {i: sum(math.log10(p(w, a)) for a, w in zip([0, *t], t)) for i, t in texts.items()}, p, set(every[0])
+
+
+def test_lm_against_brute_force(spark, data, rows):
+    got = {r["doc_id"]: r["score"] for r in queries.op9_lm_score(spark, data).collect()}
+    want, p, known = brute_lm([(r["doc_id"], r["text"]) for r in rows], lambda i: zlib.crc32(str(i).encode()) % 10)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-9)
+    for a in (0, b"das", sorted(w for w in known if w)[7], b"never-seen-before"):
+        assert sum(p(w, a) for w in [*known, "some unknown word"]) == pytest.approx(1, abs=1e-9)
+
+
 def test_lm_is_a_distribution(spark):
-    """Over all next words (known ones and the unknown) after each context, the probabilities add up to 1."""
+    """Over all next words (known ones, the end and the unknown) after a context the operator's own probabilities add up to 1."""
     random.seed(4)
     train = [(i, " ".join(random.choices("a b c d e f g".split(), [30, 20, 10, 5, 3, 1, 1], k=30))) for i in range(60)]
     words = ["a", "b", "c", "d", "e", "f", "g", "unseen"]
-    ask = [(1000 + 10 * k + j, " ".join(filter(None, [ctx, w]))) for k, ctx in enumerate(["", "a", "f", "unseen"]) for j, w in enumerate([*words, ""])]
+    # "ctx w" less "w"'s own end is P(ctx) P(w | ctx): P(end | w) comes from "ctx w w" and "ctx w"
+    texts = {c + w: " ".join([*c, w]) for c in ("", "a", "f", "ag") for w in words} | {c: " ".join(c) for c in ("", "a", "f", "ag")}
+    ask = [(1000 + k, t) for k, t in enumerate(texts.values())]
     d = spark.createDataFrame(train + ask, "doc_id long, text string")
-    fold = F.when(F.col("doc_id") >= 1000, 0).otherwise(F.col("doc_id") % 5 + 1)
-    got = {r["doc_id"]: r["score"] for r in lm_score.lm_score(d, fold, common=0.02).collect()}
-    # the end after each word is known from the text of the word alone: P(ctx, w, end) = P(ctx, w) P(end | w)
-    single = {w: got[1000 + j] for j, w in enumerate(words)}
-    assert all(s < 0 for s in got.values())
-    assert single["a"] > single["f"] > single["unseen"] - 5
+    fold = lambda i: 0 if i >= 1000 else i % 5 + 1
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_score(d, F.when(F.col("doc_id") >= 1000, 0).otherwise(F.col("doc_id") % 5 + 1)).collect()}
+    want, p, _ = brute_lm(train + ask, fold)
+    at = {k: 10 ** got[1000 + n] for n, k in enumerate(texts)}
+    for c in ("a", "f"):
+        end = p(None, c.encode())
+        reach = at[c] / end  # P(c)
+        assert sum(at[c + w] / p(None, w.encode()) for w in words) / reach + end == pytest.approx(1, abs=1e-9)
     assert lm_score.em_weights({0: [(10, 5.0), (1, 0.0)], 1: []})[0] > 0.8
 
 
+def test_lm_tokens_and_counts():
+    import numpy as np
+
+    texts = [b"The  cat\tTHE\ncat", b"", b" \r\n ", b"x" * 50 + b" y\x0b" + "\u00e9\u3000z".encode()]
+    keys, sizes = lm_score.token_keys(texts)
+    assert sizes.tolist() == [5, 1, 1, 4] and keys[0] == keys[2] and keys[1] == keys[3] and (keys == lm_score.END).sum() == 4
+    old, lm_score.BLOCK = lm_score.BLOCK, 16
+    try:
+        assert (lm_score.token_keys(texts)[0] == keys).all()
+    finally:
+        lm_score.BLOCK = old
+    n = np.array([0, 1, 254, 255, 256, 70_000, 3, 1 << 40])
+    assert (lm_score.counts_of(lm_score.packed_counts(n)) == n).all()
+
+
 def test_lm_odd(odd, none):
     got = lm_score.lm_score(odd, F.when(F.col("doc_id") == 1, 0).otherwise(F.col("doc_id") % 3 + 1))
     assert got.count() == len(ODD) and got.where("n_tokens < 1 or score >= 0 or isnan(score)").isEmpty()
