@@ -1,7 +1,8 @@
 """Licence recognition by sentences and rules.
 
-A text is cut into sentences, whatever their line breaks; each is normalised and gives the identifiers of all known phrases that stand in
-it. The identifiers of a text, in order, are matched against ordered rules; the first rule that fits names the licence.
+A text is cut into sentences, whatever its line breaks and comment marks, and each is normalised to lower-case words. Known licence
+sentences, whole ones or the clause that makes a grant, are mapped to identifiers; the sequence of a text's identifiers is matched against ordered
+rules, and the first rule that fits names the licence.
 """
 
 from __future__ import annotations
@@ -11,72 +12,136 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identifier and the phrase, normalised, that marks its sentence.
+#: Identifiers and normalised sentences of published licences, as patterns. ^ and $ stand for the sentence's ends.
 SENTENCES = [
+    # MIT, ISC, zlib, Boost
+    ("MitPermission", "^permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("MitConditions", "^the above copyright notice and this permission notice (including the next paragraph )?shall be included in all copies or substantial portions of the software$"),
+    ("IscPermission", "^permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies$"),
+    ("ZlibPermission", "^permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions$"),
+    ("ZlibOrigin", "^the origin of this software must not be misrepresented"),
+    ("BoostPermission", "^permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("BoostGrant", "distributed under the boost software license version 1 0"),
+    ("SoftwareAsIs", "^the software is provided as is (without warranty of any kind|and the author disclaims all warranties)"),
+    # BSD
+    ("BsdRedistribution", "^redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met$"),
+    ("BsdSource", "^redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer$"),
+    ("BsdBinary", "^redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution$"),
+    ("BsdAdvertising", "^all advertising materials mentioning features or use of this software must display the following acknowledgement$"),
+    ("BsdEndorse", "^neither the name of [a-z0-9 ]+ may be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("BsdAsIs", "^this software is provided by [a-z0-9 ]*as is and any express or implied warranties"),
+    # Apache
     ("ApacheGrant", "licensed under the apache license version 2 0"),
-    ("ApacheCompliance", "may not use this file except in compliance with the license"),
-    ("ApacheAsIs", "distributed under the license is distributed on an as is basis"),
-    ("MitGrant", "released under the mit license"),
-    ("MitGrant", "licensed under the mit license"),
-    ("MitPermission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("MitNotice", "above copyright notice and this permission notice shall be included"),
-    ("AsIs", "software is provided as is"),
-    ("Gpl3Grant", "licensed under the gnu general public license version 3"),
-    ("Gpl2Grant", "licensed under the gnu general public license version 2"),
-    ("GplAny", "terms of the gnu general public license as published by the free software foundation"),
-    ("LgplGrant", "gnu lesser general public license"),
-    ("CcByNc", "licensed under cc by nc 4 0"),
-    ("CcBySa", "licensed under cc by sa 4 0"),
-    ("CcBy", "licensed under cc by 4 0"),
-    ("Cc0", "cc0 1 0 universal"),
-    ("BsdRedistribution", "redistribution and use in source and binary forms"),
-    ("BsdEndorse", "used to endorse or promote products derived from this software"),
-    ("Mpl2", "subject to the terms of the mozilla public license v 2 0"),
-    ("Reserved", "all rights reserved"),
+    ("ApacheCompliance", "you may not use this file except in compliance with the license$"),
+    ("ApacheCopy", "^you may obtain a copy of the license at$"),
+    ("ApacheAsIs", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("ApacheTitle", "apache license version 2 0 january 2004"),
+    # GNU
+    ("GplFree", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("LgplFree", "is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation"),
+    ("AgplFree", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("GnuFree", "is free software$"),
+    ("GplTerms", "^you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("LgplTerms", "^you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation"),
+    ("AgplTerms", "^you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("Either3", "either version 3 of the license or at your option any later version"),
+    ("Either21", "either version 2 1 of the license or at your option any later version"),
+    ("Either2", "either version 2 of the license or at your option any later version"),
+    ("GnuHope", "distributed in the hope that it will be useful but without any warranty"),
+    ("Gpl3Grant", "licensed under the (gnu general public license|gnu gpl|gpl) (version 3|v3)"),
+    ("Gpl2Grant", "licensed under the (gnu general public license|gnu gpl|gpl) (version 2|v2)"),
+    ("LgplGrant", "licensed under the (gnu lesser general public license|gnu lgpl|lgpl)"),
+    ("AgplGrant", "licensed under the (gnu affero general public license|gnu agpl|agpl)"),
+    # others
+    ("Mpl2", "subject to the terms of the mozilla public license v 2 0$"),
+    ("Epl2", "under the terms of the eclipse public license (v )?2 0"),
+    ("UnlicenseDomain", "^this is free and unencumbered software released into the public domain$"),
+    ("UnlicenseAnyone", "^anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("WtfplTitle", "do what the fuck you want to public license"),
+    ("MitGrant", "(released|licensed|distributed) under the (terms of the )?mit license"),
+    ("BsdGrant", "(released|licensed|distributed) under the bsd (license|licence)"),
+    ("CcByNcSa", "licensed under (a )?(cc by nc sa 4 0|creative commons attribution noncommercial sharealike 4 0)"),
+    ("CcByNc", "licensed under (a )?(cc by nc 4 0|creative commons attribution noncommercial 4 0)"),
+    ("CcBySa", "licensed under (a )?(cc by sa 4 0|creative commons attribution sharealike 4 0)"),
+    ("CcByNd", "licensed under (a )?(cc by nd 4 0|creative commons attribution noderivatives 4 0)"),
+    ("CcBy", "licensed under (a )?(cc by 4 0|creative commons attribution 4 0)"),
+    ("Cc0", "(cc0 1 0 universal|licensed under cc0 1 0)"),
+    ("Reserved", "all rights reserved$"),
 ]
-#: The rules in order, as a licence and the identifiers that must follow each other, others between them or not.
+#: The rules in order, as an SPDX name and the identifiers that must follow each other, others between them or not.
 RULES = [
+    ("Apache-2.0", ["ApacheGrant", "ApacheCompliance", "ApacheAsIs"]),
     ("Apache-2.0", ["ApacheGrant"]),
     ("Apache-2.0", ["ApacheCompliance", "ApacheAsIs"]),
-    ("MIT", ["MitPermission", "MitNotice"]),
+    ("Apache-2.0", ["ApacheTitle"]),
+    ("MIT", ["MitPermission", "MitConditions"]),
     ("MIT", ["MitGrant"]),
+    ("ISC", ["IscPermission"]),
+    ("Zlib", ["ZlibPermission", "ZlibOrigin"]),
+    ("BSL-1.0", ["BoostPermission"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSD-4-Clause", ["BsdRedistribution", "BsdSource", "BsdBinary", "BsdAdvertising", "BsdEndorse"]),
+    ("BSD-3-Clause", ["BsdRedistribution", "BsdSource", "BsdBinary", "BsdEndorse"]),
+    ("BSD-2-Clause", ["BsdRedistribution", "BsdSource", "BsdBinary"]),
+    ("BSD", ["BsdGrant"]),
+    ("AGPL-3.0-or-later", ["AgplFree", "Either3"]),
+    ("AGPL-3.0-or-later", ["AgplTerms", "Either3"]),
+    ("AGPL", ["AgplGrant"]),
+    ("LGPL-3.0-or-later", ["LgplFree", "Either3"]),
+    ("LGPL-3.0-or-later", ["LgplTerms", "Either3"]),
+    ("LGPL-2.1-or-later", ["LgplFree", "Either21"]),
+    ("LGPL-2.1-or-later", ["LgplTerms", "Either21"]),
+    ("LGPL-2.0-or-later", ["LgplFree", "Either2"]),
+    ("LGPL-2.0-or-later", ["LgplTerms", "Either2"]),
+    ("LGPL", ["LgplGrant"]),
+    ("GPL-3.0-or-later", ["GplFree", "Either3"]),
+    ("GPL-3.0-or-later", ["GplTerms", "Either3"]),
+    ("GPL-2.0-or-later", ["GplFree", "Either2"]),
+    ("GPL-2.0-or-later", ["GplTerms", "Either2"]),
     ("GPL-3.0", ["Gpl3Grant"]),
     ("GPL-2.0", ["Gpl2Grant"]),
-    ("LGPL", ["LgplGrant"]),
-    ("GPL", ["GplAny"]),
+    ("GPL", ["GplFree"]),
+    ("GPL", ["GplTerms"]),
+    ("MPL-2.0", ["Mpl2"]),
+    ("EPL-2.0", ["Epl2"]),
+    ("Unlicense", ["UnlicenseDomain", "UnlicenseAnyone"]),
+    ("WTFPL", ["WtfplTitle"]),
+    ("CC-BY-NC-SA-4.0", ["CcByNcSa"]),
     ("CC-BY-NC-4.0", ["CcByNc"]),
     ("CC-BY-SA-4.0", ["CcBySa"]),
+    ("CC-BY-ND-4.0", ["CcByNd"]),
     ("CC-BY-4.0", ["CcBy"]),
     ("CC0-1.0", ["Cc0"]),
-    ("BSD-3-Clause", ["BsdRedistribution", "BsdEndorse"]),
-    ("BSD-2-Clause", ["BsdRedistribution"]),
-    ("MPL-2.0", ["Mpl2"]),
     ("Proprietary", ["Reserved"]),
 ]
-#: Phrases and rules that the registered SQL doesn't have. The rules come before that of GPL without a version.
-MORE_SENTENCES = [
-    ("AgplGrant", "gnu affero general public license"),
-    ("EitherVersion3", "either version 3 of the license"),
-    ("EitherVersion2", "either version 2 of the license"),
-]
-MORE_RULES = [("AGPL", ["AgplGrant"]), ("GPL-3.0", ["GplAny", "EitherVersion3"]), ("GPL-2.0", ["GplAny", "EitherVersion2"])]
-#: A word of which each phrase has one: texts without any need no further look.
-HINTS = ("licen", "permission", "software", "redistribution", "reserved", "cc0")
+#: Words of which every known sentence has one: texts without any need no further look.
+HINTS = ("licen", "permission", "permitted", "software", "redistribution", "conditions", "rights", "cc0", "copyright", "advertising", "hope", "modify", "misrepresented")
 SPACE = r"[\t\n\f\r ]"
 
 
-def sentence_ids(sentence: Column) -> Column:
-    """The identifiers of all known phrases of a sentence in order of their places, as often as they occur."""
-    plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    names = F.create_map(*(F.lit(x) for name, phrase in SENTENCES + MORE_SENTENCES for x in (phrase, name)))
-    found = F.regexp_extract_all(plain, F.lit("(?=(" + "|".join(phrase for _, phrase in SENTENCES + MORE_SENTENCES) + "))"), F.lit(1))
-    return F.transform(found, lambda x: names[x])
+def plain_sentences(text: Column) -> Column:
+    """All sentences of a text as words of a-z and 0-9, with | before, between and after them.
+
+    Comment marks at the beginnings of lines go, and a first line that names an interpreter. Sentences end at blank lines and, where white space follows, at . ! ? ; and : but
+    not between v. and a number; other line ends are spaces.
+    """
+    x = F.regexp_replace(F.regexp_replace(F.lower(text), r"\|", " "), r"^#![^\n]*\n", "\n\n")
+    x = F.regexp_replace(x, r"(^|\n)[\t ]*(/\*+|\*+/|\*+|//+|#+|;+|--+|<!--|%+|dnl )", "$1")
+    x = F.regexp_replace(x, rf"(^|[^a-z])(v|ver|vers)\.{SPACE}+([0-9])", "$1$2 $3")
+    x = F.regexp_replace(x, rf"([.!?;:])[\"')]*{SPACE}+", "|")
+    x = F.regexp_replace(x, r"\n[\t\f\r ]*\n", "|")
+    x = F.regexp_replace(x, "[^a-z0-9|]+", " ")
+    return F.regexp_replace(F.concat(F.lit("|"), x, F.lit("|")), r"( ?\| ?)+", "|")
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text: cut at blank lines and, where white space follows, after . ! ? ; and : but not between v. and a number"""
-    whole = F.regexp_replace(text, rf"(?i)\b(v|ver|vers)\.{SPACE}+(?=[0-9])", "$1 ")
-    return F.split(F.regexp_replace(whole, rf"([.!?;:]){SPACE}+", "$1\n\n"), r"\n[\t\f\r ]*\n")
+def marked(plain: Column) -> Column:
+    """Sentences with each known one replaced by its identifier between < and >."""
+    for name, pattern in SENTENCES:
+        first, last = pattern.startswith("^"), pattern.endswith("$")
+        groups = pattern.count("(")
+        found = (r"(\|)" if first else "()") + pattern.removeprefix("^").removesuffix("$") + (r"(\|)" if last else "()")
+        plain = F.regexp_replace(plain, found, f"$1<{name}>${groups + 2}")
+    return plain
 
 
 def hinted(x: Column) -> Column:
@@ -87,16 +152,14 @@ def hinted(x: Column) -> Column:
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, license, licenses): one row per row of ``docs``, in one pass without a shuffle.
 
-    n_sentences int and sentence_ids array: the recognised phrases in order; license: that of the first rule that fits, else null;
-    licenses: of all that fit, in the order of the rules, each once. Null or empty text: none. Repeated rows are each returned; an empty
-    table gives no rows; other columns are not read.
+    n_sentences int and sentence_ids array: the recognised sentences in order; of overlapping ones the first of SENTENCES; license: that of the
+    first rule that fits, else null; licenses: of all that fit, in the order of the rules, each once. Null or empty text: none. Very long
+    texts are read whole. Repeated rows are each returned; an empty table gives no rows; other columns are not read.
     """
-    found = F.flatten(F.transform(F.filter(sentences(F.col(text)), hinted), sentence_ids))
+    found = F.regexp_extract_all(marked(plain_sentences(F.col(text))), F.lit("<([A-Za-z0-9]+)>"), F.lit(1))
     none = F.array().cast("array<string>")
     ids = docs.select("doc_id", F.when(hinted(F.col(text)), found).otherwise(none).alias("sentence_ids"))
     line = F.concat(F.lit(";"), F.array_join("sentence_ids", ";"), F.lit(";"))
-    at = RULES.index(("GPL", ["GplAny"]))
-    rules = RULES[:at] + MORE_RULES + RULES[at:]
-    fits = [(name, line.rlike(";" + ";(.*;)?".join(need) + ";")) for name, need in rules]
+    fits = [(name, line.rlike(";" + ";(.*;)?".join(need) + ";")) for name, need in RULES]
     every = F.array_distinct(F.array_compact(F.array(*(F.when(fit, F.lit(name)) for name, fit in fits))))
     return ids.select("doc_id", F.size("sentence_ids").alias("n_sentences"), "sentence_ids", F.get(every, F.lit(0)).alias("license"), every.alias("licenses"))

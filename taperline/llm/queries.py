@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, license_scan, lm_score, sharding, simhash, suffix_dedup, toxicity
 from . import chat_format as chat
 from . import quality_rules as quality
+from .license_sql import license_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,24 +108,6 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_sentences", F.array_join("sentence_ids", ";").alias("sentence_ids"), "license", F.array_join("licenses", ";").alias("licenses"))
 
 
-def _op8_sql() -> str:
-    q = lambda x: "'" + x.replace("'", "''") + "'"
-    case = "case " + " ".join(f"when contains(plain, {q(p)}) then {q(i)}" for i, p in license_scan.SENTENCES) + " end"
-    fits = [f"case when regexp_matches(line, {q(';' + ';(.*;)?'.join(need) + ';')}) then {q(name)} end" for name, need in license_scan.RULES]
-    return f"""
-with cut as (
-  select doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:]){license_scan.SPACE}+', '\\1' || chr(10), 'g'), chr(10))) as s,
-         generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?;:]){license_scan.SPACE}+', '\\1' || chr(10), 'g'), chr(10)), 1) as i
-  from documents),
-named as (select doc_id, i, {case} as id from (select *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) as plain from cut)),
-lines as (select doc_id, count(id) as n, coalesce(string_agg(id, ';' order by i), '') as ids from named group by doc_id),
-fits as (select doc_id, n, ids, list_filter([{", ".join(fits)}], lambda x: x is not null) as every from (select *, ';' || ids || ';' as line from lines))
-select doc_id, n as n_sentences, ids as sentence_ids, every[1] as license,
-  coalesce(array_to_string(list_filter(every, lambda x, k: list_position(every, x) = k), ';'), '') as licenses
-from fits
-"""
-
-
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     done = lm_score.lm_score(table(spark, sf_dir, "documents"), fold)
@@ -139,4 +122,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_chat_format, op3_simhash, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_sharding, op8_license_scan, op9_lm_score, op10_decontaminate)
 }
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_license_scan": _op8_sql()}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_license_scan": license_sql()}
