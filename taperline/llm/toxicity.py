@@ -9,7 +9,6 @@ texts), so every passage has an expected number E of chance occurrences, and a t
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 
 from .tables import stored
 
-#: Slots that words are hashed to: the bound on the model's size.
-SLOTS = 1 << 20
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -32,17 +29,14 @@ def words_of(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
-def slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS
-
-
 def segments(scores: list[tuple[int, float]], drift: float, n: int) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, end, score) of a text of n words, in linear time.
 
     ``scores``: (position, score) of the words that don't score 0; every word also costs ``drift``. A stack holds disjoint
-    candidates with the running totals before and after each; one is joined to the nearest that starts lower and ends lower.
+    candidates with the running totals before and after each, and a link from each to the nearest that starts lower; one is joined to that if
+    it ends lower too. A link that has been passed is never passed again, so the work is in proportion to the words.
     """
-    held: list[tuple[int, int, float, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, 0
     for i, s in scores:
         total -= drift * (i - at)
@@ -53,37 +47,31 @@ def segments(scores: list[tuple[int, float]], drift: float, n: int) -> list[tupl
             continue
         a, b, lo, hi = i, i + 1, total, total + s
         total = hi
-        while True:
-            j = len(held) - 1
-            while j >= 0 and held[j][2] >= lo:
-                j -= 1
-            if j < 0 or held[j][3] >= hi:
-                break
-            a, lo = held[j][0], held[j][2]
+        j = len(held) - 1
+        while j >= 0 and held[j][2] >= lo:
+            j = held[j][4]
+        while j >= 0 and held[j][3] < hi:
+            a, lo, lower = held[j][0], held[j][2], held[j][4]
             del held[j:]
-        held.append((a, b, lo, hi))
-    return [(a, b, hi - lo) for a, b, lo, hi in held]
+            j = lower
+        held.append((a, b, lo, hi, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in held]
 
 
 @dataclass
 class ToxicityModel:
-    """weights: slot to score, for the slots that don't score 0; lam and K: the extreme-value law; logit: its weights."""
+    """weights: word to score, for the words that don't score 0; lam and K: the extreme-value law; logit: its weights."""
 
-    weights: dict[int, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
     drift: float = 0.1
     lam: float = 1.0
     k: float = 1.0
     logit: tuple[float, ...] = (-20.0, 0.0, 0.0)
     level: float = 0.01
-    known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
-        known, weights = self.known, self.weights
-        if len(known) > 1 << 18:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = weights.get(slot(w), 0.0)
-        return segments([(i, s) for i, s in enumerate(map(known.__getitem__, words)) if s], self.drift, len(words))
+        weights = self.weights
+        return segments([(i, weights[w]) for i, w in enumerate(words) if w in weights], self.drift, len(words))
 
     def features(self, words: list[str]) -> tuple[float, float, list[tuple[int, int, float, float]]]:
         """(-log of the least E, log of 1 + the significant passages' -log E in sum, passages with E)."""
@@ -97,24 +85,19 @@ class ToxicityModel:
         return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float, z: float, least: float) -> np.ndarray:
-    """What each slot's log-odds surely exceed: shrunk by z standard errors, 0 under ``least``."""
-    both = toxic + clean
-    alpha = prior * both / max(both.sum(), 1)
-    seen = both > 0
-    out = np.zeros(len(both))
-    t, c, a = toxic[seen], clean[seen], alpha[seen]
-    nt, nc = toxic.sum() + prior, clean.sum() + prior
-    d = np.log((t + a) / (nt - t - a)) - np.log((c + a) / (nc - c - a))
-    sure = np.abs(d) - z * np.sqrt(1 / (t + a) + 1 / (c + a))
-    out[seen] = np.where(sure > least, np.sign(d) * sure, 0)
-    return out
+def log_odds(counts: DataFrame, toxic: int, clean: int, prior: float, z: float, least: float) -> DataFrame:
+    """(word, weight, clean) of ``counts`` (word, clean, toxic; ``toxic`` and ``clean`` in all): what each word's log-odds surely exceed, which is
+    the log-odds shrunk by z standard errors; words whose weight would be under ``least`` have no row."""
+    alpha = prior * (F.col("toxic") + F.col("clean")) / float(toxic + clean)
+    t, c = F.col("toxic") + alpha, F.col("clean") + alpha
+    d = F.log(t / (toxic + prior - t)) - F.log(c / (clean + prior - c))
+    sure = F.abs(d) - z * F.sqrt(1 / t + 1 / c)
+    return counts.select("word", (F.signum(d) * sure).alias("weight"), sure.alias("sure"), "clean").where(F.col("sure") > least).drop("sure")
 
 
 def _lambda(weights: np.ndarray, share: np.ndarray, drift: float) -> float:
     """The positive root of E[exp(lambda * score)] = 1 over clean words; 1 if no score is positive."""
-    use = weights != 0
-    s, p = np.append(weights[use] - drift, -drift), np.append(share[use], max(1 - share[use].sum(), 0))
+    s, p = np.append(weights - drift, -drift), np.append(share, max(1 - share.sum(), 0))
     if not (s[p > 0] > 0).any():
         return 1.0
     lo, hi = 1e-6, 50.0
@@ -139,17 +122,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per slot and task, so that the shuffle gets sums."""
+    """One row per word and task, so that the shuffle gets sums."""
     sums = Counter(), Counter()
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1)):
             sums[toxic.as_py()].update(words_of(text.as_py() or ""))
-    out: dict[int, list[int]] = {}
-    for k in (0, 1):
-        for w, n in sums[k].items():
-            out.setdefault(slot(w), [0, 0])[k] += n
-    cols = np.array([[s, *v] for s, v in out.items()], np.int64).reshape(-1, 3)
-    yield pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(3)], names=["slot", "clean", "toxic"])
+    words = list(sums[0].keys() | sums[1].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([s[w] for w in words], pa.int64()) for s in sums)], names=["word", "clean", "toxic"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 50_000.0, z: float = 2.0, least: float = 0.7, drift: float = 0.1) -> ToxicityModel:
@@ -162,15 +141,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pri
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(max_rows).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) > 0)
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "fit"), "toxicity-sample")
-    counts = rows.where("fit").select("text", "toxic").mapInArrow(_count, "slot long, clean long, toxic long")
-    got = counts.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # SLOTS rows at most
-    toxic, clean = np.zeros(SLOTS), np.zeros(SLOTS)
-    toxic[got["slot"]], clean[got["slot"]] = got["toxic"], got["clean"]
-    if not toxic.sum() or not clean.sum():
+    counts = rows.where("fit").select("text", "toxic").mapInArrow(_count, "word string, clean long, toxic long")
+    counts = stored(counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
+    clean, toxic = (x or 0 for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
+    if not toxic or not clean:
         return ToxicityModel()
-    weights = log_odds(toxic, clean, min(prior, toxic.sum() + clean.sum()), z, least)
-    use = np.flatnonzero(weights)
-    model = ToxicityModel(dict(zip(use.tolist(), weights[use].tolist())), drift, _lambda(weights, clean / clean.sum(), drift))
+    # the words of max_rows rows at most, and of these only those with much evidence
+    got = log_odds(counts, toxic, clean, float(min(prior, toxic + clean)), z, least).orderBy("word").toPandas()
+    weights = got["weight"].to_numpy(float)
+    model = ToxicityModel(dict(zip(got["word"], weights.tolist())), drift, _lambda(weights, got["clean"].to_numpy(float) / clean, drift))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pri
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` with score double, predicted int and passages (first word, end, score, E of each significant one) added, in one pass without a
-    shuffle. Null or empty text: no words, and so the least score. Columns of these names are replaced, all others stay; repeated
+    shuffle. Null or empty text: no words, and so the least score. Very long texts are scored whole, in time that grows with their length. Columns of these names are replaced, all others stay; repeated
     rows score alike; an empty table gives no rows."""
     kept = docs.drop("score", "predicted", "passages")
     at = kept.columns.index(text)
