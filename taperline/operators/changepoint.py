@@ -50,7 +50,7 @@ def profile_tau(cum: DataFrame, model: str = "exp_change_point", margin: int = 3
     dims = len(spec.searched)
     units = units if units is not None else (grid(cum.sparkSession, dims, 16) if dims <= 2 else latin_hypercube(cum.sparkSession, dims, 400))
     obs = _prepared(cum, False, ["series_id"]).join(taus, "series_id")
-    found = _search(obs, spec, boxes, units, False, ["series_id", "tau"], True)
+    found = _search(obs, spec, boxes, units, False, ["series_id", "tau"])
     k = F.lit(spec.k + 1)
     out = found.select("series_id", F.lit(model).alias("model_id"), "tau", F.col("best.params").alias("params"), F.col("best.loss").alias("loss"), F.col("n").cast("long").alias("n"), k.alias("k"))
     score = F.when(F.col("loss") > 0, F.col("n") * F.log(F.col("loss") / F.col("n")) + 2 * F.col("k"))

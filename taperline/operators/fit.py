@@ -16,9 +16,9 @@ from ..functions.special import log_factorial, uniform
 from .series import to_daily
 
 
-def series_stats(cum: DataFrame) -> DataFrame:
-    """Per series: n, Y, E, y_n, f_n and the sums of squares of y and y_fixed, with Y and E of 1 at least, as boxes need."""
-    return cum.groupBy("series_id").agg(
+def series_stats(cum: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per series (or ``keys``): n, Y, E, y_n, f_n and the sums of squares of y and y_fixed, with Y and E of 1 at least, as boxes need."""
+    return cum.groupBy(*(keys or ["series_id"])).agg(
         F.count("*").cast("double").alias("n"),
         F.greatest(F.max("y"), F.lit(1.0)).alias("Y"),
         F.greatest(F.max("effort"), F.lit(1.0)).alias("E"),
@@ -60,86 +60,100 @@ def _place(u: str, lo: str, hi: str, log: bool) -> str:
     return f"({lo}*power({hi}/{lo},{u}))" if log else f"({lo}+({hi}-{lo})*{u})"
 
 
-def _pick(loss: Column, params: Column) -> Column:
-    return F.struct(loss.alias("loss"), params.alias("params"))
-
-
 def _solve(spec: ModelSpec, mle: bool) -> Column:
-    """array of (loss, values of the scales): the constrained optima that one candidate's sums allow."""
-    lo = [f"lo[{spec.params.index(s)}]" for s in spec.scales]
-    hi = [f"hi[{spec.params.index(s)}]" for s in spec.scales]
+    """struct of loss and the values x0, x1 of the scales: the constrained optimum that one candidate's sums allow."""
+    lo, hi = ([f"{side}_{spec.params.index(p)}" for p in spec.scales] for side in ("lo", "hi"))
     clip = lambda x, k: f"least(greatest({x},{lo[k]}),{hi[k]})"
     if not spec.pair:
         if mle:
             a = clip("y_n/nullif(g_n,0)", 0)
-            return F.expr(f"array(struct(-(y_n*ln({a})+s_ln-({a})*g_n-s_fact) as loss, array({a}) as x))")
-        a = clip("coalesce(s_yg/nullif(s_gg,0),lo[0])", 0)
-        return F.expr(f"array(struct(s_yy-2*({a})*s_yg+({a})*({a})*s_gg as loss, array({a}) as x))")
+            return F.expr(f"struct(-(y_n*ln({a})+s_ln-({a})*g_n-s_fact) as loss, {a} as x0)")
+        a = clip("coalesce(s_yg/nullif(s_gg,0),lo_" + str(spec.params.index(spec.scales[0])) + ")", 0)
+        return F.expr(f"struct(s_yy-2*({a})*s_yg+({a})*({a})*s_gg as loss, {a} as x0)")
     loss = lambda x, y: f"s_yy-2*({x})*s_y1-2*({y})*s_y2+({x})*({x})*s_11+2*({x})*({y})*s_12+({y})*({y})*s_22"
     det = "nullif(s_11*s_22-s_12*s_12,0)"
     x, y = f"((s_y1*s_22-s_y2*s_12)/{det})", f"((s_y2*s_11-s_y1*s_12)/{det})"
-    inside = f"case when {det}>0 and {x} between {lo[0]} and {hi[0]} and {y} between {lo[1]} and {hi[1]} then struct({loss(x, y)} as loss, array({x},{y}) as x) end"
+    point = lambda x, y: f"struct({loss(x, y)} as loss, {x} as x0, {y} as x1)"
+    inside = f"case when {det}>0 and {x} between {lo[0]} and {hi[0]} and {y} between {lo[1]} and {hi[1]} then {point(x, y)} end"
     edges = []
     for v in (lo[0], hi[0]):
-        w = clip(f"coalesce((s_y2-({v})*s_12)/nullif(s_22,0),{lo[1]})", 1)
-        edges.append(f"struct({loss(v, w)} as loss, array({v},{w}) as x)")
+        edges.append(point(v, clip(f"coalesce((s_y2-({v})*s_12)/nullif(s_22,0),{lo[1]})", 1)))
     for v in (lo[1], hi[1]):
-        w = clip(f"coalesce((s_y1-({v})*s_12)/nullif(s_11,0),{lo[0]})", 0)
-        edges.append(f"struct({loss(w, v)} as loss, array({w},{v}) as x)")
-    return F.array_compact(F.expr(f"array({inside},{','.join(edges)})"))
+        edges.append(point(clip(f"coalesce((s_y1-({v})*s_12)/nullif(s_11,0),{lo[0]})", 0), v))
+    return F.array_min(F.expr(f"array({inside},{','.join(edges)})"))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which null equals null; b's keys are dropped."""
+    b = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
+    return a.join(b, on, how).drop(*(f"_{k}" for k in keys))
+
 
+#: What a search needs of a box beside its sides.
+_STATS = ("n", "E", "y_n", "syy", "var_y", "var_e")
 
-def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame, mle: bool, keys: list[str], fixed_tau: bool) -> DataFrame:
-    """One pass: keys, box columns, best = struct<loss, cand, params>."""
-    searched = [p for p in spec.searched]
-    at = {p: spec.params.index(p) for p in searched}
+
+def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame, mle: bool, keys: list[str]) -> DataFrame:
+    """One pass: keys, n and best = struct<loss, cand, params>.
+
+    Candidates are broadcast (their number does not depend on the data). Days, not candidates, are shuffled: once, by key, to as many tasks as
+    the session has shuffle partitions, however few bytes they are, and all sums by key and candidate are made where the days are. All that
+    is grouped or carried is a plain double, so these are hash aggregates in generated code, without a sort.
+    """
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = {p: spec.params.index(p) for p in spec.params}
     joint_effort = spec.effort is not None
-    names = {p: f"p_{p}" for p in searched}
-    rows = obs.join(boxes, keys).crossJoin(F.broadcast(units))
+    free = [p for p in spec.searched if not (joint_effort and p == "N")]
+    side = lambda s, p: f"{s}_{at[p]}"
+    plain = boxes.select(*keys, *_STATS, *(F.col(s)[i].alias(f"{s}_{i}") for s in ("lo", "hi") for i in range(spec.k)))
+    flat = units.select("cand", *(F.col("u")[i].alias(f"u_{i}") for i in range(len(free))))
+    rows = _same(obs, plain, keys).repartition(tasks, *keys).crossJoin(F.broadcast(flat))
     place = {}
-    for i, p in enumerate(x for x in searched if not (joint_effort and x == "N")):
-        lo, hi = f"lo[{at[p]}]", f"hi[{at[p]}]"
+    for i, p in enumerate(free):
+        lo, hi = side("lo", p), side("hi", p)
         if joint_effort and p == "b":
             lo, hi = f"({lo}*E)", f"({hi}*E*5)"  # the rate times the height of the effort curve
-        place[f"p_{p}"] = F.expr(_place(f"u[{i}]", lo, hi, p in spec.logs))
+        place[f"p_{p}"] = F.expr(_place(f"u_{i}", lo, hi, p in spec.logs))
     rows = rows.withColumns(place)
-    one = {s: "cast(1 as double)" for s in spec.scales} | names
+    one = {s: "cast(1 as double)" for s in spec.scales} | {p: f"p_{p}" for p in free}
     if joint_effort:
         one |= {"N": "cast(1 as double)"}
     g = lambda sql, **more: F.expr(bind(sql, one | more))
-    carried = [c for c in boxes.columns if c not in keys]
-    firsts = [F.first(c).alias(c) for c in carried] + [F.first(c).alias(c) for c in place]
     if spec.pair:
         rows = rows.withColumns({"g1": g(spec.first), "g2": g(spec.second)})
-        sums = {"s_11": "g1*g1", "s_12": "g1*g2", "s_22": "g2*g2", "s_y1": "y*g1", "s_y2": "y*g2"}
-        agg = [F.sum(F.expr(v)).alias(k) for k, v in sums.items()] + [F.sum(F.expr("y*y")).alias("s_yy")]
+        sums = {"s_11": "g1*g1", "s_12": "g1*g2", "s_22": "g2*g2", "s_y1": "y*g1", "s_y2": "y*g2", "s_yy": "y*y"}
     elif mle:
         rows = rows.withColumns({"g": g(spec.mean), "g_before": g(spec.mean, t="t_prev")}).withColumn("dg", F.greatest(F.col("g") - F.col("g_before"), F.lit(1e-12)))
-        agg = [F.sum(F.expr("dy*ln(dg)")).alias("s_ln"), F.sum("dg").alias("g_n"), F.sum("fact").alias("s_fact")]
+        sums = {"s_ln": "dy*ln(dg)", "g_n": "dg", "s_fact": "fact"}
     else:
         rows = rows.withColumn("g", g(spec.mean))
-        agg = [F.sum(F.expr("y*g")).alias("s_yg"), F.sum(F.expr("g*g")).alias("s_gg"), F.sum(F.expr("y*y")).alias("s_yy")]
+        sums = {"s_yg": "y*g", "s_gg": "g*g", "s_yy": "y*y"}
         if spec.corrected:
             rows = rows.withColumn("gc", g(spec.corrected))
-            agg = [F.sum(F.expr("y*g+y_fixed*gc")).alias("s_yg"), F.sum(F.expr("g*g+gc*gc")).alias("s_gg"), F.sum(F.expr("y*y+y_fixed*y_fixed")).alias("s_yy")]
+            sums = {"s_yg": "y*g+y_fixed*gc", "s_gg": "g*g+gc*gc", "s_yy": "y*y+y_fixed*y_fixed"}
         if joint_effort:
             rows = rows.withColumn("w", g(spec.effort))
             used = "case when effort>0 then "
-            agg += [F.sum(F.expr(f"{used}effort*w end")).alias("s_ew"), F.sum(F.expr(f"{used}w*w end")).alias("s_ww"), F.sum(F.expr(f"{used}effort*effort end")).alias("s_ee")]
-    group = rows.groupBy(*keys, "cand")
-    got = group.agg(*firsts, *agg)
+            sums |= {"s_ew": f"{used}effort*w end", "s_ww": f"{used}w*w end", "s_ee": f"{used}effort*effort end"}
+    scales = [f"{s}_{at[p]}" for p in spec.scales for s in ("lo", "hi")]
+    carried = ["n", *(["y_n"] if mle else []), *scales, *place]
+    if joint_effort:
+        carried += ["var_y", "var_e", side("lo", "N"), side("hi", "N"), side("lo", "b"), side("hi", "b")]
+    got = rows.groupBy(*keys, "cand").agg(*(F.max(c).alias(c) for c in dict.fromkeys(carried)), *(F.sum(F.expr(v)).alias(k) for k, v in sums.items()))
     extra = F.lit(0.0)
     if joint_effort:
-        n_at = spec.params.index("N")
-        got = got.withColumn("p_N", F.expr(f"least(greatest(s_ew/nullif(s_ww,0),lo[{n_at}]),hi[{n_at}])"))
-        got = got.withColumn("p_b", F.expr("p_b/p_N"))
-        got = got.where(F.expr(f"p_b between lo[{spec.params.index('b')}] and hi[{spec.params.index('b')}]"))
+        got = got.withColumn("p_N", F.expr(f"least(greatest(s_ew/nullif(s_ww,0),{side('lo', 'N')}),{side('hi', 'N')})"))
+        got = got.withColumn("p_b", F.expr("p_b/p_N")).where(F.expr(f"p_b between {side('lo', 'b')} and {side('hi', 'b')}"))
         extra = F.expr("coalesce(nullif(var_y,0),1)/coalesce(nullif(var_e,0),1)*(s_ee-2*p_N*s_ew+p_N*p_N*s_ww)")
-    solved = got.withColumn("s", F.explode(_solve(spec, mle)))
-    values = [F.col("s.x")[spec.scales.index(p)] if p in spec.scales else F.col(f"p_{p}") for p in spec.params]
-    loss = F.col("s.loss") + extra
-    solved = solved.withColumns({"params": F.array(*values), "loss": loss}).where("loss is not null and not isnan(loss)")
-    return solved.groupBy(*keys).agg(*(F.min(c).alias(c) for c in carried), F.min(F.struct("loss", "cand", "params")).alias("best"))
+    searched = [f"p_{p}" for p in spec.searched]
+    solved = got.withColumn("s", _solve(spec, mle)).select(*keys, "cand", "n", *searched, (F.col("s.loss") + extra).alias("loss"), *(F.col(f"s.x{i}").alias(f"x{i}") for i in range(len(spec.scales))))
+    solved = solved.where("loss is not null and not isnan(loss)")
+    # equal losses go to the least candidate: one part in 2 ** 50 a candidate sets them apart
+    order = F.col("loss") + F.abs("loss") * F.col("cand") * F.lit(2.0**-50) + F.col("cand") * F.lit(1e-290)
+    least = solved.withColumn("_order", order).groupBy(*keys).agg(F.max("n").alias("n"), *(F.min_by(c, "_order").alias(c) for c in ("loss", "cand", *searched, *(f"x{i}" for i in range(len(spec.scales))))))
+    params = F.array(*(F.col(f"x{spec.scales.index(p)}") if p in spec.scales else F.col(f"p_{p}") for p in spec.params))
+    return least.select(*keys, "n", F.struct("loss", "cand", params.alias("params")).alias("best"))
 
 
 def _prepared(cum: DataFrame, mle: bool, keys: list[str]) -> DataFrame:
@@ -156,21 +170,23 @@ def _prepared(cum: DataFrame, mle: bool, keys: list[str]) -> DataFrame:
 def fit_profile(cum: DataFrame, spec: ModelSpec | str, units: DataFrame | None = None, loss: str = "sse", rounds: int = 0, by: tuple[str, ...] = (), boxes: DataFrame | None = None) -> DataFrame:
     """(series_id, by..., model_id, params, loss): the best candidate of each series (E9), after ``rounds`` zooms.
 
-    loss "sse" (removal models: both series; effort models: the effort too, E2, E3) or "mle" (daily Poisson counts). ``by`` adds keys such as a
-    replicate or a start. Series without a candidate of finite loss have no row. Ties go to the least candidate. Broadcast are the candidates
+    loss "sse" (removal models: both series; effort models: the effort too, E2, E3) or "mle" (daily Poisson counts; an error for models of two scales or
+    two series). ``by`` adds keys such as a replicate or a start. Series without a candidate of finite loss have no row. Ties go to the least candidate. Broadcast are the candidates
     only, whose number does not depend on the data. Zooms only shrink boxes, so the loss never grows with them.
     """
     spec = MODELS[spec] if isinstance(spec, str) else spec
-    mle, keys = loss == "mle" and not spec.pair and spec.effort is None, ["series_id", *by]
+    mle, keys = loss == "mle", ["series_id", *by]
+    if mle and (spec.pair or spec.effort is not None or spec.corrected):
+        raise ValueError(f"{spec.model_id}: likelihood fits are of models with one scale and one series; use poisson_loglik to score others")
     spark = cum.sparkSession
     dims = len(spec.searched) - (spec.effort is not None)
     if units is None:
         units = grid(spark, dims, 400 if dims == 1 else None) if dims <= 2 else latin_hypercube(spark, dims, 600)
     obs = _prepared(cum, mle, keys)
     if boxes is None:
-        boxes = param_bounds(series_stats(cum), spec) if not by else param_bounds(series_stats(cum), spec).join(cum.select(*keys).distinct(), "series_id")
-    boxes = boxes.select(*keys, "lo", "hi", "n", "E", "y_n", "syy", "var_y", "var_e")
-    found = _search(obs, spec, boxes, units, mle, keys, False)
+        boxes = param_bounds(series_stats(cum, keys), spec)
+    boxes = boxes.select(*keys, "lo", "hi", *_STATS)
+    found = _search(obs, spec, boxes, units, mle, keys)
     for k in range(rounds):
         small = latin_hypercube(spark, dims, 60, seed=k + 2) if dims > 1 else grid(spark, 1, 20)
         share = 0.35 * 0.4**k if dims > 1 else 1.0 / 400 * 0.1**k * 1.5
@@ -179,10 +195,9 @@ def fit_profile(cum: DataFrame, spec: ModelSpec | str, units: DataFrame | None =
             F.arrays_zip(F.col("best.params").alias("x"), F.col("lo").alias("lo"), F.col("hi").alias("hi")),
             lambda z, i: F.when(i.isin(free), F.greatest(z["lo"], z["x"] - share * (z["hi"] - z["lo"])) if side == "lo" else F.least(z["hi"], z["x"] + share * (z["hi"] - z["lo"]))).otherwise(z[side]),
         )
-        last = found.select(*keys, narrow("lo").alias("lo"), narrow("hi").alias("hi"), "n", "E", "y_n", "syy", "var_y", "var_e", F.col("best").alias("before"))
-        again = _search(obs, spec, last, small, mle, keys, False)
-        better = F.when(F.col("best.loss") < F.col("before.loss"), F.col("best")).otherwise(F.col("before"))
-        found = again.withColumn("best", better).drop("before")
+        boxes = _same(boxes, found.select(*keys, "best"), keys).withColumns({"_lo": narrow("lo"), "_hi": narrow("hi")}).drop("lo", "hi", "best").withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
+        again = _same(found.withColumnRenamed("best", "before"), _search(obs, spec, boxes, small, mle, keys).drop("n"), keys, "left")
+        found = again.withColumn("best", F.when(F.col("best.loss") < F.col("before.loss"), F.col("best")).otherwise(F.col("before"))).drop("before")
     return found.select(*keys, F.lit(spec.model_id).alias("model_id"), F.col("best.params").alias("params"), F.col("best.loss").alias("loss"))
 
 

@@ -1,7 +1,8 @@
 """Observation tables made from the given tables, and the same in SQL.
 
-Series are the users of ``events`` by user_id modulo 10; planned, actual, found and fixed count views, clicks, errors and purchases. The counts are
-flat, so errors and purchases are thinned by a portable uniform to give each shape of growth.
+Series are teams of users of ``events`` (15 by default, by user_id), so their number grows with the table; planned, actual, found and fixed
+count views, clicks, errors and purchases, all of them. These counts are flat. To exercise growth curves, found and fixed can be scaled by day: the count
+times the shape's share on that day, rounded (fixed: 0.8 of it).
 """
 
 from __future__ import annotations
@@ -9,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.special import uniform
 from ..operators.series import cumulative
 from ..sources.observations import daily_counts
 
-#: Share of events kept on day t.
+#: Scale of day t's counts.
 SHAPES = {
     "flat": "1.0",
     "growth": "exp(-0.08*(t-1))",
@@ -22,17 +22,19 @@ SHAPES = {
 }
 
 
-def obs(spark: SparkSession, sf_dir: str, shape: str = "growth", series: int = 10, axis: str = "calendar") -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    events = events.withColumn("u", uniform(F.col("event_id"), F.lit("thin"))).withColumn("t", (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).cast("double"))
+def obs(spark: SparkSession, sf_dir: str, shape: str = "growth", team: int = 15, axis: str = "calendar") -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "user_id", "event_type")
+    kinds = {k: F.col("event_type") == v for k, v in (("planned", "view"), ("actual", "click"), ("found", "error"), ("fixed", "purchase"))}
+    daily = daily_counts(events, F.floor(F.col("user_id") / team), kinds, axis=axis)
+    if shape == "flat":
+        return daily
     share = F.expr(SHAPES[shape])
-    is_ = lambda k: F.col("event_type") == k
-    kinds = {"planned": is_("view"), "actual": is_("click"), "found": is_("error") & (F.col("u") < share), "fixed": is_("purchase") & (F.col("u") < 0.8 * share)}
-    return daily_counts(events, F.pmod(F.col("user_id"), F.lit(series)), kinds, axis=axis)
+    scaled = daily.withColumn("t", (F.datediff("day", F.lit("2024-01-01").cast("date")) + 1).cast("double"))
+    return scaled.withColumns({"found": F.round(F.col("found") * share), "fixed": F.round(0.8 * F.col("fixed") * share)}).drop("t")
 
 
-def cum(spark: SparkSession, sf_dir: str, shape: str = "growth", series: int = 10) -> DataFrame:
-    return cumulative(obs(spark, sf_dir, shape, series))
+def cum(spark: SparkSession, sf_dir: str, shape: str = "growth", team: int = 15) -> DataFrame:
+    return cumulative(obs(spark, sf_dir, shape, team))
 
 
 def series_table(observations: DataFrame) -> DataFrame:
@@ -40,21 +42,19 @@ def series_table(observations: DataFrame) -> DataFrame:
     return observations.groupBy("series_id").agg((2 * F.sum("planned")).cast("int").alias("total_cases"), F.min("day").alias("start_date"))
 
 
-def base_sql(shape: str = "growth", series: int = 10) -> str:
+def base_sql(shape: str = "growth", team: int = 15) -> str:
     """CTEs ev, daily, obs, idx, totals, cum, series."""
+    found, fixed = ("found", "fixed") if shape == "flat" else (f"round(found * {SHAPES[shape]})", f"round(0.8 * fixed * {SHAPES[shape]})")
     return f"""
-ev as (
-  select cast(user_id % {series} as varchar) as series_id, cast(ts as date) as day, event_type,
-    cast(('0x' || substr(md5(concat_ws('|', cast(event_id as varchar), 'thin')), 1, 8)) as ubigint)::double / 4294967296.0 as u,
-    cast(date_diff('day', date '2024-01-01', cast(ts as date)) + 1 as double) as t
-  from events),
-daily as (
-  select series_id, day,
+ev as (select cast(user_id // {team} as varchar) as series_id, cast(ts as date) as day, event_type from events),
+counted as (
+  select series_id, day, cast(date_diff('day', date '2024-01-01', day) + 1 as double) as t,
     cast(count(*) filter (where event_type = 'view') as double) as planned,
     cast(count(*) filter (where event_type = 'click') as double) as actual,
-    cast(count(*) filter (where event_type = 'error' and u < {SHAPES[shape]}) as double) as found,
-    cast(count(*) filter (where event_type = 'purchase' and u < 0.8 * {SHAPES[shape]}) as double) as fixed
+    cast(count(*) filter (where event_type = 'error') as double) as found,
+    cast(count(*) filter (where event_type = 'purchase') as double) as fixed
   from ev group by 1, 2),
+daily as (select series_id, day, planned, actual, {found} as found, {fixed} as fixed from counted),
 spine as (select series_id, cast(unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day)) as date) as day from daily group by 1),
 obs as (
   select s.series_id, s.day, coalesce(planned, 0) as planned, coalesce(actual, 0) as actual, coalesce(found, 0) as found, coalesce(fixed, 0) as fixed

@@ -83,14 +83,14 @@ scored as (select *, case when n > k + 1 then aic + 12.0 / (n - 3) end as aicc,
 # --- sources and series -------------------------------------------------------------------------------------------------
 
 
-@query(f"with {base_sql()} select series_id, day, planned, actual, found, fixed from obs")
+@query(f"with {base_sql('flat')} select series_id, day, planned, actual, found, fixed from obs")
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return obs(spark, sf_dir)
+    return obs(spark, sf_dir, "flat")
 
 
-@query(f"with {base_sql('flat', 500)} select series_id, day, planned, actual, found, fixed from daily")
+@query(f"with {base_sql('flat', 1)} select series_id, day, planned, actual, found, fixed from daily")
 def daily_counts_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return obs(spark, sf_dir, "flat", 500, axis="active")
+    return obs(spark, sf_dir, "flat", 1, axis="active")
 
 
 @query("""select l_returnflag || '-' || l_linestatus as series_id, cast(l_shipdate as date) as day, cast(sum(l_quantity) as double) as planned, cast(0 as double) as actual, cast(count(*) as double) as found, cast(0 as double) as fixed
@@ -100,49 +100,47 @@ def clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.clean_counts(raw.agg(F.sum("l_quantity").cast("string").alias("planned"), F.lit("").alias("actual"), F.count("*").alias("found"), F.lit("n/a").alias("fixed")))
 
 
-_WIDE_DAYS = 30
-
-
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = series.time_index(obs(spark, sf_dir, series=20)).where(f"t <= {_WIDE_DAYS}")
+    o = series.time_index(obs(spark, sf_dir, "flat", 7))
+    days = int(o.agg(F.max("t")).first()[0] or 1)
     cells = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).cast("string").alias("v")) for m, c in (("date", "day"), *((k, k) for k in observations.COUNTS)))))
     long = o.select("series_id", "t", cells.alias("x")).select("series_id", "x.metric", F.concat(F.lit("d"), F.col("t").cast("int")).alias("slot"), "x.v")
     # one series has no date on its eleventh day
     gap = long.withColumn("v", F.when((F.col("series_id") == "3") & (F.col("slot") == "d11") & (F.col("metric") == "date"), None).otherwise(F.col("v")))
-    return gap.groupBy("series_id", "metric").pivot("slot", [f"d{i}" for i in range(1, _WIDE_DAYS + 1)]).agg(F.first("v"))
+    return gap.groupBy("series_id", "metric").pivot("slot", [f"d{i}" for i in range(1, days + 1)]).agg(F.first("v"))
 
 
-@query(f"with {base_sql(series=20)} select series_id, day, planned, actual, found, fixed from idx where t <= {_WIDE_DAYS} and (series_id <> '3' or t < 11)")
+@query(f"with {base_sql('flat', 7)} select series_id, day, planned, actual, found, fixed from idx where (series_id <> '3' or t < 11)")
 def unpivot_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.unpivot_tracker(_wide(spark, sf_dir))
 
 
-@query(f"with {base_sql()} select series_id, cast(case when t % 3 = 0 then start_date + cast(t - 1 as integer) else day end as date) as day, found from idx join series using (series_id)")
+@query(f"with {base_sql('flat')} select series_id, cast(case when t % 3 = 0 then start_date + cast(t - 1 as integer) else day end as date) as day, found from idx join series using (series_id)")
 def fill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = obs(spark, sf_dir)
+    o = obs(spark, sf_dir, "flat")
     holes = series.time_index(o).withColumn("i", F.col("t").cast("int") - 1).withColumn("day", F.when(F.col("t") % 3 != 0, F.col("day")))
     return observations.fill_dates(holes, series_table(o)).select("series_id", "day", "found")
 
 
-@query(f"with {base_sql('flat', 500)} select series_id, count(*) as n_days from daily group by 1 having count(*) < 14")
+@query(f"with {base_sql('flat', 1)} select series_id, count(*) as n_days from daily group by 1 having count(*) < 26")
 def require_min_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations.require_min_days(obs(spark, sf_dir, "flat", 500, axis="active"), 14)[1]
+    return observations.require_min_days(obs(spark, sf_dir, "flat", 1, axis="active"), 26)[1]
 
 
-@query(f"with {base_sql()} select series_id, day, t, cum_planned, cum_actual, cum_found, cum_fixed, remaining from totals")
+@query(f"with {base_sql('flat')} select series_id, day, t, cum_planned, cum_actual, cum_found, cum_fixed, remaining from totals")
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.running_totals(obs(spark, sf_dir))
+    return series.running_totals(obs(spark, sf_dir, "flat"))
 
 
-@query(f"with {base_sql()} select series_id, t, {q('100 * cum_planned / total_cases as planned_pct; 100 * cum_actual / total_cases as actual_pct')} from totals join series using (series_id)")
+@query(f"with {base_sql('flat')} select series_id, t, {q('100 * cum_planned / total_cases as planned_pct; 100 * cum_actual / total_cases as actual_pct')} from totals join series using (series_id)")
 def progress_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = obs(spark, sf_dir)
+    o = obs(spark, sf_dir, "flat")
     return rounded(series.progress_pct(series.running_totals(o), series_table(o)).select("series_id", "t", "planned_pct", "actual_pct"))
 
 
-@query(f"with {base_sql()} select series_id, day, t, cum_planned, cum_actual, cum_found, cum_fixed, remaining from totals qualify row_number() over (partition by series_id order by t desc) = 1")
+@query(f"with {base_sql('flat')} select series_id, day, t, cum_planned, cum_actual, cum_found, cum_fixed, remaining from totals qualify row_number() over (partition by series_id order by t desc) = 1")
 def current_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.current_status(series.running_totals(obs(spark, sf_dir)))
+    return series.current_status(series.running_totals(obs(spark, sf_dir, "flat")))
 
 
 @query(f"with {base_sql()} select series_id, t, y, y - coalesce(lag(y) over (partition by series_id order by t), 0) as dy from cum")
@@ -182,12 +180,12 @@ def param_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.select("series_id", *(F.col(s)[i].alias(f"{s}_{p}") for i, p in enumerate("abc") for s in ("lo", "hi"))))
 
 
-@query(f"""with {base_sql()} select series_id, chart, line, t, value from (
+@query(f"""with {base_sql('flat')} select series_id, chart, line, t, value from (
   select series_id, t, unnest(['burn_down', 'burn_down', 'bugs', 'bugs', 'remaining', 'combined', 'combined', 'combined', 'combined']) as chart,
     unnest(['cum_planned', 'cum_actual', 'cum_found', 'cum_fixed', 'remaining', 'cum_actual', 'cum_found', 'cum_fixed', 'remaining']) as line,
     unnest([cum_planned, cum_actual, cum_found, cum_fixed, remaining, cum_actual, cum_found, cum_fixed, remaining]) as value from totals)""")
 def chart_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict.chart_tables(series.running_totals(obs(spark, sf_dir)))
+    return predict.chart_tables(series.running_totals(obs(spark, sf_dir, "flat")))
 
 
 # --- curves and fits ----------------------------------------------------------------------------------------------------
@@ -327,7 +325,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fit_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.fit_zoom(cum(spark, sf_dir, "sshape"), "logistic", rounds=3)
+    return fit.fit_zoom(cum(spark, sf_dir, "sshape"), "logistic")
 
 
 @query()
@@ -522,7 +520,7 @@ def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f, s = _scored(spark, sf_dir)
     status = series.current_status(series.running_totals(obs(spark, sf_dir)))
     sens = uncertainty.sensitivity(c, f, "exponential")
-    return score.status_report(status, score.best_model(s), predict.milestones(c, f, MODELS), score.warnings(s, bugs=series.shape(c)), MODELS, sens, changepoint.profile_tau(c, units=fit.grid(spark, 2, 6)))
+    return score.status_report(status, score.best_model(s), predict.milestones(c, f, MODELS), score.warnings(s, bugs=series.shape(c)), MODELS, sens, changepoint.profile_tau(c))
 
 
 @query(f"""{_MS} select series_id, {q('day as day95')}, {q('total')}, case when total <= 0 then null when y_n / total >= 0.99 then 'ready' when y_n / total >= 0.95 then 'beta' when y_n / total >= 0.9 then 'converging' else 'open' end as grade from ms where ratio = 0.95""")
@@ -556,7 +554,7 @@ def scan_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(changepoint.scan_tau(c, _points(c, ["exp_change_point"]), "exp_change_point"))
 
 
-_GRID = 8
+_GRID = 16
 _FIRST, _SECOND = curves.bind(_CP.first, {}), curves.bind(_CP.second, {})
 _PROFILE = f"""with {base_sql('change')},
 grid as (select i, j, 0.001 + 0.999 * i / {_GRID}.0 as b1, 0.001 + 0.999 * j / {_GRID}.0 as b2 from (select unnest(range(1, {_GRID + 1})) as i), (select unnest(range(1, {_GRID + 1})) as j)),
@@ -573,14 +571,14 @@ profile as (select series_id, tau, loss, n * ln(loss / n) + 10 + 60.0 / (n - 6)
 
 @query(f"{_PROFILE} select series_id, cast(tau as double) as tau, {q('loss; aicc', 5)}, row_number() over (partition by series_id order by aicc, tau) = 1 as best from profile")
 def profile_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = changepoint.profile_tau(cum(spark, sf_dir, "change"), units=fit.grid(spark, 2, _GRID))
+    p = changepoint.profile_tau(cum(spark, sf_dir, "change"))
     return rounded(p.select("series_id", "tau", "loss", "aicc", "best"), 5)
 
 
 @query(f"""{_PROFILE}, v as (select series_id, list_sort(list(aicc)) as v from profile group by 1), gaps as (select series_id, v[len(v) // 2 + 1] - v[1] as gap from v)
 select series_id, {q('gap', 5)}, case when gap > 10 then 'high' when gap > 4 then 'medium' when gap > 2 then 'low' else 'very_low' end as grade from gaps""")
 def tau_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(changepoint.tau_reliability(changepoint.profile_tau(cum(spark, sf_dir, "change"), units=fit.grid(spark, 2, _GRID))), 5)
+    return rounded(changepoint.tau_reliability(changepoint.profile_tau(cum(spark, sf_dir, "change"))), 5)
 
 
 @query()
@@ -590,7 +588,7 @@ def fit_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def change_point_lrt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changepoint.change_point_lrt(cum(spark, sf_dir, "change"), replicates=20)
+    return changepoint.change_point_lrt(cum(spark, sf_dir, "change"))
 
 
 # --- uncertainty --------------------------------------------------------------------------------------------------------
@@ -661,7 +659,7 @@ def confidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def prediction_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f = fits_of(spark, sf_dir)
-    return uncertainty.prediction_band(c, f, "exponential", 200)
+    return uncertainty.prediction_band(c, f, "exponential")
 
 
 _H = "(select f.series_id, params[1] as a, params[2] as b, t, y from fits f join cum c using (series_id) where model_id = 'exponential')"
