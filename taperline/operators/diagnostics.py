@@ -261,11 +261,12 @@ def goodness_of_fit(cum: DataFrame, fits: DataFrame, models: list[str], k: int)
     return out.withColumns({"adequate": ok, "label": label})
 
 
-def diagnostic_score(res: DataFrame) -> DataFrame:
-    """(series_id, model_id, score, grade, codes): 100 less what patterns, outliers, skew, tails, autocorrelation and non-normality cost."""
-    n_out = outliers(res).groupBy(*KEY).agg(F.count("*").alias("n_out"))
-    parts = moments(res).join(runs_test(res).select(*KEY, "pattern"), KEY).join(durbin_watson(res).select(*KEY, "dw"), KEY).join(n_out, KEY, "left")
-    parts = parts.join(ljung_box(acf(res)).select(*KEY, F.col("p_value").alias("p_lb")), KEY, "left").join(normality(res), KEY, "left")
+def diagnostic_score(res: DataFrame, column: str = "pearson") -> DataFrame:
+    """(series_id, model_id, score, grade, codes): 100 less what patterns, outliers, skew, tails, autocorrelation and non-normality cost, all
+    of the same residuals (J20)."""
+    n_out = outliers(res, column).groupBy(*KEY).agg(F.count("*").alias("n_out"))
+    parts = moments(res, column).join(runs_test(res, column).select(*KEY, "pattern"), KEY).join(durbin_watson(res, column).select(*KEY, "dw"), KEY).join(n_out, KEY, "left")
+    parts = parts.join(ljung_box(acf(res, column)).select(*KEY, F.col("p_value").alias("p_lb")), KEY, "left").join(normality(res, column), KEY, "left")
     share = F.coalesce("n_out", F.lit(0)) / F.col("n")
     dw, lb = F.col("dw"), F.col("p_lb")
     auto = (dw < 1.5) | (dw > 2.5) | F.coalesce(lb < 0.05, F.lit(False))

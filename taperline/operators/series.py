@@ -29,15 +29,20 @@ def running_totals(obs: DataFrame) -> DataFrame:
     return time_index(obs).select("series_id", "day", "t", *sums).withColumn("remaining", F.col("cum_found") - F.col("cum_fixed"))
 
 
+#: What a null series_id is called in cum, so that it stays a series of its own in every join from there on.
+NO_SERIES = "(none)"
+
+
 def cumulative(obs: DataFrame) -> DataFrame:
-    """cum of obs (B2)."""
-    return running_totals(obs).select("series_id", "t", F.col("cum_found").alias("y"), F.col("cum_fixed").alias("y_fixed"), F.col("cum_actual").alias("effort"))
+    """cum of obs (B2); a null series_id becomes NO_SERIES."""
+    return running_totals(obs).select(F.coalesce("series_id", F.lit(NO_SERIES)).alias("series_id"), "t", F.col("cum_found").alias("y"), F.col("cum_fixed").alias("y_fixed"), F.col("cum_actual").alias("effort"))
 
 
 def progress_pct(totals: DataFrame, series: DataFrame) -> DataFrame:
     """totals with planned_pct and actual_pct of the planned number of cases; null where that isn't over 0."""
     pct = lambda c: F.when(F.col("total_cases") > 0, 100 * F.col(c) / F.col("total_cases"))
-    return totals.join(series.select("series_id", "total_cases"), "series_id", "left").withColumns({"planned_pct": pct("cum_planned"), "actual_pct": pct("cum_actual")})
+    cases = series.select(F.col("series_id").alias("_series"), "total_cases")
+    return totals.join(cases, totals["series_id"].eqNullSafe(cases["_series"]), "left").drop("_series").withColumns({"planned_pct": pct("cum_planned"), "actual_pct": pct("cum_actual")})
 
 
 def current_status(totals: DataFrame) -> DataFrame:

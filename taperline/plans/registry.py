@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..operators import changepoint, curves, diagnostics, fit, predict, score, series, uncertainty
 from ..sources import observations
+from . import formulas
 from .fixtures import base_sql, cum, obs, series_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 MODELS = ["exponential", "delayed_s"]
+#: What the selection queries choose among.
+CATALOG = curves.catalog_ids()
 SIX = ["exponential", "delayed_s", "gompertz", "shifted_gompertz", "ohba_weibull", "logistic"]
 DIGITS = 6
 
@@ -43,41 +46,27 @@ def q(names: str, digits: int = DIGITS) -> str:
     return ", ".join(out)
 
 
-def _case(what: str, models: list[str], **more: str) -> str:
-    return "case model_id " + " ".join(f"when '{m}' then {curves.by_index(curves.MODELS[m], getattr(curves.MODELS[m], what), base=1, **more)}" for m in models) + " end"
+_case = formulas.case
 
 
-def fit_sql(model: str, shape_ctes: str = "", steps: int = 400, source: str = "cum") -> str:
-    """CTE fit_<model>: the grid search of a one-dimensional model."""
-    spec = curves.MODELS[model]
-    g = curves.bind(spec.mean, {"a": "1.0"})
-    return f"""
-{shape_ctes}sums_{model} as (
-  select series_id, i, b, sum(y * g) as syg, sum(g * g) as sgg, sum(y * y) as syy
-  from (select series_id, i, b, y, {g} as g from (select c.series_id, c.t, c.y, u.i, 0.001 + (1 - 0.001) * (u.i / {steps}.0) as b from {source} c cross join (select unnest(range(1, {steps + 1})) as i) u))
-  group by 1, 2, 3),
-best_{model} as (
-  select series_id, '{model}' as model_id, arg_min([a, b], loss) as params, min(loss) as loss
-  from (select *, syy - 2 * a * syg + a * a * sgg as loss from (select s.*, least(greatest(syg / sgg, "Y"), 5 * "Y") as a from sums_{model} s join stats using (series_id)))
-  group by 1)"""
+def fits_sql(shape: str = "growth", models: list[str] = MODELS, source: str = "cum", stats: str = "stats", base: str = "") -> str:
+    """CTEs to fits: the models' searches on a shape."""
+    each = ",".join(formulas.search(m, source, stats) for m in models)
+    return f"with {base or base_sql(shape)},{each},\nfits as ({' union all '.join(f'select * from best_{m}' for m in models)})"
 
 
-def fits_sql(shape: str = "growth") -> str:
-    """CTEs to fits: both one-dimensional models on a shape."""
-    return f"with {base_sql(shape)},{fit_sql('exponential')},{fit_sql('delayed_s')},\nfits as (select * from best_exponential union all select * from best_delayed_s)"
-
-
-def fits_of(spark: SparkSession, sf_dir: str, shape: str = "growth") -> tuple[DataFrame, DataFrame]:
+def fits_of(spark: SparkSession, sf_dir: str, shape: str = "growth", models: list[str] = MODELS) -> tuple[DataFrame, DataFrame]:
     c = cum(spark, sf_dir, shape)
-    return c, fit.fit_all(c, MODELS).select("series_id", "model_id", "params", "loss")
+    return c, fit.fit_all(c, models).select("series_id", "model_id", "params", "loss")
 
 
 MEAN, TOTAL = _case("mean", MODELS), _case("total", MODELS)
-PRED = f"{fits_sql()},\npred as (select f.series_id, f.model_id, params, c.t, c.y, c.y_fixed, {MEAN} as m from fits f join cum c using (series_id))"
+_K = "case model_id " + " ".join(f"when '{m}' then {len(formulas.names(m))}" for m in CATALOG) + " end"
+PRED = f"{fits_sql(models=CATALOG)},\npred as (select f.series_id, f.model_id, params, c.t, c.y, c.y_fixed, {_case('mean', CATALOG)} as m from fits f join cum c using (series_id))"
 SCORED = f"""{PRED},
 sse as (select series_id, model_id, count(*) as n, sum(power(y - m, 2)) as sse, sum(y * y) - sum(y) * sum(y) / count(*) as sst from pred group by 1, 2),
-scored0 as (select f.series_id, f.model_id, params, loss, n, 2 as k, sse, case when sst > 0 then 1 - sse / sst else 0 end as r2, sse / n as mse, n * ln(sse / n) + 4 as aic from fits f join sse using (series_id, model_id)),
-scored as (select *, case when n > k + 1 then aic + 12.0 / (n - 3) end as aicc, case when n <= k + 1 then 'Invalid' when n / k < 40 then 'AICc' else 'AIC' end as criterion from scored0)"""
+scored0 as (select f.series_id, f.model_id, params, loss, n, {_K} as k, sse, case when sst > 0 then 1 - sse / sst else 0 end as r2, sse / n as mse, n * ln(sse / n) + 2 * ({_K}) as aic from fits f join sse using (series_id, model_id)),
+scored as (select *, case when n > k + 1 then aic + 2.0 * k * (k + 1) / (n - k - 1) end as aicc, case when n <= k + 1 then 'Invalid' when n / k < 40 then 'AICc' else 'AIC' end as criterion from scored0)"""
 
 
 # --- sources and series -------------------------------------------------------------------------------------------------
@@ -197,8 +186,12 @@ POINT = {
 }
 
 
-def point_sql(model: str, one_based: bool = True) -> str:
-    return "[" + ", ".join(f"cast({POINT[p]} as double)" for p in curves.MODELS[model].params) + "]"
+#: Curves that would be flat after a few days at the common values.
+_OWN = {("gompertz", "b"): "2.5", ("gompertz", "c"): "0.12", ("shifted_gompertz", "b"): "2.5", ("shifted_gompertz", "c"): "0.12"}
+
+
+def point_sql(model: str) -> str:
+    return "[" + ", ".join(f"cast({_OWN.get((model, p), POINT[p])} as double)" for p in formulas.names(model)) + "]"
 
 
 EVERY = sorted(m for m in curves.MODELS)
@@ -220,10 +213,6 @@ def evaluate_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.evaluate(_points(c, EVERY), c))
 
 
-def _effort_sql(k: int) -> str:
-    return "case effort " + " ".join(f"when '{e}' then {curves.bind(v[k], {p: f'params[{i + 1}]' for i, p in enumerate(['N', *v[2]])})}" for e, v in curves.EFFORTS.items()) + " end"
-
-
 def _effort_points(sql: bool) -> list[tuple[str, str]]:
     return [(e, ("[{}]" if sql else "array({})").format(", ".join(f"cast({POINT[p]} as double)" for p in ["N", *v[2]]))) for e, v in curves.EFFORTS.items()]
 
@@ -231,7 +220,7 @@ def _effort_points(sql: bool) -> list[tuple[str, str]]:
 _EFFORT_POINTS = " union all ".join(f"select series_id, '{e}' as effort, {p.replace('*E', '*' + chr(34) + 'E' + chr(34))} as params from stats" for e, p in _effort_points(True))
 
 
-@query(f"with {base_sql()}, ep as ({_EFFORT_POINTS}) select ep.series_id, ep.effort, t, {q(_effort_sql(0) + ' as w')}, {q(_effort_sql(1) + ' as rate')} from (select series_id, effort, params from ep) ep join (select series_id, t from cum) c using (series_id)")
+@query(f"with {base_sql()}, ep as ({_EFFORT_POINTS}) select ep.series_id, ep.effort, t, {q(formulas.effort_case(1) + ' as w')}, {q(formulas.effort_case(2) + ' as rate')} from (select series_id, effort, params from ep) ep join (select series_id, t from cum) c using (series_id)")
 def effort_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cum(spark, sf_dir)
     rows = F.explode(F.array(*(F.struct(F.lit(e).alias("effort"), F.expr(p).alias("params")) for e, p in _effort_points(False))))
@@ -256,10 +245,20 @@ def parameter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("series_id", "model_id", "x.name", special.parameter_label(F.col("x.name"), F.col("x.value")).alias("label"))
 
 
-@query()
+def _moved(da: int, db: int) -> str:
+    now = f"((a + {da} * ha) * (1 - exp(-(b + {db} * hb) * t)))"
+    was = f"((a + {da} * ha) * (1 - exp(-(b + {db} * hb) * t0)))"
+    return f"sum(greatest({now} - {was}, 1e-10) - dy * ln(greatest({now} - {was}, 1e-10)))"
+
+
+@query(f"""{fits_sql()}, d as (select f.series_id, params[1] as a, params[2] as b, greatest(1e-4, params[1] * 1e-4) as ha, greatest(1e-4, params[2] * 1e-4) as hb, t, y - coalesce(lag(y) over w, 0) as dy, coalesce(lag(t) over w, 0) as t0
+  from fits f join cum c using (series_id) where model_id = 'exponential' window w as (partition by f.series_id order by t)),
+h as (select series_id, ({_moved(2, 0)} - 2 * {_moved(0, 0)} + {_moved(-2, 0)}) / (4 * any_value(ha * ha)) as aa, ({_moved(1, 1)} - {_moved(1, -1)} - {_moved(-1, 1)} + {_moved(-1, -1)}) / (4 * any_value(ha * hb)) as ab,
+  ({_moved(0, 2)} - 2 * {_moved(0, 0)} + {_moved(0, -2)}) / (4 * any_value(hb * hb)) as bb from d group by 1)
+select series_id, cast(i as integer) as i, cast(j as integer) as j, {q('case when i = 0 and j = 0 then aa when i = 1 and j = 1 then bb else ab end as value', 2)} from h cross join (values (0), (1)) x(i) cross join (values (0), (1)) z(j)""")
 def hessians(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f = fits_of(spark, sf_dir)
-    return uncertainty.numeric_hessian(c, f, "exponential")
+    return rounded(uncertainty.numeric_hessian(c, f, "exponential"), 2)
 
 
 @query()
@@ -284,7 +283,13 @@ def asymptotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_points(cum(spark, sf_dir), EVERY).select("series_id", "model_id", curves.curve("total").alias("total")))
 
 
-_CATALOG = "select * from (values " + ", ".join(f"('{m}', '{curves.MODELS[m].category}', {curves.MODELS[m].k}, '{','.join(curves.MODELS[m].params)}')" for m in curves.catalog_ids(change_point=True, removal=True)) + ") v(model_id, category, k, params)"
+#: The catalogue's categories.
+_CATEGORIES = {
+    "basic": "exponential delayed_s gompertz shifted_gompertz ohba_weibull logistic", "imperfect": "pham_imperfect weibull_imperfect",
+    "change_point": "exp_change_point delayed_s_change_point imperfect_change_point multi_change_point effective_time_change_point",
+    "removal": "constant_removal learning_removal error_generation removal_generation reduction_factor integrated",
+}
+_CATALOG = "select * from (values " + ", ".join(f"('{m}', '{c}', {len(formulas.names(m))}, '{','.join(formulas.names(m))}')" for c, ms in _CATEGORIES.items() for m in ms.split()) + ") v(model_id, category, k, params)"
 
 
 @query(f"with {base_sql()}, c as ({_CATALOG}) select series_id, model_id, category, cast(k as integer) as k, params from stats cross join c")
@@ -392,24 +397,33 @@ def gaussian_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit.sse(c, _points(c, SIX), SIX).select("series_id", "model_id", fit.gaussian_loglik(F.col("n"), F.col("sse")).alias("loglik")))
 
 
-@query(f"""{fits_sql()}, b as (select f.series_id, f.model_id, params, "Y" from fits f join stats using (series_id) where model_id = 'exponential')
-select series_id, model_id, concat_ws(',', case when least(params[1] - "Y", 5 * "Y" - params[1]) < 0.004 * "Y" then 'a' end, case when least(params[2] - 0.001, 1 - params[2]) < 0.000999 then 'b' end) as at_bound from b""")
+@query(f"""{fits_sql('flat')}, b as (select f.series_id, f.model_id, params[1] as a, params[2] as b, "Y" as top, syy from fits f join stats using (series_id) where model_id = 'exponential'),
+moved as (select b.series_id, sum(power(y - 1.0001 * a * (1 - exp(-b * t)), 2) - power(y - 0.9999 * a * (1 - exp(-b * t)), 2)) / 0.0002 as da, sum(power(y - a * (1 - exp(-1.0001 * b * t)), 2) - power(y - a * (1 - exp(-0.9999 * b * t)), 2)) / 0.0002 as db from b join cum c using (series_id) group by 1),
+g as (select b.*, sqrt(da * da + db * db) as gradient, concat_ws(',', case when least(a - top, 5 * top - a) < 0.004 * top then 'a' end, case when least(b - 0.001, 1 - b) < 0.000999 then 'b' end) as at_bound from b join moved using (series_id))
+select series_id, model_id, at_bound, {q('gradient / syy as gradient')}, case when gradient <= 0.05 * syy then (case when at_bound = '' then 'Good' else 'Acceptable' end) when at_bound = '' then 'Questionable' else 'Poor' end as grade from g""")
 def fit_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, f = fits_of(spark, sf_dir)
-    return fit.fit_quality(c, f, "exponential").select("series_id", "model_id", F.concat_ws(",", "at_bound").alias("at_bound"))
+    c, f = fits_of(spark, sf_dir, "flat")
+    made = fit.fit_quality(c, f, "exponential").join(fit.series_stats(c).select("series_id", "syy"), "series_id")
+    return rounded(made.select("series_id", "model_id", F.concat_ws(",", "at_bound").alias("at_bound"), (F.col("gradient") / F.col("syy")).alias("gradient"), "grade"))
 
 
-@query(f"with {base_sql()}, e as (select series_id, max(effort) as e, max(y_fixed) as f from cum group by 1) select series_id, model_id, case when model_id = 'effort_exponential_weibull' and not e > 0 then 'no_effort' when model_id = 'constant_removal' and not f > 0 then 'no_fixes' end as warning from e cross join (values ('effort_exponential_weibull'), ('constant_removal')) v(model_id)")
+#: Every third series has no effort, and every third no fixes.
+_HOLES = "select series_id, t, y, case when series_id::int % 3 = 1 then 0 else y_fixed end as y_fixed, case when series_id::int % 3 = 0 then 0 else effort end as effort from cum"
+
+
+@query(f"with {base_sql()}, holes as ({_HOLES}), e as (select series_id, max(effort) as e, max(y_fixed) as f from holes group by 1) select series_id, model_id, case when model_id = 'effort_exponential_weibull' and not e > 0 then 'no_effort' when model_id = 'constant_removal' and not f > 0 then 'no_fixes' end as warning, not (model_id = 'effort_exponential_weibull' and not e > 0) as success from e cross join (values ('effort_exponential_weibull'), ('constant_removal')) v(model_id)")
 def input_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.fit_all(cum(spark, sf_dir), ["effort_exponential_weibull", "constant_removal"]).select("series_id", "model_id", "warning")
+    third = F.col("series_id").cast("int") % 3
+    c = cum(spark, sf_dir).withColumns({"y_fixed": F.when(third == 1, 0.0).otherwise(F.col("y_fixed")), "effort": F.when(third == 0, 0.0).otherwise(F.col("effort"))})
+    return fit.fit_all(c, ["effort_exponential_weibull", "constant_removal"]).select("series_id", "model_id", "warning", "success")
 
 
 # --- scores and selection -----------------------------------------------------------------------------------------------
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c, f = fits_of(spark, sf_dir)
-    return c, f, score.score_fits(c, f, MODELS)
+    c, f = fits_of(spark, sf_dir, models=CATALOG)
+    return c, f, score.score_fits(c, f, CATALOG)
 
 
 @query(f"{SCORED} select series_id, model_id, n, {q('r2; mse; aic; aicc')}, criterion from scored")
@@ -429,17 +443,16 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(score.split_by_ratio(c, 0.8).select("series_id", "t", F.col("is_train").alias("in_ratio")), ["series_id", "t"])
 
 
-HELD = f"""with {base_sql()}, train as (select c.* from cum c join stats using (series_id) where t <= n - 5),
-tstats as (select series_id, greatest(max(y), 1.0) as "Y" from train group by 1),
-{fit_sql('exponential', source='train').replace('join stats', 'join tstats')},{fit_sql('delayed_s', source='train').replace('join stats', 'join tstats')},
-fits as (select * from best_exponential union all select * from best_delayed_s),
-test as (select f.series_id, f.model_id, c.t, c.y, {MEAN.replace('*t', '*c.t')} as m from fits f join cum c using (series_id) join (select series_id, n from stats) z using (series_id) where c.t > n - 5),
+_TRAIN = f"""{base_sql()}, train as (select c.* from cum c join stats using (series_id) where t <= n - 5),
+tstats as (select series_id, cast(count(*) as double) as n, greatest(max(y), 1.0) as "Y" from train group by 1)"""
+HELD = f"""{fits_sql(models=CATALOG, source='train', stats='tstats', base=_TRAIN)},
+test as (select f.series_id, f.model_id, c.t, c.y, {_case('mean', CATALOG, t='c.t')} as m from fits f join cum c using (series_id) join (select series_id, n from stats) z using (series_id) where c.t > n - 5),
 metrics as (select series_id, model_id, count(*) as n_test, avg(power(y - m, 2)) as mse, avg(abs(y - m)) as mae, avg(100 * abs((y - m) / y)) filter (where abs(y) >= 1e-6) as mape from test group by 1, 2)"""
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score.split_last_n(cum(spark, sf_dir), 5)
-    return score.holdout_metrics(s, fit.fit_all(s.where("is_train"), MODELS), MODELS)
+    return score.holdout_metrics(s, fit.fit_all(s.where("is_train"), CATALOG), CATALOG)
 
 
 @query(f"{HELD} select series_id, model_id, n_test, {q('mse; mae; mape')} from metrics")
@@ -465,14 +478,16 @@ def aic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 select series_id, t, {q('m; sqrt(greatest(0, mm - m * m)) as sd', 4)}, n_effective from s""")
 def average_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f, s = _scored(spark, sf_dir)
-    return rounded(score.average_predictions(curves.evaluate(f, c, MODELS), score.aic_weights(s)).select("series_id", "t", "m", "sd", "n_effective"), 4)
+    return rounded(score.average_predictions(curves.evaluate(f, c, CATALOG), score.aic_weights(s)).select("series_id", "t", "m", "sd", "n_effective"), 4)
 
 
-@query(f"""{SCORED}, w as (select s.*, y_last from scored s join (select series_id, arg_max(y, t) as y_last from cum group by 1) using (series_id))
-select series_id, model_id, concat_ws(',', case when n < 7 then 'few_days' end, case when n < 3 * k then 'few_days_for_parameters' end, case when y_last < 20 then 'few_bugs' end, case when r2 < 0.9 then 'low_r2' end) as warnings from w""")
+@query(f"""{SCORED}, h as (select * from ({HELD} select series_id, model_id, mape from metrics)), w as (select s.*, y_last, mape, avg(mape) over (partition by series_id) as mean_mape, min(mape) over (partition by series_id) as least_mape
+  from scored s join (select series_id, arg_max(y, t) as y_last from cum group by 1) using (series_id) left join h using (series_id, model_id))
+select series_id, model_id, concat_ws(',', case when n < 7 then 'few_days' end, case when n < 3 * k then 'few_days_for_parameters' end, case when y_last < 20 then 'few_bugs' end, case when mape > 100 then 'error_over_100' when mape > 50 then 'error_over_50' end,
+  case when mape > 1.5 * mean_mape and mape > 2 * least_mape then 'error_over_average' end, case when mape > 1.3 * least_mape then 'error_over_best' end, case when r2 < 0.9 then 'low_r2' end) as warnings from w""")
 def fit_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, _, s = _scored(spark, sf_dir)
-    return score.warnings(s, bugs=series.shape(c)).select("series_id", "model_id", F.concat_ws(",", "warnings").alias("warnings"))
+    return score.warnings(s, _held(spark, sf_dir), series.shape(c)).select("series_id", "model_id", F.concat_ws(",", "warnings").alias("warnings"))
 
 
 # --- prediction ---------------------------------------------------------------------------------------------------------
@@ -503,16 +518,40 @@ def milestones_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(predict.milestones(c, f.where("model_id = 'exponential'"), ["exponential"], closed=False).select("series_id", "ratio", "day"), 4)
 
 
-@query()
+_A, _B, _C = ("params[1]", "params[2]", "params[3]")
+#: The curves' inverses by hand; the delayed S-curve, which has none, by bisection.
+_INVERSE = {
+    "exponential": f"-ln(1 - target / {_A}) / {_B}", "gompertz": f"-ln(-ln(target / {_A}) / {_B}) / {_C}", "shifted_gompertz": f"-ln(-ln(target / {_A} + exp(-{_B})) / {_B}) / {_C}",
+    "ohba_weibull": f"pow(-ln(1 - target / {_A}) / {_B}, 1 / {_C})", "logistic": f"{_C} - ln({_A} / target - 1) / {_B}", "pham_imperfect": f"-ln(({_A} - target) / ({_A} + {_C} * target)) / {_B}",
+    "weibull_imperfect": f"pow(-ln(1 - target / ({_A} - params[4] * target)) / {_B}, 1 / {_C})",
+    "delayed_s": f"list_reduce(list_prepend({{'lo': 0.0::double, 'hi': 10000.0::double}}, list_transform(range(0, 80), lambda i: {{'lo': 0.0::double, 'hi': 0.0::double}})), lambda s, x: case when {_A} * (1 - (1 + {_B} * (s.lo + s.hi) / 2) * exp(-{_B} * (s.lo + s.hi) / 2)) < target then {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} else {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} end).lo",
+}
+
+
+def milestones_sql(ratios: str) -> str:
+    """CTE ms of all models over scored."""
+    solved = "case model_id " + " ".join(f"when '{m}' then {x}" for m, x in _INVERSE.items()) + " end"
+    return f"""aims as (select s.series_id, s.model_id, params, {_case('total', CATALOG)} as total, ratio, ratio * {_case('total', CATALOG)} as target, z.y_n from scored s join stats z using (series_id) cross join (select unnest({ratios}) as ratio)),
+ms as (select *, case when y_n >= target then (select min(t) from cum c where c.series_id = a.series_id and c.y >= a.target) else {solved} end as day from aims a)"""
+
+
+WEIGHED = WEIGHTS + ", " + milestones_sql("[0.8, 0.9, 0.95, 0.99]")
+
+
+@query(f"""{WEIGHED}, g as (select series_id, ratio, sum(weight * day) / sum(weight) as day, sum(weight * day * day) / sum(weight) as dd, count(*) as n_models from ms join weights using (series_id, model_id) where day is not null group by 1, 2)
+select series_id, cast(ratio as double) as ratio, {q('day; sqrt(greatest(0, dd - day * day)) as sd; day - sqrt(greatest(0, dd - day * day)) as low; day + sqrt(greatest(0, dd - day * day)) as high', 3)}, n_models from g""")
 def average_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f, s = _scored(spark, sf_dir)
-    return score.average_milestones(predict.milestones(c, f, MODELS, (0.8, 0.9, 0.95, 0.99)), score.aic_weights(s))
+    return rounded(score.average_milestones(predict.milestones(c, f, CATALOG, (0.8, 0.9, 0.95, 0.99)), score.aic_weights(s)), 3)
 
 
-@query()
+@query(f"""{SCORED}, {milestones_sql('[0.95, 0.99]')}, h as (select * from ({HELD} select series_id, model_id, mse as holdout_mse, mape as holdout_mape from metrics)),
+days as (select series_id, model_id, max(day) filter (where ratio = 0.95) as day95, max(day) filter (where ratio = 0.99) as day99 from ms group by 1, 2)
+select series_id, model_id, {q("r2; mse; aic; " + _case('total', CATALOG) + " as total; case model_id when 'pham_imperfect' then params[3] when 'weibull_imperfect' then params[4] end as p; holdout_mse; holdout_mape; loss; day95; day99", 4)}
+from scored left join h using (series_id, model_id) left join days using (series_id, model_id)""")
 def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f, s = _scored(spark, sf_dir)
-    return score.comparison_table(s, predict.milestones(c, f, MODELS), _held(spark, sf_dir), MODELS)
+    return rounded(score.comparison_table(s, predict.milestones(c, f, CATALOG), _held(spark, sf_dir), CATALOG), 4)
 
 
 @query()
@@ -520,7 +559,7 @@ def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f, s = _scored(spark, sf_dir)
     status = series.current_status(series.running_totals(obs(spark, sf_dir)))
     sens = uncertainty.sensitivity(c, f, "exponential")
-    return score.status_report(status, score.best_model(s), predict.milestones(c, f, MODELS), score.warnings(s, bugs=series.shape(c)), MODELS, sens, changepoint.profile_tau(c))
+    return score.status_report(status, score.best_model(s), predict.milestones(c, f, CATALOG), score.warnings(s, bugs=series.shape(c)), CATALOG, sens, changepoint.profile_tau(c))
 
 
 @query(f"""{_MS} select series_id, {q('day as day95')}, {q('total')}, case when total <= 0 then null when y_n / total >= 0.99 then 'ready' when y_n / total >= 0.95 then 'beta' when y_n / total >= 0.9 then 'converging' else 'open' end as grade from ms where ratio = 0.95""")
@@ -543,7 +582,7 @@ def slope_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CP = curves.MODELS["exp_change_point"]
-_CP_MEAN = curves.by_index(_CP, _CP.mean, base=1, tau="tau")
+_CP_MEAN = formulas.formula("exp_change_point", "mean", tau="tau")
 
 
 @query(f"""with {base_sql('change')}, {_points_sql(['exp_change_point'])}, s as (select p.series_id, tau, sum(power(y - {_CP_MEAN}, 2)) as sse
@@ -555,7 +594,7 @@ def scan_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRID = 16
-_FIRST, _SECOND = curves.bind(_CP.first, {}), curves.bind(_CP.second, {})
+_FIRST, _SECOND = "(1 - exp(-b1 * least(t, tau)))", "(1 - exp(-b2 * greatest(t - tau, 0)))"
 _PROFILE = f"""with {base_sql('change')},
 grid as (select i, j, 0.001 + 0.999 * i / {_GRID}.0 as b1, 0.001 + 0.999 * j / {_GRID}.0 as b2 from (select unnest(range(1, {_GRID + 1})) as i), (select unnest(range(1, {_GRID + 1})) as j)),
 taus as (select series_id, unnest(range(3, cast(n as bigint) - 2)) as tau from stats),
@@ -565,8 +604,9 @@ b as (select s.*, n, 1.0 as lo, 3 * "Y" as hi, s11 * s22 - s12 * s12 as det from
 c5 as (select *, unnest([1, 2, 3, 4, 5]) as e from b),
 x as (select *, case e when 1 then (y1 * s22 - y2 * s12) / nullif(det, 0) when 2 then lo when 3 then hi when 4 then least(greatest((y1 - lo * s12) / nullif(s11, 0), lo), hi) else least(greatest((y1 - hi * s12) / nullif(s11, 0), lo), hi) end as a1,
   case e when 1 then (y2 * s11 - y1 * s12) / nullif(det, 0) when 2 then least(greatest(coalesce((y2 - lo * s12) / nullif(s22, 0), lo), lo), hi) when 3 then least(greatest(coalesce((y2 - hi * s12) / nullif(s22, 0), lo), lo), hi) when 4 then lo else hi end as a2 from c5),
-l as (select series_id, tau, n, min(yy - 2*a1*y1 - 2*a2*y2 + a1*a1*s11 + 2*a1*a2*s12 + a2*a2*s22) as loss from x where e > 1 or (det > 0 and a1 between lo and hi and a2 between lo and hi) group by 1, 2, 3),
-profile as (select series_id, tau, loss, n * ln(loss / n) + 10 + 60.0 / (n - 6) as aicc from l)"""
+every as (select *, yy - 2*a1*y1 - 2*a2*y2 + a1*a1*s11 + 2*a1*a2*s12 + a2*a2*s22 as loss, 0.001 + 0.999 * i / 16.0 as b1, 0.001 + 0.999 * j / 16.0 as b2 from x where e > 1 or (det > 0 and a1 between lo and hi and a2 between lo and hi)),
+l as (select series_id, tau, n, min(loss) as loss, arg_min([a1, b1, a2, b2, tau], loss) as params from every group by 1, 2, 3),
+profile as (select series_id, tau, params, loss, n * ln(loss / n) + 10 + 60.0 / (n - 6) as aicc from l)"""
 
 
 @query(f"{_PROFILE} select series_id, cast(tau as double) as tau, {q('loss; aicc', 5)}, row_number() over (partition by series_id order by aicc, tau) = 1 as best from profile")
@@ -581,9 +621,10 @@ def tau_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(changepoint.tau_reliability(changepoint.profile_tau(cum(spark, sf_dir, "change"))), 5)
 
 
-@query()
+@query(f"""{_PROFILE} select series_id, 'exp_change_point' as model_id, {q('; '.join(f'arg_min(params[{i + 1}], aicc) as {p}' for i, p in enumerate(['a1', 'b1', 'a2', 'b2', 'tau'])) + '; arg_min(loss, aicc) as loss', 4)} from profile group by 1""")
 def fit_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changepoint.fit_change_point(cum(spark, sf_dir, "change"))
+    f = changepoint.fit_change_point(cum(spark, sf_dir, "change"))
+    return rounded(f.select("series_id", "model_id", *(F.col("params")[i].alias(p) for i, p in enumerate(("a1", "b1", "a2", "b2", "tau"))), "loss"), 4)
 
 
 @query()
@@ -594,7 +635,7 @@ def change_point_lrt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- uncertainty --------------------------------------------------------------------------------------------------------
 
 
-@query(f"""{fits_sql()}, {", ".join(f"m{k} as (select f.series_id, params, n, {curves.by_index(curves.MODELS['exponential'], 'params[1]*(1-exp(-params[2]*n))' if k else 'params[1]', base=1)} as base from fits f join stats using (series_id) where model_id = 'exponential')" for k in (0,))},
+@query(f"""{fits_sql()}, m0 as (select f.series_id, params, n, params[1] as base from fits f join stats using (series_id) where model_id = 'exponential'),
 e as (select series_id, unnest(['a', 'b']) as param, base, unnest([1.0, 0.0]) as elasticity, unnest([1.0, 0.0]) as sensitivity from m0)
 select series_id, param, {q('base; sensitivity; elasticity')}, case when abs(elasticity) < 1 then 'low' else 'medium' end as grade, case when elasticity > 0.1 then 'up' else 'flat' end as direction
 from (select series_id, param, base, elasticity, sensitivity * (base * 1.01 - base * 0.99) / (0.02 * base) as sensitivity from e)""")
@@ -676,10 +717,18 @@ def param_standard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("series_id", F.round("se_a", 2).alias("se_a"), F.round("se_b", 4).alias("se_b"))
 
 
-@query()
+def _square(da: int, db: int) -> str:
+    return f"sum(power(y - (a + {da} * ha) * (1 - exp(-(b + {db} * hb) * t)), 2))"
+
+
+@query(f"""{fits_sql()}, d as (select f.series_id, params[1] as a, params[2] as b, greatest(1e-4, params[1] * 1e-4) as ha, greatest(1e-4, params[2] * 1e-4) as hb, t, y from fits f join cum c using (series_id) where model_id = 'exponential'),
+s as (select series_id, any_value(a) as a, any_value(b) as b, 2 * {_square(0, 0)} / (count(*) - 2) as scale, ({_square(2, 0)} - 2 * {_square(0, 0)} + {_square(-2, 0)}) / (4 * any_value(ha * ha)) as haa,
+  ({_square(1, 1)} - {_square(1, -1)} - {_square(-1, 1)} + {_square(-1, -1)}) / (4 * any_value(ha * hb)) as hab, ({_square(0, 2)} - 2 * {_square(0, 0)} + {_square(0, -2)}) / (4 * any_value(hb * hb)) as hbb from d group by 1),
+v as (select series_id, c.t, a * (1 - exp(-b * c.t)) as m, scale / (haa * hbb - hab * hab) * (power(1 - exp(-b * c.t), 2) * hbb - 2 * (1 - exp(-b * c.t)) * a * c.t * exp(-b * c.t) * hab + power(a * c.t * exp(-b * c.t), 2) * haa) as var from s join cum c using (series_id))
+select series_id, t, {q('m; m - 1.959963984540054 * sqrt(greatest(var, 0)) as lower; m + 1.959963984540054 * sqrt(greatest(var, 0)) as upper', 3)} from v""")
 def delta_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f = fits_of(spark, sf_dir)
-    return uncertainty.delta_band(c, f, "exponential")
+    return rounded(uncertainty.delta_band(c, f, "exponential"), 3)
 
 
 # --- diagnostics --------------------------------------------------------------------------------------------------------
@@ -723,23 +772,37 @@ def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.outliers(_res(spark, sf_dir)).select("series_id", "model_id", "t", "z"))
 
 
-@query(f"""{RES}, s as (select series_id, model_id, raw > 0 as up, coalesce(cast((raw > 0) <> lag(raw > 0) over {_W} as integer), 1) as turn from res),
-g as (select series_id, model_id, count(*) filter (where up) as n_pos, count(*) filter (where not up) as n_neg, cast(sum(turn) as bigint) as runs from s group by 1, 2)
-select *, {q('1 + 2.0 * n_pos * n_neg / (n_pos + n_neg) as expected_runs; case when n_pos > 0 and n_neg > 0 then (runs - (1 + 2.0 * n_pos * n_neg / (n_pos + n_neg))) / sqrt(2.0 * n_pos * n_neg * (2.0 * n_pos * n_neg - n_pos - n_neg) / (power(n_pos + n_neg, 2) * (n_pos + n_neg - 1))) end as z')} from g""")
-def runs_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.runs_test(_res(spark, sf_dir)).drop("p_value", "pattern"))
+def normal_sql(z: str) -> str:
+    """The normal distribution function by its series in z."""
+    return f"(0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2.0) + lgamma(k + 1)))))"
 
 
-def chi2_sql(x: str, df: str) -> str:
-    """The upper tail for an even number of degrees of freedom."""
-    return f"list_sum(list_transform(range(0, cast({df} as bigint) // 2), lambda k: exp(-({x}) / 2 + k * ln(({x}) / 2) - case when k < 2 then 0 else list_sum(list_transform(range(2, k + 1), lambda i: ln(i))) end)))"
+def chi2_tail_sql(x: str, df: str) -> str:
+    """The upper tail for any number of degrees of freedom, by the series of the lower incomplete gamma function."""
+    return f"case when ({x}) > 1200 then 0.0 else greatest(0.0, 1 - list_sum(list_transform(range(0, 500), lambda k: exp(-({x}) / 2 + (({df}) / 2.0 + k) * ln(greatest(({x}) / 2, 1e-300)) - lgamma(({df}) / 2.0 + k + 1))))) end"
+
+
+def runs_sql(column: str) -> str:
+    """CTE runs over res."""
+    return f"""turns as (select series_id, model_id, {column} > 0 as up, coalesce(cast(({column} > 0) <> lag({column} > 0) over {_W} as integer), 1) as turn from res),
+runs0 as (select series_id, model_id, count(*) filter (where up) as n_pos, count(*) filter (where not up) as n_neg, cast(sum(turn) as bigint) as runs from turns group by 1, 2),
+runs1 as (select *, 1 + 2.0 * n_pos * n_neg / (n_pos + n_neg) as expected_runs, 2.0 * n_pos * n_neg * (2.0 * n_pos * n_neg - n_pos - n_neg) / (power(n_pos + n_neg, 2) * (n_pos + n_neg - 1)) as v from runs0),
+runs2 as (select *, case when n_pos > 0 and n_neg > 0 and v > 0 then (runs - expected_runs) / sqrt(v) end as z from runs1),
+runs3 as (select *, case when n_pos = 0 or n_neg = 0 then 0.0 when z is null then 1.0 else 2 * (1 - {normal_sql('abs(z)')}) end as p_value from runs2),
+runs as (select *, case when n_pos = 0 or n_neg = 0 then 'one_sign' when p_value < 0.05 and z < 0 then 'clustered' when p_value < 0.05 then 'alternating' else 'none' end as pattern from runs3)"""
+
+
+@query(f"{RES}, {runs_sql('raw')} select series_id, model_id, n_pos, n_neg, runs, {q('expected_runs; z; p_value')}, pattern from runs")
+def runs_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.runs_test(_res(spark, sf_dir)))
 
 
-@query(f"""{RES}, g as (select series_id, model_id, sum(power(dy - lam, 2) / lam) filter (where lam > 0) as chi2, count(*) filter (where lam > 0) - 2 as df from res group by 1, 2)
-select series_id, model_id, {q('chi2; chi2 / df as phi')}, df, {q("case when df % 2 = 0 then " + chi2_sql('chi2', 'df') + " end as p_even")} from g""")
+@query(f"""{RES}, g as (select series_id, model_id, sum(power(dy - lam, 2) / lam) filter (where lam > 0) as chi2, count(*) filter (where lam > 0) - 2 as df from res group by 1, 2),
+o as (select *, chi2 / df as phi, {chi2_tail_sql('chi2', 'df')} as p_value from g)
+select series_id, model_id, {q('chi2; phi; p_value')}, df, phi > 1.5 and p_value < 0.05 as over,
+  case when phi < 0.8 then 'under' when phi <= 1.2 then 'none' when phi <= 1.5 then 'slight' when phi <= 3 then 'moderate' else 'strong' end as grade from o""")
 def overdispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = diagnostics.overdispersion(_res(spark, sf_dir), 2)
-    return rounded(o.select("series_id", "model_id", "chi2", "phi", "df", F.when(F.col("df") % 2 == 0, F.col("p_value")).alias("p_even")))
+    return rounded(diagnostics.overdispersion(_res(spark, sf_dir), 2))
 
 
 @query(f"""{RES}, g as (select series_id, model_id, count(*) as n, count(*) filter (where lam < 5) as small, count(*) filter (where dy = 0) as zeros, sum(exp(-greatest(lam, 0))) as e0 from res group by 1, 2)
@@ -748,15 +811,29 @@ def poisson_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.poisson_warnings(_res(spark, sf_dir)).select("series_id", "model_id", F.concat_ws(",", "warnings").alias("warnings"))
 
 
-@query(f"{RES}, d as (select series_id, model_id, raw, raw - lag(raw) over {_W} as d from res) select series_id, model_id, {q('sum(d * d) / sum(raw * raw) as dw')} from d group by 1, 2")
+def durbin_sql(column: str) -> str:
+    """CTE dws over res."""
+    return f"""dwd as (select series_id, model_id, {column} as x, {column} - lag({column}) over {_W} as d from res),
+dws as (select series_id, model_id, sum(d * d) / sum(x * x) as dw from dwd group by 1, 2)"""
+
+
+@query(f"""{RES}, {durbin_sql('raw')} select series_id, model_id, {q('dw')},
+  case when dw < 1 then 'strong_positive' when dw < 1.5 then 'positive' when dw <= 2.5 then 'none' when dw <= 3 then 'negative' else 'strong_negative' end as band from dws""")
 def durbin_watson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.durbin_watson(_res(spark, sf_dir)).drop("band"))
+    return rounded(diagnostics.durbin_watson(_res(spark, sf_dir)))
+
 
+def acf_sql(column: str) -> str:
+    """CTEs acf and lb (Ljung-Box) over res."""
+    return f"""ac as (select series_id, model_id, t, {column} - avg({column}) over (partition by series_id, model_id) as d, count(*) over (partition by series_id, model_id) as n from res),
+acf as (select a.series_id, a.model_id, k as lag, a.n, sum(a.d * b.d) / any_value(v.v) as r from ac a cross join (select unnest(range(1, 11)) as k) join ac b on a.series_id = b.series_id and a.model_id = b.model_id and b.t = a.t - k
+  join (select series_id, model_id, sum(d * d) as v from ac group by 1, 2) v on a.series_id = v.series_id and a.model_id = v.model_id
+  where k <= least(10, a.n // 4, a.n - 2) group by 1, 2, 3, 4),
+lb0 as (select series_id, model_id, any_value(n) * (any_value(n) + 2) * sum(r * r / (n - lag)) as q, count(*) as df from acf group by 1, 2),
+lb as (select *, {chi2_tail_sql('q', 'df')} as p_value from lb0)"""
 
-ACF = f"""{RES}, c as (select series_id, model_id, t, raw - avg(raw) over (partition by series_id, model_id) as d, count(*) over (partition by series_id, model_id) as n from res),
-acf as (select a.series_id, a.model_id, k as lag, a.n, sum(a.d * b.d) / any_value(v.v) as r from c a cross join (select unnest(range(1, 11)) as k) join c b on a.series_id = b.series_id and a.model_id = b.model_id and b.t = a.t - k
-  join (select series_id, model_id, sum(d * d) as v from c group by 1, 2) v on a.series_id = v.series_id and a.model_id = v.model_id
-  where k <= least(10, a.n // 4, a.n - 2) group by 1, 2, 3, 4)"""
+
+ACF = f"{RES}, {acf_sql('raw')}"
 
 
 @query(f"{ACF} select series_id, model_id, cast(lag as integer) as lag, {q('r')}, abs(r) > 1.96 / sqrt(n) as significant from acf")
@@ -764,14 +841,21 @@ def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.acf(_res(spark, sf_dir)).drop("n"))
 
 
-@query(f"{ACF}, g as (select series_id, model_id, any_value(n) * (any_value(n) + 2) * sum(r * r / (n - lag)) as q, count(*) as df from acf group by 1, 2) select series_id, model_id, {q('q')}, df, {q('case when df % 2 = 0 then ' + chi2_sql('q', 'df') + ' end as p_even')} from g")
+@query(f"{ACF} select series_id, model_id, {q('q; p_value')}, df from lb")
 def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.ljung_box(diagnostics.acf(_res(spark, sf_dir))).select("series_id", "model_id", "q", "df", F.when(F.col("df") % 2 == 0, F.col("p_value")).alias("p_even")))
+    return rounded(diagnostics.ljung_box(diagnostics.acf(_res(spark, sf_dir))))
 
 
-@query()
+ANDERSON = f"""adz as (select series_id, model_id, (pearson - avg(pearson) over w) / stddev_samp(pearson) over w as z, row_number() over (partition by series_id, model_id order by pearson, t) as i, count(*) over w as n from res window w as (partition by series_id, model_id)),
+adp as (select *, least(greatest({normal_sql('z')}, 1e-10), 1 - 1e-10) as p from adz where n >= 8),
+ada as (select series_id, model_id, (-n - sum((2 * i - 1) * ln(p) + (2 * (n - i) + 1) * ln(1 - p)) / n) * (1 + 0.75 / n + 2.25 / (n * n)) as a2 from adp group by series_id, model_id, n),
+ad as (select *, least(1.0, greatest(0.0, case when a2 >= 10 then 0.0001 when a2 >= 0.6 then exp(1.2937 - 5.709 * a2 + 0.0186 * a2 * a2) when a2 >= 0.34 then exp(0.9177 - 4.279 * a2 - 1.38 * a2 * a2)
+  when a2 >= 0.2 then 1 - exp(-8.318 + 42.796 * a2 - 59.938 * a2 * a2) else 1 - exp(-13.436 + 101.14 * a2 - 223.73 * a2 * a2) end)) as p_value from ada)"""
+
+
+@query(f"{RES}, {ANDERSON} select series_id, model_id, {q('a2; p_value')} from ad")
 def anderson_darling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.anderson_darling(_res(spark, sf_dir))
+    return rounded(diagnostics.anderson_darling(_res(spark, sf_dir)))
 
 
 @query()
@@ -789,9 +873,8 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.event_times(_res(spark, sf_dir)))
 
 
-_EXP = curves.MODELS["exponential"]
 TIMES = f"""{RES}, evt as (select series_id, model_id, params, t_end, t - 1 + (j + 0.5) / dy as t from (select r.series_id, r.model_id, r.t, r.dy, p.params, n as t_end, unnest(range(0, cast(r.dy as bigint))) as j from res r join points p using (series_id, model_id) join stats using (series_id) where r.model_id = 'exponential')),
-tt as (select series_id, model_id, row_number() over {_W} as i, count(*) over (partition by series_id, model_id) as n, ({curves.by_index(_EXP, _EXP.mean, base=1)}) / ({curves.by_index(_EXP, _EXP.mean, base=1, t='t_end')}) as u from evt)"""
+tt as (select series_id, model_id, row_number() over {_W} as i, count(*) over (partition by series_id, model_id) as n, ({formulas.formula('exponential', 'mean')}) / ({formulas.formula('exponential', 'mean', t='t_end')}) as u from evt)"""
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -799,14 +882,18 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.transformed_times(c, _points(c, ["exponential"]), ["exponential"])
 
 
-@query(f"{TIMES} select series_id, model_id, n, {q('max(greatest(abs(1.0 * i / n - u), abs((i - 1.0) / n - u))) as d')} from tt group by 1, 2, 3")
+@query(f"""{TIMES}, d as (select series_id, model_id, n, max(greatest(abs(1.0 * i / n - u), abs((i - 1.0) / n - u))) as d from tt group by 1, 2, 3), x as (select *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d as x from d)
+select series_id, model_id, n, {q('d')}, {q("""case when x < 0.27 then 1.0 when x < 1 then least(1, greatest(0, 1 - sqrt(2 * pi()) / x * (exp(-power(pi(), 2) / (8 * x * x)) + exp(-9 * power(pi(), 2) / (8 * x * x)) + exp(-25 * power(pi(), 2) / (8 * x * x)))))
+  when x < 3.1 then least(1, greatest(0, 2 * (exp(-2 * x * x) - exp(-8 * x * x) + exp(-18 * x * x) - exp(-32 * x * x)))) else 0.0 end as p_value""")} from x where n >= 5""")
 def ks_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.ks_test(_times(spark, sf_dir)).drop("p_value"))
+    return rounded(diagnostics.ks_test(_times(spark, sf_dir)).where("n >= 5"))
 
 
-@query(f"{TIMES} select series_id, model_id, n, {q('(1 / (12.0 * n) + sum(power(u - (2.0 * i - 1) / (2.0 * n), 2))) * (1 + 0.5 / n) as w2')} from tt group by 1, 2, 3")
+@query(f"""{TIMES}, w as (select series_id, model_id, n, (1 / (12.0 * n) + sum(power(u - (2.0 * i - 1) / (2.0 * n), 2))) * (1 + 0.5 / n) as w2 from tt group by 1, 2, 3)
+select series_id, model_id, n, {q('w2')}, {q("""case when w2 >= 1.1 then 0.0001 else least(1, greatest(0, case when w2 < 0.0275 then 1 - exp(-13.953 + 775.5 * w2 - 12542.6 * w2 * w2) when w2 < 0.051 then 1 - exp(-5.903 + 179.5 * w2 - 1515.3 * w2 * w2)
+  when w2 < 0.092 then exp(0.886 - 31.62 * w2 + 10.89 * w2 * w2) else exp(1.111 - 34.24 * w2 + 12.83 * w2 * w2) end)) end as p_value""")} from w""")
 def cvm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.cvm_test(_times(spark, sf_dir)).drop("p_value"))
+    return rounded(diagnostics.cvm_test(_times(spark, sf_dir)))
 
 
 @query()
@@ -815,9 +902,21 @@ def goodness_of_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.goodness_of_fit(c, _points(c, SIX), SIX, 2)
 
 
-@query()
+_DIAGNOSED = MOMENTS.removeprefix(RES)
+
+
+@query(f"""{RES}{_DIAGNOSED}, {runs_sql('pearson')}, {durbin_sql('pearson')}, {acf_sql('pearson')}, {ANDERSON},
+outs as (select series_id, model_id, count(*) filter (where abs((pearson - mean) / sd) > 2) as n_out from res join mom using (series_id, model_id) group by 1, 2),
+every as (select m.*, pattern, dw, lb.p_value as p_lb, n_out / n as share, least(greatest(0.0001, exp(-(n / 6 * (skew * skew + kurt * kurt / 4)) / 2)), ad.p_value) >= 0.05 as normal
+  from mom m join runs using (series_id, model_id) join dws using (series_id, model_id) join lb using (series_id, model_id) join outs using (series_id, model_id) join ad using (series_id, model_id)),
+costs as (select *, case when pattern <> 'none' then 30 else 0 end as c1, case when share > 0.1 then 15 when share > 0.05 then 8 else 0 end as c2, case when abs(skew) > 1 then 10 when abs(skew) > 0.5 then 5 else 0 end as c3,
+  case when abs(kurt) > 3 then 10 when abs(kurt) > 1 then 5 else 0 end as c4,
+  case when dw < 1.5 or dw > 2.5 or p_lb < 0.05 then (case when dw < 1 or dw > 3 then 25 when dw < 1.5 or dw > 2.5 then 15 else 0 end) + (case when p_lb < 0.01 then 10 when p_lb < 0.05 then 5 else 0 end) else 0 end as c5, case when normal then 0 else 10 end as c6 from every),
+marked as (select *, cast(greatest(0, 100 - c1 - c2 - c3 - c4 - c5 - c6) as integer) as score from costs)
+select series_id, model_id, score, case when score >= 85 then 'excellent' when score >= 70 then 'good' when score >= 55 then 'fair' when score >= 40 then 'poor' else 'bad' end as grade,
+  concat_ws(',', case when c1 > 0 then 'pattern' end, case when c2 > 0 then 'outliers' end, case when c3 > 0 then 'skew' end, case when c4 > 0 then 'tails' end, case when c5 > 0 then 'autocorrelation' end, case when c6 > 0 then 'not_normal' end) as codes from marked""")
 def diagnostic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.diagnostic_score(_res(spark, sf_dir))
+    return diagnostics.diagnostic_score(_res(spark, sf_dir)).withColumn("codes", F.concat_ws(",", "codes"))
 
 
 @query(f"with evn as (select event_id, value from events where value is not null) select event_id, {q('case when value <= 1 then 0.0 when round(value) <= 20 then coalesce(list_sum(list_transform(range(2, cast(round(value) as bigint) + 1), lambda i: ln(i))), 0) else value * ln(value) - value + 0.5 * ln(2 * pi() * value) end as lf')} from evn")

@@ -36,8 +36,9 @@ def unpivot_tracker(wide: DataFrame) -> DataFrame:
 
 def fill_dates(obs: DataFrame, series: DataFrame) -> DataFrame:
     """A missing day becomes the series' start plus the row's place ``i`` (from 0); null without a start (A3)."""
-    start = series.select("series_id", "start_date")
-    return obs.join(start, "series_id", "left").withColumn("day", F.coalesce("day", F.date_add("start_date", F.col("i").cast("int")))).drop("start_date")
+    start = series.select(F.col("series_id").alias("_series"), "start_date")
+    joined = obs.join(start, obs["series_id"].eqNullSafe(start["_series"]), "left").drop("_series")
+    return joined.withColumn("day", F.coalesce("day", F.date_add("start_date", F.col("i").cast("int")))).drop("start_date")
 
 
 def require_min_days(obs: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +57,9 @@ def daily_counts(events: DataFrame, series: Column, kinds: dict[str, Column], ts
     if axis == "active":
         return daily
     spine = daily.groupBy("series_id").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    return spine.join(daily, ["series_id", "day"], "left").select("series_id", "day", *(F.coalesce(k, F.lit(0.0)).alias(k) for k in kinds))
+    counted = daily.withColumnsRenamed({"series_id": "_series", "day": "_day"})
+    joined = spine.join(counted, spine["series_id"].eqNullSafe(counted["_series"]) & (spine["day"] == counted["_day"]), "left")
+    return joined.select("series_id", "day", *(F.coalesce(k, F.lit(0.0)).alias(k) for k in kinds))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
