@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import BROADCAST_ROWS, stored
+from .tables import BROADCAST_BYTES, BROADCAST_ROWS, stored
 
 #: Fixed masks; 1 marks a word that counts. The last two alone hit every stretch of 13 words or more that agrees in four fifths: either
 #: four equal words follow each other, or it is of 15 words and three runs of three are apart by one word each.
@@ -81,7 +81,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13)
     key is a hash of doc_id and text. An overlap counts if a stretch of ``min_matches`` words or more, from an equal word to an equal word,
     agrees in four fifths; a shorter item must stand there as a whole. For 13 words or more no such stretch is missed. matches, doc_start and doc_end
     are of the best stretch where that has ``min_matches`` equal words, else of the longest. Null texts and items have no words. Repeated
-    rows share a key and appear once. Extra columns are not read.
+    rows share a key and appear once. Ties go to the first place in the document. Texts are compared whole, whatever their length. An empty
+    table on either side gives no rows. Extra columns are not read.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", words(F.col("text")).alias("words"))
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).distinct()
@@ -90,10 +91,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13)
     small = marks.count() <= BROADCAST_ROWS
     hits = seeds(rows, ["key"], short).join(F.broadcast(marks) if small else marks, "seed").select("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     hits = stored(hits, "benchmark-hits")
-    if hits.count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
-    item = items.select("item_id", F.col("words").alias("item_words"))
-    pairs = rows.join(hits, "key").join(F.broadcast(item) if small else item, "item_id")
+    few = hits.count() <= BROADCAST_ROWS
+    # of the items only those that are hit anywhere; sent to all tasks only if few and short
+    item = items.join(hits.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.col("words").alias("item_words"))
+    n_items, n_bytes = item.agg(F.count("*"), F.sum(F.octet_length(F.array_join("item_words", " ")))).first()
+    small = n_items <= BROADCAST_ROWS and (n_bytes or 0) <= BROADCAST_BYTES
+    pairs = rows.join(F.broadcast(hits) if few else hits, "key").join(F.broadcast(item) if small else item, "item_id")
     at, skip = F.greatest("diagonal", F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
     n = F.least(F.size("words") - at, F.size("item_words") - skip)
     same = F.zip_with(F.slice("words", at + 1, n), F.slice("item_words", skip + 1, n), lambda a, b: a == b)

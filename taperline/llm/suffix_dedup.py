@@ -24,7 +24,7 @@ ANCHOR = 80
 #: Shortest strings that can be asked for.
 SHORTEST = 40
 #: Bytes of texts hashed at a time; bytes in a suffix array, unless one hash has more.
-CHUNK, ARRAY = 1 << 19, 1 << 21
+CHUNK, ARRAY = 1 << 19, 1 << 20
 #: Low bits of a hash that make room for the place, so that the leftmost of equal hashes is the least; longer texts are hashed in parts.
 PLACE_BITS = 21
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -93,15 +93,17 @@ def _dealt(length: int):
         key, text, start, n = pieces(texts, length)
         body = [xxhash.xxh3_64_intdigest(texts[t][a : a + m]) for t, a, m in zip(text.tolist(), start.tolist(), (n + length - 1).tolist())]
         ids = batch.column(0).take(pa.array(np.array(owner)[text]))
-        # an earlier piece of the same text, if near enough, has the same bytes
-        again = np.ones(len(body), bool)
+        # equal pieces of one text, if near enough, need not meet others: all but the first repeat it
         seen = np.zeros(len(body), [("text", np.int64), ("body", np.uint64)])
         seen["text"], seen["body"] = np.array(owner)[text], body
-        again[np.unique(seen, return_index=True)[1]] = False
+        _, first, copies = np.unique(seen, return_index=True, return_counts=True)
+        again, twice = np.ones(len(body), bool), np.zeros(len(body), bool)
+        again[first] = False
+        twice[first] = copies > 1
         start = start + np.array(offset)[text]
         return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), ids, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
-            names=["key", "body", "rid", "start", "n", "again"],
+            [pa.array(key.view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), ids, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again), pa.array(twice)],
+            names=["key", "body", "rid", "start", "n", "again", "twice"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +291,13 @@ def _strings(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, start, raw in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                got = [xxhash.xxh3_128_digest(raw[k : k + length]) for k in range(len(raw) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(np.full(len(got), rid)), pa.array(np.arange(start, start + len(got), dtype=np.int64))], names=["h", "rid", "begin"])
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                raws = part.column(3).to_pylist()
+                sizes = [len(r) - length + 1 for r in raws]
+                got = [xxhash.xxh3_128_digest(r[k : k + length]) for r, n in zip(raws, sizes) for k in range(n)]
+                begin = np.concatenate([np.arange(s, s + n, dtype=np.int64) for s, n in zip(part.column(2).to_pylist(), sizes)])
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), part.column(1).take(pa.array(np.repeat(np.arange(len(raws)), sizes))), pa.array(begin)], names=["h", "rid", "begin"])
 
     return run
 
@@ -321,18 +327,20 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_spans(rows: DataFrame, length: int, keep: str, hot_pieces: int) -> DataFrame:
     """(rid, begin, end): spans, which may overlap, of the bytes of ``rows`` (rid long, text) that a repeated string covers."""
-    shape = "key long, body long, rid long, start int, n int, again boolean"
+    shape = "key long, body long, rid long, start int, n int, again boolean, twice boolean"
     dealt = stored(rows.where(F.octet_length("text") >= length).select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(_dealt(length), shape), "pieces")
-    # counts are added up before they are shuffled, and joins on keys can be split: no window over all pieces of a key
-    shared = dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    live = stored(dealt.join(shared, "key", "left_semi"), "shared-pieces")
-    unstored(dealt)
-    bodies = live.groupBy("key", "body").agg(F.count("*").alias("copies"), F.min("rid").alias("first")).where("copies > 1")
-    marked = live.join(bodies, ["key", "body"], "left")
-    lead = (F.coalesce("first", "rid") == F.col("rid")) & ~F.col("again")
-    whole = F.col("copies").isNotNull() if keep == "none" else F.col("again") | (F.col("first") < F.col("rid"))
-    marked = stored(marked.select("key", "rid", "start", "n", F.coalesce(whole, F.lit(False)).alias("whole"), lead.alias("lead")).where("whole or lead"), "marked-pieces")
-    unstored(live)
+    # counts are added up before they are shuffled, and written, so that the joins on them can split a skewed key
+    once = dealt.where("not again")
+    shared = stored(once.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "shared-keys")
+    live = stored(once.join(shared, "key", "left_semi").drop("again", "twice"), "shared-pieces")
+    bodies = stored(live.groupBy("key", "body").agg(F.count("*").alias("copies"), F.min("rid").alias("first")).where("copies > 1"), "shared-bodies")
+    whole = F.col("copies").isNotNull() if keep == "none" else F.col("first") < F.col("rid")
+    lead = F.coalesce("first", "rid") == F.col("rid")
+    flagged = live.join(bodies, ["key", "body"], "left").select("key", "rid", "start", "n", F.coalesce(whole, F.lit(False)).alias("whole"), lead.alias("lead")).where("whole or lead")
+    within = dealt.where("again or twice" if keep == "none" else "again").select("key", "rid", "start", "n", F.lit(True).alias("whole"), F.lit(False).alias("lead"))
+    marked = stored(flagged.unionByName(within), "marked-pieces")
+    for t in (dealt, live, shared, bodies):
+        unstored(t)
     lead = marked.where("lead")
     met = lead.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", (F.col("m") > hot_pieces).alias("hot"))
     asked = lead.join(met, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("cut"))  # bounded by the text
@@ -351,7 +359,7 @@ def repeated_spans(rows: DataFrame, length: int, keep: str, hot_pieces: int) ->
     return out.unionByName(strings.select("rid", "begin", (F.col("begin") + length).alias("end")))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pieces: int = 8192) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pieces: int = 4096) -> DataFrame:
     """``docs`` with spans array<struct<begin, end>> (maximal runs of bytes to remove) and kept binary (what is left) added.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else ("none") or earlier ("first": by doc_id, then

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a table that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Most bytes of texts in such a table.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
