@@ -25,8 +25,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 _LETTER, _NUMBER, _SPACE = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
 LATIN_PATTERN = f" ?[{_LETTER}]+| ?[{_NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _NOT_LATIN = re.compile("[^\u0000-\u024f]")
-#: Words whose encoding a task keeps; the table is emptied when it is full.
-KEPT_WORDS = 700_000
+#: Words whose encoding a task keeps, and their bytes; the table is emptied when it is full.
+KEPT_WORDS, KEPT_BYTES = 700_000, 64 << 20
 _NEVER = 1 << 60
 
 
@@ -41,10 +41,15 @@ class _Words(dict):
     """Encodings of words, made when asked for."""
 
     def __init__(self, made: MergeAutomaton):
-        self.made = made
+        self.made, self.size = made, 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
 
     def __missing__(self, word: str) -> bytes:
         got = self[word] = np.array(self.made.path(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        self.size += len(word) + len(got)
         return got
 
 
@@ -168,7 +173,7 @@ class MergeAutomaton:
         return self._words(text)
 
     def _words(self, text: str) -> bytes:
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > KEPT_WORDS or self.words.size > KEPT_BYTES:
             self.words.clear()
         if len(self.pairs) > 4 * KEPT_WORDS:
             self.pairs.clear()
