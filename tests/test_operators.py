@@ -160,3 +160,31 @@ def test_random_stream_of_days(spark, tmp_path):
     q.awaitTermination(120)
     final = {(r["series_id"], r["day"].day): r["found"] for r in got}
     assert final[("a", 1)] == 1 and final[("b", 4)] == 4 and ("a", 7) not in final
+
+
+def test_null_series_is_one_of_its_own(spark):
+    rows = [(None, "2024-01-01", "error"), (None, "2024-01-03", "error"), (None, "2024-01-03", "purchase"), ("a", "2024-01-02", "error"), ("a", "2024-01-04", "error")]
+    events = spark.createDataFrame(rows, "user string, ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
+    kinds = {k: F.col("kind") == v for k, v in (("planned", "view"), ("actual", "click"), ("found", "error"), ("fixed", "purchase"))}
+    daily = o.daily_counts(events, F.col("user"), kinds)
+    assert {(r["series_id"], r["day"].day): r["found"] for r in daily.collect()} == {(None, 1): 1, (None, 2): 0, (None, 3): 1, ("a", 2): 1, ("a", 3): 0, ("a", 4): 1}
+    table = daily.groupBy("series_id").agg(F.lit(10).alias("total_cases"), F.min("day").alias("start_date"))
+    assert series.progress_pct(series.running_totals(daily), table).where("planned_pct is null").count() == 0
+    assert o.fill_dates(series.time_index(daily).withColumn("i", F.col("t") - 1).withColumn("day", F.lit(None).cast("date")), table).where("day is null").count() == 0
+    c = series.cumulative(daily)
+    fits = fit.fit_all(c, ["exponential"])
+    assert {r["series_id"] for r in fits.where("success").collect()} == {series.NO_SERIES, "a"} and curves.evaluate(fits, c).count() == c.count()
+
+
+def test_fit_plan_has_no_sort_aggregate(spark):
+    c = exact(spark, "exponential", [100.0, 0.08])
+    for model in ("exponential", "exp_change_point", "constant_removal", "effort_exponential_weibull"):
+        plan = fit.fit_profile(c, model)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
+def test_mle_refuses_models_it_cannot_fit(spark):
+    c = exact(spark, "exponential", [100.0, 0.08])
+    for model in ("exp_change_point", "constant_removal", "effort_exponential_weibull"):
+        with pytest.raises(ValueError):
+            fit.fit_profile(c, model, loss="mle")
