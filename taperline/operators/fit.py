@@ -257,13 +257,14 @@ def sse_joint_removal(cum: DataFrame, fits: DataFrame, models: list[str] | None
 
 
 def sse_joint_effort(cum: DataFrame, fits: DataFrame, models: list[str]) -> DataFrame:
-    """(series_id, model_id, n, sse_found, sse_effort, sse): with the effort's squared errors, where over 0, weighted by the ratio of the
+    """(series_id, model_id, n, n_effort, sse_found, sse_effort, sse): with the effort's squared errors, where over 0, weighted by the ratio of the
     population variances (a variance of 0 counts as 1) (E3)."""
     from .curves import curve
 
     rows = fits.select("series_id", "model_id", "params").join(cum, "series_id").withColumns({"m": curve("mean", models), "w": curve("effort", models)})
     out = rows.groupBy("series_id", "model_id").agg(
         F.count("*").alias("n"),
+        F.count_if(F.col("effort") > 0).alias("n_effort"),
         F.sum(F.pow(F.col("y") - F.col("m"), 2)).alias("sse_found"),
         F.coalesce(F.sum(F.when(F.col("effort") > 0, F.pow(F.col("effort") - F.col("w"), 2))), F.lit(0.0)).alias("sse_effort"),
         F.var_pop("y").alias("vy"),
@@ -287,6 +288,22 @@ def poisson_loglik(cum: DataFrame, fits: DataFrame, models: list[str] | None = N
     return rows.groupBy("series_id", "model_id").agg(F.sum(F.col("dy") * F.log("lam") - F.col("lam") - log_factorial(F.col("dy"))).alias("loglik"))
 
 
+def joint_loglik(cum: DataFrame, fits: DataFrame, models: list[str]) -> DataFrame:
+    """(series_id, model_id, loglik): the Poisson likelihood of the daily finds, with that of the daily fixes for removal models, and the Gaussian of
+    the effort for effort models (E5)."""
+    keys = ["series_id", "model_id"]
+    out = poisson_loglik(cum, fits, models).withColumnRenamed("loglik", "l_found")
+    removal, effort = [m for m in models if MODELS[m].corrected], [m for m in models if MODELS[m].effort]
+    out = out.withColumns({"l_fixed": F.lit(0.0), "l_effort": F.lit(0.0)})
+    if removal:
+        fixed = poisson_loglik(cum, fits.where(F.col("model_id").isin(removal)), removal, "corrected", "y_fixed").withColumnRenamed("loglik", "l_fixed")
+        out = out.drop("l_fixed").join(fixed, keys, "left")
+    if effort:
+        e = sse_joint_effort(cum, fits.where(F.col("model_id").isin(effort)), effort)
+        out = out.drop("l_effort").join(e.select(*keys, F.coalesce(gaussian_loglik(F.col("n_effort"), F.col("sse_effort")), F.lit(0.0)).alias("l_effort")), keys, "left")
+    return out.select(*keys, (F.col("l_found") + F.coalesce("l_fixed", F.lit(0.0)) + F.coalesce("l_effort", F.lit(0.0))).alias("loglik"))
+
+
 def gaussian_loglik(n: Column, sse_: Column) -> Column:
     """-n/2 (ln 2 pi + ln(SSE / n) + 1); null where SSE is not over 0."""
     return F.when(sse_ > 0, -n / 2 * (F.lit(1.8378770664093453) + F.log(sse_ / n) + 1))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .curves import MODELS, curve
-from .fit import evaluate, gaussian_loglik, poisson_loglik, sse, sse_joint_removal
+from .fit import evaluate, gaussian_loglik, joint_loglik, sse, sse_joint_effort, sse_joint_removal
+
 
 def by_series():
     return Window.partitionBy("series_id")
@@ -35,20 +36,27 @@ def criterion(n: Column, k: Column) -> Column:
 
 
 def score_fits(cum: DataFrame, fits: DataFrame, models: list[str], loss: str = "sse") -> DataFrame:
-    """fits with n, k, sse, r2, mse, aic, aicc, criterion and score (F1 to F5). Removal models, whose fit is to two series, score by the
-    Gaussian likelihood of both, and with loss "mle" all score by the Poisson likelihood; family names what may be compared."""
+    """fits with n, k, sse, r2, mse, aic, aicc, criterion and score (F1 to F5). Removal and effort models, whose fit is to two series, score by the
+    Gaussian likelihood of both, and with loss "mle" all score by the Poisson likelihood (effort: Gaussian); family names what may be compared."""
     s = sse(cum, fits, models)
     k = F.coalesce(*(F.when(F.col("model_id") == m, F.lit(MODELS[m].k)) for m in models))
-    out = fits.join(s, ["series_id", "model_id"]).withColumn("k", k)
-    removal = [m for m in models if MODELS[m].corrected]
-    out = out.withColumns({"loglik": F.lit(None).cast("double"), "family": F.lit("sse")})
+    out = fits.join(s, ["series_id", "model_id"]).withColumns({"k": k, "family": F.lit("sse")})
+    removal, effort = [m for m in models if MODELS[m].corrected], [m for m in models if MODELS[m].effort]
+    keys, joint = ["series_id", "model_id"], None
     if loss == "mle":
-        out = out.drop("loglik").join(poisson_loglik(cum, fits, models), ["series_id", "model_id"], "left").withColumn("family", F.lit("poisson"))
-    elif removal:
-        j = sse_joint_removal(cum, fits.where(F.col("model_id").isin(removal)), removal).select(
-            "series_id", "model_id", (gaussian_loglik(F.col("n"), F.col("sse_found")) + gaussian_loglik(F.col("n"), F.col("sse_fixed"))).alias("loglik")
-        )
-        out = out.drop("loglik").join(j, ["series_id", "model_id"], "left").withColumn("family", F.when(F.col("model_id").isin(removal), "joint").otherwise("sse"))
+        joint = joint_loglik(cum, fits, models)
+    else:
+        both = lambda n, e: (gaussian_loglik(F.col("n"), F.col("sse_found")) + gaussian_loglik(F.col(n), F.col(e))).alias("loglik")
+        parts = []
+        if removal:
+            parts.append(sse_joint_removal(cum, fits.where(F.col("model_id").isin(removal)), removal).select(*keys, both("n", "sse_fixed")))
+        if effort:
+            parts.append(sse_joint_effort(cum, fits.where(F.col("model_id").isin(effort)), effort).select(*keys, both("n_effort", "sse_effort")))
+        joint = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+    if joint is None:
+        out = out.withColumn("loglik", F.lit(None).cast("double"))
+    else:
+        out = out.join(joint, keys, "left").withColumn("family", F.lit("poisson") if loss == "mle" else F.when(F.col("model_id").isin(removal + effort), "joint").otherwise("sse"))
     out = out.withColumns({"r2": r2(F.col("sse"), F.col("sst")), "mse": F.col("sse") / F.col("n"), "aic": aic(F.col("n"), F.col("k"), F.col("sse"), F.col("loglik"))})
     out = out.withColumns({"aicc": aicc(F.col("aic"), F.col("n"), F.col("k")), "criterion": criterion(F.col("n"), F.col("k"))})
     return out.withColumn("score", F.when(F.col("criterion") == "AICc", F.col("aicc")).when(F.col("criterion") == "AIC", F.col("aic"))).drop("sst")

@@ -187,7 +187,7 @@ POINT = {
 
 
 #: Curves that would be flat after a few days at the common values.
-_OWN = {("gompertz", "b"): "2.5", ("gompertz", "c"): "0.12", ("shifted_gompertz", "b"): "2.5", ("shifted_gompertz", "c"): "0.12"}
+_OWN = {("gompertz", "b"): "2.5", ("gompertz", "c"): "0.12", ("shifted_gompertz", "b"): "2.5", ("shifted_gompertz", "c"): "0.12"} | {(m, "b"): "0.01" for m in formulas.FORMULAS if m.startswith("effort_")}
 
 
 def point_sql(model: str) -> str:
@@ -377,7 +377,7 @@ EFFORT = [m for m in EVERY if curves.MODELS[m].effort]
 )
 def sse_joint_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cum(spark, sf_dir)
-    return rounded(fit.sse_joint_effort(c, _points(c, EFFORT), EFFORT).drop("n"))
+    return rounded(fit.sse_joint_effort(c, _points(c, EFFORT), EFFORT).drop("n", "n_effort"))
 
 
 @query(f"""with {base_sql()}, {_points_sql(SIX)},
@@ -389,6 +389,22 @@ def poisson_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit.poisson_loglik(c, _points(c, SIX), SIX))
 
 
+JOINT = ["exponential", "constant_removal", "reduction_factor", "effort_exponential_weibull"]
+
+
+@query(f"""with {base_sql()}, {_points_sql(JOINT)},
+d as (select p.model_id, p.params, c.*, c.y - coalesce(lag(c.y) over w, 0) as dy, c.y_fixed - coalesce(lag(c.y_fixed) over w, 0) as df, coalesce(lag(c.t) over w, 0) as t0 from points p join cum c using (series_id) window w as (partition by c.series_id, p.model_id order by c.t)),
+l as (select *, greatest({_case('mean', JOINT)} - {_case('mean', JOINT, t='t0')}, 1e-9) as lam, {LF} as fact from d),
+found as (select series_id, model_id, sum(dy * ln(lam) - lam - fact) as l_found from l group by 1, 2),
+fx as (select *, greatest({_case('corrected', JOINT[1:3])} - {_case('corrected', JOINT[1:3], t='t0')}, 1e-9) as lam, {LF.replace('dy', 'df')} as fact from d where model_id in ('constant_removal', 'reduction_factor')),
+fixed as (select series_id, model_id, sum(df * ln(lam) - lam - fact) as l_fixed from fx group by 1, 2),
+eff as (select series_id, model_id, count(*) as n, sum(power(effort - {_case('effort', JOINT[3:])}, 2)) as sse from d where model_id = 'effort_exponential_weibull' and effort > 0 group by 1, 2)
+select series_id, model_id, {q('l_found + coalesce(l_fixed, 0) + coalesce(-n / 2.0 * (ln(2 * pi()) + ln(sse / n) + 1), 0) as loglik')} from found left join fixed using (series_id, model_id) left join eff using (series_id, model_id)""")
+def joint_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cum(spark, sf_dir)
+    return rounded(fit.joint_loglik(c, _points(c, JOINT), JOINT))
+
+
 @query(
     f"with {base_sql()}, {_points_sql(SIX)}, p as (select model_id, {_case('mean', SIX)} as m, c.* from points p join cum c using (series_id)), s as (select series_id, model_id, count(*) as n, sum(power(y - m, 2)) as sse from p group by 1, 2) select series_id, model_id, {q('-n / 2.0 * (ln(2 * pi()) + ln(sse / n) + 1) as loglik')} from s"
 )
