@@ -114,52 +114,105 @@ def _beta(a: float, b: float, x: float) -> float:
     return front * f
 
 
-def certified_cutoff(good: np.ndarray, bad: np.ndarray, limit: float, level: float) -> tuple[int, float]:
-    """(cutoff, its p-value) of one rule in one stratum; counts are by bin, and a bin above the cutoff is turned away.
+#: The step of a bin that no step turns away.
+NEVER = 1 << 30
 
-    Fixed-sequence test from the most lenient cutoff: each is tested at ``level`` and the first that fails ends the row, so
-    all before it hold together. BINS (nothing turned away, p-value 1) where none stands or none separates.
+
+def proposed_steps(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """For each rule (row) and bin the step that turns it away, from counts by rule and bin; NEVER if none does.
+
+    A step lowers one rule's cutoff to the next bin with bad documents: the step with the most bad documents for the good ones
+    it costs, as long as their share is the greater. Ties go to the first rule.
     """
-    n, n_bad = int(good.sum()), int(bad.sum())
-    best, p_best, gain = BINS, 1.0, 0.0
-    for cutoff in range(BINS - 1, -1, -1):
-        k = int(good[cutoff + 1 :].sum())
+    n_good, n_bad = max(good[0].sum(), 1), max(bad[0].sum(), 1)
+    step = np.full(good.shape, NEVER)
+    cutoff = [good.shape[1] - 1] * len(good)
+    for now in range(good.size):
+        best = (1.0, None, None)
+        for r, c in enumerate(cutoff):
+            with_bad = np.flatnonzero(bad[r, 1 : c + 1])
+            if len(with_bad):
+                to = int(with_bad[-1])  # bins over ``to`` go
+                ratio = bad[r, to + 1 : c + 1].sum() / n_bad / ((good[r, to + 1 : c + 1].sum() + 0.5) / n_good)
+                if ratio > best[0]:
+                    best = (ratio, r, to)
+        if best[1] is None:
+            break
+        _, r, to = best
+        step[r, to + 1 : cutoff[r] + 1] = now
+        cutoff[r] = to
+    return step
+
+
+def certified_step(rejected: np.ndarray, n: int, limit: float, level: float) -> tuple[int, float]:
+    """(the last step that stands, its p-value); -1 and 1 if none does. ``rejected``: good documents that each step turns away first, of ``n``.
+
+    Fixed-sequence test: the steps only ever turn more away; each is tested in turn at ``level`` by the exact binomial bound, and the first that fails
+    ends the row, so all before it hold together.
+    """
+    last, p_last, k = -1, 1.0, 0
+    for i, more in enumerate(rejected.tolist()):
+        k += int(more)
         p = binomial_cdf(k, n, limit)
         if p > level:
             break
-        now = bad[cutoff + 1 :].sum() / max(n_bad, 1) - k / max(n, 1)
-        if now > gain + 1e-12:
-            best, p_best, gain = cutoff, p, now
-    return best, p_best
+        last, p_last = i, p
+    return last, p_last
 
 
 def cutoffs(features: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05, confidence: float = 0.95) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, p_value): in each stratum, with the confidence given over all strata and rules together,
-    at most ``max_false_rejection`` of the good documents (quality 1) are turned away by all rules together."""
+    """(stratum, rule, cutoff, n_good, p_value): in each stratum, with the confidence given over all strata together, at most
+    ``max_false_rejection`` of the good documents (quality 1) are turned away by all rules together. A bin above a cutoff is turned away.
+
+    Half of the labelled documents (by a hash of doc_id) propose a sequence of ever stricter sets of cutoffs; the other half, which had no part in
+    that, certify it. All rules are tested as one, so the correction is for the strata only.
+    """
     made = rules()
+    names = list(made)
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    held = features.join(marked, "doc_id").select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("bin")) for k, v in made.items()))).alias("x"))
-    counts = held.groupBy("stratum", "x.rule", "x.bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    held = features.join(marked, "doc_id").select("stratum", "quality", half.alias("half"), F.monotonically_increasing_id().alias("row"), *(v.cast("int").alias(k) for k, v in made.items()))
+    held = stored(held, "labelled-bins")
+    each = held.select("stratum", "quality", "half", "row", F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(k).alias("bin")) for i, k in enumerate(names)))).alias("x")).select("*", "x.rule", "x.bin").drop("x")
+    counts = each.where("half = 0").groupBy("stratum", "rule", "bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+
+    def propose(pdf: pd.DataFrame) -> pd.DataFrame:
+        good, bad = np.zeros((len(names), BINS + 1)), np.zeros((len(names), BINS + 1))
+        np.add.at(good, (pdf["rule"], pdf["bin"]), pdf["good"])
+        np.add.at(bad, (pdf["rule"], pdf["bin"]), pdf["bad"])
+        step = proposed_steps(good, bad)
+        return pd.DataFrame({"stratum": pdf["stratum"].iloc[0], "rule": np.repeat(np.arange(len(names)), BINS + 1), "bin": np.tile(np.arange(BINS + 1), len(names)), "step": step.ravel()})
+
+    # a row for each rule and bin of a stratum, whatever the corpus
+    steps = stored(counts.groupBy("stratum").applyInPandas(propose, "stratum string, rule int, bin int, step int"), "proposed-steps")
+    small = F.broadcast(steps) if steps.count() <= BROADCAST_ROWS else steps
+    first = each.where("half = 1").join(small, ["stratum", "rule", "bin"]).groupBy("stratum", "row", "quality").agg(F.min("step").alias("step"))
+    tested = first.where("quality = 1").groupBy("stratum", "step").agg(F.count("*").alias("good"))
     strata = features.select("stratum").distinct().count()
-    limit, level = max_false_rejection / len(made), (1 - confidence) / (len(made) * max(strata, 1))
+    level = (1 - confidence) / max(strata, 1)
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
-        good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
-        np.add.at(good, pdf["bin"], pdf["good"])
-        np.add.at(bad, pdf["bin"], pdf["bad"])
-        cutoff, p = certified_cutoff(good, bad, limit, level)
-        return pd.DataFrame({"stratum": pdf["stratum"][:1], "rule": pdf["rule"][:1], "cutoff": cutoff, "n_good": int(good.sum()), "p_value": p})
+        here = pdf[pdf["step"] < NEVER]
+        good = np.zeros(int(here["step"].max()) + 1 if len(here) else 0)
+        np.add.at(good, here["step"], here["good"])
+        n = int(pdf["good"].sum())
+        # steps after the last that turns a good document away cost nothing more
+        last, p = certified_step(np.append(good, np.zeros(len(names) * (BINS + 1) - len(good))), n, max_false_rejection, level)
+        return pd.DataFrame({"stratum": pdf["stratum"][:1], "last": last, "n_good": n, "p_value": p})
 
-    # at most BINS + 1 rows a group, whatever the corpus
-    return counts.groupBy("stratum", "rule").applyInPandas(certify, "stratum string, rule string, cutoff int, n_good long, p_value double")
+    # at most a row for each step of a stratum
+    stands = tested.groupBy("stratum").applyInPandas(certify, "stratum string, last int, n_good long, p_value double")
+    cut = F.least(F.lit(BINS), F.min(F.when(F.col("step") <= F.col("last"), F.col("bin") - 1)))
+    done = steps.join(stands, "stratum").groupBy("stratum", "rule", "n_good", "p_value").agg(F.coalesce(cut, F.lit(BINS)).cast("int").alias("cutoff"))
+    return done.select("stratum", F.get(F.array(*map(F.lit, names)), F.col("rule")).alias("rule"), "cutoff", "n_good", "p_value")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_false_rejection: float = 0.05, confidence: float = 0.95) -> DataFrame:
     """One row per row of ``docs``: doc_id, stratum, the counts, base_failed, failed_rules, kept.
 
     Null text: no words, so base_failed. Null doc_id: scored, never used as a label. Null stratum: the stratum "".
-    Rows that repeat are each returned; a doc_id with several labels counts once, with the better one. Without labels, or with
-    too few for a proof, no rule stands and only the base decides. Columns besides doc_id, text and the stratum are not read.
+    Rows that repeat are each returned; a doc_id with several labels counts once, with the better one. Very long texts are counted whole; an empty table gives no
+    rows. Without labels, or with too few for a proof, no rule stands and only the base decides. Columns besides doc_id, text and the stratum are not read.
     """
     picked = docs.select(F.col("text"), F.col("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
     features = stored(picked.mapInArrow(_features, f"doc_id {dict(docs.dtypes)['doc_id']}, stratum string, {FEATURES}"), "quality")

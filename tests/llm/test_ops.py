@@ -56,10 +56,9 @@ def test_binomial_and_cutoffs():
     for k, n, p in [(0, 10, 0.1), (3, 50, 0.05), (20, 40, 0.5), (49, 50, 0.9), (5, 5, 0.2), (0, 2000, 0.01)]:
         assert quality_rules.binomial_cdf(k, n, p) == pytest.approx(brute.binomial_cdf(k, n, p), rel=1e-9)
     good, bad = np.zeros(201), np.zeros(201)
-    good[0], good[100], bad[150] = 2000, 5, 100
-    cutoff, p = quality_rules.certified_cutoff(good, bad, 0.01, 0.001)
-    assert 100 <= cutoff < 150 and p <= 0.001
-    assert quality_rules.certified_cutoff(good / 100, bad, 0.01, 0.001)[0] == quality_rules.BINS  # too few for a proof
+    got = quality_rules.certified_step(np.array([0, 1, 0, 30, 0]), 1000, 0.01, 0.01)
+    assert got == (2, pytest.approx(brute.binomial_cdf(1, 1000, 0.01)))
+    assert quality_rules.certified_step(np.zeros(5), 20, 0.01, 0.01) == (-1, 1.0)  # too few for a proof
 
 
 def test_quality_limit_holds_and_rules_bite(spark):
