@@ -160,22 +160,28 @@ def _matches(distance: int):
     return run
 
 
-def near_links(fps: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+#: Distinct fingerprints from which 2 segments are cheaper than 3: at 3 an entry then holds about 180 unrelated ones, at 2 about 2.
+MANY = 1 << 24
+
+
+def near_links(fps: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
     """(u, v): links between distinct fingerprints that join exactly those that paths of links of ``distance`` bits or fewer join.
 
-    Linear in the number of fingerprints times the ball (22 + 22 + 1 entries at 3 segments). Use 2 segments, with larger balls
-    and entries a thousand times as many, from about a thousand million distinct fingerprints on.
+    Every number of segments gives the same groups. By default 3 (a ball of 22 or 23 entries a segment), and from MANY fingerprints on 2 (balls of 529
+    entries, but two thousand times as many of them to meet in), so that entries stay small: within one, unrelated fingerprints are all compared.
     """
+    if segments is None:
+        segments = 3 if fps.count() < MANY else 2
     sent = fps.select("fp").mapInArrow(_entries(segments, distance), "entry long, probe boolean, fp long")
     return sent.repartition("entry").sortWithinPartitions("entry", "probe").mapInArrow(_matches(distance), "u long, v long").distinct()
 
 
-def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, segments: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, segments: int | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, component, component_id): one row per row of ``docs``.
 
     text_hash is Spark's xxhash64 of the text; component is the least fingerprint of the group, component_id its least doc_id. Equal fingerprints always link; texts without words
     share fingerprint 0. A null doc_id gets its row but never is a component_id, unless all of the group are null. Repeated
-    rows are each returned. An empty table gives no rows. Columns besides doc_id and text are not read.
+    rows are each returned. Very long texts are hashed whole. An empty table gives no rows. Columns besides doc_id and text are not read.
     """
     fps = stored(fingerprints(docs, shingle, seed), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -192,7 +198,7 @@ def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_each(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, segments: int = 3) -> DataFrame:
+def keep_one_each(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, segments: int | None = None) -> DataFrame:
     """``docs`` with one row of each group: that of the least doc_id and, where ids are null or repeat, of the least text_hash."""
     groups = stored(simhash_groups(docs, distance, shingle, seed, segments), "simhash-groups").where("doc_id <=> component_id")
     kept = stored(groups.groupBy("component").agg(F.min("text_hash").alias("_hash"), F.first("component_id").alias("_id")).select("_id", "_hash"), "kept")

@@ -113,7 +113,7 @@ def _searched(least: float):
     return run
 
 
-def keep_one_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, segments: int = 3) -> DataFrame:
+def keep_one_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, segments: int | None = None) -> DataFrame:
     """``docs`` with one row of each group that links of a shingle similarity of ``least`` or more join: that of the least doc_id and,
     where ids are null or repeat, of the least text_hash.
 

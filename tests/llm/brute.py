@@ -38,6 +38,11 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingle_set(text, size):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
 def groups(ids, near):
     """{id: least id reachable} for a relation on places in ids."""
     root = list(range(len(ids)))

@@ -13,8 +13,9 @@ def test_run_against_brute_force(spark, data):
     table = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
     model = toxicity.fit_toxicity(table("documents"), table("labels").where(~held_out(5)))
     rows = [r for r in rows if model.score(*model.features(toxicity.words_of(r["text"] or ""))[:2]) < 0.5]
-    fps = [brute.fingerprint(r["text"]) for r in rows]
-    root = brute.groups(fps, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    sets = [brute.shingle_set(r["text"], 5) for r in rows]
+    alike = lambda i, j: sets[i] == sets[j] or (min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    root = brute.groups(range(len(rows)), alike)
     rows = [r for i, r in enumerate(rows) if root[i] == i]
     raws = [(r["text"] or "").encode() for r in rows]
     for r, raw, flags in zip(rows, raws, brute.repeated(raws, 200, "first")):
