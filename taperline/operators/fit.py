@@ -94,8 +94,9 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
 _STATS = ("n", "E", "y_n", "syy", "var_y", "var_e")
 
 
-def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame, mle: bool, keys: list[str]) -> DataFrame:
-    """One pass: keys, n and best = struct<loss, cand, params>.
+def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame, mle: bool, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One pass: keys, n and best = struct<loss, cand, params>; with ``keep`` (numbers of the boxes, lo_0, hi_0, ... among them) these too, and
+    keys without a candidate of finite loss as well.
 
     Candidates are broadcast (their number does not depend on the data). Days, not candidates, are shuffled: once, by key, to as many tasks as
     the session has shuffle partitions, however few bytes they are, and all sums by key and candidate are made where the days are. All that
@@ -106,7 +107,7 @@ def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame,
     joint_effort = spec.effort is not None
     free = [p for p in spec.searched if not (joint_effort and p == "N")]
     side = lambda s, p: f"{s}_{at[p]}"
-    plain = boxes.select(*keys, *_STATS, *(F.col(s)[i].alias(f"{s}_{i}") for s in ("lo", "hi") for i in range(spec.k)))
+    plain = boxes.select(*keys, *_STATS, *(F.col(s)[i].alias(f"{s}_{i}") for s in ("lo", "hi") for i in range(spec.k)), *(c for c in keep if c in boxes.columns and c not in _STATS))
     flat = units.select("cand", *(F.col("u")[i].alias(f"u_{i}") for i in range(len(free))))
     rows = _same(obs, plain, keys).repartition(tasks, *keys).crossJoin(F.broadcast(flat))
     place = {}
@@ -137,23 +138,23 @@ def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame,
             used = "case when effort>0 then "
             sums |= {"s_ew": f"{used}effort*w end", "s_ww": f"{used}w*w end", "s_ee": f"{used}effort*effort end"}
     scales = [f"{s}_{at[p]}" for p in spec.scales for s in ("lo", "hi")]
-    carried = ["n", *(["y_n"] if mle else []), *scales, *place]
+    carried = ["n", *(["y_n"] if mle else []), *scales, *place, *keep]
     if joint_effort:
         carried += ["var_y", "var_e", side("lo", "N"), side("hi", "N"), side("lo", "b"), side("hi", "b")]
     got = rows.groupBy(*keys, "cand").agg(*(F.max(c).alias(c) for c in dict.fromkeys(carried)), *(F.sum(F.expr(v)).alias(k) for k, v in sums.items()))
     extra = F.lit(0.0)
     if joint_effort:
         got = got.withColumn("p_N", F.expr(f"least(greatest(s_ew/nullif(s_ww,0),{side('lo', 'N')}),{side('hi', 'N')})"))
-        got = got.withColumn("p_b", F.expr("p_b/p_N")).where(F.expr(f"p_b between {side('lo', 'b')} and {side('hi', 'b')}"))
-        extra = F.expr("coalesce(nullif(var_y,0),1)/coalesce(nullif(var_e,0),1)*(s_ee-2*p_N*s_ew+p_N*p_N*s_ww)")
+        got = got.withColumn("p_b", F.expr("p_b/p_N"))
+        extra = F.expr(f"case when p_b between {side('lo', 'b')} and {side('hi', 'b')} then 0.0D end") + F.expr("coalesce(nullif(var_y,0),1)/coalesce(nullif(var_e,0),1)*(s_ee-2*p_N*s_ew+p_N*p_N*s_ww)")
     searched = [f"p_{p}" for p in spec.searched]
-    solved = got.withColumn("s", _solve(spec, mle)).select(*keys, "cand", "n", *searched, (F.col("s.loss") + extra).alias("loss"), *(F.col(f"s.x{i}").alias(f"x{i}") for i in range(len(spec.scales))))
-    solved = solved.where("loss is not null and not isnan(loss)")
+    solved = got.withColumn("s", _solve(spec, mle)).select(*keys, "cand", "n", *searched, *(c for c in keep if c not in ("n", *searched)), (F.col("s.loss") + extra).alias("loss"), *(F.col(f"s.x{i}").alias(f"x{i}") for i in range(len(spec.scales))))
+    solved = solved.withColumn("loss", F.nanvl("loss", F.lit(None).cast("double"))) if keep else solved.where("loss is not null and not isnan(loss)")
     # equal losses go to the least candidate: one part in 2 ** 50 a candidate sets them apart
     order = F.col("loss") + F.abs("loss") * F.col("cand") * F.lit(2.0**-50) + F.col("cand") * F.lit(1e-290)
-    least = solved.withColumn("_order", order).groupBy(*keys).agg(F.max("n").alias("n"), *(F.min_by(c, "_order").alias(c) for c in ("loss", "cand", *searched, *(f"x{i}" for i in range(len(spec.scales))))))
+    least = solved.withColumn("_order", order).groupBy(*keys).agg(*(F.max(c).alias(c) for c in dict.fromkeys(("n", *keep))), *(F.min_by(c, "_order").alias(c) for c in ("loss", "cand", *searched, *(f"x{i}" for i in range(len(spec.scales))))))
     params = F.array(*(F.col(f"x{spec.scales.index(p)}") if p in spec.scales else F.col(f"p_{p}") for p in spec.params))
-    return least.select(*keys, "n", F.struct("loss", "cand", params.alias("params")).alias("best"))
+    return least.select(*keys, "n", *(c for c in keep if c != "n"), F.struct("loss", "cand", params.alias("params")).alias("best"))
 
 
 def _prepared(cum: DataFrame, mle: bool, keys: list[str]) -> DataFrame:
@@ -186,19 +187,28 @@ def fit_profile(cum: DataFrame, spec: ModelSpec | str, units: DataFrame | None =
     if boxes is None:
         boxes = param_bounds(series_stats(cum, keys), spec)
     boxes = boxes.select(*keys, "lo", "hi", *_STATS)
-    found = _search(obs, spec, boxes, units, mle, keys)
+    if not rounds:
+        found = _search(obs, spec, boxes, units, mle, keys)
+        return found.select(*keys, F.lit(spec.model_id).alias("model_id"), F.col("best.params").alias("params"), F.col("best.loss").alias("loss"))
+    # the sides and the best so far go along as plain numbers, so each round reads the last one once
+    best = ("b_loss", *(f"b_{i}" for i in range(spec.k)))
+    keep = (*_STATS, *(f"{s}_{i}" for s in ("lo", "hi") for i in range(spec.k)))
+    found = _search(obs, spec, boxes, units, mle, keys, keep)
+    found = found.withColumns({"b_loss": F.col("best.loss"), **{f"b_{i}": F.col("best.params")[i] for i in range(spec.k)}}).drop("best")
+    free = [i for i, p in enumerate(spec.params) if p in spec.searched and not (spec.effort and p == "N")]
     for k in range(rounds):
         small = latin_hypercube(spark, dims, 60, seed=k + 2) if dims > 1 else grid(spark, 1, 20)
         share = 0.35 * 0.4**k if dims > 1 else 1.0 / 400 * 0.1**k * 1.5
-        free = [i for i, p in enumerate(spec.params) if p in spec.searched and not (spec.effort and p == "N")]
-        narrow = lambda side: F.transform(
-            F.arrays_zip(F.col("best.params").alias("x"), F.col("lo").alias("lo"), F.col("hi").alias("hi")),
-            lambda z, i: F.when(i.isin(free), F.greatest(z["lo"], z["x"] - share * (z["hi"] - z["lo"])) if side == "lo" else F.least(z["hi"], z["x"] + share * (z["hi"] - z["lo"]))).otherwise(z[side]),
+        lo = [F.greatest(f"lo_{i}", F.col(f"b_{i}") - share * (F.col(f"hi_{i}") - F.col(f"lo_{i}"))) if i in free else F.col(f"lo_{i}") for i in range(spec.k)]
+        hi = [F.least(f"hi_{i}", F.col(f"b_{i}") + share * (F.col(f"hi_{i}") - F.col(f"lo_{i}"))) if i in free else F.col(f"hi_{i}") for i in range(spec.k)]
+        narrow = found.select(*keys, *_STATS, F.array(*lo).alias("lo"), F.array(*hi).alias("hi"), *best)
+        again = _search(obs, spec, narrow, small, mle, keys, (*keep, *best))
+        better = F.coalesce(F.col("best.loss") < F.col("b_loss"), F.col("b_loss").isNull())
+        found = again.select(
+            *keys, *keep, F.when(better, F.col("best.loss")).otherwise(F.col("b_loss")).alias("b_loss"), *(F.when(better, F.col("best.params")[i]).otherwise(F.col(f"b_{i}")).alias(f"b_{i}") for i in range(spec.k))
         )
-        boxes = _same(boxes, found.select(*keys, "best"), keys).withColumns({"_lo": narrow("lo"), "_hi": narrow("hi")}).drop("lo", "hi", "best").withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
-        again = _same(found.withColumnRenamed("best", "before"), _search(obs, spec, boxes, small, mle, keys).drop("n"), keys, "left")
-        found = again.withColumn("best", F.when(F.col("best.loss") < F.col("before.loss"), F.col("best")).otherwise(F.col("before"))).drop("before")
-    return found.select(*keys, F.lit(spec.model_id).alias("model_id"), F.col("best.params").alias("params"), F.col("best.loss").alias("loss"))
+    done = found.where("b_loss is not null")
+    return done.select(*keys, F.lit(spec.model_id).alias("model_id"), F.array(*(f"b_{i}" for i in range(spec.k))).alias("params"), F.col("b_loss").alias("loss"))
 
 
 def fit_zoom(cum: DataFrame, spec: ModelSpec | str, rounds: int = 4, **kw) -> DataFrame:
