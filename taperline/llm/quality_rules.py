@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import BROADCAST_ROWS, stored
+from .tables import BROADCAST_ROWS, slices, stored
 
 SYMBOLS = b"#*$%&|<>"
 BINS = 200
@@ -59,7 +59,7 @@ def text_features(text: str) -> tuple[int, ...]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         rows = [text_features(x.as_py() or "") for x in batch.column(0)]
         table = np.array(rows, np.int64).reshape(-1, len(names))
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(table[:, k]) for k in range(len(names)))], names=["doc_id", "stratum", *names])

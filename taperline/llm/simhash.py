@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import stored
+from .tables import slices, stored
 
 BITS = 64
 
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     """(doc_id, text_hash, fp long) for each row; a null text has no words, and without words the fingerprint is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [fingerprint(x.as_py() or "", shingle, seed) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())], names=["doc_id", "text_hash", "fp"])
 

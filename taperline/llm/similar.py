@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .simhash import fingerprint, near_links
-from .tables import stored
+from .tables import slices, stored
 
 #: A pair of Jaccard similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8.
 BANDS, ROWS = 20, 5
@@ -43,7 +43,7 @@ def bands(held: np.ndarray) -> list[int]:
 
 def _sketches(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x.as_py() or "" for x in batch.column(2)]
             sets = [shingles(x, shingle, seed) for x in texts]
             made = [
@@ -60,7 +60,7 @@ def _sketches(shingle: int, seed: int):
 
 def _sets(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [shingles(x.as_py() or "", shingle, seed).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["set", "held"])
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import numbered, stored, unstored
+from .tables import numbered, slices, stored, unstored
 
 #: Bytes of an anchor window, for strings of 200 bytes or more; two fifths of shorter strings.
 ANCHOR = 80
@@ -381,7 +381,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pi
     shape = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             given = batch.column(batch.num_columns - 1)
             out_spans, out_kept = [], []
             for i in range(batch.num_rows):

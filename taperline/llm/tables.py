@@ -15,6 +15,13 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 
 
+def slices(batches, rows: int = 256):
+    """The Arrow batches in pieces of a few rows, so that a task holds few texts at a time in any other form."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``; one of our own only where it is unset and all runs in one process (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

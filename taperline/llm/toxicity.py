@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import slices, stored
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -184,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             got = [made.features(words_of(x.as_py() or "")) for x in batch.column(at)]
             scores = [made.score(x, y) for x, y, _ in got]
             spans = [[{"start": a, "end": b, "score": s, "e_value": e} for a, b, s, e in p] for _, _, p in got]
