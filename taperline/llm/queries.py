@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, lm_score, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, centroids, decontaminate, license_scan, lm_score, sharding, simhash, spelling, substring_dedup, suffix_dedup, toxicity
 from . import chat_format as chat
 from . import quality_rules as quality
 from .license_sql import license_sql
+from .plain_sql import CENTROIDS_SQL, SPELLING_SQL, WINDOWS_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,8 +119,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matches", "doc_start", "doc_end")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), dims=64, k=16, rounds=3, scale=64, seed=1)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_chat_format, op3_simhash, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_sharding, op8_license_scan, op9_lm_score, op10_decontaminate)
-}
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_license_scan": license_sql()}
+    for f in (
+        op1_quality_rules, op2_chat_format, op3_simhash, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_sharding, op8_license_scan, op9_lm_score, op10_decontaminate,
+        op11_spelling, op12_substring_dedup, op13_centroids,
+    )
+}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_license_scan": license_sql(), "op11_spelling": SPELLING_SQL, "op12_substring_dedup": WINDOWS_SQL, "op13_centroids": CENTROIDS_SQL}
