@@ -178,6 +178,7 @@ def removal_windows(docs: DataFrame, length: int = 50, anchor: int = 16) -> Data
     texts = docs.select("_rid", "_ord", "text").join(asked, "_rid").select("_ord", "text", "runs")
     windows = stored(texts.mapInArrow(_find_windows(length), f"_ord {kinds['_ord']}, c1 long, c2 long, n int, off int, w1 long, w2 long"), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("_ord").alias("a"), F.max("_ord").alias("b")).where("a < b").select("w1", "w2", "a")
+    least = stored(least, "repeated-windows")  # so that the join can split a frequent window
     later = windows.join(least, ["w1", "w2"]).where("a < _ord")
     parts = later.groupBy(*wording).agg(F.collect_list("off").alias("offs"))  # bounded by the wording
     known = first.select(*wording, F.col("_ord").alias("a"), "times").join(parts, wording, "left").where("times > 1 or offs is not null")
