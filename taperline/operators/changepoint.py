@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.special import chi2_sf
 from .curves import MODELS, ModelSpec, bind, by_index, with_fixed_tau
-from .fit import _prepared, _search, fit_profile, grid, latin_hypercube, param_bounds, series_stats
+from .fit import _search, _solve, fit_profile, grid, latin_hypercube, param_bounds, series_stats
 from .score import aicc
 from .series import by_time
 from .uncertainty import pseudo_series_poisson
@@ -27,32 +28,115 @@ def slope_breaks(cum: DataFrame, window: int = 5, threshold: float = 0.3) -> Dat
     return c.join(lists.select("series_id", taken.alias("taken")), "series_id").select("series_id", "t", "before", "after", "change", F.array_contains("taken", F.col("t")).alias("picked"))
 
 
+#: Exponents that stand together in one running sum, so that none overflows; what lies two blocks further off is under exp(-300) of it.
+_BLOCK = 300
+
+
+def segment_sums(days: DataFrame, decay: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """days (keys, t, n, y, b) with what a pair's sums at every place tau = t are made of, by running sums over the days.
+
+    Before tau: k, the kernel at tau, and kk, ky, the sums of its square and its product with y up to tau. After tau: y_after, the sum of y, s_k and s_kk, the kernel's
+    sums over the days since tau, and s_ky, its product with y. exp(-b (t - tau)) is exp(b tau) times exp(-b t), so each is one running sum, whatever the number of places; exponents
+    are summed in blocks so that they stay in range.
+    """
+    at = lambda d: F.expr("1-exp(-b*" + d + ")*(" + "+".join(f"({c})*power({d},{j})" if j else f"({c})" for j, c in enumerate(decay)) + ")")
+    forward = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy(*keys).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+    rest_of_block = Window.partitionBy(*keys, "block").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+    next_block = Window.partitionBy(*keys).orderBy("block").rangeBetween(1, 1)
+    d = days.withColumns({"k": at("t"), "back": at("(n-t)"), "block": F.floor(F.col("b") * F.col("t") / _BLOCK)})
+    d = d.withColumns({f"e{j}": F.expr(f"y*power(t,{j})*exp({_BLOCK}*block-b*t)") for j in range(len(decay))})
+    zero = F.lit(0.0)
+    d = d.withColumns({
+        "kk": F.sum(F.expr("k*k")).over(forward), "ky": F.sum(F.expr("k*y")).over(forward), "y_after": F.coalesce(F.sum("y").over(later), zero), "s_k": F.sum("back").over(backward), "s_kk": F.sum(F.expr("back*back")).over(backward),
+        **{f"r{j}": F.coalesce(F.sum(f"e{j}").over(rest_of_block), zero) for j in range(len(decay))}, **{f"x{j}": F.coalesce(F.sum(f"e{j}").over(next_block), zero) for j in range(len(decay))},
+    })
+    # the sum of y (t - tau)^j exp(-b (t - tau)) over t after tau
+    moment = lambda j: f"(exp(b*t-{_BLOCK}*block)*r{j}+exp(b*t-{_BLOCK}*(block+1))*x{j})"
+    parts = [f"({decay[0]})*{moment(0)}", *([f"({decay[1]})*({moment(1)}-t*{moment(0)})"] if len(decay) > 1 else [])]
+    return d.withColumn("s_ky", F.expr(f"y_after-({'+'.join(parts)})")).select(*days.columns, "k", "kk", "ky", "y_after", "s_k", "s_kk", "s_ky")
+
+
+#: The sums of a pair at tau = t from those of its first kernel (f) and of its second (g).
+_PAIR = {"s_11": "f.kk+(n-t)*f.k*f.k", "s_12": "f.k*g.s_k", "s_22": "g.s_kk", "s_y1": "f.ky+f.k*f.y_after", "s_y2": "g.s_ky"}
+
+
+def _dealt(cum: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Days dealt out by series to as many tasks as the session has shuffle partitions, with n, Y as top and the sum of y * y beside them."""
+    keys = keys or ["series_id"]
+    w = Window.partitionBy(*keys)
+    rows = cum.select(*keys, "t", "y").repartition(int(cum.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.withColumns({"n": F.count("*").over(w).cast("double"), "top": F.greatest(F.max("y").over(w), F.lit(1.0)), "s_yy": F.sum(F.expr("y*y")).over(w)})
+
+
 def scan_tau(cum: DataFrame, fits: DataFrame, model: str) -> DataFrame:
-    """(series_id, tau, sse, best): the error of a change-point model with all else given, for tau = 3 to n - 4."""
+    """(series_id, tau, sse, best): the error of a change-point model with all else given, for tau = 3 to n - 4.
+
+    For kernels that name their decay the errors of all places come from running sums, so that each day is used once.
+    """
     spec = MODELS[model]
+    best = F.row_number().over(Window.partitionBy("series_id").orderBy("sse", "tau")) == 1
+    given = fits.where(F.col("model_id") == model).select("series_id", "params")
+    if spec.decay:
+        days = _dealt(cum).join(given, "series_id")
+        each = days.select("series_id", "t", "n", "y", "s_yy", "params", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("params")[spec.params.index(p)].alias("b")) for i, p in enumerate(("b1", "b2"))))).alias("x"))
+        sums = segment_sums(each.select("series_id", "x.i", "t", "n", "y", "s_yy", "params", "x.b"), spec.decay, ["series_id", "i"])
+        part = lambda i: F.max(F.when(F.col("i") == i, F.struct("k", "kk", "ky", "y_after", "s_k", "s_kk", "s_ky")))
+        both = sums.groupBy("series_id", "t", "n", "s_yy", "params").agg(part(0).alias("f"), part(1).alias("g")).withColumns({k: F.expr(v) for k, v in _PAIR.items()})
+        x, y = (f"params[{spec.params.index(p)}]" for p in ("a1", "a2"))
+        out = both.where("n >= 7 and t between 3 and n - 4").select("series_id", F.col("t").alias("tau"), F.expr(f"s_yy-2*{x}*s_y1-2*{y}*s_y2+{x}*{x}*s_11+2*{x}*{y}*s_12+{y}*{y}*s_22").alias("sse"))
+        return out.withColumn("best", best)
     n = cum.groupBy("series_id").agg(F.count("*").alias("n")).where("n >= 7")
     taus = n.select("series_id", F.explode(F.expr("transform(sequence(3, cast(n as int) - 4), x -> cast(x as double))")).alias("tau"))
-    rows = fits.where(F.col("model_id") == model).select("series_id", "params").join(taus, "series_id").join(cum.select("series_id", "t", "y"), "series_id")
+    rows = given.join(taus, "series_id").join(cum.select("series_id", "t", "y"), "series_id")
     m = F.expr(by_index(spec, spec.mean, tau="tau"))
-    out = rows.groupBy("series_id", "tau").agg(F.sum(F.pow(F.col("y") - m, 2)).alias("sse"))
-    return out.withColumn("best", F.row_number().over(Window.partitionBy("series_id").orderBy("sse", "tau")) == 1)
+    return rows.groupBy("series_id", "tau").agg(F.sum(F.pow(F.col("y") - m, 2)).alias("sse")).withColumn("best", best)
+
+
+def _profile_by_sums(cum: DataFrame, spec: ModelSpec, units: DataFrame, margin: int, step: int, keys: list[str]) -> DataFrame:
+    """keys, tau, n, params, loss for a pair whose kernels name their decay: running sums for every rate, and every place combines two of them for each candidate."""
+    sides = [[F.expr(bind(x, {"Y": "top", "n": "n", "E": "1.0D"})).cast("double") for x in spec.box[p]] for p in ("a1", "b1", "a2", "b2")]
+    pairs = units.select("cand", F.col("u")[0].alias("u1"), F.col("u")[1].alias("u2"))
+    number = F.row_number().over(Window.partitionBy("i").orderBy("u")) - 1  # candidates are few, and their number does not depend on the data
+    rates = pairs.select(F.lit(0).alias("i"), F.col("u1").alias("u")).union(pairs.select(F.lit(1).alias("i"), F.col("u2").alias("u"))).distinct().withColumn("place", number)
+    first, second = (rates.where(F.col("i") == i).select(F.col("u").alias(f"u{i + 1}"), F.col("place").alias(f"at{i + 1}")) for i in (0, 1))
+    numbered = pairs.join(first, "u1").join(second, "u2").select("cand", "at1", "at2")
+    rows = _dealt(cum, keys).where(F.col("n") >= 2 * margin + 1).crossJoin(F.broadcast(rates))
+    (lo1, hi1), (lo2, hi2) = sides[1], sides[3]
+    rate = F.when(F.col("i") == 0, lo1 + (hi1 - lo1) * F.col("u")).otherwise(lo2 + (hi2 - lo2) * F.col("u"))
+    sums = segment_sums(rows.withColumn("b", rate), spec.decay, [*keys, "i", "place"])
+    some = sums.where((F.col("t") >= margin) & (F.col("t") <= F.col("n") - margin) & ((F.col("t") - margin) % step == 0))
+    of = lambda i: F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("place", "b", "k", "kk", "ky", "y_after", "s_k", "s_kk", "s_ky"))))
+    at_tau = some.groupBy(*keys, "t").agg(*(F.max(c).alias(c) for c in ("n", "top", "s_yy")), of(0).alias("firsts"), of(1).alias("seconds"))
+    each = at_tau.crossJoin(F.broadcast(numbered)).withColumns({"f": F.get("firsts", F.col("at1")), "g": F.get("seconds", F.col("at2"))})
+    each = each.select(*keys, "t", "n", "s_yy", "cand", F.col("f.b").alias("b1"), F.col("g.b").alias("b2"), *(F.expr(v).alias(k) for k, v in _PAIR.items()), *(x.alias(f"{s}_{i}") for i, side in ((0, sides[0]), (1, sides[2])) for s, x in zip(("lo", "hi"), side)))
+    solved = each.withColumn("s", _solve("pair", False, ["lo_0", "lo_1"], ["hi_0", "hi_1"])).select(*keys, "t", "n", "cand", "b1", "b2", F.col("s.loss").alias("loss"), F.col("s.x0").alias("a1"), F.col("s.x1").alias("a2"))
+    order = F.col("loss") + F.abs("loss") * F.col("cand") * F.lit(2.0**-50) + F.col("cand") * F.lit(1e-290)
+    least = solved.where("loss is not null and not isnan(loss)").withColumn("_order", order).groupBy(*keys, "t").agg(F.max("n").alias("n"), *(F.min_by(c, "_order").alias(c) for c in ("loss", "a1", "b1", "a2", "b2")))
+    return least.select(*keys, F.col("t").alias("tau"), "n", F.array("a1", "b1", "a2", "b2").alias("params"), "loss")
 
 
 def profile_tau(cum: DataFrame, model: str = "exp_change_point", margin: int = 3, step: int = 1, units: DataFrame | None = None) -> DataFrame:
     """(series_id, model_id, tau, params, loss, n, k, aicc, best): the model refitted with each tau from margin to n - margin.
 
-    params are those of the model with tau fixed, in its order; tau counts in k. Series under 2 * margin + 1 days have no rows.
+    params are those of the model with tau fixed, in its order; tau counts in k. Series under 2 * margin + 1 days have no rows. Models of two scales whose kernels name
+    their decay cost days by candidates: all places come from running sums (see segment_sums). Others are searched for every place.
     """
     spec = with_fixed_tau(MODELS[model])
-    n = cum.groupBy("series_id").agg(F.count("*").alias("n_days")).where(F.col("n_days") >= 2 * margin + 1)
-    taus = n.select("series_id", F.explode(F.expr(f"transform(sequence({margin}, cast(n_days as int) - {margin}, {step}), x -> cast(x as double))")).alias("tau"))
-    boxes = param_bounds(series_stats(cum), spec).join(taus, "series_id").select("series_id", "tau", "lo", "hi", "n", "E", "y_n", "syy", "var_y", "var_e")
     dims = len(spec.searched)
     units = units if units is not None else (grid(cum.sparkSession, dims, 16) if dims <= 2 else latin_hypercube(cum.sparkSession, dims, 400))
-    obs = _prepared(cum, False, ["series_id"]).join(taus, "series_id")
-    found = _search(obs, spec, boxes, units, False, ["series_id", "tau"])
     k = F.lit(spec.k + 1)
-    out = found.select("series_id", F.lit(model).alias("model_id"), "tau", F.col("best.params").alias("params"), F.col("best.loss").alias("loss"), F.col("n").cast("long").alias("n"), k.alias("k"))
+    if spec.decay:
+        found = _profile_by_sums(cum, spec, units, margin, step, ["series_id"])
+        out = found.select("series_id", F.lit(model).alias("model_id"), "tau", "params", "loss", F.col("n").cast("long").alias("n"), k.alias("k"))
+    else:
+        n = cum.groupBy("series_id").agg(F.count("*").alias("n_days")).where(F.col("n_days") >= 2 * margin + 1)
+        taus = n.select("series_id", F.explode(F.expr(f"transform(sequence({margin}, cast(n_days as int) - {margin}, {step}), x -> cast(x as double))")).alias("tau"))
+        boxes = param_bounds(series_stats(cum), spec).join(taus, "series_id").select("series_id", "tau", "lo", "hi", "n", "E", "y_n", "syy", "var_y", "var_e")
+        obs = cum.select("series_id", "t", "y", "y_fixed", "effort").join(taus, "series_id")
+        found = _search(obs, spec, boxes, units, False, ["series_id", "tau"])
+        out = found.select("series_id", F.lit(model).alias("model_id"), "tau", F.col("best.params").alias("params"), F.col("best.loss").alias("loss"), F.col("n").cast("long").alias("n"), k.alias("k"))
     score = F.when(F.col("loss") > 0, F.col("n") * F.log(F.col("loss") / F.col("n")) + 2 * F.col("k"))
     out = out.withColumn("aicc", aicc(score, F.col("n"), F.col("k")))
     return out.withColumn("best", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("aicc").asc_nulls_last(), "tau")) == 1)
@@ -77,36 +161,68 @@ def fit_change_point(cum: DataFrame, model: str = "exp_change_point") -> DataFra
     return done.unionByName(fit_profile(rest, model).select(*done.columns))
 
 
-def change_point_lrt(cum: DataFrame, null_model: str = "exponential", alt_model: str = "exp_change_point", replicates: int = 500, seed: int = 1) -> DataFrame:
-    """(series_id, lr, n_reps, p_value, grade): LR = n ln(SSE0 / SSE1) against its distribution under the null model, by replicates
-    with daily means of 0.01 at least: p = (those as large + 1) / (replicates + 1) (I6)."""
+def exponential_loglik(n: str, at: str, b: str, days: str, lo: str, hi: str) -> str:
+    """SQL: the greatest Poisson log-likelihood, but for the factorials, of n finds over a segment of ``days`` days under a (1 - exp(-b d)) with a in [lo, hi]; ``at`` is
+    the sum of the finds' days counted from the segment's beginning, which is all that is needed of them beside their number."""
+    g = f"(1-exp(-{b}*{days}))"
+    a = f"least(greatest(({n})/{g},{lo}),{hi})"
+    return f"(({n})*ln({a})+({n})*ln(exp({b})-1)-{b}*({at})-({a})*{g})"
+
+
+def poisson_lr(rows: DataFrame, keys: list[str], points: int = 100, margin: int = 3) -> DataFrame:
+    """(keys, lr, l0, l1, tau): twice the gain in Poisson log-likelihood of an exponential curve with a change point over one without, and the best place.
+
+    At a whole-numbered place the likelihood falls into two segments, each with a scale in closed form and a rate among ``points``; a segment needs the number of its finds and the
+    sum of their days, which are running sums, so a replicate costs days by rates. Series under 2 * margin + 1 days have no rows.
+    """
+    w, so_far_ = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    d = _dealt(rows, keys).withColumn("dy", F.col("y") - F.coalesce(F.lag("y").over(Window.partitionBy(*keys).orderBy("t")), F.lit(0.0)))
+    d = d.withColumn("at", F.sum(F.expr("dy*t")).over(so_far_)).withColumns({"y_n": F.max_by("y", "t").over(w), "at_n": F.max_by("at", "t").over(w)})
+    rates = rows.sparkSession.range(1, points + 1).select((F.lit(0.001) + F.lit(0.999) * F.col("id") / float(points)).alias("b"))
+    places = d.where((F.col("n") >= 2 * margin + 1) & ((F.col("t") == F.col("n")) | ((F.col("t") >= margin) & (F.col("t") <= F.col("n") - margin))))
+    each = places.crossJoin(F.broadcast(rates))
+    # the last day stands for no change point
+    whole = exponential_loglik("y", "at", "b", "n", "top", "5*top")
+    before = exponential_loglik("y", "at", "b", "t", "1.0D", "3*top")
+    after = exponential_loglik("y_n-y", "at_n-at-t*(y_n-y)", "b", "(n-t)", "1.0D", "3*top")
+    best = each.groupBy(*keys, "t").agg(F.max("n").alias("n"), F.max(F.expr(f"case when t=n then {whole} end")).alias("l0"), F.max(F.expr(f"case when t<n then {before} end")).alias("l1a"), F.max(F.expr(f"case when t<n then {after} end")).alias("l1b"))
+    best = best.withColumn("l1", F.expr("l1a+l1b"))
+    out = best.groupBy(*keys).agg(F.max("l0").alias("l0"), F.max("l1").alias("l1"), F.max_by("t", F.when(F.col("l1").isNotNull(), F.struct("l1", -F.col("t")))).alias("tau"))
+    return out.select(*keys, F.greatest(F.lit(0.0), 2 * (F.col("l1") - F.col("l0"))).alias("lr"), "l0", "l1", "tau").where("lr is not null")
+
+
+def change_point_lrt(cum: DataFrame, null_model: str = "exponential", alt_model: str = "exp_change_point", replicates: int = 500, seed: int = 1, loss: str = "mle") -> DataFrame:
+    """(series_id, lr, df, chi2_p, n_reps, p_value, grade): the likelihood ratio of a model with a change point over one without.
+
+    loss "mle": twice the gain in Poisson log-likelihood; "sse": n ln(SSE0 / SSE1). chi2_p is the chi-square law's, for reference: the place of the change is not
+    identified without one. p_value is by replicates of the null model with daily means of 0.01 at least: (those as large + 1) / (replicates + 1). Exponential curves under
+    "mle" are fitted at whole-numbered places by running sums (poisson_lr); other models and "sse" by candidates.
+    """
+    mle = loss == "mle"
+    summed = mle and null_model == "exponential" and alt_model == "exp_change_point"
 
     def ratio(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
         keys = ["series_id", *by]
+        if summed:
+            return poisson_lr(rows, keys).select(*keys, "lr")
         n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-        a = fit_profile(rows, null_model, grid(rows.sparkSession, 1, 100), by=by, boxes=_boxes(rows, MODELS[null_model], keys)).select(*keys, F.col("loss").alias("l0"))
-        b = fit_profile(rows, alt_model, latin_hypercube(rows.sparkSession, 3, 150), by=by, boxes=_boxes(rows, MODELS[alt_model], keys)).select(*keys, F.col("loss").alias("l1"))
-        return n.join(a, keys).join(b, keys).select(*keys, F.greatest(F.lit(0.0), F.col("n") * F.log(F.greatest("l0", F.lit(1e-12)) / F.greatest("l1", F.lit(1e-12)))).alias("lr"))
+        few = lambda m, one, more: grid(rows.sparkSession, 1, one) if len(MODELS[m].searched) == 1 else latin_hypercube(rows.sparkSession, len(MODELS[m].searched), more)
+        a = fit_profile(rows, null_model, few(null_model, 100, 150), loss, by=by).select(*keys, F.col("loss").alias("l0"))
+        b = fit_profile(rows, alt_model, few(alt_model, 100, 150), loss, by=by).select(*keys, F.col("loss").alias("l1"))
+        gain = 2 * (F.col("l0") - F.col("l1")) if mle else F.col("n") * F.log(F.greatest("l0", F.lit(1e-12)) / F.greatest("l1", F.lit(1e-12)))
+        return n.join(a, keys).join(b, keys).select(*keys, F.greatest(F.lit(0.0), gain).alias("lr"))
 
     seen = ratio(cum, ())
-    null = fit_profile(cum, null_model)
+    null = fit_profile(cum, null_model, loss=loss)
     draws = ratio(pseudo_series_poisson(cum, null, null_model, replicates, seed, 0.01), ("rep",)).withColumnRenamed("lr", "lr_rep")
     out = seen.join(draws, "series_id", "left").groupBy("series_id", "lr").agg(F.count("lr_rep").alias("n_reps"), F.count_if(F.col("lr_rep") >= F.col("lr")).alias("larger"))
     p = (F.col("larger") + 1) / (F.col("n_reps") + 1)
-    return out.select("series_id", "lr", "n_reps", p.alias("p_value"), lrt_grade(p).alias("grade"))
+    df = MODELS[alt_model].k - MODELS[null_model].k
+    return out.select("series_id", "lr", F.lit(df).alias("df"), chi2_sf(F.col("lr"), F.lit(df)).alias("chi2_p"), "n_reps", p.alias("p_value"), lrt_grade(p).alias("grade"))
 
 
 def lrt_grade(p):
     return F.when(p < 0.01, "strong").when(p < 0.05, "significant").when(p < 0.10, "weak").otherwise("none")
 
 
-def _boxes(rows: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFrame:
-    """Boxes by replicate."""
-    stats = rows.groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"), F.greatest(F.max("y"), F.lit(1.0)).alias("Y"), F.lit(1.0).alias("E"), F.max_by("y", "t").alias("y_n"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"), F.lit(1.0).alias("var_y"), F.lit(1.0).alias("var_e"),
-    )
-    return param_bounds(stats, spec)
-
-
-__all__ = ["bind", "slope_breaks", "scan_tau", "profile_tau", "tau_reliability", "fit_change_point", "change_point_lrt", "lrt_grade"]
+__all__ = ["slope_breaks", "segment_sums", "scan_tau", "profile_tau", "tau_reliability", "fit_change_point", "poisson_lr", "change_point_lrt", "lrt_grade"]

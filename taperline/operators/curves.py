@@ -28,6 +28,8 @@ class ModelSpec:
     pair: bool = False  # two scale parameters a1, a2 with kernels first and second
     first: str = ""
     second: str = ""
+    apart: bool = False  # the kernels of a pair grow on different days, but for one
+    decay: tuple[str, ...] = ()  # a pair's kernel over d days of its segment is 1 - exp(-b d) * (c0 + c1 d): c0, c1 as SQL in b
     latent: str | None = None
     eta: str | None = None
     defaults: bool = False
@@ -120,13 +122,13 @@ def _specs() -> list[ModelSpec]:
     ]
     pair = {"a1": ("1", "3*Y"), "b1": _B, "a2": ("1", "3*Y"), "b2": _B, "tau": _TAU}
 
-    def two(name: str, f) -> ModelSpec:  # noqa: ANN001
+    def two(name: str, f, *decay: str) -> ModelSpec:  # noqa: ANN001
         first, second = f("b1", _BEFORE), f("b2", _AFTER)
-        return ModelSpec(name, "change_point", pair, f"(a1*{first}+a2*{second})", f"(a1*{f('b1', 'tau')}+a2)", pair=True, first=first, second=second)
+        return ModelSpec(name, "change_point", pair, f"(a1*{first}+a2*{second})", f"(a1*{f('b1', 'tau')}+a2)", pair=True, first=first, second=second, apart=True, decay=decay)
 
     change = [
-        two("exp_change_point", _E),
-        two("delayed_s_change_point", _S),
+        two("exp_change_point", _E, "1.0D"),
+        two("delayed_s_change_point", _S, "1.0D", "b"),
         ModelSpec(
             "imperfect_change_point", "change_point", {"a": _A, "b1": _B, "b2": _B, "alpha": ("0", "0.5"), "tau": _TAU},
             f"(case when t<=tau then {_IMP} else {_IMP}+{_IMP_REST}*(1-exp(-b2*(1-alpha)*{_AFTER}))/(1-alpha*(1-exp(-b2*(1-alpha)*{_AFTER}))) end)",
@@ -185,7 +187,7 @@ def register_model(spec: ModelSpec) -> None:
 
 def with_fixed_tau(spec: ModelSpec) -> ModelSpec:
     """The model with its change point given by a column ``tau`` (C14)."""
-    return ModelSpec(f"{spec.model_id}_fixed_tau", spec.category, {p: b for p, b in spec.box.items() if p != "tau"}, spec.mean, spec.total, pair=spec.pair, first=spec.first, second=spec.second, logs=spec.logs)
+    return ModelSpec(f"{spec.model_id}_fixed_tau", spec.category, {p: b for p, b in spec.box.items() if p != "tau"}, spec.mean, spec.total, pair=spec.pair, first=spec.first, second=spec.second, apart=spec.apart, decay=spec.decay, logs=spec.logs)
 
 
 def catalog_ids(change_point: bool = False, effort: bool = False, removal: bool = False, coverage: bool = False) -> list[str]:

@@ -6,6 +6,7 @@ summed by series and candidate (partial sums before the shuffle), and the least
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,16 +61,66 @@ def _place(u: str, lo: str, hi: str, log: bool) -> str:
     return f"({lo}*power({hi}/{lo},{u}))" if log else f"({lo}+({hi}-{lo})*{u})"
 
 
-def _solve(spec: ModelSpec, mle: bool) -> Column:
-    """struct of loss and the values x0, x1 of the scales: the constrained optimum that one candidate's sums allow."""
-    lo, hi = ([f"{side}_{spec.params.index(p)}" for p in spec.scales] for side in ("lo", "hi"))
+#: Rounds of the fixed point that splits the finds of the one day on which both kernels of a pair grow.
+SHARES = 20
+
+
+def _kind(spec: ModelSpec) -> str:
+    return "pair" if spec.pair else "effort" if spec.effort is not None else "removal" if spec.corrected else "plain"
+
+
+def _free(spec: ModelSpec) -> list[str]:
+    """The parameters that candidates place; the others are solved from sums."""
+    return [p for p in spec.searched if not (spec.effort is not None and p == "N")]
+
+
+def _sums(kind: str, mle: bool, g: Callable[..., Column]) -> tuple[dict[str, Column], dict[str, str]]:
+    """What a row of days by candidates adds (columns by g(curve, t), for scales of 1) and the sums of it that decide."""
+    step = lambda what: g(what) - g(what, "t_prev")
+    if kind == "pair" and mle:
+        # days on which the first kernel grows alone, the second alone, or both: one day at most, that of the change point
+        rows = {"d1": F.greatest(step("first"), F.lit(0.0)), "d2": F.greatest(step("second"), F.lit(0.0))}
+        alone, other, both = "d2<=0", "d1<=0 and d2>0", "d1>0 and d2>0"
+        when = lambda c, x: f"case when {c} then {x} else 0.0D end"
+        sums = {"g_1": "d1", "g_2": "d2", "n_1": when(alone, "dy"), "n_2": when(other, "dy"), "n_b": when(both, "dy"), "b_1": when(both, "d1"), "b_2": when(both, "d2")}
+        return rows, sums | {"s_ln": f"case when {alone} then dy*ln(greatest(d1,1e-12D)) when {other} then dy*ln(greatest(d2,1e-12D)) else 0.0D end", "s_fact": "fact"}
+    if kind == "pair":
+        return {"g1": g("first"), "g2": g("second")}, {"s_11": "g1*g1", "s_12": "g1*g2", "s_22": "g2*g2", "s_y1": "y*g1", "s_y2": "y*g2", "s_yy": "y*y"}
+    if mle:
+        rows, sums = {"dg": F.greatest(step("mean"), F.lit(1e-12))}, {"s_ln": "dy*ln(dg)", "g_n": "dg", "s_fact": "fact"}
+        if kind == "removal":
+            rows["dc"] = F.greatest(step("corrected"), F.lit(1e-12))
+            sums = {"s_ln": "dy*ln(dg)+df*ln(dc)", "g_n": "dg+dc", "s_fact": "fact+fact_fixed"}
+    else:
+        rows, sums = {"g": g("mean")}, {"s_yg": "y*g", "s_gg": "g*g", "s_yy": "y*y"}
+        if kind == "removal":
+            rows["gc"] = g("corrected")
+            sums = {"s_yg": "y*g+y_fixed*gc", "s_gg": "g*g+gc*gc", "s_yy": "y*y+y_fixed*y_fixed"}
+    if kind == "effort":
+        rows["w"] = g("effort")
+        used = lambda x: f"case when effort>0 then {x} else 0.0D end"
+        sums |= {"s_ew": used("effort*w"), "s_ww": used("w*w"), "s_ee": used("effort*effort"), "n_e": used("1.0D")}
+    return rows, sums
+
+
+def _solve(kind: str, mle: bool, lo: list[str], hi: list[str]) -> Column:
+    """struct of loss and the values x0, x1 of the scales: the constrained optimum that one candidate's sums allow. lo, hi: SQL of the scales' sides."""
     clip = lambda x, k: f"least(greatest({x},{lo[k]}),{hi[k]})"
-    if not spec.pair:
+    if kind != "pair":
         if mle:
-            a = clip("y_n/nullif(g_n,0)", 0)
-            return F.expr(f"struct(-(y_n*ln({a})+s_ln-({a})*g_n-s_fact) as loss, {a} as x0)")
-        a = clip("coalesce(s_yg/nullif(s_gg,0),lo_" + str(spec.params.index(spec.scales[0])) + ")", 0)
+            found = "y_n+f_n" if kind == "removal" else "y_n"
+            a = clip(f"({found})/nullif(g_n,0)", 0)
+            return F.expr(f"struct(-(({found})*ln({a})+s_ln-({a})*g_n-s_fact) as loss, {a} as x0)")
+        a = clip(f"coalesce(s_yg/nullif(s_gg,0),{lo[0]})", 0)
         return F.expr(f"struct(s_yy-2*({a})*s_yg+({a})*({a})*s_gg as loss, {a} as x0)")
+    if mle:
+        # minorise and maximise: the shared day's finds are split as the scales say, and the scales follow; both are solved at once where no day is shared
+        part = lambda own, x, k: f"{clip(f'coalesce((n_{k + 1}+n_b*{own})/nullif(g_{k + 1},0),{lo[k]})', k)} as x{k}"
+        shared = "(s.x0*b_1+s.x1*b_2)"
+        start = f"struct({part('0.5D', '', 0)}, {part('0.5D', '', 1)})"
+        again = f"struct({part(f's.x0*b_1/{shared}', '', 0)}, {part(f's.x1*b_2/{shared}', '', 1)})"
+        loss = f"-(n_1*ln(s.x0)+n_2*ln(s.x1)+case when n_b>0 then n_b*ln({shared}) else 0.0D end+s_ln-s.x0*g_1-s.x1*g_2-s_fact)"
+        return F.expr(f"case when n_b>0 then aggregate(sequence(1,{SHARES}), {start}, (s, i) -> {again}, s -> struct({loss} as loss, s.x0 as x0, s.x1 as x1)) else transform(array({start}), s -> struct({loss} as loss, s.x0 as x0, s.x1 as x1))[0] end")
     loss = lambda x, y: f"s_yy-2*({x})*s_y1-2*({y})*s_y2+({x})*({x})*s_11+2*({x})*({y})*s_12+({y})*({y})*s_22"
     det = "nullif(s_11*s_22-s_12*s_12,0)"
     x, y = f"((s_y1*s_22-s_y2*s_12)/{det})", f"((s_y2*s_11-s_y1*s_12)/{det})"
@@ -91,117 +142,183 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
 
 
 #: What a search needs of a box beside its sides.
-_STATS = ("n", "E", "y_n", "syy", "var_y", "var_e")
+_STATS = ("n", "E", "y_n", "f_n", "syy", "var_y", "var_e")
+#: Most models whose kernels one pass dispatches, so that its generated code stays small.
+TOGETHER = 8
 
 
-def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame, mle: bool, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """One pass: keys, n and best = struct<loss, cand, params>; with ``keep`` (numbers of the boxes, lo_0, hi_0, ... among them) these too, and
-    keys without a candidate of finite loss as well.
+def _pass(rows: DataFrame, specs: list[ModelSpec], units: list[DataFrame], mle: bool, keys: list[str], side: Callable[[ModelSpec, str, str], str], carry: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One pass of days by candidates for models of one kind: keys, m (a model's place in ``specs``), n and best = struct<loss, cand, params>.
 
-    Candidates are broadcast (their number does not depend on the data). Days, not candidates, are shuffled: once, by key, to as many tasks as
-    the session has shuffle partitions, however few bytes they are, and all sums by key and candidate are made where the days are. All that
-    is grouped or carried is a plain double, so these are hash aggregates in generated code, without a sort.
+    ``rows`` are the days with what ``side`` (model, "lo" or "hi", parameter) refers to and ``carry`` names; ``keep`` of it is returned, and then keys without
+    a candidate of finite loss as well. Candidates are broadcast: their number does not depend on the data. All that is grouped or carried is a plain double,
+    so the sums are hash aggregates in generated code, without a sort, and where ``rows`` are dealt out by key nothing is shuffled.
     """
-    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = {p: spec.params.index(p) for p in spec.params}
-    joint_effort = spec.effort is not None
-    free = [p for p in spec.searched if not (joint_effort and p == "N")]
-    side = lambda s, p: f"{s}_{at[p]}"
-    plain = boxes.select(*keys, *_STATS, *(F.col(s)[i].alias(f"{s}_{i}") for s in ("lo", "hi") for i in range(spec.k)), *(c for c in keep if c in boxes.columns and c not in _STATS))
-    flat = units.select("cand", *(F.col("u")[i].alias(f"u_{i}") for i in range(len(free))))
-    rows = _same(obs, plain, keys).repartition(tasks, *keys).crossJoin(F.broadcast(flat))
-    place = {}
-    for i, p in enumerate(free):
-        lo, hi = side("lo", p), side("hi", p)
-        if joint_effort and p == "b":
+    kind, places = _kind(specs[0]), max(len(_free(s)) for s in specs)
+    of = lambda f: f(specs[0]) if len(specs) == 1 else "case m " + " ".join(f"when {i} then {f(s)}" for i, s in enumerate(specs)) + " end"
+    flat = reduce(DataFrame.unionByName, (
+        u.select(F.lit(i).alias("m"), "cand", *((F.col("u")[k] if k < len(_free(s)) else F.lit(None).cast("double")).alias(f"u_{k}") for k in range(places))) for i, (s, u) in enumerate(zip(specs, units))
+    ))
+
+    def place(spec: ModelSpec, k: int) -> str:
+        if k >= len(_free(spec)):
+            return "cast(null as double)"
+        p = _free(spec)[k]
+        lo, hi = side(spec, "lo", p), side(spec, "hi", p)
+        if kind == "effort" and p == "b":
             lo, hi = f"({lo}*E)", f"({hi}*E*5)"  # the rate times the height of the effort curve
-        place[f"p_{p}"] = F.expr(_place(f"u_{i}", lo, hi, p in spec.logs))
-    rows = rows.withColumns(place)
-    one = {s: "cast(1 as double)" for s in spec.scales} | {p: f"p_{p}" for p in free}
-    if joint_effort:
-        one |= {"N": "cast(1 as double)"}
-    g = lambda sql, **more: F.expr(bind(sql, one | more))
-    if spec.pair:
-        rows = rows.withColumns({"g1": g(spec.first), "g2": g(spec.second)})
-        sums = {"s_11": "g1*g1", "s_12": "g1*g2", "s_22": "g2*g2", "s_y1": "y*g1", "s_y2": "y*g2", "s_yy": "y*y"}
-    elif mle:
-        rows = rows.withColumns({"g": g(spec.mean), "g_before": g(spec.mean, t="t_prev")}).withColumn("dg", F.greatest(F.col("g") - F.col("g_before"), F.lit(1e-12)))
-        sums = {"s_ln": "dy*ln(dg)", "g_n": "dg", "s_fact": "fact"}
-    else:
-        rows = rows.withColumn("g", g(spec.mean))
-        sums = {"s_yg": "y*g", "s_gg": "g*g", "s_yy": "y*y"}
-        if spec.corrected:
-            rows = rows.withColumn("gc", g(spec.corrected))
-            sums = {"s_yg": "y*g+y_fixed*gc", "s_gg": "g*g+gc*gc", "s_yy": "y*y+y_fixed*y_fixed"}
-        if joint_effort:
-            rows = rows.withColumn("w", g(spec.effort))
-            used = "case when effort>0 then "
-            sums |= {"s_ew": f"{used}effort*w end", "s_ww": f"{used}w*w end", "s_ee": f"{used}effort*effort end"}
-    scales = [f"{s}_{at[p]}" for p in spec.scales for s in ("lo", "hi")]
-    carried = ["n", *(["y_n"] if mle else []), *scales, *place, *keep]
-    if joint_effort:
-        carried += ["var_y", "var_e", side("lo", "N"), side("hi", "N"), side("lo", "b"), side("hi", "b")]
-    got = rows.groupBy(*keys, "cand").agg(*(F.max(c).alias(c) for c in dict.fromkeys(carried)), *(F.sum(F.expr(v)).alias(k) for k, v in sums.items()))
+        return _place(f"u_{k}", lo, hi, p in spec.logs)
+
+    rows = rows.crossJoin(F.broadcast(flat)).withColumns({f"p_{k}": F.expr(of(lambda s, k=k: place(s, k))) for k in range(places)})
+
+    def kernel(spec: ModelSpec, what: str, t: str) -> str:
+        one = {x: "cast(1 as double)" for x in (*spec.scales, *(["N"] if kind == "effort" else []))} | {p: f"p_{k}" for k, p in enumerate(_free(spec))}
+        return bind(getattr(spec, what), one | {"t": t})
+
+    added, sums = _sums(kind, mle, lambda what, t="t": F.expr(of(lambda s: kernel(s, what, t))))
+    placed = [f"p_{k}" for k in range(places)]
+    got = rows.withColumns(added).groupBy(*keys, "m", "cand").agg(*(F.max(c).alias(c) for c in dict.fromkeys([*carry, *placed, *keep])), *(F.sum(F.expr(v)).alias(k) for k, v in sums.items()))
     extra = F.lit(0.0)
-    if joint_effort:
-        got = got.withColumn("p_N", F.expr(f"least(greatest(s_ew/nullif(s_ww,0),{side('lo', 'N')}),{side('hi', 'N')})"))
-        got = got.withColumn("p_b", F.expr("p_b/p_N"))
-        extra = F.expr(f"case when p_b between {side('lo', 'b')} and {side('hi', 'b')} then 0.0D end") + F.expr("coalesce(nullif(var_y,0),1)/coalesce(nullif(var_e,0),1)*(s_ee-2*p_N*s_ew+p_N*p_N*s_ww)")
-    searched = [f"p_{p}" for p in spec.searched]
-    solved = got.withColumn("s", _solve(spec, mle)).select(*keys, "cand", "n", *searched, *(c for c in keep if c not in ("n", *searched)), (F.col("s.loss") + extra).alias("loss"), *(F.col(f"s.x{i}").alias(f"x{i}") for i in range(len(spec.scales))))
+    if kind == "effort":
+        b = lambda s: f"p_{_free(s).index('b')}"
+        got = got.withColumn("height", F.expr(of(lambda s: f"least(greatest(s_ew/nullif(s_ww,0),{side(s, 'lo', 'N')}),{side(s, 'hi', 'N')})")))
+        got = got.withColumn("rate", F.expr(of(lambda s: f"{b(s)}/height")))
+        off = "(s_ee-2*height*s_ew+height*height*s_ww)"
+        inside = F.expr(of(lambda s: f"case when rate between {side(s, 'lo', 'b')} and {side(s, 'hi', 'b')} then 0.0D end"))
+        extra = inside + F.expr(f"case when n_e>0 then n_e/2*(1.8378770664093453D+ln(greatest({off},1e-9D)/n_e)+1) else 0.0D end" if mle else f"coalesce(nullif(var_y,0),1)/coalesce(nullif(var_e,0),1)*{off}")
+    scales = range(2 if kind == "pair" else 1)
+    sides = {f"{s}_x{i}": F.expr(of(lambda spec, s=s, i=i: side(spec, s, spec.scales[i]))) for i in scales for s in ("lo", "hi")}
+    solved = got.withColumns(sides).withColumn("s", _solve(kind, mle, [f"lo_x{i}" for i in scales], [f"hi_x{i}" for i in scales]))
+
+    def values(spec: ModelSpec) -> str:
+        return "array(" + ",".join(f"x{spec.scales.index(p)}" if p in spec.scales else ("height" if kind == "effort" and p == "N" else "rate" if kind == "effort" and p == "b" else f"p_{_free(spec).index(p)}") for p in spec.params) + ")"
+
+    chosen = [*placed, *(["height", "rate"] if kind == "effort" else [])]
+    solved = solved.select(*keys, "m", "cand", "n", *chosen, *(c for c in keep if c not in ("n", *chosen)), (F.col("s.loss") + extra).alias("loss"), *(F.col(f"s.x{i}").alias(f"x{i}") for i in scales))
     solved = solved.withColumn("loss", F.nanvl("loss", F.lit(None).cast("double"))) if keep else solved.where("loss is not null and not isnan(loss)")
     # equal losses go to the least candidate: one part in 2 ** 50 a candidate sets them apart
     order = F.col("loss") + F.abs("loss") * F.col("cand") * F.lit(2.0**-50) + F.col("cand") * F.lit(1e-290)
-    least = solved.withColumn("_order", order).groupBy(*keys).agg(*(F.max(c).alias(c) for c in dict.fromkeys(("n", *keep))), *(F.min_by(c, "_order").alias(c) for c in ("loss", "cand", *searched, *(f"x{i}" for i in range(len(spec.scales))))))
-    params = F.array(*(F.col(f"x{spec.scales.index(p)}") if p in spec.scales else F.col(f"p_{p}") for p in spec.params))
-    return least.select(*keys, "n", *(c for c in keep if c != "n"), F.struct("loss", "cand", params.alias("params")).alias("best"))
+    least = solved.withColumn("_order", order).groupBy(*keys, "m").agg(*(F.max(c).alias(c) for c in dict.fromkeys(("n", *keep))), *(F.min_by(c, "_order").alias(c) for c in ("loss", "cand", *chosen, *(f"x{i}" for i in scales))))
+    return least.select(*keys, "m", "n", *(c for c in keep if c != "n"), F.struct("loss", "cand", F.expr(of(values)).alias("params")).alias("best"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as the session has shuffle partitions, however few bytes a table of days is: each day meets all candidates."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame, mle: bool, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One pass of one model over boxes that a table gives: keys, n and best = struct<loss, cand, params>; with ``keep`` (numbers of the boxes, lo_0, hi_0, ...
+    among them) these too. Days are shuffled once, by key."""
+    plain = boxes.select(*keys, *(c for c in _STATS if c in boxes.columns), *(F.col(s)[i].alias(f"{s}_{i}") for s in ("lo", "hi") for i in range(spec.k)), *(c for c in keep if c in boxes.columns and c not in _STATS))
+    rows = _same(obs, plain, keys).repartition(_tasks(obs), *keys)
+    kind, at = _kind(spec), spec.params.index
+    used = [*spec.scales, *(["N", "b"] if kind == "effort" else [])]
+    carry = ["n", *(["y_n", "f_n"] if mle else []), *(f"{s}_{at(p)}" for p in used for s in ("lo", "hi")), *(["var_y", "var_e"] if kind == "effort" else [])]
+    carry = [c for c in carry if c in rows.columns]
+    return _pass(rows, [spec], [units], mle, keys, lambda s, edge, p: f"{edge}_{at(p)}", carry, keep).drop("m")
 
 
 def _prepared(cum: DataFrame, mle: bool, keys: list[str]) -> DataFrame:
-    cols = ["t", "y", "y_fixed", "effort"]
     if not mle:
-        return cum.select(*keys, *cols)
+        return cum
     from pyspark.sql.window import Window
 
     w = Window.partitionBy(*keys).orderBy("t")
-    d = cum.select(*keys, *cols).withColumns({"dy": F.col("y") - F.coalesce(F.lag("y").over(w), F.lit(0.0)), "t_prev": F.coalesce(F.lag("t").over(w), F.lit(0.0))})
-    return d.withColumn("fact", log_factorial(F.col("dy")))
+    step = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0))
+    d = cum.withColumns({"dy": step("y"), "df": step("y_fixed"), "t_prev": F.coalesce(F.lag("t").over(w), F.lit(0.0))})
+    return d.withColumns({"fact": log_factorial(F.col("dy")), "fact_fixed": log_factorial(F.col("df"))})
+
+
+def _with_stats(obs: DataFrame, keys: list[str]) -> DataFrame:
+    """Days with the statistics of their series beside them (see series_stats), by windows over days dealt out by key: one shuffle, no join."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(*keys)
+    d = obs.repartition(_tasks(obs), *keys)
+    return d.withColumns({
+        "n": F.count("*").over(w).cast("double"), "top": F.greatest(F.max("y").over(w), F.lit(1.0)), "E": F.greatest(F.max("effort").over(w), F.lit(1.0)), "e_max": F.max("effort").over(w),
+        "f_max": F.max("y_fixed").over(w), "y_n": F.max_by("y", "t").over(w), "f_n": F.max_by("y_fixed", "t").over(w), "var_y": F.var_pop("y").over(w), "var_e": F.var_pop("effort").over(w),
+    })
+
+
+def default_units(spark: SparkSession, spec: ModelSpec) -> DataFrame:
+    """The candidates of a model by the number of its searched parameters: 400 points of a grid for one or two, a hypercube of 600 beyond."""
+    dims = len(_free(spec))
+    return grid(spark, dims, 400 if dims == 1 else None) if dims <= 2 else latin_hypercube(spark, dims, 600)
+
+
+def _checked(spec: ModelSpec, mle: bool) -> None:
+    if mle and spec.pair and not spec.apart:
+        raise ValueError(f"{spec.model_id}: likelihood fits of two scales are of kernels that grow on different days (apart), all but one")
+
+
+def fit_models(cum: DataFrame, specs: list[ModelSpec], loss: str = "sse", units: dict[str, DataFrame] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(series_id, by..., model_id, params, loss, e_max, f_max): the best candidate of every model for every series, null where none has a finite loss.
+
+    Days are read and shuffled once: statistics come from windows over them, and models of one kind (one scale, two, with fixes, with effort) share a pass, up to
+    TOGETHER of them, in which each candidate names its model and the kernels are dispatched by it. Losses and ties are those of fit_profile.
+    """
+    mle, keys, spark = loss == "mle", ["series_id", *by], cum.sparkSession
+    obs = _prepared(_with_stats(cum.select(*keys, "t", "y", "y_fixed", "effort"), keys), mle, keys)
+    stats = {"Y": "top", "E": "E", "n": "n"}  # names of columns don't differ by case alone
+
+    def side(spec: ModelSpec, edge: str, p: str) -> str:
+        lo, hi = (f"cast({bind(x, stats)} as double)" for x in spec.box[p])
+        return lo if edge == "lo" else f"greatest({lo},{hi})"
+
+    found = []
+    for kind in dict.fromkeys(map(_kind, specs)):
+        alike = [s for s in specs if _kind(s) == kind]
+        for at in range(0, len(alike), TOGETHER):
+            some = alike[at : at + TOGETHER]
+            for s in some:
+                _checked(s, mle)
+            tables = [(units or {}).get(s.model_id) for s in some]
+            got = _pass(obs, some, [default_units(spark, s) if t is None else t for s, t in zip(some, tables)], mle, keys, side, ["n", "top", "E", *(["y_n", "f_n"] if mle else []), *(["var_y", "var_e"] if kind == "effort" else [])], ("e_max", "f_max"))
+            name = F.element_at(F.array(*(F.lit(s.model_id) for s in some)), F.col("m") + 1)
+            found.append(got.select(*keys, name.alias("model_id"), F.when(F.col("best.loss").isNotNull(), F.col("best.params")).alias("params"), F.col("best.loss").alias("loss"), "e_max", "f_max"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def fit_profile(cum: DataFrame, spec: ModelSpec | str, units: DataFrame | None = None, loss: str = "sse", rounds: int = 0, by: tuple[str, ...] = (), boxes: DataFrame | None = None) -> DataFrame:
     """(series_id, by..., model_id, params, loss): the best candidate of each series (E9), after ``rounds`` zooms.
 
-    loss "sse" (removal models: both series; effort models: the effort too, E2, E3) or "mle" (daily Poisson counts; an error for models of two scales or
-    two series). ``by`` adds keys such as a replicate or a start. Series without a candidate of finite loss have no row. Ties go to the least candidate. Broadcast are the candidates
-    only, whose number does not depend on the data. Zooms only shrink boxes, so the loss never grows with them.
+    loss "sse" (removal models: both series; effort models: the effort too, E2, E3) or "mle": the negative log-likelihood of the daily finds as Poisson counts, with that of the
+    daily fixes for removal models and the Gaussian of the effort for effort models (E4, E5). Scales are solved for every candidate: in closed form, or for two scales by a fixed point on
+    sums, since their kernels share one day at most. ``by`` adds keys such as a replicate or a start. Series without a candidate of finite loss have no row. Ties go to the least
+    candidate. Broadcast are the candidates only, whose number does not depend on the data. Zooms only shrink boxes, so the loss never grows with them.
     """
     spec = MODELS[spec] if isinstance(spec, str) else spec
     mle, keys = loss == "mle", ["series_id", *by]
-    if mle and (spec.pair or spec.effort is not None or spec.corrected):
-        raise ValueError(f"{spec.model_id}: likelihood fits are of models with one scale and one series; use poisson_loglik to score others")
+    _checked(spec, mle)
+    if boxes is None and not rounds:
+        found = fit_models(cum, [spec], loss, None if units is None else {spec.model_id: units}, by)
+        return found.where("loss is not null").select(*keys, "model_id", "params", "loss")
     spark = cum.sparkSession
-    dims = len(spec.searched) - (spec.effort is not None)
+    dims = len(_free(spec))
     if units is None:
-        units = grid(spark, dims, 400 if dims == 1 else None) if dims <= 2 else latin_hypercube(spark, dims, 600)
+        units = default_units(spark, spec)
     obs = _prepared(cum, mle, keys)
     if boxes is None:
         boxes = param_bounds(series_stats(cum, keys), spec)
-    boxes = boxes.select(*keys, "lo", "hi", *_STATS)
+    boxes = boxes.select(*keys, "lo", "hi", *(c for c in _STATS if c in boxes.columns))
     if not rounds:
         found = _search(obs, spec, boxes, units, mle, keys)
         return found.select(*keys, F.lit(spec.model_id).alias("model_id"), F.col("best.params").alias("params"), F.col("best.loss").alias("loss"))
     # the sides and the best so far go along as plain numbers, so each round reads the last one once
+    stats = tuple(c for c in _STATS if c in boxes.columns)
     best = ("b_loss", *(f"b_{i}" for i in range(spec.k)))
-    keep = (*_STATS, *(f"{s}_{i}" for s in ("lo", "hi") for i in range(spec.k)))
+    keep = (*stats, *(f"{s}_{i}" for s in ("lo", "hi") for i in range(spec.k)))
     found = _search(obs, spec, boxes, units, mle, keys, keep)
     found = found.withColumns({"b_loss": F.col("best.loss"), **{f"b_{i}": F.col("best.params")[i] for i in range(spec.k)}}).drop("best")
-    free = [i for i, p in enumerate(spec.params) if p in spec.searched and not (spec.effort and p == "N")]
+    free = [spec.params.index(p) for p in _free(spec)]
     for k in range(rounds):
         small = latin_hypercube(spark, dims, 60, seed=k + 2) if dims > 1 else grid(spark, 1, 20)
         share = 0.35 * 0.4**k if dims > 1 else 1.0 / 400 * 0.1**k * 1.5
         lo = [F.greatest(f"lo_{i}", F.col(f"b_{i}") - share * (F.col(f"hi_{i}") - F.col(f"lo_{i}"))) if i in free else F.col(f"lo_{i}") for i in range(spec.k)]
         hi = [F.least(f"hi_{i}", F.col(f"b_{i}") + share * (F.col(f"hi_{i}") - F.col(f"lo_{i}"))) if i in free else F.col(f"hi_{i}") for i in range(spec.k)]
-        narrow = found.select(*keys, *_STATS, F.array(*lo).alias("lo"), F.array(*hi).alias("hi"), *best)
+        narrow = found.select(*keys, *stats, F.array(*lo).alias("lo"), F.array(*hi).alias("hi"), *best)
         again = _search(obs, spec, narrow, small, mle, keys, (*keep, *best))
         better = F.coalesce(F.col("best.loss") < F.col("b_loss"), F.col("b_loss").isNull())
         found = again.select(
@@ -238,21 +355,24 @@ def compare_search(runs: DataFrame) -> DataFrame:
 def fit_all(cum: DataFrame, models: list[str], loss: str = "sse", rounds: int = 0, units: dict[str, DataFrame] | None = None) -> DataFrame:
     """(series_id, model_id, params, loss, success, warning): every model for every series; a series that a model can't fit keeps a row
     with success false (E14, E15)."""
-    spark = cum.sparkSession
-    found = reduce(DataFrame.unionByName, (fit_profile(cum, m, (units or {}).get(m), loss, rounds) for m in models))
-    kinds = spark.createDataFrame([(m, MODELS[m].category) for m in models], "model_id string, category string")
-    have = cum.groupBy("series_id").agg(F.max("effort").alias("e"), F.max("y_fixed").alias("f"))
-    every = have.crossJoin(F.broadcast(kinds))
-    warning = F.when((F.col("category") == "effort") & ~(F.coalesce("e", F.lit(0.0)) > 0), "no_effort").when((F.col("category") == "removal") & ~(F.coalesce("f", F.lit(0.0)) > 0), "no_fixes")
-    out = every.withColumn("warning", warning).join(found, ["series_id", "model_id"], "left")
+    if rounds:
+        found = reduce(DataFrame.unionByName, (fit_profile(cum, m, (units or {}).get(m), loss, rounds) for m in models))
+        have = cum.groupBy("series_id").agg(F.max("effort").alias("e_max"), F.max("y_fixed").alias("f_max"))
+        kinds = cum.sparkSession.createDataFrame([(m,) for m in models], "model_id string")
+        out = have.crossJoin(F.broadcast(kinds)).join(found, ["series_id", "model_id"], "left")
+    else:
+        out = fit_models(cum, [MODELS[m] for m in models], loss, units)
+    of = lambda kind: F.col("model_id").isin([m for m in models if MODELS[m].category == kind])
+    warning = F.when(of("effort") & ~(F.coalesce("e_max", F.lit(0.0)) > 0), "no_effort").when(of("removal") & ~(F.coalesce("f_max", F.lit(0.0)) > 0), "no_fixes")
     ok = F.col("params").isNotNull() & ~F.coalesce(F.col("warning") == "no_effort", F.lit(False))
-    return out.select("series_id", "model_id", F.when(ok, F.col("params")).alias("params"), F.when(ok, F.col("loss")).alias("loss"), ok.alias("success"), "warning")
+    return out.withColumn("warning", warning).select("series_id", "model_id", F.when(ok, F.col("params")).alias("params"), F.when(ok, F.col("loss")).alias("loss"), ok.alias("success"), "warning")
 
 
 def sse(cum: DataFrame, fits: DataFrame, models: list[str] | None = None) -> DataFrame:
     """(series_id, model_id, n, sse, sst, y_sum): a direct pass over the residuals."""
-    pred = evaluate(fits, cum, models)
-    rows = pred.join(cum.select("series_id", "t", "y"), ["series_id", "t"])
+    from .curves import curve
+
+    rows = fits.select("series_id", "model_id", "params").join(cum.select("series_id", "t", "y"), "series_id").withColumn("m", curve("mean", models))
     return rows.groupBy("series_id", "model_id").agg(
         F.count("*").alias("n"), F.sum(F.pow(F.col("y") - F.col("m"), 2)).alias("sse"), (F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count("*")).alias("sst")
     )

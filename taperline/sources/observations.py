@@ -56,10 +56,11 @@ def daily_counts(events: DataFrame, series: Column, kinds: dict[str, Column], ts
     daily = events.groupBy(series.cast("string").alias("series_id"), F.to_date(ts).alias("day")).agg(*(F.count_if(c).cast("double").alias(k) for k, c in kinds.items()))
     if axis == "active":
         return daily
-    spine = daily.groupBy("series_id").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    counted = daily.withColumnsRenamed({"series_id": "_series", "day": "_day"})
-    joined = spine.join(counted, spine["series_id"].eqNullSafe(counted["_series"]) & (spine["day"] == counted["_day"]), "left")
-    return joined.select("series_id", "day", *(F.coalesce(k, F.lit(0.0)).alias(k) for k in kinds))
+    # each day fills the days up to the next one: no join with a calendar
+    following = F.lead("day").over(Window.partitionBy("series_id").orderBy("day"))
+    filled = daily.where("day is not null").withColumn("until", F.coalesce(F.date_sub(following, 1), F.col("day")))
+    each = filled.select("series_id", *kinds, F.posexplode(F.sequence("day", "until")).alias("at", "day"))
+    return each.select("series_id", "day", *(F.when(F.col("at") == 0, F.col(k)).otherwise(0.0).alias(k) for k in kinds))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
