@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.special import chi2_sf
+from ..functions.special import chi2_sf, log_factorial
 from .curves import MODELS, ModelSpec, bind, by_index, with_fixed_tau
 from .fit import _search, _solve, fit_profile, grid, latin_hypercube, param_bounds, series_stats
 from .score import aicc
@@ -191,6 +191,47 @@ def poisson_lr(rows: DataFrame, keys: list[str], points: int = 100, margin: int
     return out.select(*keys, F.greatest(F.lit(0.0), 2 * (F.col("l1") - F.col("l0"))).alias("lr"), "l0", "l1", "tau").where("lr is not null")
 
 
+def fit_change_points(cum: DataFrame, most: int = 3, points: int = 100, shortest: int = 2, top: float = 2.0) -> DataFrame:
+    """(series_id, model_id, points, params, loss, n, k, aicc, best): exponential segments with scales and rates of their own between 1 to ``most`` change points (C12), by likelihood.
+
+    The Poisson likelihood of daily finds is the sum of the segments', so dynamic programming over the place of the last change point finds the best of all ordered places: every
+    stretch of days (``shortest`` at least) is fitted once, with its scale in [1, top * Y] in closed form and its rate among ``points``, from running sums. A series costs its days
+    squared by rates, and holds its stretches in one row. loss is the negative log-likelihood, k counts scales, rates and places, and best marks the number of change points of the least AICc
+    (ties: the fewest). Series of under shortest * (most + 1) days have the numbers of change points for which they are long enough.
+    """
+    keys, s = ["series_id"], shortest
+    so_far_ = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    d = _dealt(cum, keys).withColumn("dy", F.col("y") - F.coalesce(F.lag("y").over(Window.partitionBy(*keys).orderBy("t")), F.lit(0.0)))
+    d = d.withColumns({"at": F.sum(F.expr("dy*t")).over(so_far_), "fact": log_factorial(F.col("dy"))})
+    whole = d.groupBy(*keys).agg(F.max("n").alias("n"), F.max("top").alias("top"), F.sum("fact").alias("fact"), F.array_sort(F.collect_list(F.struct("t", "y", "at"))).alias("days"))
+    zero = "named_struct('t', 0.0D, 'y', 0.0D, 'at', 0.0D)"
+    ends = whole.where(F.col("n") >= s).select(*keys, "n", "top", "fact", F.expr(f"concat(array({zero}), days)").alias("days"))
+    ends = ends.select("*", F.explode(F.expr(f"sequence({s}, cast(n as int))")).alias("j"))
+    pairs = ends.select(*keys, "n", "top", "fact", "j", F.expr("days[j]").alias("e"), F.posexplode(F.expr(f"slice(days, 1, j - {s} + 1)")).alias("i", "o"))
+    plain = pairs.select(*keys, "n", "top", "fact", "i", "j", F.expr("e.t-o.t").alias("days"), F.expr("e.y-o.y").alias("found"), F.expr("e.at-o.at-o.t*(e.y-o.y)").alias("at"))
+    rates = cum.sparkSession.range(1, points + 1).select((F.lit(0.001) + F.lit(0.999) * F.col("id") / float(points)).alias("b"))
+    tried = plain.crossJoin(F.broadcast(rates)).withColumn("l", F.expr(exponential_loglik("found", "at", "b", "days", "1.0D", f"({top}D*top)")))
+    carried = [F.max(c).alias(c) for c in ("n", "top", "fact", "days", "found")]
+    one = tried.groupBy(*keys, "j", "i").agg(*carried, F.max("l").alias("l"), F.max_by("b", F.expr("l-abs(l)*b*power(2.0D,-50)")).alias("b"))
+    one = one.withColumn("a", F.expr(f"least(greatest(found/(1-exp(-b*days)),1.0D),{top}D*top)"))
+    table = one.groupBy(*keys).agg(*(F.max(c).cast(t).alias(c) for c, t in (("n", "int"), ("fact", "double"))), F.array_sort(F.collect_list(F.struct("j", "i", "l", "a", "b"))).alias("c"))
+    at = lambda i, j: f"c[cast(({j}-{s})*({j}-{s}+1)/2+{i} as int)]"  # noqa: E731  # stretches in order of j, then i
+    first = f"transform(sequence(0, n), j -> case when j >= {s} then named_struct('v', {at('0', 'j')}.l, 'path', cast(array() as array<int>)) end)"
+    # of equal sums the earlier place
+    step = f"array_max(transform(sequence((k - 1) * {s}, j - {s}), i -> named_struct('v', q.d[i].v + {at('i', 'j')}.l, 'less', -i)))"
+    level = f"transform(sequence(0, n), j -> case when j >= k * {s} then transform(array({step}), m -> named_struct('v', m.v, 'path', concat(q.d[-m.less].path, array(-m.less))))[0] end)"
+    paths = f"aggregate(sequence(2, {most + 1}), named_struct('d', {first}, 'out', cast(array() as array<struct<v: double, path: array<int>>>)), (q, k) -> transform(array({level}), x -> named_struct('d', x, 'out', concat(q.out, array(x[n]))))[0], q -> q.out)"
+    # level by level: the best way to end on each day with k segments
+    found = table.select(*keys, "n", "fact", "c", F.posexplode(F.expr(paths)).alias("m", "x")).where("x is not null").withColumn("points", F.col("m") + 1)
+    parts = "transform(concat(x.path, array(n)), (j, r) -> transform(array(case when r = 0 then 0 else x.path[r - 1] end), i -> array(" + f"{at('i', 'j')}.a, {at('i', 'j')}.b" + ", cast(j as double)))[0])"
+    flat = found.withColumn("p", F.expr(f"flatten({parts})"))
+    params = F.expr("case when points = 1 then array(p[0], p[1], p[3], p[4], p[2]) else slice(p, 1, size(p) - 1) end")
+    k = 3 * F.col("points") + 2
+    out = flat.select(*keys, F.when(F.col("points") == 1, "exp_change_point").otherwise(F.concat(F.lit("change_points_"), F.col("points"))).alias("model_id"), "points", params.alias("params"), (F.col("fact") - F.col("x.v")).alias("loss"), F.col("n").cast("long").alias("n"), k.alias("k"))
+    out = out.withColumn("aicc", aicc(2 * F.col("loss") + 2 * F.col("k"), F.col("n"), F.col("k")))
+    return out.withColumn("best", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("aicc").asc_nulls_last(), "points")) == 1)
+
+
 def change_point_lrt(cum: DataFrame, null_model: str = "exponential", alt_model: str = "exp_change_point", replicates: int = 500, seed: int = 1, loss: str = "mle") -> DataFrame:
     """(series_id, lr, df, chi2_p, n_reps, p_value, grade): the likelihood ratio of a model with a change point over one without.
 
@@ -225,4 +266,4 @@ def lrt_grade(p):
     return F.when(p < 0.01, "strong").when(p < 0.05, "significant").when(p < 0.10, "weak").otherwise("none")
 
 
-__all__ = ["slope_breaks", "segment_sums", "scan_tau", "profile_tau", "tau_reliability", "fit_change_point", "poisson_lr", "change_point_lrt", "lrt_grade"]
+__all__ = ["slope_breaks", "segment_sums", "scan_tau", "profile_tau", "tau_reliability", "fit_change_point", "fit_change_points", "poisson_lr", "change_point_lrt", "lrt_grade"]

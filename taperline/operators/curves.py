@@ -34,6 +34,7 @@ class ModelSpec:
     eta: str | None = None
     defaults: bool = False
     logs: tuple[str, ...] = field(default=())  # parameters searched on a log scale
+    segments: int = 0  # of exponential segments with scales of their own, fitted by fit_change_points
 
     @property
     def params(self) -> tuple[str, ...]:
@@ -45,6 +46,8 @@ class ModelSpec:
 
     @property
     def scales(self) -> tuple[str, ...]:
+        if self.segments:
+            return tuple(f"a{i + 1}" for i in range(self.segments))
         return ("a1", "a2") if self.pair else (("a0",) if "a0" in self.box else ("a",))
 
     @property
@@ -126,7 +129,20 @@ def _specs() -> list[ModelSpec]:
         first, second = f("b1", _BEFORE), f("b2", _AFTER)
         return ModelSpec(name, "change_point", pair, f"(a1*{first}+a2*{second})", f"(a1*{f('b1', 'tau')}+a2)", pair=True, first=first, second=second, apart=True, decay=decay)
 
+    def several(points: int) -> ModelSpec:
+        """Exponential segments, each with its own scale and rate, between ``points`` change points."""
+        box, parts, limit = {}, [], []
+        for i in range(1, points + 2):
+            box |= {f"a{i}": ("1", "2*Y"), f"b{i}": _B} | ({f"tau{i}": _TAU} if i <= points else {})
+            begin, length = (f"tau{i - 1}" if i > 1 else "0"), f"(tau{i}-tau{i - 1})" if 1 < i <= points else "tau1"
+            days = f"least(greatest(t-{begin},0),{length})" if i <= points else f"greatest(t-{begin},0)"
+            parts.append(f"a{i}*{_E(f'b{i}', days)}")
+            limit.append(f"a{i}*{_E(f'b{i}', length)}" if i <= points else f"a{i}")
+        return ModelSpec(f"change_points_{points}", "change_point", box, "(" + "+".join(parts) + ")", "(" + "+".join(limit) + ")", segments=points + 1)
+
     change = [
+        several(2),
+        several(3),
         two("exp_change_point", _E, "1.0D"),
         two("delayed_s_change_point", _S, "1.0D", "b"),
         ModelSpec(

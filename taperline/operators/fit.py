@@ -82,7 +82,7 @@ def _sums(kind: str, mle: bool, g: Callable[..., Column]) -> tuple[dict[str, Col
         rows = {"d1": F.greatest(step("first"), F.lit(0.0)), "d2": F.greatest(step("second"), F.lit(0.0))}
         alone, other, both = "d2<=0", "d1<=0 and d2>0", "d1>0 and d2>0"
         when = lambda c, x: f"case when {c} then {x} else 0.0D end"
-        sums = {"g_1": "d1", "g_2": "d2", "n_1": when(alone, "dy"), "n_2": when(other, "dy"), "n_b": when(both, "dy"), "b_1": when(both, "d1"), "b_2": when(both, "d2")}
+        sums = {"g_1": "d1", "g_2": "d2", "n_1": when(alone, "dy"), "n_2": when(other, "dy"), "n_b": when(both, "dy"), "m_1": when(both, "d1"), "m_2": when(both, "d2")}
         return rows, sums | {"s_ln": f"case when {alone} then dy*ln(greatest(d1,1e-12D)) when {other} then dy*ln(greatest(d2,1e-12D)) else 0.0D end", "s_fact": "fact"}
     if kind == "pair":
         return {"g1": g("first"), "g2": g("second")}, {"s_11": "g1*g1", "s_12": "g1*g2", "s_22": "g2*g2", "s_y1": "y*g1", "s_y2": "y*g2", "s_yy": "y*y"}
@@ -116,9 +116,9 @@ def _solve(kind: str, mle: bool, lo: list[str], hi: list[str]) -> Column:
     if mle:
         # minorise and maximise: the shared day's finds are split as the scales say, and the scales follow; both are solved at once where no day is shared
         part = lambda own, x, k: f"{clip(f'coalesce((n_{k + 1}+n_b*{own})/nullif(g_{k + 1},0),{lo[k]})', k)} as x{k}"
-        shared = "(s.x0*b_1+s.x1*b_2)"
+        shared = "(s.x0*m_1+s.x1*m_2)"
         start = f"struct({part('0.5D', '', 0)}, {part('0.5D', '', 1)})"
-        again = f"struct({part(f's.x0*b_1/{shared}', '', 0)}, {part(f's.x1*b_2/{shared}', '', 1)})"
+        again = f"struct({part(f's.x0*m_1/{shared}', '', 0)}, {part(f's.x1*m_2/{shared}', '', 1)})"
         loss = f"-(n_1*ln(s.x0)+n_2*ln(s.x1)+case when n_b>0 then n_b*ln({shared}) else 0.0D end+s_ln-s.x0*g_1-s.x1*g_2-s_fact)"
         return F.expr(f"case when n_b>0 then aggregate(sequence(1,{SHARES}), {start}, (s, i) -> {again}, s -> struct({loss} as loss, s.x0 as x0, s.x1 as x1)) else transform(array({start}), s -> struct({loss} as loss, s.x0 as x0, s.x1 as x1))[0] end")
     loss = lambda x, y: f"s_yy-2*({x})*s_y1-2*({y})*s_y2+({x})*({x})*s_11+2*({x})*({y})*s_12+({y})*({y})*s_22"
@@ -249,6 +249,8 @@ def default_units(spark: SparkSession, spec: ModelSpec) -> DataFrame:
 
 
 def _checked(spec: ModelSpec, mle: bool) -> None:
+    if spec.segments:
+        raise ValueError(f"{spec.model_id}: fit_change_points fits it, by dynamic programming over all places")
     if mle and spec.pair and not spec.apart:
         raise ValueError(f"{spec.model_id}: likelihood fits of two scales are of kernels that grow on different days (apart), all but one")
 

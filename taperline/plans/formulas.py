@@ -20,6 +20,8 @@ exp_change_point | a1 b1 a2 b2 tau | case when t <= tau then a1 - a1 * exp(-b1 *
 delayed_s_change_point | a1 b1 a2 b2 tau | case when t <= tau then a1 - a1 * (1 + b1 * t) * exp(-b1 * t) else a1 - a1 * (1 + b1 * tau) * exp(-b1 * tau) + a2 - a2 * (1 + b2 * (t - tau)) * exp(-b2 * (t - tau)) end | a1 - a1 * (1 + b1 * tau) * exp(-b1 * tau) + a2
 imperfect_change_point | a b1 b2 alpha tau | case when t <= tau then IMP(t) else IMP(tau) + (a - (1 - alpha) * IMP(tau)) * (1 - exp(-b2 * (1 - alpha) * (t - tau))) / (1 - alpha + alpha * exp(-b2 * (1 - alpha) * (t - tau))) end | IMP(tau) + (a - (1 - alpha) * IMP(tau)) / (1 - alpha)
 multi_change_point | a b1 r2 b2 r3 b3 tau gap | case when t <= tau then a * (1 - exp(-b1 * t)) when t <= tau + gap then a * (1 - exp(-b1 * tau)) + a * r2 * (1 - exp(-b2 * (t - tau))) else a * (1 - exp(-b1 * tau)) + a * r2 * (1 - exp(-b2 * gap)) + a * r3 * (1 - exp(-b3 * (t - tau - gap))) end | a * (1 - exp(-b1 * tau)) + a * r2 * (1 - exp(-b2 * gap)) + a * r3
+change_points_2 | a1 b1 tau1 a2 b2 tau2 a3 b3 | case when t <= tau1 then a1 - a1 * exp(-b1 * t) when t <= tau2 then a1 - a1 * exp(-b1 * tau1) + a2 - a2 * exp(-b2 * (t - tau1)) else a1 - a1 * exp(-b1 * tau1) + a2 - a2 * exp(-b2 * (tau2 - tau1)) + a3 - a3 * exp(-b3 * (t - tau2)) end | a1 - a1 * exp(-b1 * tau1) + a2 - a2 * exp(-b2 * (tau2 - tau1)) + a3
+change_points_3 | a1 b1 tau1 a2 b2 tau2 a3 b3 tau3 a4 b4 | case when t <= tau1 then a1 - a1 * exp(-b1 * t) when t <= tau2 then a1 - a1 * exp(-b1 * tau1) + a2 - a2 * exp(-b2 * (t - tau1)) when t <= tau3 then a1 - a1 * exp(-b1 * tau1) + a2 - a2 * exp(-b2 * (tau2 - tau1)) + a3 - a3 * exp(-b3 * (t - tau2)) else a1 - a1 * exp(-b1 * tau1) + a2 - a2 * exp(-b2 * (tau2 - tau1)) + a3 - a3 * exp(-b3 * (tau3 - tau2)) + a4 - a4 * exp(-b4 * (t - tau3)) end | a1 - a1 * exp(-b1 * tau1) + a2 - a2 * exp(-b2 * (tau2 - tau1)) + a3 - a3 * exp(-b3 * (tau3 - tau2)) + a4
 effective_time_change_point | a b1 b2 p tau | a * (1 - exp(-(case when t <= tau then b1 * t else b1 * tau + b2 * (t - tau) end))) / (1 + p * exp(-(case when t <= tau then b1 * t else b1 * tau + b2 * (t - tau) end))) | a
 coverage_weibull | a beta g | a - a * exp(-pow(beta * t, g)) | a
 coverage_logistic | a beta tau | a / (1 + exp(beta * tau - beta * t)) | a
@@ -57,8 +59,20 @@ BOXES = {
     "exponential": {"b": ("0.001", "1.0")}, "delayed_s": {"b": ("0.001", "1.0")}, "gompertz": {"b": ("0.1", "10.0"), "c": ("0.001", "1.0")}, "shifted_gompertz": {"b": ("0.5", "10.0"), "c": ("0.001", "1.0")},
     "ohba_weibull": {"b": ("0.0001", "1.0", "log"), "c": ("0.3", "3.0")}, "logistic": {"b": ("0.01", "2.0"), "c": ("1.0", "2 * n")}, "pham_imperfect": {"b": ("0.001", "1.0"), "p": ("0.0", "0.99")},
     "weibull_imperfect": {"b": ("0.001", "1.0"), "c": ("0.5", "2.0"), "p": ("0.0", "0.99")},
+    "exp_change_point": {"b1": ("0.001", "1.0"), "b2": ("0.001", "1.0"), "tau": ("2.0", "n - 2")}, "delayed_s_change_point": {"b1": ("0.001", "1.0"), "b2": ("0.001", "1.0"), "tau": ("2.0", "n - 2")},
+    "constant_removal": {"b": ("0.001", "1.0"), "eta": ("0.3", "1.0")}, "learning_removal": {"b": ("0.001", "1.0"), "eta0": ("0.1", "0.9"), "eta1": ("0.7", "1.0"), "lambda": ("0.01", "1.0")},
+    "error_generation": {"b": ("0.001", "1.0"), "alpha": ("0.0", "0.5")}, "removal_generation": {"b": ("0.001", "1.0"), "alpha": ("0.0", "0.5"), "eta": ("0.3", "1.0")},
+    "reduction_factor": {"b": ("0.001", "1.0"), "beta": ("0.5", "50.0"), "g": ("0.01", "2.0")},
+    "integrated": {"b1": ("0.001", "1.0"), "b2": ("0.001", "1.0"), "eta": ("0.3", "1.0"), "alpha": ("0.0", "0.5"), "tau": ("2.0", "n - 2")},
+} | {
+    f"effort_{k}_{e}": {"b": ("0.0001 * \"E\"", "5 * \"E\"", "log")} | ({"alpha": ("-0.5", "0.99")} if k == "imperfect" else {}) | s
+    for k in ("exponential", "delayed_s", "imperfect")
+    for e, s in {
+        "exponential": {"beta": ("0.001", "2.0", "log")}, "rayleigh": {"beta": ("1.0", "2 * n", "log")}, "weibull": {"beta": ("1.0", "2 * n", "log"), "m": ("0.5", "5.0")},
+        "logistic": {"A": ("1.0", "50.0"), "rate": ("0.01", "2.0")}, "log_power": {"m": ("0.5", "3.0")},
+    }.items()
 }
-TOP = {"shifted_gompertz": "6"}
+TOP = {"shifted_gompertz": "6", "error_generation": "3", "removal_generation": "3"}
 
 
 def _named(sql: str, values: dict[str, str]) -> str:
@@ -131,3 +145,55 @@ best_{model} as (
   select series_id, '{model}' as model_id, arg_min([{array}], (loss, i)) as params, min(loss) as loss
   from (select *, syy - 2 * a * syg + a * a * sgg as loss from (select s.*, least(greatest(syg / sgg, "Y"), {top} * "Y") as a from sums_{model} s join {stats} using (series_id)))
   group by 1)"""
+
+
+#: ln k! as the library defines it, of the column x.
+LF = "case when x <= 1 then 0.0 when round(x) <= 20 then list_sum(list_transform(range(2, cast(round(x) as bigint) + 1), lambda i: ln(i))) else x * ln(x) - x + 0.5 * ln(2 * pi() * x) end"
+
+
+def mle_search(model: str, per_dim: int, source: str = "cum", stats: str = "stats") -> str:
+    """CTE mle_<model>: (series_id, model_id, params, loss) of the likelihood search over a grid: daily Poisson finds, with fixes or the effort where the model has them."""
+    box, every = BOXES[model], names(model)
+    pair, effort, fixes = "a1" in every, bool(FORMULAS[model]["effort"]), bool(FORMULAS[model]["corrected"])
+    units = f"select i, {', '.join(f'((i // {per_dim**k}) % {per_dim} + 1) / {per_dim}.0 as u{k}' for k in range(len(box)))} from (select unnest(range(0, {per_dim ** len(box)})) as i)"
+    place = [f"({lo}) * pow(({hi}) / ({lo}), u{k}) as p_{p}" if log else f"({lo}) + (({hi}) - ({lo})) * u{k} as p_{p}" for k, (p, (lo, hi, *log)) in enumerate(box.items())]
+    cols = ", ".join(f"p_{p}" for p in box)
+
+    def grown(what: str, **scales: str) -> str:
+        at = lambda t: "(" + _named(FORMULAS[model][what], scales | {p: f"p_{p}" for p in box} | {"t": t}) + ")"
+        return f"{at('t')} - {at('t0')}"
+
+    days = f"d_{model} as (select series_id, t, effort, y - coalesce(lag(y) over w, 0) as dy, y_fixed - coalesce(lag(y_fixed) over w, 0) as df, coalesce(lag(t) over w, 0) as t0 from {source} window w as (partition by series_id order by t))"
+    at = f"at_{model} as (select d.*, {_named(LF, {'x': 'dy'})} as fact, {_named(LF, {'x': 'df'})} as fact_fixed, i, {', '.join(place)} from d_{model} d join {stats} using (series_id) cross join units_{model})"
+    if pair:
+        rows = f"select *, greatest({grown('mean', a1='1.0', a2='0.0')}, 0) as d1, greatest({grown('mean', a1='0.0', a2='1.0')}, 0) as d2 from at_{model}"
+        sums = f"""select series_id, i, {cols}, sum(d1) as g1, sum(d2) as g2, sum(fact) as fact, coalesce(sum(dy) filter (where d2 <= 0), 0) as n1, coalesce(sum(dy) filter (where d1 <= 0 and d2 > 0), 0) as n2,
+  coalesce(sum(dy) filter (where d1 > 0 and d2 > 0), 0) as nb, coalesce(sum(d1) filter (where d1 > 0 and d2 > 0), 0) as b1, coalesce(sum(d2) filter (where d1 > 0 and d2 > 0), 0) as b2,
+  sum(case when d2 <= 0 then dy * ln(greatest(d1, 1e-12)) when d1 <= 0 then dy * ln(greatest(d2, 1e-12)) else 0 end) as sl from ({rows}) group by all"""
+        new = lambda own, k: f"least(greatest(coalesce((n{k} + nb * {own}) / nullif(g{k}, 0), 1.0), 1.0), 3 * \"Y\")"
+        share = "(s.x0 * b1 + s.x1 * b2)"
+        first = f"{{'x0': {new('0.5', 1)}, 'x1': {new('0.5', 2)}}}"
+        again = f"{{'x0': {new(f's.x0 * b1 / {share}', 1)}, 'x1': {new(f's.x1 * b2 / {share}', 2)}}}"
+        solved = f"(select s.*, case when nb > 0 then list_reduce(list_prepend({first}, list_transform(range(0, 20), lambda i: {{'x0': 0.0::double, 'x1': 0.0::double}})), lambda s, x: {again}) else {first} end as s from sums_{model} s join {stats} using (series_id))"
+        loss = f"-(n1 * ln(s.x0) + n2 * ln(s.x1) + case when nb > 0 then nb * ln({share}) else 0 end + sl - s.x0 * g1 - s.x1 * g2 - fact)"
+        array = ", ".join({"a1": "s.x0", "a2": "s.x1"}.get(p, f"p_{p}") for p in every)
+        last = f"select *, {loss} as loss from {solved}"
+    else:
+        one = {p: "1.0" for p in every if p not in box}
+        parts = [f"greatest({grown('mean', **one)}, 1e-12) as dg"] + ([f"greatest({grown('corrected', **one)}, 1e-12) as dc"] if fixes else [])
+        if effort:
+            parts.append("(" + _named(FORMULAS[model]["effort"], one | {p: f"p_{p}" for p in box}) + ") as w")
+        sums = f"select series_id, i, {cols}, " + ("sum(dy * ln(dg) + df * ln(dc)) as sl, sum(dg + dc) as gn, sum(fact + fact_fixed) as fact, sum(dy + df) as total" if fixes else "sum(dy * ln(dg)) as sl, sum(dg) as gn, sum(fact) as fact, sum(dy) as total")
+        sums += ", sum(effort * w) filter (where effort > 0) as ew, sum(w * w) filter (where effort > 0) as ww, sum(effort * effort) filter (where effort > 0) as ee, count(*) filter (where effort > 0) as ne" if effort else ""
+        sums += f" from (select *, {', '.join(parts)} from at_{model}) group by all"
+        a = f"least(greatest(total / gn, \"Y\"), {TOP.get(model, '5')} * \"Y\")"
+        last = f"select *, -(total * ln(a) + sl - a * gn - fact) as loss from (select s.*, {a} as a from sums_{model} s join {stats} using (series_id))"
+        if effort:
+            sides = ("1.0", '2 * "E"') if model.endswith("log_power") else ('"E"', '5 * "E"')
+            last = f"""select *, -(total * ln(a) + sl - a * gn - fact) + ne / 2.0 * (ln(2 * pi()) + ln(greatest(ee - 2 * h * ew + h * h * ww, 1e-9) / ne) + 1) as loss
+    from (select *, p_b / h as rate from (select s.*, {a} as a, least(greatest(ew / ww, {sides[0]}), {sides[1]}) as h from sums_{model} s join {stats} using (series_id))) where rate between 0.0001 and 1"""
+        array = ", ".join({"a": "a", "a0": "a", "N": "h", "b": "rate" if effort else "p_b"}.get(p, f"p_{p}") for p in every)
+    return f"""
+units_{model} as ({units}), {days}, {at},
+sums_{model} as ({sums}),
+mle_{model} as (select series_id, '{model}' as model_id, arg_min([{array}], (loss, i)) as params, min(loss) as loss from ({last}) group by 1)"""

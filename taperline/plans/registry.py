@@ -181,7 +181,7 @@ def chart_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Parameters inside every model's box for the data at hand, by name.
 POINT = {
-    "a": "(2.0*Y)", "a0": "(1.5*Y)", "a1": "(0.8*Y)", "a2": "(0.6*Y)", "b": "0.08", "b1": "0.08", "b2": "0.05", "b3": "0.04", "c": "1.1", "p": "0.3", "tau": "10.0", "gap": "8.0", "alpha": "0.2", "r2": "0.5",
+    "a": "(2.0*Y)", "a0": "(1.5*Y)", "a1": "(0.8*Y)", "a2": "(0.6*Y)", "b": "0.08", "b1": "0.08", "b2": "0.05", "b3": "0.04", "c": "1.1", "p": "0.3", "tau": "10.0", "tau1": "8.0", "tau2": "14.0", "tau3": "20.0", "a3": "(0.5*Y)", "a4": "(0.4*Y)", "b4": "0.06", "gap": "8.0", "alpha": "0.2", "r2": "0.5",
     "r3": "0.4", "beta": "0.9", "g": "0.8", "eta": "0.7", "eta0": "0.4", "eta1": "0.9", "lambda": "0.2", "N": "(1.5*E)", "m": "1.5", "A": "8.0", "rate": "0.15",
 }
 
@@ -286,7 +286,7 @@ def asymptotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The catalogue's categories.
 _CATEGORIES = {
     "basic": "exponential delayed_s gompertz shifted_gompertz ohba_weibull logistic", "imperfect": "pham_imperfect weibull_imperfect",
-    "change_point": "exp_change_point delayed_s_change_point imperfect_change_point multi_change_point effective_time_change_point",
+    "change_point": "change_points_2 change_points_3 exp_change_point delayed_s_change_point imperfect_change_point multi_change_point effective_time_change_point",
     "removal": "constant_removal learning_removal error_generation removal_generation reduction_factor integrated",
 }
 _CATALOG = "select * from (values " + ", ".join(f"('{m}', '{c}', {len(formulas.names(m))}, '{','.join(formulas.names(m))}')" for c, ms in _CATEGORIES.items() for m in ms.split()) + ") v(model_id, category, k, params)"
@@ -321,6 +321,31 @@ def fit_profile_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit.fit_profile(cum(spark, sf_dir), "exponential", loss="mle").select("series_id", F.col("params")[0].alias("a"), F.col("params")[1].alias("b"), "loss"), 8)
 
 
+#: Models of two scales, of found and fixed counts, and of effort, with the points a dimension of their candidate grids.
+MLE = {
+    "exp_change_point": 8, "delayed_s_change_point": 8, "constant_removal": 16, "learning_removal": 4, "error_generation": 16, "removal_generation": 6, "reduction_factor": 6, "integrated": 3,
+    "effort_exponential_exponential": 16, "effort_exponential_rayleigh": 16, "effort_exponential_weibull": 8, "effort_exponential_logistic": 8, "effort_exponential_log_power": 16,
+    "effort_delayed_s_weibull": 8, "effort_imperfect_weibull": 4,
+}
+
+
+@query(f"with {base_sql('change')},{','.join(formulas.mle_search(m, MLE[m]) for m in MLE)},\nevery as ({' union all '.join(f'select * from mle_{m}' for m in MLE)}) select series_id, model_id, {q('loss', 5)} from every")
+def fit_mle_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood fits of pairs, removal and effort models."""
+    units = {m: fit.grid(spark, len(formulas.BOXES[m]), g) for m, g in MLE.items()}
+    return rounded(fit.fit_all(cum(spark, sf_dir, "change"), list(MLE), "mle", units=units).where("success").select("series_id", "model_id", "loss"), 5)
+
+
+_IDENTIFIED = ["exp_change_point", "delayed_s_change_point", "constant_removal", "effort_exponential_weibull"]
+
+
+@query(f"with {base_sql('change')},{','.join(formulas.mle_search(m, MLE[m]) for m in _IDENTIFIED)},\nevery as ({' union all '.join(f'select * from mle_{m}' for m in _IDENTIFIED)}) select series_id, model_id, i - 1 as place, {q('params[i] as value', 7)} from every, unnest(range(1, len(params) + 1)) as u(i)")
+def fit_mle_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = {m: fit.grid(spark, len(formulas.BOXES[m]), MLE[m]) for m in _IDENTIFIED}
+    found = fit.fit_all(cum(spark, sf_dir, "change"), _IDENTIFIED, "mle", units=units)
+    return rounded(found.select("series_id", "model_id", F.posexplode("params").alias("place", "value")).withColumn("place", F.col("place").cast("long")), 7)
+
+
 @query(f"with {base_sql()}, u as (select unnest(range(0, 400)) as i) select series_id, i as cand, {q('0.01 + 1.99 * ((i % 20) + 1) / 20.0 as b; 1 + (2 * n - 1) * (i // 20 + 1) / 20.0 as c')} from stats cross join u")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = fit.param_bounds(fit.series_stats(cum(spark, sf_dir)), curves.MODELS["logistic"])
@@ -643,6 +668,48 @@ def fit_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(f.select("series_id", "model_id", *(F.col("params")[i].alias(p) for i, p in enumerate(("a1", "b1", "a2", "b2", "tau"))), "loss"), 4)
 
 
+_STRETCHES = f"""with {base_sql('change')},
+d as (select *, y - coalesce(lag(y) over (partition by series_id order by t), 0) as dy from cum),
+f as (select series_id, sum({formulas._named(formulas.LF, {'x': 'dy'})}) as fact from d group by 1),
+days as (select series_id, t, y, sum(dy * t) over (partition by series_id order by t) as at from d union all select series_id, 0, 0, 0 from stats),
+rates as (select 0.001 + 0.999 * i / 100.0 as b from (select unnest(range(1, 101)) as i)),
+pairs as (select o.series_id, o.t as i, e.t as j, e.y - o.y as k, e.at - o.at - o.t * (e.y - o.y) as s from days o join days e on o.series_id = e.series_id and e.t >= o.t + 2),
+tried as (select p.*, b, greatest(least(k / (1 - exp(-b * (j - i))), 2 * "Y"), 1.0) as a from pairs p join stats using (series_id) cross join rates),
+seg as materialized (select series_id, i, j, max(k * ln(a * (exp(b) - 1)) - b * s - a * (1 - exp(-b * (j - i)))) as l from tried group by 1, 2, 3),
+ends as (select series_id, n from stats)"""
+
+
+@query(f"""{_STRETCHES},
+one as (select p.series_id, 1 as points, p.j as t1, null as t2, null as t3, p.l + q.l as l from seg p join seg q on p.series_id = q.series_id and p.j = q.i join ends e on q.series_id = e.series_id and q.j = e.n where p.i = 0),
+two as (select p.series_id, 2, p.j, q.j, null, p.l + q.l + r.l as l from seg p join seg q on p.series_id = q.series_id and p.j = q.i join seg r on q.series_id = r.series_id and q.j = r.i join ends e on r.series_id = e.series_id and r.j = e.n where p.i = 0),
+three as (select p.series_id, 3, p.j, q.j, r.j, p.l + q.l + r.l + s.l as l from seg p join seg q on p.series_id = q.series_id and p.j = q.i join seg r on q.series_id = r.series_id and q.j = r.i join seg s on r.series_id = s.series_id and r.j = s.i
+  join ends e on s.series_id = e.series_id and s.j = e.n where p.i = 0),
+every as (select * from one union all select * from two union all select * from three),
+best as (select series_id, points, max(l) as l from every group by 1, 2),
+scored as (select series_id, points, 3 * points + 2 as k, n, fact - l as loss from best join f using (series_id) join ends using (series_id))
+select series_id, cast(points as integer) as points, {q('loss; 2 * loss + 2 * k + 2.0 * k * (k + 1) / (n - k - 1) as aicc', 5)} from scored""")
+def fit_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to three change points with scales of their own; the check tries every ordered choice of places."""
+    return rounded(changepoint.fit_change_points(cum(spark, sf_dir, "change")).select("series_id", "points", "loss", "aicc"), 5)
+
+
+@query(f"""with {base_sql('change')},
+d as (select *, y - coalesce(lag(y) over (partition by series_id order by t), 0) as dy from cum),
+s as (select d.series_id, d.t, d.y, n, y_n, stats."Y" as top, sum(dy * t) over (partition by d.series_id order by t) as sat, sum(dy * t) over (partition by d.series_id) as at_n from d join stats using (series_id)),
+r as (select s.*, 0.001 + 0.999 * i / 100.0 as b from s cross join (select unnest(range(1, 101)) as i)),
+l as (select series_id, t, n,
+    max(y_n * ln(least(greatest(y_n / (1 - exp(-b * n)), top), 5 * top)) + y_n * ln(exp(b) - 1) - b * at_n - least(greatest(y_n / (1 - exp(-b * n)), top), 5 * top) * (1 - exp(-b * n))) as l0,
+    max(y * ln(least(greatest(y / (1 - exp(-b * t)), 1), 3 * top)) + y * ln(exp(b) - 1) - b * sat - least(greatest(y / (1 - exp(-b * t)), 1), 3 * top) * (1 - exp(-b * t))) as la,
+    max((y_n - y) * ln(least(greatest((y_n - y) / (1 - exp(-b * (n - t))), 1), 3 * top)) + (y_n - y) * ln(exp(b) - 1) - b * (at_n - sat - t * (y_n - y)) - least(greatest((y_n - y) / (1 - exp(-b * (n - t))), 1), 3 * top) * (1 - exp(-b * (n - t)))) as lb
+  from r where t between 3 and n - 3 group by 1, 2, 3),
+lr as (select series_id, greatest(0, 2 * (max(la + lb) - max(l0))) as lr, arg_max(t, la + lb) as tau from l group by 1)
+select series_id, {q('lr', 5)}, tau from lr""")
+def poisson_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood ratio itself; its simulated law is in change_point_lrt."""
+    out = changepoint.poisson_lr(cum(spark, sf_dir, "change"), ["series_id"])
+    return rounded(out.select("series_id", "lr", "tau"), 5)
+
+
 @query()
 def change_point_lrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changepoint.change_point_lrt(cum(spark, sf_dir, "change"))

@@ -181,10 +181,3 @@ def test_fit_plan_has_no_sort_aggregate(spark):
     for model in ("exponential", "exp_change_point", "constant_removal", "effort_exponential_weibull"):
         plan = fit.fit_profile(c, model)._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan and "BroadcastNestedLoopJoin" in plan
-
-
-def test_mle_refuses_models_it_cannot_fit(spark):
-    c = exact(spark, "exponential", [100.0, 0.08])
-    for model in ("exp_change_point", "constant_removal", "effort_exponential_weibull"):
-        with pytest.raises(ValueError):
-            fit.fit_profile(c, model, loss="mle")
