@@ -204,19 +204,30 @@ def chi_square_gof(expected: DataFrame, k: int) -> DataFrame:
     return out.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("df")))
 
 
+#: Events that a day's row becomes at a time.
+EVENTS = 1000
+
+
 def event_times(expected: DataFrame) -> DataFrame:
-    """(series_id, model_id, t): a day's bugs spread evenly within it, at t - 1 + (j + 0.5) / dy."""
-    d = expected.withColumn("c", F.round("dy").cast("int")).where("c > 0")
-    return d.select(*KEY, F.col("t").alias("day"), "c", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j")).select(*KEY, (F.col("day") - 1 + (F.col("j") + 0.5) / F.col("c")).alias("t"))
+    """(series_id, model_id, t, i, n): a day's bugs spread evenly within it, at t - 1 + (j + 0.5) / dy, with the place of each among its series' n.
+
+    A place is the number of bugs of the days before and that within the day, so only days are ordered, and a day of many bugs becomes rows in blocks: no task
+    holds a day's or a series' events.
+    """
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    d = expected.withColumn("c", F.round("dy").cast("long")).where("c > 0").withColumns({"before": F.coalesce(F.sum("c").over(before), F.lit(0)), "n": F.sum("c").over(whole())})
+    blocks = d.select(*KEY, F.col("t").alias("day"), "c", "before", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / EVENTS))).alias("b"))
+    each = blocks.select("*", F.explode(F.sequence(F.col("b") * EVENTS, F.least("c", (F.col("b") + 1) * EVENTS) - 1)).alias("j"))
+    return each.select(*KEY, (F.col("day") - 1 + (F.col("j") + 0.5) / F.col("c")).alias("t"), (F.col("before") + F.col("j") + 1).alias("i"), "n")
 
 
 def transformed_times(cum: DataFrame, fits: DataFrame, models: list[str]) -> DataFrame:
-    """(series_id, model_id, i, n, u): event times as shares m(t) / m(T) of the fitted total, in order."""
+    """(series_id, model_id, i, n, u): event times as shares m(t) / m(T) of the fitted total, with their places."""
     ev = event_times(expected_daily(cum, fits, models))
     end = cum.groupBy("series_id").agg(F.max("t").alias("last"))
     rows = ev.join(fits.select(*KEY, "params"), KEY).join(end, "series_id")
     u = F.least(F.lit(1.0), F.greatest(F.lit(0.0), curve("mean", models) / curve("mean", models, t="last")))
-    return rows.withColumn("u", u).select(*KEY, F.row_number().over(in_order()).alias("i"), F.count("*").over(whole()).alias("n"), "u")
+    return rows.select(*KEY, "i", "n", u.alias("u"))
 
 
 def ks_test(times: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ summed by series and candidate (partial sums before the shuffle), and the least
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,10 +58,35 @@ def latin_hypercube(spark: SparkSession, dims: int, n: int, seed: int = 1) -> Da
     return out.select("cand", F.array(*(f"_u{k}" for k in range(dims))).alias("u"))
 
 
+def low_discrepancy(spark: SparkSession, dims: int, n: int, first: int = 1) -> DataFrame:
+    """(cand, u): n points that fill the cube evenly however many are taken: multiples of the powers of 1 / phi, modulo 1, where phi ** (dims + 1) = phi + 1."""
+    phi = 2.0
+    for _ in range(60):
+        phi = (1 + phi) ** (1 / (dims + 1))
+    return spark.range(n).select(F.col("id").alias("cand"), F.array(*((F.lit(0.5) + (F.col("id") + first) * F.lit(phi ** -(k + 1) % 1)) % 1 for k in range(dims))).alias("u"))
+
+
 def _place(u: str, lo: str, hi: str, log: bool) -> str:
     return f"({lo}*power({hi}/{lo},{u}))" if log else f"({lo}+({hi}-{lo})*{u})"
 
 
+@dataclass(frozen=True)
+class Loss:
+    """A loss of one's own, for models of one scale: ``sums`` names the sums over days that decide, as SQL in t, y, dy, y_fixed, effort and the curve g (for a scale of 1) on the day and g_before on the
+    day before; ``scale`` is the best scale, SQL in these sums, n, y_n (it is moved into its box); ``loss``, least at the best, is SQL in the sums, n, y_n and the scale a."""
+
+    name: str
+    sums: dict[str, str]
+    scale: str
+    loss: str
+
+
+#: The losses that fits know by name, once more as sums.
+SQUARES = Loss("squares", {"s_yg": "y*g", "s_gg": "g*g", "s_yy": "y*y"}, "s_yg/nullif(s_gg,0)", "s_yy-2*a*s_yg+a*a*s_gg")
+POISSON = Loss(
+    "poisson", {"s_ln": "dy*ln(greatest(g-g_before,1e-12D))", "g_n": "greatest(g-g_before,1e-12D)", "s_fact": "fact"}, "y_n/nullif(g_n,0)", "-(y_n*ln(a)+s_ln-a*g_n-s_fact)"
+)
+
 #: Rounds of the fixed point that splits the finds of the one day on which both kernels of a pair grow.
 SHARES = 20
 
@@ -74,8 +100,10 @@ def _free(spec: ModelSpec) -> list[str]:
     return [p for p in spec.searched if not (spec.effort is not None and p == "N")]
 
 
-def _sums(kind: str, mle: bool, g: Callable[..., Column]) -> tuple[dict[str, Column], dict[str, str]]:
+def _sums(kind: str, mle: bool | Loss, g: Callable[..., Column]) -> tuple[dict[str, Column], dict[str, str]]:
     """What a row of days by candidates adds (columns by g(curve, t), for scales of 1) and the sums of it that decide."""
+    if isinstance(mle, Loss):
+        return {"g": g("mean"), "g_before": g("mean", "t_prev")}, mle.sums
     step = lambda what: g(what) - g(what, "t_prev")
     if kind == "pair" and mle:
         # days on which the first kernel grows alone, the second alone, or both: one day at most, that of the change point
@@ -103,9 +131,12 @@ def _sums(kind: str, mle: bool, g: Callable[..., Column]) -> tuple[dict[str, Col
     return rows, sums
 
 
-def _solve(kind: str, mle: bool, lo: list[str], hi: list[str]) -> Column:
+def _solve(kind: str, mle: bool | Loss, lo: list[str], hi: list[str]) -> Column:
     """struct of loss and the values x0, x1 of the scales: the constrained optimum that one candidate's sums allow. lo, hi: SQL of the scales' sides."""
     clip = lambda x, k: f"least(greatest({x},{lo[k]}),{hi[k]})"
+    if isinstance(mle, Loss):
+        a = clip(f"coalesce({mle.scale},{lo[0]})", 0)
+        return F.expr(f"struct({bind(mle.loss, {'a': f'({a})'})} as loss, {a} as x0)")
     if kind != "pair":
         if mle:
             found = "y_n+f_n" if kind == "removal" else "y_n"
@@ -147,7 +178,7 @@ _STATS = ("n", "E", "y_n", "f_n", "syy", "var_y", "var_e")
 TOGETHER = 8
 
 
-def _pass(rows: DataFrame, specs: list[ModelSpec], units: list[DataFrame], mle: bool, keys: list[str], side: Callable[[ModelSpec, str, str], str], carry: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+def _pass(rows: DataFrame, specs: list[ModelSpec], units: list[DataFrame], mle: bool | Loss, keys: list[str], side: Callable[[ModelSpec, str, str], str], carry: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """One pass of days by candidates for models of one kind: keys, m (a model's place in ``specs``), n and best = struct<loss, cand, params>.
 
     ``rows`` are the days with what ``side`` (model, "lo" or "hi", parameter) refers to and ``carry`` names; ``keep`` of it is returned, and then keys without
@@ -155,7 +186,7 @@ def _pass(rows: DataFrame, specs: list[ModelSpec], units: list[DataFrame], mle:
     so the sums are hash aggregates in generated code, without a sort, and where ``rows`` are dealt out by key nothing is shuffled.
     """
     kind, places = _kind(specs[0]), max(len(_free(s)) for s in specs)
-    of = lambda f: f(specs[0]) if len(specs) == 1 else "case m " + " ".join(f"when {i} then {f(s)}" for i, s in enumerate(specs)) + " end"
+    of = lambda f: f(specs[0]) if all(s is specs[0] for s in specs) else "case m " + " ".join(f"when {i} then {f(s)}" for i, s in enumerate(specs)) + " end"
     flat = reduce(DataFrame.unionByName, (
         u.select(F.lit(i).alias("m"), "cand", *((F.col("u")[k] if k < len(_free(s)) else F.lit(None).cast("double")).alias(f"u_{k}") for k in range(places))) for i, (s, u) in enumerate(zip(specs, units))
     ))
@@ -207,7 +238,7 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame, mle: bool, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame, mle: bool | Loss, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """One pass of one model over boxes that a table gives: keys, n and best = struct<loss, cand, params>; with ``keep`` (numbers of the boxes, lo_0, hi_0, ...
     among them) these too. Days are shuffled once, by key."""
     plain = boxes.select(*keys, *(c for c in _STATS if c in boxes.columns), *(F.col(s)[i].alias(f"{s}_{i}") for s in ("lo", "hi") for i in range(spec.k)), *(c for c in keep if c in boxes.columns and c not in _STATS))
@@ -219,7 +250,7 @@ def _search(obs: DataFrame, spec: ModelSpec, boxes: DataFrame, units: DataFrame,
     return _pass(rows, [spec], [units], mle, keys, lambda s, edge, p: f"{edge}_{at(p)}", carry, keep).drop("m")
 
 
-def _prepared(cum: DataFrame, mle: bool, keys: list[str]) -> DataFrame:
+def _prepared(cum: DataFrame, mle: bool | Loss, keys: list[str]) -> DataFrame:
     if not mle:
         return cum
     from pyspark.sql.window import Window
@@ -248,20 +279,28 @@ def default_units(spark: SparkSession, spec: ModelSpec) -> DataFrame:
     return grid(spark, dims, 400 if dims == 1 else None) if dims <= 2 else latin_hypercube(spark, dims, 600)
 
 
-def _checked(spec: ModelSpec, mle: bool) -> None:
+def _kind_of_loss(loss: str | Loss) -> bool | Loss:
+    if isinstance(loss, str) and loss not in ("sse", "mle"):
+        raise ValueError(f"{loss}: loss is sse, mle or a Loss")
+    return loss if isinstance(loss, Loss) else loss == "mle"
+
+
+def _checked(spec: ModelSpec, mle: bool | Loss) -> None:
+    if isinstance(mle, Loss) and _kind(spec) != "plain":
+        raise ValueError(f"{spec.model_id}: losses of one's own are for models of one scale, without fixes or effort")
     if spec.segments:
         raise ValueError(f"{spec.model_id}: fit_change_points fits it, by dynamic programming over all places")
     if mle and spec.pair and not spec.apart:
         raise ValueError(f"{spec.model_id}: likelihood fits of two scales are of kernels that grow on different days (apart), all but one")
 
 
-def fit_models(cum: DataFrame, specs: list[ModelSpec], loss: str = "sse", units: dict[str, DataFrame] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def fit_models(cum: DataFrame, specs: list[ModelSpec], loss: str | Loss = "sse", units: dict[str, DataFrame] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(series_id, by..., model_id, params, loss, e_max, f_max): the best candidate of every model for every series, null where none has a finite loss.
 
     Days are read and shuffled once: statistics come from windows over them, and models of one kind (one scale, two, with fixes, with effort) share a pass, up to
     TOGETHER of them, in which each candidate names its model and the kernels are dispatched by it. Losses and ties are those of fit_profile.
     """
-    mle, keys, spark = loss == "mle", ["series_id", *by], cum.sparkSession
+    mle, keys, spark = _kind_of_loss(loss), ["series_id", *by], cum.sparkSession
     obs = _prepared(_with_stats(cum.select(*keys, "t", "y", "y_fixed", "effort"), keys), mle, keys)
     stats = {"Y": "top", "E": "E", "n": "n"}  # names of columns don't differ by case alone
 
@@ -283,16 +322,16 @@ def fit_models(cum: DataFrame, specs: list[ModelSpec], loss: str = "sse", units:
     return reduce(DataFrame.unionByName, found)
 
 
-def fit_profile(cum: DataFrame, spec: ModelSpec | str, units: DataFrame | None = None, loss: str = "sse", rounds: int = 0, by: tuple[str, ...] = (), boxes: DataFrame | None = None) -> DataFrame:
+def fit_profile(cum: DataFrame, spec: ModelSpec | str, units: DataFrame | None = None, loss: str | Loss = "sse", rounds: int = 0, by: tuple[str, ...] = (), boxes: DataFrame | None = None) -> DataFrame:
     """(series_id, by..., model_id, params, loss): the best candidate of each series (E9), after ``rounds`` zooms.
 
     loss "sse" (removal models: both series; effort models: the effort too, E2, E3) or "mle": the negative log-likelihood of the daily finds as Poisson counts, with that of the
     daily fixes for removal models and the Gaussian of the effort for effort models (E4, E5). Scales are solved for every candidate: in closed form, or for two scales by a fixed point on
-    sums, since their kernels share one day at most. ``by`` adds keys such as a replicate or a start. Series without a candidate of finite loss have no row. Ties go to the least
+    sums, since their kernels share one day at most; or a Loss of one's own. ``by`` adds keys such as a replicate or a start. Series without a candidate of finite loss have no row. Ties go to the least
     candidate. Broadcast are the candidates only, whose number does not depend on the data. Zooms only shrink boxes, so the loss never grows with them.
     """
     spec = MODELS[spec] if isinstance(spec, str) else spec
-    mle, keys = loss == "mle", ["series_id", *by]
+    mle, keys = _kind_of_loss(loss), ["series_id", *by]
     _checked(spec, mle)
     if boxes is None and not rounds:
         found = fit_models(cum, [spec], loss, None if units is None else {spec.model_id: units}, by)
@@ -334,6 +373,59 @@ def fit_zoom(cum: DataFrame, spec: ModelSpec | str, rounds: int = 4, **kw) -> Da
     return fit_profile(cum, spec, rounds=rounds, **kw)
 
 
+def fit_halving(cum: DataFrame, spec: ModelSpec | str, n: int = 2048, survivors: int = 8, points: int = 128, rounds: int = 8, loss: str | Loss = "sse") -> DataFrame:
+    """(series_id, model_id, params, loss): searches of three and more parameters with several survivors a series.
+
+    n evenly spread candidates are dealt to ``survivors`` starts, whose best go on; each round gives every survivor ``points`` candidates in a box around its best, and
+    every other round the better half of a series' survivors stays, at last one. A box is shrunk by nearly half if the round found nothing better in it, else by a fifth and moved to its new best, so the loss
+    never grows. Starts are further keys of the same pass: days are shuffled once a round and no series waits for another. Series without a finite loss have no row.
+    """
+    spec = MODELS[spec] if isinstance(spec, str) else spec
+    mle, spark = _kind_of_loss(loss), cum.sparkSession
+    _checked(spec, mle)
+    free, k = [spec.params.index(p) for p in _free(spec)], spec.k
+    dims = len(free)
+    obs = _prepared(_with_stats(cum.select("series_id", "t", "y", "y_fixed", "effort"), ["series_id"]), mle, ["series_id"])
+    stats = ["n", "top", "E", "y_n", "f_n", "var_y", "var_e"]
+    sides = {f"{edge}_{i}": F.expr(f"cast({bind(spec.box[p][edge == 'hi'], {'Y': 'top', 'E': 'E', 'n': 'n'})} as double)") for i, p in enumerate(spec.params) for edge in ("lo", "hi")}
+    obs = obs.withColumns(sides).withColumns({f"hi_{i}": F.greatest(f"lo_{i}", f"hi_{i}") for i in range(k)})
+    side = lambda s, edge, p: f"{edge}_{spec.params.index(p)}"
+    whole = [*stats, *(f"{s}_{i}" for s in ("lo", "hi") for i in range(k))]
+    spread = low_discrepancy(spark, dims, n)
+    starts = [spread.where(F.col("cand") % survivors == g) for g in range(survivors)]
+    found = _pass(obs, [spec] * survivors, starts, mle, ["series_id"], side, whole, tuple(whole)).withColumnRenamed("m", "start").where("best.loss is not null")
+    found = found.select("series_id", "start", *whole, F.col("best.loss").alias("b_loss"), *(F.col("best.params")[i].alias(f"b_{i}") for i in range(k)), F.lit(0.5 * n ** (-1 / dims) * 3).alias("share"))
+    days = obs.drop(*whole)
+    for r in range(rounds):
+        if r % 2 and survivors > 1:
+            survivors = max(1, survivors // 2)
+            from pyspark.sql.window import Window
+
+            found = found.withColumn("_r", F.row_number().over(Window.partitionBy("series_id").orderBy("b_loss", "start"))).where(F.col("_r") <= survivors).drop("_r")
+        box = found.select("series_id", "start", *stats, *(F.col(c).alias(f"w{c}") for c in whole if c not in stats), "b_loss", *(f"b_{i}" for i in range(k)), "share")
+        # the searched sides lie around the best, on the scale on which the parameter is searched
+        near = {}
+        for i in range(k):
+            lo, hi, b = F.col(f"wlo_{i}"), F.col(f"whi_{i}"), F.col(f"b_{i}")
+            if i not in free or (spec.effort is not None and spec.params[i] == "b"):
+                near |= {f"lo_{i}": lo, f"hi_{i}": hi}
+            elif spec.params[i] in spec.logs:
+                step = F.pow(hi / lo, F.col("share"))
+                near |= {f"lo_{i}": F.greatest(lo, b / step), f"hi_{i}": F.least(hi, b * step)}
+            else:
+                near |= {f"lo_{i}": F.greatest(lo, b - F.col("share") * (hi - lo)), f"hi_{i}": F.least(hi, b + F.col("share") * (hi - lo))}
+        rows = days.join(box.withColumns(near), "series_id").repartition(_tasks(cum), "series_id")
+        keep = (*stats, *(f"{s}_{i}" for s in ("wlo", "whi") for i in range(k)), "b_loss", *(f"b_{i}" for i in range(k)), "share")
+        again = _pass(rows, [spec], [low_discrepancy(spark, dims, points, 1 + r * points)], mle, ["series_id", "start"], side, [*stats, *(f"{s}_{i}" for s in ("lo", "hi") for i in range(k))], keep)
+        better = F.coalesce(F.col("best.loss") < F.col("b_loss"), F.lit(False))
+        found = again.select(
+            "series_id", "start", *stats, *(F.col(f"w{s}_{i}").alias(f"{s}_{i}") for s in ("lo", "hi") for i in range(k)), F.when(better, F.col("best.loss")).otherwise(F.col("b_loss")).alias("b_loss"),
+            *(F.when(better, F.col("best.params")[i]).otherwise(F.col(f"b_{i}")).alias(f"b_{i}") for i in range(k)), (F.col("share") * F.when(better, 0.8).otherwise(0.55)).alias("share"),
+        )
+    last = found.groupBy("series_id").agg(*(F.min_by(c, "b_loss").alias(c) for c in ("b_loss", *(f"b_{i}" for i in range(k)))))
+    return last.select("series_id", F.lit(spec.model_id).alias("model_id"), F.array(*(f"b_{i}" for i in range(k))).alias("params"), F.col("b_loss").alias("loss"))
+
+
 def fit_multistart(cum: DataFrame, spec: ModelSpec | str, starts: int = 3, n: int = 200, loss: str = "sse", rounds: int = 0) -> DataFrame:
     """(series_id, model_id, params, loss, start_id) of the best of several independent candidate tables."""
     spec = MODELS[spec] if isinstance(spec, str) else spec

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from math import pi
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.linear import inverse
 from ..functions.special import normal_quantile, poisson_quantile, uniform
 from .curves import MODELS, by_index, curve
 from .fit import fit_profile, grid, latin_hypercube
@@ -87,7 +88,7 @@ def confidence_band(cum: DataFrame, fits: DataFrame, model: str, replicates: int
 def noisy(samples: DataFrame, seed: int = 1) -> DataFrame:
     """samples with y: m plus normal noise of variance max(1, m), 0 at least (Box-Muller on portable uniforms)."""
     u1, u2 = (uniform(F.lit(seed), F.lit(k), F.col("series_id"), F.col("rep"), F.col("t").cast("int")) for k in ("u1", "u2"))
-    z = F.sqrt(-2 * F.log(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * np.pi * u2)
+    z = F.sqrt(-2 * F.log(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * pi * u2)
     return samples.withColumn("y", F.greatest(F.lit(0.0), F.col("m") + F.sqrt(F.greatest(F.lit(1.0), F.col("m"))) * z))
 
 
@@ -123,25 +124,15 @@ def numeric_hessian(cum: DataFrame, fits: DataFrame, model: str, kind: str = "po
 
 def param_standard_errors(cum: DataFrame, fits: DataFrame, model: str, kind: str = "poisson", level: float = 0.95) -> DataFrame:
     """(series_id, param, value, se, low, high, covariance array): from the inverse Hessian; SSE Hessians are scaled by 2 SSE / (n - k); null for
-    a condition number over 1e10 or a variance that isn't positive (H7). Only the k by k inverse is Python, on one row per series."""
+    a condition number over 1e10 (in the 1-norm) or a variance that isn't positive (H7). The k by k inverse is an expression on one row per series."""
     from .fit import sse
 
     spec = MODELS[model]
     rows = numeric_hessian(cum, fits, model, kind).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "value"))), lambda x: x["value"]).alias("h"))
     k = spec.k
 
-    @F.pandas_udf("array<double>")
-    def inverse(h: pd.Series) -> pd.Series:
-        def one(v):  # noqa: ANN001, ANN202
-            m = np.array(v, float)
-            if len(m) != k * k or not np.isfinite(m).all() or np.linalg.cond(m.reshape(k, k)) > 1e10:
-                return None
-            return np.linalg.inv(m.reshape(k, k)).ravel().tolist()
-
-        return h.map(one)
-
     scale = sse(cum, fits.where(F.col("model_id") == model), [model]).select("series_id", (2 * F.col("sse") / F.greatest(F.col("n") - k, F.lit(1))).alias("scale"))
-    joined = fits.where(F.col("model_id") == model).select("series_id", "params").join(rows, "series_id").join(scale, "series_id").withColumn("inv", inverse("h"))
+    joined = fits.where(F.col("model_id") == model).select("series_id", "params").join(rows, "series_id").join(scale, "series_id").withColumn("inv", inverse(F.col("h"), k))
     factor = F.col("scale") if kind == "sse" else F.lit(1.0)
     cov = F.transform("inv", lambda x: x * factor)
     out = joined.withColumn("covariance", cov).select("series_id", F.posexplode("params").alias("i", "value"), "covariance")
@@ -177,19 +168,19 @@ def delta_band(cum: DataFrame, fits: DataFrame, model: str, times: DataFrame | N
     return rows.select("series_id", "t", "m", (F.col("m") - half).alias("lower"), (F.col("m") + half).alias("upper"))
 
 
-def sensitivity(cum: DataFrame, fits: DataFrame, model: str, metric: str = "total", change: float = 0.01) -> DataFrame:
+def sensitivity(cum: DataFrame, fits: DataFrame, model: str, metric: str = "total", change: float = 0.01, value: str | None = None) -> DataFrame:
     """(series_id, model_id, param, metric, base, sensitivity, elasticity, grade, direction, warning) (H9).
 
-    metric: total, m_n or m_1.5n. Each parameter is moved by ``change`` both ways; a parameter of about 0 has elasticity 0, a base of about 0 no row.
+    metric: total, m_n or m_1.5n; or any name with ``value``, SQL in the model's parameters and n, the number of days. Each parameter is moved by ``change`` both ways; a parameter of about 0 has elasticity 0, a base of about 0 no row.
     """
     spec = MODELS[model]
     n = cum.groupBy("series_id").agg(F.count("*").cast("double").alias("n"))
     rows = fits.where(F.col("model_id") == model).select("series_id", "model_id", "params").join(n, "series_id")
-    sql, t = (spec.total, "n") if metric == "total" else (spec.mean, "n" if metric == "m_n" else "(1.5*n)")
-    value = lambda moved: F.expr(by_index(spec, sql, moved, t=t))
-    rows = rows.withColumn("base", value("params")).where(F.abs("base") > 1e-12).select("*", F.posexplode("params").alias("i", "theta"))
+    sql, t = (value, "n") if value is not None else (spec.total, "n") if metric == "total" else (spec.mean, "n" if metric == "m_n" else "(1.5*n)")
+    of = lambda moved: F.expr(by_index(spec, sql, moved, t=t)).cast("double")
+    rows = rows.withColumn("base", of("params")).where(F.abs("base") > 1e-12).select("*", F.posexplode("params").alias("i", "theta"))
     for name, sign in (("up", 1), ("down", -1)):
-        rows = rows.withColumn(f"p_{name}", F.transform("params", lambda x, k: F.when(k == F.col("i"), x * (1 + sign * change)).otherwise(x))).withColumn(name, value(f"p_{name}"))
+        rows = rows.withColumn(f"p_{name}", F.transform("params", lambda x, k: F.when(k == F.col("i"), x * (1 + sign * change)).otherwise(x))).withColumn(name, of(f"p_{name}"))
     zero = F.abs("theta") < 1e-12
     slope = F.when(zero, 0.0).otherwise((F.col("up") - F.col("down")) / (2 * change * F.col("theta")))
     e = F.when(zero, 0.0).otherwise(slope * F.col("theta") / F.col("base"))

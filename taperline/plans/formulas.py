@@ -120,10 +120,11 @@ def effort_case(k: int) -> str:
     return "case effort " + " ".join(f"when '{e}' then {_named(v[k], {p: f'params[{i + 1}]' for i, p in enumerate(v[0].split())})}" for e, v in EFFORTS.items()) + " end"
 
 
-def search(model: str, source: str = "cum", stats: str = "stats") -> str:
-    """CTE best_<model>: (series_id, model_id, params, loss) of its grid (up to two searched parameters) or hypercube (three)."""
+def search(model: str, source: str = "cum", stats: str = "stats", cube: tuple[int, int] | None = None, tag: str = "") -> str:
+    """CTE best_<model>: (series_id, model_id, params, loss) of its grid (up to two searched parameters) or hypercube (three; or of ``cube`` points and seed, under a name of its own)."""
     box = BOXES[model]
-    top = TOP.get(model, "5")
+    if cube:
+        return _search_cube(model, source, stats, *cube, tag)
     if len(box) < 3:
         g = 400 if len(box) == 1 else 20
         units = f"select i, {', '.join(f'((i // {g**k}) % {g} + 1) / {g}.0 as u{k}' for k in range(len(box)))} from (select unnest(range(0, {400})) as i)"
@@ -131,19 +132,30 @@ def search(model: str, source: str = "cum", stats: str = "stats") -> str:
         h = lambda *parts: "cast(('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 8)) as ubigint)::double / 4294967296.0"
         order = lambda k: f"row_number() over (order by {h(chr(39) + '1' + chr(39), repr(str(k)), 'i::varchar')}, i)"
         units = "select i, " + ", ".join(f"({order(k)} - 1 + {h(chr(39) + '1' + chr(39), repr('j' + str(k)), 'i::varchar')}) / 600.0 as u{k}" for k in range(len(box))) + " from (select unnest(range(0, 600)) as i)"
-    place = []
+    return _search_units(model, source, stats, units, model, TOP.get(model, "5"))
+
+
+def _search_cube(model: str, source: str, stats: str, points: int, seed: int, tag: str) -> str:
+    h = lambda *parts: "cast(('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 8)) as ubigint)::double / 4294967296.0"
+    order = lambda k: f"row_number() over (order by {h(repr(str(seed)), repr(str(k)), 'i::varchar')}, i)"
+    units = "select i, " + ", ".join(f"({order(k)} - 1 + {h(repr(str(seed)), repr('j' + str(k)), 'i::varchar')}) / {points}.0 as u{k}" for k in range(len(BOXES[model]))) + f" from (select unnest(range(0, {points})) as i)"
+    return _search_units(model, source, stats, units, f"{model}{tag}", TOP.get(model, "5"))
+
+
+def _search_units(model: str, source: str, stats: str, units: str, name: str, top: str) -> str:
+    box, place = BOXES[model], []
     for k, (p, (lo, hi, *log)) in enumerate(box.items()):
         place.append(f"{lo} * pow({hi} / {lo}, u{k}) as p_{p}" if log else f"{lo} + ({hi} - {lo}) * u{k} as p_{p}")
     g = _named(FORMULAS[model]["mean"], {"a": "1.0"} | {p: f"p_{p}" for p in box})
     cols = ", ".join(f"p_{p}" for p in box)
     array = ", ".join("a" if p == "a" else f"p_{p}" for p in names(model))
     return f"""
-units_{model} as ({units}),
-at_{model} as (select c.series_id, i, c.t, c.y, {', '.join(place)} from {source} c join {stats} using (series_id) cross join units_{model}),
-sums_{model} as (select series_id, i, {cols}, sum(y * g) as syg, sum(g * g) as sgg, sum(y * y) as syy from (select *, {g} as g from at_{model}) group by all),
-best_{model} as (
+units_{name} as ({units}),
+at_{name} as (select c.series_id, i, c.t, c.y, {', '.join(place)} from {source} c join {stats} using (series_id) cross join units_{name}),
+sums_{name} as (select series_id, i, {cols}, sum(y * g) as syg, sum(g * g) as sgg, sum(y * y) as syy from (select *, {g} as g from at_{name}) group by all),
+best_{name} as (
   select series_id, '{model}' as model_id, arg_min([{array}], (loss, i)) as params, min(loss) as loss
-  from (select *, syy - 2 * a * syg + a * a * sgg as loss from (select s.*, least(greatest(syg / sgg, "Y"), {top} * "Y") as a from sums_{model} s join {stats} using (series_id)))
+  from (select *, syy - 2 * a * syg + a * a * sgg as loss from (select s.*, least(greatest(syg / sgg, "Y"), {top} * "Y") as a from sums_{name} s join {stats} using (series_id)))
   group by 1)"""
 
 

@@ -236,7 +236,8 @@ def convergence_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("total", curves.curve("total", MODELS)).join(last, "series_id").select("series_id", "model_id", series.convergence_grade(F.col("y_n"), F.col("total")).alias("grade"))
 
 
-@query()
+@query(f"""{fits_sql()}, p as (select series_id, model_id, unnest(['a', 'b']) as name, unnest(params) as value from fits)
+select series_id, model_id, name, name || ' = ' || case when value >= 1000 then cast(cast(floor(value / 1000) as integer) as varchar) || ',' || printf('%08.4f', value - 1000 * floor(value / 1000)) else printf('%.4f', value) end as label from p""")
 def parameter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fitted parameter with its name and a readable value."""
     _, f = fits_of(spark, sf_dir)
@@ -245,6 +246,10 @@ def parameter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("series_id", "model_id", "x.name", special.parameter_label(F.col("x.name"), F.col("x.value")).alias("label"))
 
 
+def _squared(da: int, db: int) -> str:
+    return f"sum(power(y - (a + {da} * ha) * (1 - exp(-(b + {db} * hb) * t)), 2))"
+
+
 def _moved(da: int, db: int) -> str:
     now = f"((a + {da} * ha) * (1 - exp(-(b + {db} * hb) * t)))"
     was = f"((a + {da} * ha) * (1 - exp(-(b + {db} * hb) * t0)))"
@@ -261,10 +266,13 @@ def hessians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(uncertainty.numeric_hessian(c, f, "exponential"), 2)
 
 
-@query()
+@query(f"""{fits_sql()}, d as (select f.series_id, params[1] as a, params[2] as b, greatest(1e-4, params[1] * 1e-4) as ha, greatest(1e-4, params[2] * 1e-4) as hb, t, y from fits f join cum c using (series_id) where model_id = 'exponential'),
+h as (select series_id, ({_squared(2, 0)} - 2 * {_squared(0, 0)} + {_squared(-2, 0)}) / (4 * any_value(ha * ha)) as aa, ({_squared(1, 1)} - {_squared(1, -1)} - {_squared(-1, 1)} + {_squared(-1, -1)}) / (4 * any_value(ha * hb)) as ab,
+  ({_squared(0, 2)} - 2 * {_squared(0, 0)} + {_squared(0, -2)}) / (4 * any_value(hb * hb)) as bb from d group by 1)
+select series_id, x.p as a, z.p as b, {q('case when x.p = z.p then 1.0 else -ab / sqrt(aa * bb) end as correlation', 4)} from h cross join (values ('a'), ('b')) x(p) cross join (values ('a'), ('b')) z(p)""")
 def param_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f = fits_of(spark, sf_dir)
-    return uncertainty.correlations(uncertainty.param_standard_errors(c, f, "exponential", "sse"), "exponential")
+    return rounded(uncertainty.correlations(uncertainty.param_standard_errors(c, f, "exponential", "sse"), "exponential"), 4)
 
 
 REMOVAL = [m for m in EVERY if curves.MODELS[m].corrected]
@@ -359,14 +367,28 @@ def fit_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def fit_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four searched parameters, several survivors a series."""
+    return fit.fit_halving(cum(spark, sf_dir, "change"), "imperfect_change_point")
+
+
+_STARTS = ",".join(formulas.search("gompertz", cube=(200, 101 + s), tag=f"_{s}") for s in range(3))
+
+
+@query(f"""with {base_sql('sshape')},{_STARTS}, every as ({' union all '.join(f"select *, '{s}' as start_id from best_gompertz_{s}" for s in range(3))})
+select series_id, model_id, start_id, {q('params[1] as a; params[2] as b; params[3] as c; loss')} from every qualify row_number() over (partition by series_id order by loss, start_id) = 1""")
 def fit_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.fit_multistart(cum(spark, sf_dir, "sshape"), "gompertz")
+    f = fit.fit_multistart(cum(spark, sf_dir, "sshape"), "gompertz")
+    return rounded(f.select("series_id", "model_id", "start_id", *(F.col("params")[i].alias(p) for i, p in enumerate("abc")), "loss"))
 
 
-@query()
+@query(f"""with {base_sql('sshape')},{formulas.search('gompertz')},{formulas.search('gompertz', cube=(400, 1), tag='_cube')},
+runs as (select *, 'grid' as strategy from best_gompertz union all select *, 'hypercube' from best_gompertz_cube),
+won as (select series_id, strategy from runs qualify row_number() over (partition by series_id order by loss, strategy) = 1)
+select r.strategy, count(loss) as n_success, {q('min(loss) as best_loss; avg(loss) as avg_loss')}, 400.0::double as avg_evaluations, (select count(*) from won where won.strategy = r.strategy) as wins from runs r group by 1""")
 def compare_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"grid": fit.grid(spark, 2), "hypercube": fit.latin_hypercube(spark, 2, 400)}
-    return fit.compare_search(fit.search_runs(cum(spark, sf_dir, "sshape"), "gompertz", tables))
+    return rounded(fit.compare_search(fit.search_runs(cum(spark, sf_dir, "sshape"), "gompertz", tables)))
 
 
 @query()
@@ -375,9 +397,27 @@ def fit_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.fit_all(cum(spark, sf_dir), [*SIX, "pham_imperfect", "exp_change_point", "coverage_weibull", "constant_removal", "effort_exponential_weibull"])
 
 
-@query()
+@query(f"""with {base_sql()}, u as (select i, (i % 20 + 1) / 20.0 as u0, (i // 20 + 1) / 20.0 as u1 from (select unnest(range(0, 400)) as i)),
+g as (select c.series_id, i, 1 + (2 * n - 1) * u0 as beta, 0.5 + 4.5 * u1 as m, effort, 1 - exp(-pow(t / (1 + (2 * n - 1) * u0), 0.5 + 4.5 * u1)) as w from cum c join stats using (series_id) cross join u),
+s as (select series_id, i, beta, m, sum(effort * w) as ew, sum(w * w) as ww, sum(effort * effort) as ee from g group by all),
+l as (select series_id, i, beta, m, h, ee - 2 * h * ew + h * h * ww as loss from (select s.*, least(greatest(ew / ww, "E"), 5 * "E") as h from s join stats using (series_id)))
+select series_id, {q('arg_min(h, (loss, i)) as height; arg_min(beta, (loss, i)) as beta; arg_min(m, (loss, i)) as m; min(loss) as loss')} from l group by 1""")
 def fit_effort_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.fit_effort(cum(spark, sf_dir), "weibull")
+    f = fit.fit_effort(cum(spark, sf_dir), "weibull")
+    return rounded(f.select("series_id", *(F.col("params")[i].alias(p) for i, p in enumerate(("height", "beta", "m"))), "loss"))
+
+
+#: Squares relative to the count, as a loss of one's own.
+RELATIVE = fit.Loss("relative", {"s_g": "g*g/greatest(y,1)", "s_m": "y*g/greatest(y,1)", "s_y": "y*y/greatest(y,1)"}, "s_m/nullif(s_g,0)", "s_y-2*a*s_m+a*a*s_g")
+
+
+@query(f"""with {base_sql()}, g as (select c.series_id, i, 0.001 + 0.999 * i / 400.0 as b, y, 1 - exp(-(0.001 + 0.999 * i / 400.0) * t) as g from cum c cross join (select unnest(range(1, 401)) as i)),
+s as (select series_id, i, b, sum(g * g / greatest(y, 1)) as sg, sum(y * g / greatest(y, 1)) as sm, sum(y * y / greatest(y, 1)) as sy from g group by 1, 2, 3),
+l as (select series_id, b, i, a, sy - 2 * a * sm + a * a * sg as loss from (select s.*, least(greatest(sm / sg, "Y"), 5 * "Y") as a from s join stats using (series_id)))
+select series_id, {q('arg_min(a, (loss, i)) as a; arg_min(b, (loss, i)) as b; min(loss) as loss', 8)} from l group by 1""")
+def fit_own_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fit.fit_profile(cum(spark, sf_dir), "exponential", loss=RELATIVE)
+    return rounded(f.select("series_id", F.col("params")[0].alias("a"), F.col("params")[1].alias("b"), "loss"), 8)
 
 
 @query(f"with {base_sql()}, {_points_sql(SIX)}, p as (select model_id, {_case('mean', SIX)} as m, c.* from points p join cum c using (series_id)) select series_id, model_id, count(*) as n, {q('sum(power(y - m, 2)) as sse')} from p group by 1, 2")
@@ -729,6 +769,15 @@ def sensitivity_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.select("series_id", "param", "base", "sensitivity", F.round("elasticity", 9).alias("elasticity")).withColumns({"grade": F.when(F.abs("elasticity") < 1, "low").otherwise("medium"), "direction": F.when(F.col("elasticity") > 0.1, "up").otherwise("flat")}))
 
 
+@query(f"""{fits_sql()}, v as (select series_id, params[2] as b from fits where model_id = 'exponential')
+select series_id, {q('-ln(0.05) / b as base; (-ln(0.05) / (1.01 * b) + ln(0.05) / (0.99 * b)) / (0.02 * b) as sensitivity; (1 / 1.01 - 1 / 0.99) / 0.02 as elasticity', 5)}, case when abs((1 / 1.01 - 1 / 0.99) / 0.02) < 1 then 'low' else 'medium' end as grade, 'down' as direction from v""")
+def sensitivity_own_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day by which 95 % are found, as a metric of one's own."""
+    c, f = fits_of(spark, sf_dir)
+    s = uncertainty.sensitivity(c, f, "exponential", "day95", value="-ln(0.05D)/b").where("param = 'b'")
+    return rounded(s.select("series_id", "base", "sensitivity", "elasticity", "grade", "direction"), 5)
+
+
 _SENS = "params[1] * (1 - exp(-{b} * n))"
 
 
@@ -941,19 +990,38 @@ def anderson_darling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.anderson_darling(_res(spark, sf_dir)))
 
 
-@query()
+_P = "least(greatest(low + u * (high - low), 1e-10), 1 - 1e-10)"
+_POISSON = lambda k: f"case when {k} < 0 then 0.0 else least(1.0, list_sum(list_transform(range(0, cast({k} as bigint) + 1), lambda i: exp(-l + i * ln(l) - lgamma(i + 1))))) end"
+
+
+@query(f"""{RES}, c as (select series_id, model_id, t, dy, greatest(lam, 1e-9) as l, cast(('0x' || substr(md5(concat_ws('|', '1', series_id, model_id, cast(cast(t as integer) as varchar))), 1, 8)) as ubigint)::double / 4294967296.0 as u from res),
+p as (select *, {_POISSON('dy - 1')} as low, {_POISSON('dy')} as high from c), pp as (select *, {_P} as p from p),
+z as (select *, list_reduce(list_prepend({{'lo': -7.0::double, 'hi': 7.0::double}}, list_transform(range(0, 50), lambda i: {{'lo': 0.0::double, 'hi': 0.0::double}})),
+  lambda s, x: case when {normal_sql('((s.lo + s.hi) / 2)')} < p then {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} else {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} end) as z from pp)
+select series_id, model_id, t, {q('low; high; (z.lo + z.hi) / 2 as quantile', 5)} from z""")
 def quantile_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.quantile_residuals(_res(spark, sf_dir)).select("series_id", "model_id", "t", "low", "high", "quantile")
+    return rounded(diagnostics.quantile_residuals(_res(spark, sf_dir)).select("series_id", "model_id", "t", "low", "high", "quantile"), 5)
 
 
-@query()
+_ONE = "{{'o': {o}, 'e': {e}, 'kept': {k}}}"
+_NO_BINS = "[]::struct(o double, e double)[]"
+CHI2 = f"""binned as (select series_id, model_id, dy, lam, n, bins, least(bins - 1, floor((t - 1) * bins / n)) as bin
+  from (select *, greatest(2, least(greatest(5, ceil(1 + 3.322 * log10(n))), floor(n / 5))) as bins from (select *, cast(count(*) over (partition by series_id, model_id) as double) as n from res)) where n >= 10),
+bin_sums as (select series_id, model_id, bin, cast(sum(dy) as double) as o, cast(sum(lam) as double) as e from binned group by 1, 2, 3),
+merged as (select series_id, model_id, list_reduce(list_prepend({_ONE.format(o='0.0::double', e='0.0::double', k=_NO_BINS)}, list({_ONE.format(o='o', e='e', k=_NO_BINS)} order by bin)),
+  lambda s, x: case when s.e + x.e >= 5 then {_ONE.format(o='0.0::double', e='0.0::double', k="list_append(s.kept, {'o': s.o + x.o, 'e': s.e + x.e})")} else {_ONE.format(o='s.o + x.o', e='s.e + x.e', k='s.kept')} end) as m from bin_sums group by 1, 2),
+cells as (select series_id, model_id, len(m.kept) as bins, list_sum(list_transform(m.kept, lambda x, i: case when i = len(m.kept) then power(x.o + m.o - x.e - m.e, 2) / (x.e + m.e) else power(x.o - x.e, 2) / x.e end)) as chi2 from merged where len(m.kept) > 0),
+gof as (select *, greatest(1, bins - 3) as df, {chi2_tail_sql('chi2', 'greatest(1, bins - 3)')} as p_chi2 from cells)"""
+
+
+@query(f"{RES}, {CHI2} select series_id, model_id, {q('chi2')}, cast(bins as integer) as bins, cast(df as integer) as df, {q('p_chi2 as p_value')} from gof")
 def chi_square_gof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.chi_square_gof(_res(spark, sf_dir), 2)
+    return rounded(diagnostics.chi_square_gof(_res(spark, sf_dir), 2))
 
 
 @query(f"{RES}, e as (select series_id, model_id, t, dy, unnest(range(0, cast(dy as bigint))) as j from res) select series_id, model_id, {q('t - 1 + (j + 0.5) / dy as t')} from e")
 def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.event_times(_res(spark, sf_dir)))
+    return rounded(diagnostics.event_times(_res(spark, sf_dir)).select("series_id", "model_id", "t"))
 
 
 TIMES = f"""{RES}, evt as (select series_id, model_id, params, t_end, t - 1 + (j + 0.5) / dy as t from (select r.series_id, r.model_id, r.t, r.dy, p.params, n as t_end, unnest(range(0, cast(r.dy as bigint))) as j from res r join points p using (series_id, model_id) join stats using (series_id) where r.model_id = 'exponential')),
@@ -979,10 +1047,22 @@ def cvm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.cvm_test(_times(spark, sf_dir)))
 
 
-@query()
+_KS_P = """case when n < 5 then 1.0 when x < 0.27 then 1.0 when x < 1 then least(1, greatest(0, 1 - sqrt(2 * pi()) / x * (exp(-power(pi(), 2) / (8 * x * x)) + exp(-9 * power(pi(), 2) / (8 * x * x)) + exp(-25 * power(pi(), 2) / (8 * x * x)))))
+  when x < 3.1 then least(1, greatest(0, 2 * (exp(-2 * x * x) - exp(-8 * x * x) + exp(-18 * x * x) - exp(-32 * x * x)))) else 0.0 end"""
+_CVM_P = """case when w2 >= 1.1 then 0.0001 else least(1, greatest(0, case when w2 < 0.0275 then 1 - exp(-13.953 + 775.5 * w2 - 12542.6 * w2 * w2) when w2 < 0.051 then 1 - exp(-5.903 + 179.5 * w2 - 1515.3 * w2 * w2)
+  when w2 < 0.092 then exp(0.886 - 31.62 * w2 + 10.89 * w2 * w2) else exp(1.111 - 34.24 * w2 + 12.83 * w2 * w2) end)) end"""
+
+
+@query(f"""{RES}, {CHI2},
+evs as (select r.series_id, r.model_id, p.params, n as t_end, r.t - 1 + (r.j + 0.5) / r.dy as t from (select series_id, model_id, t, dy, unnest(range(0, cast(dy as bigint))) as j from res) r join points p using (series_id, model_id) join stats using (series_id)),
+placed as (select series_id, model_id, row_number() over {_W} as i, count(*) over (partition by series_id, model_id) as n, least(1.0, greatest(0.0, {_case('mean', SIX)} / {_case('mean', SIX, t='t_end')})) as u from evs),
+far as (select series_id, model_id, n, max(greatest(abs(1.0 * i / n - u), abs((i - 1.0) / n - u))) as d, (1 / (12.0 * n) + sum(power(u - (2.0 * i - 1) / (2.0 * n), 2))) * (1 + 0.5 / n) as w2 from placed group by 1, 2, 3),
+tests as (select series_id, model_id, {_KS_P} as p_ks, {_CVM_P} as p_cvm from (select *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d as x from far)),
+every as (select *, cast(coalesce(p_ks, 0) >= 0.05 as integer) + cast(coalesce(p_cvm, 0) >= 0.05 as integer) + cast(coalesce(p_chi2, 0) >= 0.05 as integer) >= 2 as adequate, list_sort([coalesce(p_chi2, 0), coalesce(p_ks, 0), coalesce(p_cvm, 0)])[2] as middle from tests full join gof using (series_id, model_id))
+select series_id, model_id, {q('p_ks; p_cvm; p_chi2')}, adequate, case when middle >= 0.1 then 'good' when middle >= 0.05 then 'acceptable' when middle >= 0.01 then 'doubtful' else 'poor' end as label from every""")
 def goodness_of_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cum(spark, sf_dir)
-    return diagnostics.goodness_of_fit(c, _points(c, SIX), SIX, 2)
+    return rounded(diagnostics.goodness_of_fit(c, _points(c, SIX), SIX, 2))
 
 
 _DIAGNOSED = MOMENTS.removeprefix(RES)
