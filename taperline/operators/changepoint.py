@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.special import chi2_sf, log_factorial
+from ..sources.shared import stored
 from .curves import MODELS, ModelSpec, bind, by_index, with_fixed_tau
 from .fit import _search, _solve, fit_profile, grid, latin_hypercube, param_bounds, series_stats
 from .score import aicc
@@ -151,14 +152,37 @@ def tau_reliability(profile: DataFrame) -> DataFrame:
     )
 
 
-def fit_change_point(cum: DataFrame, model: str = "exp_change_point") -> DataFrame:
-    """(series_id, model_id, params, loss): the best tau's fit with tau among the parameters; series too short for a profile get the joint fit."""
+def fit_change_point(cum: DataFrame, model: str = "exp_change_point", profile: DataFrame | None = None) -> DataFrame:
+    """(series_id, model_id, params, loss): the best tau's fit with tau among the parameters; series too short for a profile get the joint fit (I5). ``profile`` is that of profile_tau,
+    if it is there already."""
     spec, fixed = MODELS[model], with_fixed_tau(MODELS[model])
-    best = profile_tau(cum, model).where("best")
+    best = (profile_tau(cum, model) if profile is None else profile).where("best")
     params = F.array(*(F.col("tau") if p == "tau" else F.col("params")[fixed.params.index(p)] for p in spec.params))
     done = best.select("series_id", "model_id", params.alias("params"), "loss")
-    rest = cum.join(done.select("series_id"), "series_id", "left_anti")
-    return done.unionByName(fit_profile(rest, model).select(*done.columns))
+    short = cum.withColumn("_n", F.count("*").over(Window.partitionBy("series_id"))).where("_n < 7").drop("_n")
+    return done.unionByName(fit_profile(short, model).select(*done.columns))
+
+
+def change_point_report(cum: DataFrame, model: str = "exp_change_point", holdout: int = 5, ratios: tuple[float, ...] = (0.90, 0.95, 0.99, 0.999)) -> DataFrame:
+    """One row per series: the fit with its best tau, how far that can be relied on (gap and reliability), hold-out errors of the fit without the last ``holdout`` days, milestones
+    and sensitivities of the total, the largest first (I5). Series that are too short for a profile have neither gap nor, on fewer days, hold-out errors."""
+    from .predict import milestones
+    from .score import holdout_metrics, split_last_n
+    from .uncertainty import sensitivity
+
+    profile = stored(profile_tau(cum, model), "profile")
+    fits = stored(fit_change_point(cum, model, profile), "change-point-fits")
+    sure = tau_reliability(profile).withColumnRenamed("grade", "reliability")
+    split = split_last_n(cum, holdout)
+    held = holdout_metrics(split, fit_change_point(split.where("is_train").select(*cum.columns), model), [model])
+    steps = milestones(cum, fits, [model], ratios).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("ratio", "target", "already_reached", "day", "remaining_days"))).alias("milestones"))
+    moves = sensitivity(cum, fits, model).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct((-F.abs("elasticity")).alias("order"), "param", "elasticity", "grade"))).alias("sensitivity"))
+    tau = F.col("params")[MODELS[model].params.index("tau")]
+    out = fits.select("series_id", "model_id", "params", tau.alias("tau"), "loss")
+    errors = held.select("series_id", "n_test", *(F.col(c).alias(f"holdout_{c}") for c in ("mse", "mae", "mape")))
+    for part in (sure, errors, steps, moves):
+        out = out.join(part, "series_id", "left")
+    return out
 
 
 def exponential_loglik(n: str, at: str, b: str, days: str, lo: str, hi: str) -> str:
@@ -266,4 +290,4 @@ def lrt_grade(p):
     return F.when(p < 0.01, "strong").when(p < 0.05, "significant").when(p < 0.10, "weak").otherwise("none")
 
 
-__all__ = ["slope_breaks", "segment_sums", "scan_tau", "profile_tau", "tau_reliability", "fit_change_point", "fit_change_points", "poisson_lr", "change_point_lrt", "lrt_grade"]
+__all__ = ["slope_breaks", "segment_sums", "scan_tau", "profile_tau", "tau_reliability", "fit_change_point", "fit_change_points", "change_point_report", "poisson_lr", "change_point_lrt", "lrt_grade"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .curves import MODELS, curve
-from .fit import evaluate, gaussian_loglik, joint_loglik, sse, sse_joint_effort, sse_joint_removal
+from .fit import gaussian_loglik, joint_loglik, sse, sse_joint_effort, sse_joint_removal
 
 
 def by_series():
@@ -91,7 +91,7 @@ def split_by_ratio(cum: DataFrame, ratio: float) -> DataFrame:
 def holdout_metrics(split: DataFrame, fits: DataFrame, models: list[str], floor: float = 1e-6) -> DataFrame:
     """(series_id, model_id, n_test, mse, mae, mape, n_skipped, mostly_skipped) on the test days; mape leaves out |y| < floor, null if all."""
     test = split.where("not is_train")
-    rows = evaluate(fits, test, models).join(test.select("series_id", "t", "y"), ["series_id", "t"]).withColumn("e", F.col("y") - F.col("m"))
+    rows = fits.select("series_id", "model_id", "params").join(test.select("series_id", "t", "y"), "series_id").withColumn("e", F.col("y") - curve("mean", models))
     tiny = F.abs("y") < floor
     out = rows.groupBy("series_id", "model_id").agg(
         F.count("*").alias("n_test"), F.avg(F.col("e") * F.col("e")).alias("mse"), F.avg(F.abs("e")).alias("mae"), F.avg(F.when(~tiny, 100 * F.abs(F.col("e") / F.col("y")))).alias("mape"), F.count_if(tiny).alias("n_skipped")
@@ -161,8 +161,9 @@ def comparison_table(scored: DataFrame, milestones: DataFrame, metrics: DataFram
     return out.select("series_id", "model_id", "r2", "mse", "aic", "total", "p", "holdout_mse", "holdout_mape", "loss", "day95", "day99")
 
 
-def status_report(status: DataFrame, best: DataFrame, milestones: DataFrame, notes: DataFrame, models: list[str], sensitivity: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
-    """One row per series: status, best model with parameters and scores, grade, milestones, warnings, sensitivities and the five best change points."""
+def status_report(status: DataFrame, best: DataFrame, milestones: DataFrame, notes: DataFrame, models: list[str], sensitivity: DataFrame | None = None, profile: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """One row per series: status, best model with parameters and scores, grade, milestones, warnings, sensitivities, the five best change points and, from hold-out ``metrics``, the
+    errors of every model, the least first, the best model by them and how many are over 50 % (F15)."""
     from .series import convergence_grade
 
     one = best.withColumn("total", curve("total", models)).select("series_id", "model_id", "params", "r2", "mse", "aic", "total")
@@ -174,6 +175,10 @@ def status_report(status: DataFrame, best: DataFrame, milestones: DataFrame, not
     if sensitivity is not None:
         s = sensitivity.groupBy("series_id", "model_id").agg(F.array_sort(F.collect_list(F.struct((-F.abs("elasticity")).alias("order"), "param", "elasticity"))).alias("sensitivity"))
         out = out.join(s, ["series_id", "model_id"], "left")
+    if metrics is not None:
+        errors = metrics.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("mape", F.lit(float("inf"))).alias("order"), "model_id", "mape", "mse", "mae", "n_test"))).alias("holdout"))
+        best_held = best_by_mape(metrics).select("series_id", F.col("model_id").alias("holdout_best"), F.col("mape").alias("holdout_best_mape"), F.col("n_poor").alias("holdout_n_poor"))
+        out = out.join(errors, "series_id", "left").join(best_held, "series_id", "left")
     if profile is not None:
         w = Window.partitionBy("series_id").orderBy("aicc", "tau")
         top = profile.withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("aicc", "tau"))).alias("change_points"))

@@ -65,17 +65,19 @@ def refit_replicates(pseudo: DataFrame, fits: DataFrame, model: str, n: int = 40
 
 
 def replicate_curves(refits: DataFrame, times: DataFrame, model: str) -> DataFrame:
-    """(series_id, rep, t, m)."""
-    rows = refits.select("series_id", "rep", "model_id", "params").join(times.select("series_id", "t"), "series_id")
-    return rows.select("series_id", "rep", "t", curve("mean", [model]).alias("m"))
+    """(series_id, rep, t, m, refitted)."""
+    rows = refits.select("series_id", "rep", "model_id", "params", "refitted").join(times.select("series_id", "t"), "series_id")
+    return rows.select("series_id", "rep", "t", curve("mean", [model]).alias("m"), "refitted")
 
 
 def band(samples: DataFrame, level: float = 0.95, value: str = "m") -> DataFrame:
-    """(series_id, t, lower, upper, n_reps): order statistics at round((B - 1) alpha / 2) and round((B - 1)(1 - alpha / 2)), halves to even (H4)."""
+    """(series_id, t, lower, upper, n_reps): order statistics at round((B - 1) alpha / 2) and round((B - 1)(1 - alpha / 2)), halves to even (H4); with success_rate, the share of replicates
+    whose own fit was taken, where samples have refitted."""
     alpha = round(1 - level, 12)
-    lists = samples.groupBy("series_id", "t").agg(F.sort_array(F.collect_list(value)).alias("v"))  # bounded by the number of replicates
+    rate = [F.avg(F.col("refitted").cast("double")).alias("success_rate")] if "refitted" in samples.columns else []
+    lists = samples.groupBy("series_id", "t").agg(F.sort_array(F.collect_list(value)).alias("v"), *rate)  # bounded by the number of replicates
     at = lambda q: F.get("v", F.bround((F.size("v") - 1) * F.lit(q)).cast("int"))
-    return lists.select("series_id", "t", at(alpha / 2).alias("lower"), at(1 - alpha / 2).alias("upper"), F.size("v").alias("n_reps"))
+    return lists.select("series_id", "t", at(alpha / 2).alias("lower"), at(1 - alpha / 2).alias("upper"), F.size("v").alias("n_reps"), *(["success_rate"] if rate else []))
 
 
 def confidence_band(cum: DataFrame, fits: DataFrame, model: str, replicates: int = 200, level: float = 0.95, seed: int = 1, residual: bool = False, times: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..operators import changepoint, curves, diagnostics, fit, predict, score, series, uncertainty
 from ..sources import observations
+from ..sources.shared import stored
 from . import formulas
 from .fixtures import base_sql, cum, obs, series_table
 
@@ -504,6 +505,7 @@ def input_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c, f = fits_of(spark, sf_dir, models=CATALOG)
+    f = stored(f, "fits")  # read by scores, milestones and curves
     return c, f, score.score_fits(c, f, CATALOG)
 
 
@@ -640,7 +642,7 @@ def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f, s = _scored(spark, sf_dir)
     status = series.current_status(series.running_totals(obs(spark, sf_dir)))
     sens = uncertainty.sensitivity(c, f, "exponential")
-    return score.status_report(status, score.best_model(s), predict.milestones(c, f, CATALOG), score.warnings(s, bugs=series.shape(c)), CATALOG, sens, changepoint.profile_tau(c))
+    return score.status_report(status, score.best_model(s), predict.milestones(c, f, CATALOG), score.warnings(s, bugs=series.shape(c)), CATALOG, sens, changepoint.profile_tau(c), _held(spark, sf_dir))
 
 
 @query(f"""{_MS} select series_id, {q('day as day95')}, {q('total')}, case when total <= 0 then null when y_n / total >= 0.99 then 'ready' when y_n / total >= 0.95 then 'beta' when y_n / total >= 0.9 then 'converging' else 'open' end as grade from ms where ratio = 0.95""")
@@ -656,10 +658,12 @@ def flagship_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- change points ------------------------------------------------------------------------------------------------------
 
 
-@query(f"""with {base_sql('change')}, d as (select *, (y - lag(y, 5) over w) / 5 as before, (lead(y, 5) over w - y) / 5 as after, count(*) over (partition by series_id) as n from cum window w as (partition by series_id order by t))
-select series_id, t, {q('before; after; abs(after - before) / greatest(0.1, abs(before)) as change')} from d where n >= 11 and abs(after - before) / greatest(0.1, abs(before)) > 0.3""")
+@query(f"""with {base_sql('change')}, d as (select *, (y - lag(y, 5) over w) / 5 as before, (lead(y, 5) over w - y) / 5 as after, count(*) over (partition by series_id) as n from cum window w as (partition by series_id order by t)),
+b as (select * from d where n >= 11 and abs(after - before) / greatest(0.1, abs(before)) > 0.3),
+picks as (select series_id, list_reduce(list_prepend([]::double[], list([t] order by t)), lambda a, x: case when len(a) = 0 or x[1] - a[len(a)] > 5 then list_concat(a, x) else a end) as taken from b group by 1)
+select series_id, t, {q('before; after; abs(after - before) / greatest(0.1, abs(before)) as change')}, list_contains(taken, t) as picked from b join picks using (series_id)""")
 def slope_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(changepoint.slope_breaks(cum(spark, sf_dir, "change")).drop("picked"))
+    return rounded(changepoint.slope_breaks(cum(spark, sf_dir, "change")))
 
 
 _CP = curves.MODELS["exp_change_point"]
@@ -676,18 +680,23 @@ def scan_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GRID = 16
 _FIRST, _SECOND = "(1 - exp(-b1 * least(t, tau)))", "(1 - exp(-b2 * greatest(t - tau, 0)))"
-_PROFILE = f"""with {base_sql('change')},
-grid as (select i, j, 0.001 + 0.999 * i / {_GRID}.0 as b1, 0.001 + 0.999 * j / {_GRID}.0 as b2 from (select unnest(range(1, {_GRID + 1})) as i), (select unnest(range(1, {_GRID + 1})) as j)),
-taus as (select series_id, unnest(range(3, cast(n as bigint) - 2)) as tau from stats),
-g as (select c.series_id, tau, i, j, y, {_FIRST} as g1, {_SECOND} as g2 from cum c join taus using (series_id) cross join grid),
-s as (select series_id, tau, i, j, sum(g1*g1) as s11, sum(g1*g2) as s12, sum(g2*g2) as s22, sum(y*g1) as y1, sum(y*g2) as y2, sum(y*y) as yy from g group by 1, 2, 3, 4),
-b as (select s.*, n, 1.0 as lo, 3 * "Y" as hi, s11 * s22 - s12 * s12 as det from s join stats using (series_id)),
-c5 as (select *, unnest([1, 2, 3, 4, 5]) as e from b),
-x as (select *, case e when 1 then (y1 * s22 - y2 * s12) / nullif(det, 0) when 2 then lo when 3 then hi when 4 then least(greatest((y1 - lo * s12) / nullif(s11, 0), lo), hi) else least(greatest((y1 - hi * s12) / nullif(s11, 0), lo), hi) end as a1,
-  case e when 1 then (y2 * s11 - y1 * s12) / nullif(det, 0) when 2 then least(greatest(coalesce((y2 - lo * s12) / nullif(s22, 0), lo), lo), hi) when 3 then least(greatest(coalesce((y2 - hi * s12) / nullif(s22, 0), lo), lo), hi) when 4 then lo else hi end as a2 from c5),
-every as (select *, yy - 2*a1*y1 - 2*a2*y2 + a1*a1*s11 + 2*a1*a2*s12 + a2*a2*s22 as loss, 0.001 + 0.999 * i / 16.0 as b1, 0.001 + 0.999 * j / 16.0 as b2 from x where e > 1 or (det > 0 and a1 between lo and hi and a2 between lo and hi)),
-l as (select series_id, tau, n, min(loss) as loss, arg_min([a1, b1, a2, b2, tau], loss) as params from every group by 1, 2, 3),
-profile as (select series_id, tau, params, loss, n * ln(loss / n) + 10 + 60.0 / (n - 6) as aicc from l)"""
+def _profile(source: str = "cum", stats: str = "stats", p: str = "") -> str:
+    """CTE profile, all names with a prefix: every place of a change point, fitted to a table of days."""
+    return f"""
+{p}grid as (select i, j, 0.001 + 0.999 * i / {_GRID}.0 as b1, 0.001 + 0.999 * j / {_GRID}.0 as b2 from (select unnest(range(1, {_GRID + 1})) as i), (select unnest(range(1, {_GRID + 1})) as j)),
+{p}taus as (select series_id, unnest(range(3, cast(n as bigint) - 2)) as tau from {stats}),
+{p}g as (select c.series_id, tau, i, j, y, {_FIRST} as g1, {_SECOND} as g2 from {source} c join {p}taus using (series_id) cross join {p}grid),
+{p}s as (select series_id, tau, i, j, sum(g1*g1) as s11, sum(g1*g2) as s12, sum(g2*g2) as s22, sum(y*g1) as y1, sum(y*g2) as y2, sum(y*y) as yy from {p}g group by 1, 2, 3, 4),
+{p}b as (select s.*, n, 1.0 as lo, 3 * "Y" as hi, s11 * s22 - s12 * s12 as det from {p}s s join {stats} using (series_id)),
+{p}c5 as (select *, unnest([1, 2, 3, 4, 5]) as e from {p}b),
+{p}x as (select *, case e when 1 then (y1 * s22 - y2 * s12) / nullif(det, 0) when 2 then lo when 3 then hi when 4 then least(greatest((y1 - lo * s12) / nullif(s11, 0), lo), hi) else least(greatest((y1 - hi * s12) / nullif(s11, 0), lo), hi) end as a1,
+  case e when 1 then (y2 * s11 - y1 * s12) / nullif(det, 0) when 2 then least(greatest(coalesce((y2 - lo * s12) / nullif(s22, 0), lo), lo), hi) when 3 then least(greatest(coalesce((y2 - hi * s12) / nullif(s22, 0), lo), lo), hi) when 4 then lo else hi end as a2 from {p}c5),
+{p}every as (select *, yy - 2*a1*y1 - 2*a2*y2 + a1*a1*s11 + 2*a1*a2*s12 + a2*a2*s22 as loss, 0.001 + 0.999 * i / 16.0 as b1, 0.001 + 0.999 * j / 16.0 as b2 from {p}x where e > 1 or (det > 0 and a1 between lo and hi and a2 between lo and hi)),
+{p}l as (select series_id, tau, n, min(loss) as loss, arg_min([a1, b1, a2, b2, tau], loss) as params from {p}every group by 1, 2, 3),
+{p}profile as (select series_id, tau, params, loss, n * ln(loss / n) + 10 + 60.0 / (n - 6) as aicc from {p}l)"""
+
+
+_PROFILE = f"with {base_sql('change')},{_profile()}"
 
 
 @query(f"{_PROFILE} select series_id, cast(tau as double) as tau, {q('loss; aicc', 5)}, row_number() over (partition by series_id order by aicc, tau) = 1 as best from profile")
@@ -708,6 +717,20 @@ def fit_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(f.select("series_id", "model_id", *(F.col("params")[i].alias(p) for i, p in enumerate(("a1", "b1", "a2", "b2", "tau"))), "loss"), 4)
 
 
+@query(f"""{_PROFILE},
+train as (select c.* from cum c join stats using (series_id) where t <= n - 5),
+tstats as (select series_id, cast(count(*) as double) as n, greatest(max(y), 1.0) as "Y" from train group by 1),{_profile("train", "tstats", "t_")},
+held as (select series_id, arg_min(params, aicc) as params from t_profile group by 1),
+errors as (select c.series_id, avg(power(y - m, 2)) as mse, avg(100 * abs((y - m) / y)) as mape from (select c.series_id, c.y, {formulas.formula('exp_change_point', 'mean')} as m from cum c join held using (series_id) join (select series_id, n from stats) z using (series_id) where t > n - 5) c group by 1),
+best as (select series_id, cast(arg_min(tau, aicc) as double) as tau, min(loss) as loss, list_sort(list(aicc)) as v from profile group by 1),
+fitted as (select series_id, arg_min(loss, aicc) as loss from profile group by 1)
+select series_id, b.tau, {q('f.loss as loss; v[len(v) // 2 + 1] - v[1] as gap; mse as holdout_mse; mape as holdout_mape', 4)} from best b join fitted f using (series_id) join errors using (series_id)""")
+def change_point_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of the best change point with its reliability and hold-out errors; milestones and sensitivities are in the operator's result."""
+    r = changepoint.change_point_report(cum(spark, sf_dir, "change"))
+    return rounded(r.select("series_id", "tau", "loss", "gap", "holdout_mse", "holdout_mape"), 4)
+
+
 _STRETCHES = f"""with {base_sql('change')},
 d as (select *, y - coalesce(lag(y) over (partition by series_id order by t), 0) as dy from cum),
 f as (select series_id, sum({formulas._named(formulas.LF, {'x': 'dy'})}) as fact from d group by 1),
