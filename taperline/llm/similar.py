@@ -1,7 +1,7 @@
 """Near-duplicates by exact similarity of word shingles.
 
 Candidates come from SimHash components and from bands of MinHash values; both only name buckets of texts that may be near. In
-every bucket a search from text to text compares the sets of shingles themselves, with those not yet reached only.
+every bucket a search from text to text compares the sets of shingles themselves, with those not yet reached that share a leading shingle only.
 """
 
 from __future__ import annotations
@@ -68,24 +68,41 @@ def _sets(shingle: int, seed: int):
 
 
 def similar_links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links of a Jaccard similarity of ``least`` or more that join exactly those that paths of such links join."""
-    found, open_ = [], list(range(len(ids)))
-    while open_:
-        edge, open_ = [open_[0]], open_[1:]
-        while edge and open_:
-            a, left = sets[edge[0]], []
-            for i in open_:
-                b = sets[i]
-                near = min(len(a), len(b)) >= least * max(len(a), len(b))
-                if near:
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    near = both >= least * (len(a) + len(b) - both)
-                if near:
-                    found.append((ids[edge[0]], ids[i]))
-                    edge.append(i)
-                else:
-                    left.append(i)
-            edge, open_ = edge[1:], left
+    """Links of a Jaccard similarity of ``least`` or more that join exactly those that paths of such links join.
+
+    Sets are ascending. Two sets that are so alike share one of the first len - ceil(least * len) + 1 elements of each, so a search from set to set only compares with those not yet
+    reached that are listed under one of these elements: unrelated sets of a bucket are never compared, and a dense group costs its size.
+    """
+    first = [s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1].tolist() or [-1] for s in sets]  # empty sets are alike
+    listed: dict[int, list[int]] = {}
+    for i, tokens in enumerate(first):
+        for t in tokens:
+            listed.setdefault(t, []).append(i)
+    found, reached = [], [False] * len(ids)
+    for start in range(len(ids)):
+        if reached[start]:
+            continue
+        reached[start], edge = True, [start]
+        while edge:
+            at = edge.pop()
+            a, tried = sets[at], set()
+            for t in first[at]:
+                if t not in listed:
+                    continue
+                left = listed[t] = [i for i in listed[t] if not reached[i]]
+                if not left:
+                    del listed[t]
+                for i in left:
+                    if i in tried:
+                        continue
+                    tried.add(i)
+                    b = sets[i]
+                    if min(len(a), len(b)) >= least * max(len(a), len(b)):
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if both >= least * (len(a) + len(b) - both):
+                            found.append((ids[at], ids[i]))
+                            reached[i] = True
+                            edge.append(i)
     return found
 
 

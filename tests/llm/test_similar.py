@@ -43,3 +43,28 @@ def test_stage_against_all_pairs(spark, data):
     root = brute.groups([i for i, _ in rows], lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     kept = {r["doc_id"] for r in stages.simhash(spark, spark.read.parquet(f"{data}/documents.parquet"), data).collect()}
     assert kept == {rows[k][0] for k in range(len(rows)) if root[k] == k}
+
+
+def test_links_join_what_all_pairs_join():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        base = [rng.choice(60, rng.integers(0, 20), replace=False) for _ in range(6)]
+        sets = [np.unique(np.concatenate([base[rng.integers(6)][rng.integers(0, 4) :], rng.choice(60, rng.integers(0, 3))])).astype(np.uint64) for _ in range(40)]
+        near = lambda i, j: (lambda x: x >= 0.8 * (len(sets[i]) + len(sets[j]) - x) and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])))(len(np.intersect1d(sets[i], sets[j])))  # noqa: B023, E731
+        links = {frozenset(x) for x in similar.similar_links(list(range(40)), sets, 0.8)}
+        assert all(near(*x) for x in links)
+        assert brute.groups(range(40), lambda i, j: frozenset((i, j)) in links) == brute.groups(range(40), near)  # noqa: B023
+
+
+def test_unrelated_sets_of_a_bucket_are_not_compared(monkeypatch):
+    import numpy as np
+
+    rng, compared = np.random.default_rng(1), []
+    whole = np.intersect1d
+    monkeypatch.setattr(similar.np, "intersect1d", lambda *a, **k: compared.append(1) or whole(*a, **k))
+    sets = [np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64)) for _ in range(1000)]
+    assert similar.similar_links(list(range(1000)), sets, 0.8) == [] and len(compared) < 10
+    copies = [np.unique(np.append(sets[0], np.uint64(i))) for i in range(1000)]
+    assert len(similar.similar_links(list(range(1000)), copies, 0.8)) == 999 and len(compared) < 1100
