@@ -27,10 +27,9 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 200 bytes go out of the texts, the first stays; n_chars follows."""
-    done = suffixes.suffix_dedup(packed(docs), keep="first").withColumnRenamed("spans", "cut_spans").drop("kept")
-    text = suffixes.kept_text(F.col("text"), F.col("cut_spans"))
-    whole = F.size("cut_spans") == 0
-    cut = done.withColumn("text", F.when(whole, F.col("text")).otherwise(text)).withColumn("whole", whole)
+    done = suffixes.suffix_dedup(packed(docs), keep="first", characters=True)
+    whole = F.size("spans") == 0
+    cut = done.select("doc_id", F.when(whole, F.col("text")).otherwise(F.col("kept")).alias("text"), *(["rest"] if "rest" in done.columns else []), whole.alias("whole"))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         cut = cut.withColumn("rest", F.col("rest").withField("n_chars", F.when(F.col("whole"), F.col("rest.n_chars")).otherwise(F.length("text").cast(kind))))

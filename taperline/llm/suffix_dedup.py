@@ -359,8 +359,9 @@ def repeated_spans(rows: DataFrame, length: int, keep: str, hot_pieces: int) ->
     return out.unionByName(strings.select("rid", "begin", (F.col("begin") + length).alias("end")))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pieces: int = 4096) -> DataFrame:
-    """``docs`` with spans array<struct<begin, end>> (maximal runs of bytes to remove) and kept binary (what is left) added.
+def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pieces: int = 4096, characters: bool = False) -> DataFrame:
+    """``docs`` with spans array<struct<begin, end>> (maximal runs of bytes to remove) and kept binary (what is left) added; with ``characters`` kept is a string: what is
+    left if each span is shrunk to whole characters.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else ("none") or earlier ("first": by doc_id, then
     position; where ids are null or repeat, in the order in which rows are read). Strings never cross rows, and are judged on the input.
@@ -391,40 +392,26 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: str = "first", hot_pi
                     out_spans.append([])
                     out_kept.append(raw)
                     continue
-                b, e = merged(given[i].values.field("begin").to_numpy(), given[i].values.field("end").to_numpy())
-                out_spans.append([{"begin": x, "end": y} for x, y in zip(b.tolist(), e.tolist())])
-                out_kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*b.tolist(), len(raw)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out_spans, shape), pa.array(out_kept, pa.binary())], names=[*batch.schema.names[:-1], "spans", "kept"])
+                b, e = (x.tolist() for x in merged(given[i].values.field("begin").to_numpy(), given[i].values.field("end").to_numpy()))
+                out_spans.append([{"begin": x, "end": y} for x, y in zip(b, e)])
+                if characters:
+                    b, e = zip(*(whole_characters(raw, x, y) for x, y in zip(b, e)))
+                out_kept.append(b"".join(raw[x:y] for x, y in zip([0, *e], [*b, len(raw)])))
+            kind = pa.string() if characters else pa.binary()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out_spans, shape), pa.array(out_kept, pa.binary()).cast(kind)], names=[*batch.schema.names[:-1], "spans", "kept"])
 
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return joined.select(*kept.columns, "_raw_spans").mapInArrow(cut, ", ".join([*types, "spans array<struct<begin:bigint,end:bigint>>", "kept binary"]))
+    return joined.select(*kept.columns, "_raw_spans").mapInArrow(cut, ", ".join([*types, "spans array<struct<begin:bigint,end:bigint>>", f"kept {'string' if characters else 'binary'}"]))
 
 
 def removed_bytes(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
 
 
-def kept_text(text: Column, spans: Column) -> Column:
-    """The text without its spans, each shrunk to whole characters, so that what is left is valid UTF-8."""
-
-    @F.pandas_udf("string")
-    def cut(texts, lists):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        def one(text: str | None, found: list) -> str | None:
-            if text is None or found is None or not len(found):
-                return text
-            raw, out, at = text.encode(), [], 0
-            for x in found:
-                b, e = x["begin"], x["end"]
-                while b < e and raw[b] & 0xC0 == 0x80:
-                    b += 1
-                while e > b and e < len(raw) and raw[e] & 0xC0 == 0x80:
-                    e -= 1
-                out.append(raw[at:b])
-                at = e
-            return b"".join([*out, raw[at:]]).decode()
-
-        return pd.Series([one(t, s) for t, s in zip(texts, lists)])
-
-    return cut(text, spans)
+def whole_characters(raw: bytes, begin: int, end: int) -> tuple[int, int]:
+    """A span of UTF-8 bytes without the parts of characters at its ends."""
+    while begin < end and raw[begin] & 0xC0 == 0x80:
+        begin += 1
+    while end > begin and end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return begin, end
