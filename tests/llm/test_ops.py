@@ -200,8 +200,10 @@ def test_suffix_odd(odd, none):
     same = [len(r["kept"]) for r in got.where("doc_id in (4, 5)").collect()]
     assert sorted(same)[:2] == [0, 0] and sorted(same)[2] < 480
     assert suffix_dedup.suffix_dedup(none).count() == 0
-    cut = suffix_dedup.suffix_dedup(odd, characters=True).select(F.col("kept").alias("t")).collect()
-    assert sum(r["t"] is None for r in cut) == 2
+    cut = suffix_dedup.suffix_dedup(odd, characters=True).select("text", "spans", "kept").collect()
+    assert all(r["kept"] == (r["text"] or "") for r in cut if not r["spans"]) and any(r["spans"] for r in cut)
+    raw = "aé日b".encode()
+    assert [suffix_dedup.whole_characters(raw, *x) for x in ((1, 6), (2, 6), (2, 5), (0, 2), (4, 5), (0, 7))] == [(1, 6), (3, 6), (3, 3), (0, 1), (5, 5), (0, 7)]
 
 
 def test_smaller_neighbours():
