@@ -31,7 +31,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     ``events`` has conv_id, seq, op, message, role, text. In order of seq: ``message``, ``edit`` and ``regenerate`` set a
     message's text, ``delta`` appends to it, and ``regenerate`` also drops every later message logged before it. Null text: empty.
     Equal seq: by op, then text. A null op is a delta. Null conv_id: a conversation of its own. The role is the last that is not null.
-    A message whose events are all deltas starts empty. Repeated events apply again.
+    A message whose events are all deltas starts empty. Repeated events apply again. Texts of any length are folded whole; an empty log gives no rows.
     """
     order = [F.col(c).asc_nulls_first() for c in ("seq", "op", "text")]
     log = events.select("conv_id", "seq", F.coalesce("op", F.lit("delta")).alias("op"), "message", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -49,7 +49,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_spans): one row per conversation; spans are (start, length) in code points, from 0, of the
-    escaped texts of ``trained_role``. Messages are ordered by message, role, text; null role or text: empty."""
+    escaped texts of ``trained_role``. Messages are ordered by message, role, text; null role or text: empty. Texts of any length are rendered whole; no messages give no rows."""
     turns = messages.select("conv_id", "message", F.coalesce(F.url_encode("role"), F.lit("")).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
     turns = turns.withColumns({"head": F.concat(F.lit(HEAD), F.col("role"), F.lit("\n"))})
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "role", "text", "head"))).alias("turns"))

@@ -112,6 +112,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13) -> DataFrame:
-    """``docs`` without the rows that overlap an item; every column stays, and clean rows stay as they are (null ids and texts too)."""
+    """``docs`` without the rows that overlap an item; every column stays, and clean rows stay as they are (null ids and texts too).
+
+    Very long texts are searched whole. Rows of one doc_id and text are kept or go together; rows that share a doc_id only are judged one by one. How many items a row overlaps, and which
+    of several equal overlaps is the best, doesn't matter here. An empty benchmark keeps all rows, and an empty table gives none.
+    """
     found = find_overlaps(docs, benchmark, min_matches).select(F.col("key").alias("_leak_key")).distinct()
     return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == found["_leak_key"], "left_anti")

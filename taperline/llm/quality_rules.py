@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled cutoffs.
 
-Every rule is a metric in whole bins, higher is worse. On labelled holdout rows, the cutoffs of a rule are tried from the
-most lenient on; one stands as long as the exact binomial test rejects "the rule turns away more than its share of good
-documents" at the corrected level. Of the cutoffs that stand, the one that best separates bad from good is taken.
+Every rule is a metric in whole bins, higher is worse. One half of the labelled rows proposes a path of ever stricter cutoffs of all rules together. The
+other half certifies them: along the path, a step stands as long as the exact binomial test rejects "the rules together turn away more than the limit's share of
+good documents", at a level corrected for the number of strata, and the first step that fails ends the path (a fixed sequence needs no further correction).
 """
 
 from __future__ import annotations

@@ -134,8 +134,8 @@ def keep_one_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, seed
     """``docs`` with one row of each group that links of a shingle similarity of ``least`` or more join: that of the least doc_id and,
     where ids are null or repeat, of the least text_hash.
 
-    ``distance`` and ``segments`` are of the SimHash candidates only; each link is checked on the shingles. Texts without words are one group.
-    Extra columns stay. An empty table gives no rows.
+    ``distance`` and ``segments`` are of the SimHash candidates only; each link is checked on the shingles. Texts without words are one group, and very
+    long ones are read whole. Extra columns stay. An empty table gives no rows.
     """
     made = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
         _sketches(shingle, seed), f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long, set long, bands array<long>"
