@@ -1,10 +1,10 @@
 """Byte-pair encoding by a tokenization automaton.
 
-The automaton reads tokens: a state is the token last read, and an arc labelled v leaves state u unless the merges would join
-across the border of u and v. It is compiled merge by merge: the gadget for (a, b) adds the state ab and, in it, the chains of
-tokens that stand at its left and right edge, each with the rank at which it is consumed. An arc is barred if a merge (x, y) of an
-edge token x of u and an edge token y of v comes before both are consumed. A pre-split word has exactly one path; the arcs'
-labels on it are the encoding, and emitting the labels' bytes decodes.
+The automaton is deterministic and reads tokens: all arcs labelled v lead to the state of v, and which labels leave a state is a row of a
+table of bits. It starts as one state with an arc for each byte and grows by one gadget a merge: the gadget for (a, b) gives a a state of
+its own, without the arc b, and adds the label ab, whose arcs leave from where a's do and lead to where b's do. States and labels that no gadget has told apart
+share a row and a column. A pre-split word has exactly one path; it is found by looking up bytes in the labels' transitions and bits in the table, with no
+merge looked at, and emitting the labels' bytes decodes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ LATIN_PATTERN = f" ?[{_LETTER}]+| ?[{_NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPAC
 _NOT_LATIN = re.compile("[^\u0000-\u024f]")
 #: Words whose encoding a task keeps, and their bytes; the table is emptied when it is full.
 KEPT_WORDS, KEPT_BYTES = 700_000, 64 << 20
-_NEVER = 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,27 +52,74 @@ class _Words(dict):
         return got
 
 
+class Gadgets:
+    """The automaton under construction: each label's state (a row) and kind (a column), and a bit where a state lacks the arcs of a kind."""
+
+    def __init__(self, alphabet: list[int]):
+        self.row, self.col = dict.fromkeys(alphabet, 0), dict.fromkeys(alphabet, 0)
+        self.in_row, self.in_col = [len(alphabet)], [len(alphabet)]
+        self.lacks = np.zeros((1024, 128), np.uint8)
+
+    def _own_row(self, k: int) -> int:
+        """The row of label k alone: a copy if others share it."""
+        old = self.row[k]
+        if self.in_row[old] > 1:
+            new = len(self.in_row)
+            if new == len(self.lacks):
+                self.lacks = np.concatenate([self.lacks, np.zeros_like(self.lacks)])
+            self.lacks[new] = self.lacks[old]
+            self.in_row[old] -= 1
+            self.in_row.append(1)
+            self.row[k] = new
+        return self.row[k]
+
+    def _own_col(self, k: int) -> int:
+        old = self.col[k]
+        if self.in_col[old] > 1:
+            new = len(self.in_col)
+            if new == 8 * self.lacks.shape[1]:
+                self.lacks = np.concatenate([self.lacks, np.zeros_like(self.lacks)], axis=1)
+            rows = self.lacks[: len(self.in_row)]
+            rows[:, new >> 3] |= ((rows[:, old >> 3] >> (old & 7)) & 1) << (new & 7)
+            self.in_col[old] -= 1
+            self.in_col.append(1)
+            self.col[k] = new
+        return self.col[k]
+
+    def merge(self, a: int, b: int, ab: int) -> None:
+        """The gadget for (a, b): nothing if no text leads to it, that is if a or b has no arc or b can't follow a (as where ab is there already)."""
+        if a not in self.row or b not in self.row or self.lacks[self.row[a], self.col[b] >> 3] >> (self.col[b] & 7) & 1:
+            return
+        state = self.row[b]  # where b leads before a loses the arc b, should they be the same token
+        self.in_row[state] += 1
+        r, c = self._own_row(a), self._own_col(b)
+        self.lacks[r, c >> 3] |= 1 << (c & 7)
+        self.row[ab], self.col[ab] = state, self.col[a]
+        self.in_col[self.col[a]] += 1
+
+    def table(self) -> np.ndarray:
+        return self.lacks[: len(self.in_row), : (len(self.in_col) + 7) >> 3]
+
+
 class MergeAutomaton:
-    """Compiled merges. ``labels``: bytes of each id; ``added``: special strings to ids, matched before words are split."""
+    """The compiled merges. ``labels``: bytes of each id; ``added``: special strings to ids, matched before words are split."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], added: dict[str, int]):
         alphabet = byte_alphabet()
-        raw = lambda s: bytes(alphabet[c] for c in s)
         self.labels = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for s, k in vocab.items():
-            self.labels[k] = raw(s)
+            self.labels[k] = bytes(alphabet[c] for c in s)
         self.added = added
         for s, k in added.items():
             self.labels[k] = s.encode()
-        self.rank: dict[int, int] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.arcs: dict[bytes, int] = {}
-        for s, k in vocab.items():
-            if len(s) == 1:
-                self._add_state(k, [(k, _NEVER)], [(k, _NEVER)])
-        for r, (a, b) in enumerate(merges):
-            self._add_gadget(vocab[a], vocab[b], vocab[a + b], r)
+        made = Gadgets([k for s, k in vocab.items() if len(s) == 1])
+        for a, b in merges:
+            made.merge(vocab[a], vocab[b], vocab[a + b])
+        table = made.table()
+        self.width, self.lacks = table.shape[1], table.tobytes()
+        self.row, self.col = array("i", [-1]) * len(self.labels), array("i", [-1]) * len(self.labels)
+        for k in made.row:
+            self.row[k], self.col[k] = made.row[k], made.col[k]
         self._start()
 
     @classmethod
@@ -85,37 +131,28 @@ class MergeAutomaton:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         return cls(model["vocab"], merges, {t["content"]: t["id"] for t in made["added_tokens"]})
 
-    def _add_state(self, k: int, left: list, right: list) -> None:
-        self.left[k], self.right[k] = left, right
-        self.arcs[self.labels[k]] = k
-
-    def _add_gadget(self, a: int, b: int, ab: int, r: int) -> None:
-        self.rank[a << 32 | b] = r
-        if ab in self.left or a not in self.left or b not in self.right or self.barred(a, b, r):
-            return  # the token already has a state, or no text leads to it
-        (x, _), *left = self.left[a]
-        (y, _), *right = self.right[b]
-        self._add_state(ab, [(ab, _NEVER), (x, r), *left], [(ab, _NEVER), (y, r), *right])
-
-    def barred(self, u: int, v: int, before: int = _NEVER) -> bool:
-        """Whether a merge of a rank under ``before`` joins tokens across the border of u and v."""
-        rank = self.rank
-        for x, until in self.right[u]:
-            for y, last in self.left[v]:
-                r = rank.get(x << 32 | y)
-                if r is not None and r < until and r <= last and r < before:
-                    return True
-        return False
-
     def _start(self) -> None:
-        self.words = _Words(self)
-        self.pairs: dict[int, bool] = {}
-        self.split = None
-        self.longest = max(map(len, self.arcs), default=0)
-        self.shorter = {k: next((self.arcs[x[:n]] for n in range(len(x) - 1, 0, -1) if x[:n] in self.arcs), None) for x, k in self.arcs.items()}
+        """The labels' bytes as transitions: ``step`` from a node (times 256) and a byte to a node, ``ends`` the label that a node ends, if any."""
+        self.words, self.split = _Words(self), None
+        self.base = [r * self.width for r in self.row]
+        self.byte, self.bit = [c >> 3 for c in self.col], [1 << (c & 7) for c in self.col]
+        self.step, self.ends = {}, [-1]
+        self.shorter = [-1] * len(self.labels)
+        step, ends = self.step, self.ends
+        for k in sorted((k for k, r in enumerate(self.row) if r >= 0), key=lambda k: len(self.labels[k])):
+            node, last = 0, -1
+            for b in self.labels[k]:
+                if ends[node] >= 0:
+                    last = ends[node]
+                to = step.get(node << 8 | b)
+                if to is None:
+                    to = step[node << 8 | b] = len(ends)
+                    ends.append(-1)
+                node = to
+            ends[node], self.shorter[k] = k, last
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "pairs", "split", "latin", "special", "shorter")}
+        return {k: self.__dict__[k] for k in ("labels", "added", "width", "lacks", "row", "col")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -123,41 +160,37 @@ class MergeAutomaton:
 
     def path(self, word: bytes) -> list[int]:
         """The labels on the only path that spells ``word``: always the longest arc, and where that leads to a dead end a shorter one."""
-        arcs, labels, pairs = self.arcs, self.labels, self.pairs
-        if (whole := arcs.get(word)) is not None:
-            return [whole]
+        labels, lacks, base, byte, bit, shorter = self.labels, self.lacks, self.base, self.byte, self.bit, self.shorter
         n, at, out, dead = len(word), 0, [], set()
         v = self._arc(word, 0)
         while True:
             end = at + len(labels[v])
-            free = end not in dead
-            if free and out:
-                key = out[-1] << 32 | v
-                bar = pairs.get(key)
-                if bar is None:
-                    bar = pairs[key] = self.barred(out[-1], v)
-                free = not bar
-            if free:
+            if end not in dead and not (out and lacks[base[out[-1]] + byte[v]] & bit[v]):
                 out.append(v)
                 at = end
                 if at == n:
                     return out
                 v = self._arc(word, at)
                 continue
-            v = self.shorter[v]
-            while v is None:
+            v = shorter[v]
+            while v < 0:
                 dead.add(at)
                 v = out.pop()
                 at -= len(labels[v])
-                v = self.shorter[v]
+                v = shorter[v]
 
     def _arc(self, word: bytes, at: int) -> int:
-        arcs = self.arcs
-        for end in range(min(len(word), at + self.longest), at, -1):
-            v = arcs.get(word[at:end])
-            if v is not None:
-                return v
-        raise ValueError("the vocabulary lacks a byte")
+        """The longest label whose bytes stand at ``at``."""
+        node, found, step, ends = 0, -1, self.step, self.ends
+        for i in range(at, len(word)):
+            node = step.get(node << 8 | word[i])
+            if node is None:
+                break
+            if ends[node] >= 0:
+                found = ends[node]
+        if found < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        return found
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -175,8 +208,6 @@ class MergeAutomaton:
     def _words(self, text: str) -> bytes:
         if len(self.words) > KEPT_WORDS or self.words.size > KEPT_BYTES:
             self.words.clear()
-        if len(self.pairs) > 4 * KEPT_WORDS:
-            self.pairs.clear()
         return b"".join(map(self.words.__getitem__, (self.split if _NOT_LATIN.search(text) else self.latin)(text)))
 
     def decode(self, ids: bytes) -> str:
