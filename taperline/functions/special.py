@@ -96,19 +96,60 @@ def _chi2_sf(h: Column, df: Column) -> Column:
     return F.when(df >= 1, F.least(F.lit(1.0), F.when(df % 2 == 0, even).otherwise(erfc(F.sqrt(h)) + odd)))
 
 
+#: Up to this mean Poisson probabilities are added up; above it their sums are taken by the uniform expansion, whose error there is under 1e-11.
+POISSON_SUMMED = 100.0
+
+
+def uniform_coefficients(orders: int = 4, terms: int = 14) -> list[list[float]]:
+    """Taylor coefficients of the terms of the incomplete gamma function's uniform asymptotic expansion (DLMF 8.12), by their recurrences."""
+    stirling = (1.0, 1 / 12, 1 / 288, -139 / 51840)  # fixed values: of the scaled gamma function
+    m = terms + 2 * orders + 2
+    alpha = [0.0, 1.0]
+    for i in range(2, m + 2):
+        alpha.append((alpha[i - 1] - sum(j * alpha[j] * alpha[i - j + 1] for j in range(2, i))) / (i + 1))
+    rows = [[-1 / 3] + [(i + 2) * alpha[i + 2] for i in range(1, m)]]
+    for k in range(1, orders):
+        rows.append([(-1) ** k * stirling[k] * rows[0][i] + (i + 2) * rows[-1][i + 2] for i in range(len(rows[-1]) - 2)])
+    return [r[:terms] for r in rows]
+
+
+_UNIFORM = uniform_coefficients()
+
+
 def poisson_cdf(k: Column, lam: Column) -> Column:
-    """P(Poisson(lam) <= k), a finite sum; 0 for k < 0. Above a mean of 700, by the normal law with continuity correction."""
+    """P(Poisson(lam) <= k): a finite sum, above POISSON_SUMMED the uniform expansion; 0 for k < 0."""
     return let(F.struct(k.alias("k"), lam.alias("lam")), lambda x: _poisson_cdf(x["k"], x["lam"]))
 
 
 def _poisson_cdf(k: Column, lam: Column) -> Column:
-    n = F.floor(k).cast("int")
+    n = F.floor(k)
     total = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
-        F.struct(F.exp(-F.least(lam, F.lit(700.0))).alias("term"), F.lit(0.0).alias("sum")),
+        F.sequence(F.lit(0), F.least(F.greatest(n, F.lit(0)), F.lit(int(4 * POISSON_SUMMED))).cast("int")),  # beyond that nothing is left to add
+        F.struct(F.exp(-F.least(lam, F.lit(POISSON_SUMMED))).alias("term"), F.lit(0.0).alias("sum")),
         lambda s, i: F.struct((s["term"] * lam / (i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum")),
     )["sum"]
-    return F.when(n < 0, 0.0).when(lam > 700, normal_cdf((n + 0.5 - lam) / F.sqrt(lam))).otherwise(F.least(F.lit(1.0), total))
+    return F.when(n < 0, 0.0).when(lam > POISSON_SUMMED, _poisson_expansion(n, lam)).otherwise(F.least(F.lit(1.0), total))
+
+
+def _poisson_expansion(k: Column, lam: Column) -> Column:
+    a = (k + 1).cast("double")
+    return let(F.struct(a.alias("a"), F.greatest((lam - a) / a, F.lit(1e-15 - 1)).alias("mu")), _gamma_expansion)
+
+
+def _gamma_expansion(x: Column) -> Column:
+    """The upper incomplete gamma function, regularised, of a at a * (1 + mu); where eta is beyond 2 it is 0 or 1 to all digits, as a mean over 100 makes it."""
+    half = x["mu"] - F.log1p(x["mu"])
+    at = F.struct(x["a"].alias("a"), half.alias("half"), (F.signum(x["mu"]) * F.sqrt(2 * F.greatest(half, F.lit(0.0)))).alias("eta"))
+
+    def value(v: Column) -> Column:
+        a, eta = v["a"], v["eta"]
+        series = _horner(tuple(reversed(_UNIFORM[-1])), eta)
+        for row in reversed(_UNIFORM[:-1]):
+            series = series / a + _horner(tuple(reversed(row)), eta)
+        near = 0.5 * erfc(eta * F.sqrt(a / 2)) + F.exp(-a * v["half"]) / F.sqrt(2 * pi * a) * series
+        return F.when(eta > 2, 0.0).when(eta < -2, 1.0).otherwise(clamp(near, 0.0, 1.0))
+
+    return let(at, value)
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -118,12 +159,13 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def poisson_quantile(u: Column, lam: Column) -> Column:
-    """The least k with P(Poisson(lam) <= k) > u up to a mean of 30, a rounded normal draw above; 0 for lam <= 0."""
+    """The least k with P(Poisson(lam) <= k) > u, u being of 32 bits; 0 for lam <= 0. Above POISSON_SUMMED the law's expansion about the normal one
+    names two neighbours, and the distribution function decides: the cost doesn't grow with the mean."""
     return let(F.struct(u.alias("u"), lam.alias("lam")), lambda x: _poisson_quantile(x["u"], x["lam"]))
 
 
 def _poisson_quantile(u: Column, lam: Column) -> Column:
-    low = F.greatest(F.lit(0.0), F.least(lam, F.lit(30.0)))
+    low = F.greatest(F.lit(0.0), F.least(lam, F.lit(POISSON_SUMMED)))
     most = F.ceil(low + 8 * F.sqrt(low) + 10).cast("int")  # u has 32 bits
     exact = F.aggregate(
         F.sequence(F.lit(0), most),
@@ -133,7 +175,9 @@ def _poisson_quantile(u: Column, lam: Column) -> Column:
         ),
     )["k"]
     z = normal_quantile(F.greatest(F.least(u, F.lit(1 - 1e-10)), F.lit(1e-10)))
-    return F.when(lam <= 0, 0.0).when(lam <= 30, exact.cast("double")).otherwise(F.greatest(F.lit(0.0), F.round(lam + F.sqrt(lam) * z)))
+    root = let(z, lambda v: F.floor(lam + F.sqrt(lam) * v + (v * v - 1) / 6 + (v - v * v * v) / (72 * F.sqrt(lam))))
+    large = let(root, lambda k: k + F.when(_poisson_expansion(k, lam) > u, 0.0).otherwise(1.0))
+    return F.when(lam <= 0, 0.0).when(lam <= POISSON_SUMMED, exact.cast("double")).otherwise(large)
 
 
 def parameter_label(name: Column, value: Column) -> Column:

@@ -1,4 +1,6 @@
-from math import erf, exp, lgamma, sqrt
+from bisect import bisect_right
+from itertools import accumulate
+from math import erf, exp, lgamma, log, sqrt
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,3 +40,31 @@ def test_log_factorial_and_quantile(spark):
 def test_clamp_keeps_null(spark):
     rows = spark.createDataFrame([(None,), (5.0,), (-5.0,)], "x double").select(s.clamp(F.col("x"), 0.0, 1.0).alias("c")).collect()
     assert [r["c"] for r in rows] == [None, 1.0, 0.0]
+
+
+def by_sums(lam: float) -> tuple[int, list[float]]:
+    """The Poisson distribution function from a first k on, below which nothing counts."""
+    first = max(0, int(lam - 12 * sqrt(lam)))
+    return first, list(accumulate(exp(-lam + i * log(lam) - lgamma(i + 1)) for i in range(first, int(lam + 12 * sqrt(lam)) + 20)))
+
+
+@pytest.mark.parametrize("lam", [31.0, 99.5, 100.5, 130.0, 701.0, 5000.0])
+def test_poisson_of_large_means(spark, lam):
+    first, sums = by_sums(lam)
+    ks = sorted({max(0, int(lam + z / 4 * sqrt(lam))) for z in range(-36, 37)} | {0, 3, int(5 * lam), int(100 * lam)})
+    for r in values(spark, [(float(k), lam) for k in ks], c=s.poisson_cdf(F.col("x0"), F.col("x1"))):
+        k = int(r["x0"]) - first
+        assert r["c"] == pytest.approx(0.0 if k < 0 else sums[min(k, len(sums) - 1)], abs=1e-10), (lam, r["x0"])
+    us = [(i + 0.37) / 500 for i in range(500)] + [2.0**-32, 1e-7, 1 - 1e-7, 1 - 2.0**-32]
+    for r in values(spark, [(u, lam) for u in us], q=s.poisson_quantile(F.col("x0"), F.col("x1"))):
+        assert r["q"] == first + bisect_right(sums, r["x0"]), (lam, r["x0"])
+
+
+def test_poisson_draws_keep_the_skew(spark):
+    """Means far beyond any sum of terms: mean, variance and third moment are the law's."""
+    draws = spark.range(20000).select(s.poisson_quantile(s.uniform(F.lit("t"), F.col("id")), F.lit(400.0)).alias("d"), s.poisson_quantile((F.col("id") + 0.5) / 20000, F.lit(1e9)).alias("e"))
+    r = draws.agg(F.avg("d"), F.var_pop("d"), F.avg("e"), F.var_pop("e")).first()
+    assert r[0] == pytest.approx(400, abs=1) and r[1] == pytest.approx(400, rel=0.05)
+    assert r[2] == pytest.approx(1e9, abs=200) and r[3] == pytest.approx(1e9, rel=0.01)
+    skew = spark.range(20000).select(s.poisson_quantile((F.col("id") + 0.5) / 20000, F.lit(144.0)).alias("d")).agg(F.skewness("d")).first()[0]
+    assert skew == pytest.approx(1 / 12, abs=0.005)
