@@ -135,8 +135,8 @@ def profile_tau(cum: DataFrame, model: str = "exp_change_point", margin: int = 3
         n = cum.groupBy("series_id").agg(F.count("*").alias("n_days")).where(F.col("n_days") >= 2 * margin + 1)
         taus = n.select("series_id", F.explode(F.expr(f"transform(sequence({margin}, cast(n_days as int) - {margin}, {step}), x -> cast(x as double))")).alias("tau"))
         boxes = param_bounds(series_stats(cum), spec).join(taus, "series_id").select("series_id", "tau", "lo", "hi", "n", "E", "y_n", "syy", "var_y", "var_e")
-        obs = cum.select("series_id", "t", "y", "y_fixed", "effort").join(taus, "series_id")
-        found = _search(obs, spec, boxes, units, False, ["series_id", "tau"])
+        obs = stored(cum.select("series_id", "t", "y", "y_fixed", "effort").join(taus, "series_id"), "days")
+        found = _search(obs, spec, boxes, units, False, ["series_id", "tau"], days=obs.count())
         out = found.select("series_id", F.lit(model).alias("model_id"), "tau", F.col("best.params").alias("params"), F.col("best.loss").alias("loss"), F.col("n").cast("long").alias("n"), k.alias("k"))
     score = F.when(F.col("loss") > 0, F.col("n") * F.log(F.col("loss") / F.col("n")) + 2 * F.col("k"))
     out = out.withColumn("aicc", aicc(score, F.col("n"), F.col("k")))
