@@ -63,11 +63,12 @@ def segment_sums(days: DataFrame, decay: tuple[str, ...], keys: list[str]) -> Da
 _PAIR = {"s_11": "f.kk+(n-t)*f.k*f.k", "s_12": "f.k*g.s_k", "s_22": "g.s_kk", "s_y1": "f.ky+f.k*f.y_after", "s_y2": "g.s_ky"}
 
 
-def _dealt(cum: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Days dealt out by series to as many tasks as the session has shuffle partitions, with n, Y as top and the sum of y * y beside them."""
+def _dealt(cum: DataFrame, keys: list[str] | None = None, dealt: bool = False) -> DataFrame:
+    """Days dealt out by series to as many tasks as the session has shuffle partitions (unless they are ``dealt`` already), with n, Y as top and the sum of y * y beside them."""
     keys = keys or ["series_id"]
     w = Window.partitionBy(*keys)
-    rows = cum.select(*keys, "t", "y").repartition(int(cum.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows = cum.select(*keys, "t", "y")
+    rows = rows if dealt else rows.repartition(int(cum.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     return rows.withColumns({"n": F.count("*").over(w).cast("double"), "top": F.greatest(F.max("y").over(w), F.lit(1.0)), "s_yy": F.sum(F.expr("y*y")).over(w)})
 
 
@@ -193,24 +194,48 @@ def exponential_loglik(n: str, at: str, b: str, days: str, lo: str, hi: str) ->
     return f"(({n})*ln({a})+({n})*ln(exp({b})-1)-{b}*({at})-({a})*{g})"
 
 
-def poisson_lr(rows: DataFrame, keys: list[str], points: int = 100, margin: int = 3) -> DataFrame:
+def _best_rate(d: DataFrame, out: str, n: str, at: str, days: str, lo: str, hi: str, points: int, longest: DataFrame) -> DataFrame:
+    """d with ``out``: the greatest exponential_loglik among rates 0.001 + 0.999 i / points, i = 1 .. points.
+
+    With a scale that nothing holds the likelihood is n c(b) - b at and what rates don't change, c being concave, so it grows from rate to rate as long as the mean day at / n is under a
+    threshold that falls with the rate: a table of thresholds by the number of days is halved (it grows with the longest series only). Where the scale of that rate is held at its upper side, the likelihood, which is
+    concave in a rate up to 1 there too, is itself compared at halved places. Scales are n / (1 - exp(-b d)), so only 0 < n < lo can be held below: those rows try all rates.
+    """
+    rate = lambda i: f"(0.001D+0.999D*({i})/{float(points)}D)"
+    d = d.withColumns({"_n": F.expr(n), "_at": F.expr(at), "_days": F.expr(days), "_lo": F.expr(lo), "_hi": F.expr(hi)})
+    c = lambda i: f"(ln(exp({rate(i)})-1)-ln(1-exp(-{rate(i)}*_days)))"
+    falls = longest.select(F.explode(F.expr("transform(sequence(1, n), x -> cast(x as double))")).alias("_days")).withColumn("_falls", F.expr(f"transform(sequence(2,{points}), i -> ({c('i')}-{c('i-1')})/({rate('i')}-{rate('i-1')}))"))
+    d = d.join(F.broadcast(falls), "_days", "left").withColumns({"_i": F.lit(0), "_mean": F.expr("case when _n>0 then _at/_n else 0.0D end")})
+    step = 1 << (points.bit_length() - 1)
+    steps = []
+    while step:
+        d = d.withColumn("_i", F.when(F.get("_falls", F.col("_i") + (step - 1)) > F.col("_mean"), F.col("_i") + step).otherwise(F.col("_i")))
+        steps.append(str(step))
+        step >>= 1
+    here = lambda i: exponential_loglik("_n", "_at", rate(i), "_days", "_lo", "_hi")
+    held = f"aggregate(array({','.join(steps)}), 1, (i, s) -> case when i+s<={points} and {here('i+s')}>{here('i+s-1')} then i+s else i end)"
+    d = d.withColumns({"_i": F.when(F.col("_n") > 0, F.col("_i") + 1).otherwise(F.lit(1))}).withColumn("_i", F.expr(f"case when _n>_hi*(1-exp(-{rate('_i')}*_days)) then {held} else _i end"))
+    d = d.withColumn(out, F.expr(f"case when _n>0 and _n<_lo then array_max(transform(sequence(1,{points}), i -> {here('i')})) else {here('_i')} end"))
+    return d.drop(*(x for x in d.columns if x.startswith("_")))
+
+
+def poisson_lr(rows: DataFrame, keys: list[str], points: int = 100, margin: int = 3, dealt: bool = False, longest: DataFrame | None = None) -> DataFrame:
     """(keys, lr, l0, l1, tau): twice the gain in Poisson log-likelihood of an exponential curve with a change point over one without, and the best place.
 
     At a whole-numbered place the likelihood falls into two segments, each with a scale in closed form and a rate among ``points``; a segment needs the number of its finds and the
-    sum of their days, which are running sums, so a replicate costs days by rates. Series under 2 * margin + 1 days have no rows.
+    sum of their days, which are running sums, and its best rate is found by halving, so a replicate costs days by the logarithm of the rates. Series under 2 * margin + 1 days have
+    no rows. ``dealt``: rows are dealt out by series already, and stay where they are; ``longest`` (n): the most days of a series, if it is known.
     """
     w, so_far_ = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    d = _dealt(rows, keys).withColumn("dy", F.col("y") - F.coalesce(F.lag("y").over(Window.partitionBy(*keys).orderBy("t")), F.lit(0.0)))
+    d = _dealt(rows, keys, dealt).withColumn("dy", F.col("y") - F.coalesce(F.lag("y").over(Window.partitionBy(*keys).orderBy("t")), F.lit(0.0)))
     d = d.withColumn("at", F.sum(F.expr("dy*t")).over(so_far_)).withColumns({"y_n": F.max_by("y", "t").over(w), "at_n": F.max_by("at", "t").over(w)})
-    rates = rows.sparkSession.range(1, points + 1).select((F.lit(0.001) + F.lit(0.999) * F.col("id") / float(points)).alias("b"))
     places = d.where((F.col("n") >= 2 * margin + 1) & ((F.col("t") == F.col("n")) | ((F.col("t") >= margin) & (F.col("t") <= F.col("n") - margin))))
-    each = places.crossJoin(F.broadcast(rates))
+    if longest is None:
+        longest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("n")).where("n is not null")
     # the last day stands for no change point
-    whole = exponential_loglik("y", "at", "b", "n", "top", "5*top")
-    before = exponential_loglik("y", "at", "b", "t", "1.0D", "3*top")
-    after = exponential_loglik("y_n-y", "at_n-at-t*(y_n-y)", "b", "(n-t)", "1.0D", "3*top")
-    best = each.groupBy(*keys, "t").agg(F.max("n").alias("n"), F.max(F.expr(f"case when t=n then {whole} end")).alias("l0"), F.max(F.expr(f"case when t<n then {before} end")).alias("l1a"), F.max(F.expr(f"case when t<n then {after} end")).alias("l1b"))
-    best = best.withColumn("l1", F.expr("l1a+l1b"))
+    places = _best_rate(places, "l_first", "y", "at", "t", "case when t=n then top else 1.0D end", "case when t=n then 5*top else 3*top end", points, longest)
+    places = _best_rate(places, "l_rest", "y_n-y", "at_n-at-t*(y_n-y)", "greatest(n-t,1.0D)", "1.0D", "3*top", points, longest)
+    best = places.withColumns({"l0": F.expr("case when t=n then l_first end"), "l1": F.expr("case when t<n then l_first+l_rest end")})
     out = best.groupBy(*keys).agg(F.max("l0").alias("l0"), F.max("l1").alias("l1"), F.max_by("t", F.when(F.col("l1").isNotNull(), F.struct("l1", -F.col("t")))).alias("tau"))
     return out.select(*keys, F.greatest(F.lit(0.0), 2 * (F.col("l1") - F.col("l0"))).alias("lr"), "l0", "l1", "tau").where("lr is not null")
 
@@ -269,7 +294,7 @@ def change_point_lrt(cum: DataFrame, null_model: str = "exponential", alt_model:
     def ratio(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
         keys = ["series_id", *by]
         if summed:
-            return poisson_lr(rows, keys).select(*keys, "lr")
+            return poisson_lr(rows, keys, dealt=bool(by), longest=cum.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("n")).where("n is not null")).select(*keys, "lr")
         n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
         few = lambda m, one, more: grid(rows.sparkSession, 1, one) if len(MODELS[m].searched) == 1 else latin_hypercube(rows.sparkSession, len(MODELS[m].searched), more)
         a = fit_profile(rows, null_model, few(null_model, 100, 150), loss, by=by).select(*keys, F.col("loss").alias("l0"))
