@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.linear import inverse
-from ..functions.special import normal_quantile, poisson_quantile, uniform
-from .curves import MODELS, by_index, curve
-from .fit import fit_profile, grid, latin_hypercube
+from ..functions.special import normal_quantile, poisson_draws, poisson_table, uniform
+from ..sources.shared import stored
+from .curves import MODELS, ModelSpec, bind, by_index, curve
+from .fit import _free, _kind, _place, _tasks, fit_profile, grid, latin_hypercube
 
 
 def _daily_means(cum: DataFrame, fits: DataFrame, model: str) -> DataFrame:
@@ -22,13 +23,15 @@ def _daily_means(cum: DataFrame, fits: DataFrame, model: str) -> DataFrame:
 
 def pseudo_series_poisson(cum: DataFrame, fits: DataFrame, model: str, replicates: int, seed: int = 1, min_lambda: float = 0.0) -> DataFrame:
     """(series_id, rep, t, y, y_fixed, effort): daily Poisson draws around the fitted curve, added up (H1). Draws depend on seed, series,
-    replicate and day alone, by hashes that any engine can make."""
-    days = _daily_means(cum, fits, model).select("series_id", "t", F.greatest("lam", F.lit(min_lambda)).alias("lam"))
+    replicate and day alone, by hashes that any engine can make. A day's law is tabulated once for all replicates, and series are dealt to tasks by the number of draws."""
+    days = _daily_means(cum, fits, model).select("series_id", "t", F.greatest("lam", F.lit(min_lambda)).alias("lam")).withColumn("cdf", poisson_table(F.col("lam")))
+    days = stored(days, "daily-means")
+    days = days.repartition(_tasks(days, days.count(), replicates * LANES), "series_id")
     reps = days.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = uniform(F.lit(seed), F.col("series_id"), F.col("rep"), F.col("t").cast("int"))
     w = Window.partitionBy("series_id", "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0.0)
-    return reps.withColumn("d", poisson_quantile(u, F.col("lam"))).select("series_id", "rep", "t", F.sum("d").over(w).alias("y"), zero.alias("y_fixed"), zero.alias("effort"))
+    return poisson_draws(reps.withColumn("u", u)).select("series_id", "rep", "t", F.sum("d").over(w).alias("y"), zero.alias("y_fixed"), zero.alias("effort"))
 
 
 def pseudo_series_residual(cum: DataFrame, fits: DataFrame, model: str, replicates: int, seed: int = 1) -> DataFrame:
@@ -44,10 +47,12 @@ def pseudo_series_residual(cum: DataFrame, fits: DataFrame, model: str, replicat
 def refit_replicates(pseudo: DataFrame, fits: DataFrame, model: str, n: int = 40, width: float = 0.5, worst: float = 10.0) -> DataFrame:
     """(series_id, rep, model_id, params, loss, refitted): each replicate fitted by SSE among candidates around the original parameters (H3).
 
-    A fit of over ``worst`` times the replicate's own error under the original parameters is dropped for those.
+    A fit of over ``worst`` times the replicate's own error under the original parameters is dropped for those. Models of one scale try LANES candidates in a row.
     """
     spec = MODELS[model]
     dims = len(spec.searched)
+    if _kind(spec) == "plain":
+        return _refit_in_lanes(pseudo, fits, spec, latin_hypercube(pseudo.sparkSession, dims, n) if dims > 1 else grid(pseudo.sparkSession, dims, n), width, worst)
     theta = fits.where(F.col("model_id") == model).select("series_id", F.col("params").alias("theta"))
     stats = pseudo.join(theta, "series_id").groupBy("series_id", "rep").agg(
         F.count("*").cast("double").alias("n"), F.greatest(F.max("y"), F.lit(1.0)).alias("Y"), F.lit(1.0).alias("E"), F.max_by("y", "t").alias("y_n"),
@@ -64,6 +69,38 @@ def refit_replicates(pseudo: DataFrame, fits: DataFrame, model: str, n: int = 40
     return out.select("series_id", "rep", F.lit(model).alias("model_id"), F.when(ok, F.col("params")).otherwise(F.col("theta")).alias("params"), F.when(ok, F.col("loss")).otherwise(F.col("loss0")).alias("loss"), ok.alias("refitted"))
 
 
+#: Candidates of a row when replicates are fitted again.
+LANES = 4
+
+
+def _refit_in_lanes(pseudo: DataFrame, fits: DataFrame, spec: ModelSpec, units: DataFrame, width: float, worst: float) -> DataFrame:
+    """refit_replicates for models of one scale: a day meets LANES candidates at once, as columns, so that what a row costs is shared by them. Losses and ties are those of fit_profile;
+    rows stay where they are dealt out by series."""
+    free, at = _free(spec), spec.params.index
+    lanes, scale = range(LANES), spec.scales[0]
+    chunks = units.groupBy(F.floor(F.col("cand") / LANES).alias("chunk")).agg(*(F.max(F.when(F.col("cand") % LANES == k, F.col("u")[j])).alias(f"u_{k}_{j}") for k in lanes for j in range(len(free))))
+    theta = fits.where(F.col("model_id") == spec.model_id).select("series_id", *(F.col("params")[i].alias(f"th_{i}") for i in range(spec.k)))
+    rows = pseudo.select("series_id", "rep", "t", "y").join(theta, "series_id").withColumn("miss", F.expr(f"y-({bind(spec.mean, {p: f'th_{i}' for i, p in enumerate(spec.params)})})"))
+    place = lambda k, j: _place(f"u_{k}_{j}", f"(th_{at(free[j])}*{1 - width}D)", f"(th_{at(free[j])}*{1 + width}D)", free[j] in spec.logs)
+    placed = {f"p_{k}_{j}": F.expr(place(k, j)) for k in lanes for j in range(len(free))}
+    kernels = {f"g_{k}": F.expr(bind(spec.mean, {scale: "cast(1 as double)"} | {p: f"p_{k}_{j}" for j, p in enumerate(free)})) for k in lanes}
+    rows = rows.crossJoin(F.broadcast(chunks)).withColumns(placed).withColumns(kernels)
+    carried = [f"th_{i}" for i in range(spec.k)] + [f"u_{k}_{j}" for k in lanes for j in range(len(free))]
+    sums = {"s_yy": "y*y", "loss0": "miss*miss"} | {f"s_yg_{k}": f"y*g_{k}" for k in lanes} | {f"s_gg_{k}": f"g_{k}*g_{k}" for k in lanes}
+    got = rows.groupBy("series_id", "rep", "chunk").agg(*(F.max(c).alias(c) for c in carried), *(F.sum(F.expr(x)).alias(c) for c, x in sums.items()))
+    a = {f"a_{k}": F.expr(f"least(greatest(coalesce(s_yg_{k}/nullif(s_gg_{k},0),th_{at(scale)}*0.0D),th_{at(scale)}*0.0D),th_{at(scale)}*10.0D)") for k in lanes}
+    got = got.withColumns(a | placed).withColumns({f"l_{k}": F.expr(f"nanvl(s_yy-2*a_{k}*s_yg_{k}+a_{k}*a_{k}*s_gg_{k},cast(null as double))") for k in lanes})
+    # equal losses go to the least candidate, as in fit_profile
+    cand = lambda k: F.col("chunk") * LANES + k
+    order = lambda k: F.col(f"l_{k}") + F.abs(f"l_{k}") * cand(k) * F.lit(2.0**-50) + cand(k) * F.lit(1e-290)
+    best = F.array_min(F.array(*(F.when(F.col(f"l_{k}").isNotNull(), F.struct(order(k).alias("o"), F.col(f"l_{k}").alias("l"), F.col(f"a_{k}").alias("a"), *(F.col(f"p_{k}_{j}").alias(f"p_{j}") for j in range(len(free))))) for k in lanes)))
+    one = got.withColumn("b", best).select("series_id", "rep", "loss0", *(f"th_{i}" for i in range(spec.k)), "b.*")
+    least = one.groupBy("series_id", "rep").agg(*(F.max(c).alias(c) for c in ("loss0", *(f"th_{i}" for i in range(spec.k)))), *(F.min_by(c, "o").alias(c) for c in ("l", "a", *(f"p_{j}" for j in range(len(free))))))
+    ok = F.col("l").isNotNull() & (F.col("l") <= worst * F.greatest("loss0", F.lit(1e-12)))
+    new, old = F.array(*(F.col("a" if p == scale else f"p_{free.index(p)}") for p in spec.params)), F.array(*(F.col(f"th_{i}") for i in range(spec.k)))
+    return least.select("series_id", "rep", F.lit(spec.model_id).alias("model_id"), F.when(ok, new).otherwise(old).alias("params"), F.when(ok, F.col("l")).otherwise(F.col("loss0")).alias("loss"), ok.alias("refitted"))
+
+
 def replicate_curves(refits: DataFrame, times: DataFrame, model: str) -> DataFrame:
     """(series_id, rep, t, m, refitted)."""
     rows = refits.select("series_id", "rep", "model_id", "params", "refitted").join(times.select("series_id", "t"), "series_id")
