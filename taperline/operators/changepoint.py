@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.special import chi2_sf, log_factorial
 from ..sources.shared import stored
 from .curves import MODELS, ModelSpec, bind, by_index, with_fixed_tau
-from .fit import _search, _solve, fit_profile, grid, latin_hypercube, param_bounds, series_stats
+from .fit import _search, _tasks, fit_profile, grid, latin_hypercube, param_bounds, series_stats
 from .score import aicc
 from .series import by_time
 from .uncertainty import pseudo_series_poisson
@@ -34,7 +34,7 @@ _BLOCK = 300
 
 
 def segment_sums(days: DataFrame, decay: tuple[str, ...], keys: list[str]) -> DataFrame:
-    """days (keys, t, n, y, b) with what a pair's sums at every place tau = t are made of, by running sums over the days.
+    """days (keys, t, n, y, b) with what a pair's sums at every place tau = t are made of, by running sums over the days.
 
     Before tau: k, the kernel at tau, and kk, ky, the sums of its square and its product with y up to tau. After tau: y_after, the sum of y, s_k and s_kk, the kernel's
     sums over the days since tau, and s_ky, its product with y. exp(-b (t - tau)) is exp(b tau) times exp(-b t), so each is one running sum, whatever the number of places; exponents
@@ -96,41 +96,87 @@ def scan_tau(cum: DataFrame, fits: DataFrame, model: str) -> DataFrame:
     return rows.groupBy("series_id", "tau").agg(F.sum(F.pow(F.col("y") - m, 2)).alias("sse")).withColumn("best", best)
 
 
-def _profile_by_sums(cum: DataFrame, spec: ModelSpec, units: DataFrame, margin: int, step: int, keys: list[str]) -> DataFrame:
-    """keys, tau, n, params, loss for a pair whose kernels name their decay: running sums for every rate, and every place combines two of them for each candidate."""
-    sides = [[F.expr(bind(x, {"Y": "top", "n": "n", "E": "1.0D"})).cast("double") for x in spec.box[p]] for p in ("a1", "b1", "a2", "b2")]
+def _kernel_sums(decay: tuple[str, ...]) -> str:
+    """SQL, for a row of one rate b of one series (ys, its days' y in order, n and i): array<struct<p, q, r>> by place tau = 0, 1, .. n; for i = 0 the first kernel at tau, the sum of its squares over all
+    days and that of its products with y, else the second kernel's sum, that of its squares and that of its products with y over the days after tau.
+
+    Each is one pass over the days: exp(-b (t - tau)) is exp(-b) times what it is one place on, so products with y are added up from the last day backwards and nothing leaves its range.
+    """
+    last = lambda c: f"a[size(a)-1].{c}"
+    pass_ = lambda ys, zero, **step: f"aggregate({ys}, array({zero}), (a, y) -> concat(a, array(named_struct({', '.join(f"'{c}', {last(c)}+{x}" if c[0] != 'm' else f"'{c}', {x}" for c, x in step.items())}))))"
+    kernel = "ks[size(a)]"
+    first = pass_("ys", "named_struct('kk', 0.0D, 'ky', 0.0D, 'past', 0.0D)", kk=f"{kernel}*{kernel}", ky=f"{kernel}*y", past="y")
+    first = f"transform({first}, (x, t) -> named_struct('p', ks[t], 'q', x.kk+(n-t)*ks[t]*ks[t], 'r', x.ky+ks[t]*(s_y-x.past)))"
+    moments = {"m0": f"q*({last('m0')}+y)", "m1": f"q*({last('m1')}+{last('m0')}+y)"} if len(decay) > 1 else {"m0": f"q*({last('m0')}+y)"}
+    zero = f"named_struct('s_k', ks[0], 's_kk', ks[0]*ks[0], 'past', 0.0D, {', '.join(f"'{m}', 0.0D" for m in moments)})"
+    second = pass_("reverse(ys)", zero, s_k=kernel, s_kk=f"{kernel}*{kernel}", past="y", **moments)
+    product = "+".join(f"({c})*x.m{j}" for j, c in enumerate(decay))
+    return f"case when i=0 then {first} else reverse(transform({second}, x -> named_struct('p', x.s_k, 'q', x.s_kk, 'r', x.past-({product})))) end"
+
+
+def _pair_losses(d: DataFrame) -> DataFrame:
+    """d with loss, a1 and a2: the least squares of a pair with scales in [lo_0, hi_0] and [lo_1, hi_1], as _solve finds it, from the sums s_11, s_12, s_22, s_y1, s_y2 and s_yy. Plain numbers in
+    small steps, so that the JVM compiles what every place and candidate goes through."""
+    clip = lambda x, k: f"least(greatest(coalesce({x},lo_{k}),lo_{k}),hi_{k})"
+    loss = lambda x, y: F.expr(f"s_yy-2*{x}*s_y1-2*{y}*s_y2+{x}*{x}*s_11+2*{x}*{y}*s_12+{y}*{y}*s_22")
+    d = d.withColumn("det", F.expr("nullif(s_11*s_22-s_12*s_12,0)"))
+    d = d.withColumns({"x_0": F.expr("(s_y1*s_22-s_y2*s_12)/det"), "y_0": F.expr("(s_y2*s_11-s_y1*s_12)/det")})
+    points = {1: ("lo_0", "y_1"), 2: ("hi_0", "y_2"), 3: ("x_3", "lo_1"), 4: ("x_4", "hi_1"), 0: ("x_0", "y_0")}
+    d = d.withColumns({f"y_{i}": F.expr(clip(f"(s_y2-{v}*s_12)/nullif(s_22,0)", 1)) for i, v in ((1, "lo_0"), (2, "hi_0"))} | {f"x_{i}": F.expr(clip(f"(s_y1-{v}*s_12)/nullif(s_11,0)", 0)) for i, v in ((3, "lo_1"), (4, "hi_1"))})
+    inside = F.expr("det>0 and x_0 between lo_0 and hi_0 and y_0 between lo_1 and hi_1")
+    d = d.withColumns({f"l_{i}": F.when(inside, loss(x, y)) if i == 0 else loss(x, y) for i, (x, y) in points.items()})
+    d = d.withColumn("loss", F.least(*(f"l_{i}" for i in points)))
+    # of equal losses the least first scale, then the least second
+    d = d.withColumn("a1", F.least(*(F.when(F.col(f"l_{i}") == F.col("loss"), F.col(x)) for i, (x, _) in points.items())))
+    return d.withColumn("a2", F.least(*(F.when((F.col(f"l_{i}") == F.col("loss")) & (F.col(x) == F.col("a1")), F.col(y)) for i, (x, y) in points.items())))
+
+
+def _profile_by_sums(cum: DataFrame, spec: ModelSpec, units: DataFrame, margin: int, step: int) -> DataFrame:
+    """series_id, tau, n, params, loss for a pair whose kernels name their decay: one pass over a series' days for every rate, and every place combines two of them for each candidate.
+
+    Days are stored and counted: every day meets all candidates, so their number, not their bytes, decides that of the tasks, and all steps stay where the series are.
+    """
+    keys = ["series_id"]
+    obs = stored(cum.select(*keys, "t", "y"), "days")
     pairs = units.select("cand", F.col("u")[0].alias("u1"), F.col("u")[1].alias("u2"))
     number = F.row_number().over(Window.partitionBy("i").orderBy("u")) - 1  # candidates are few, and their number does not depend on the data
     rates = pairs.select(F.lit(0).alias("i"), F.col("u1").alias("u")).union(pairs.select(F.lit(1).alias("i"), F.col("u2").alias("u"))).distinct().withColumn("place", number)
     first, second = (rates.where(F.col("i") == i).select(F.col("u").alias(f"u{i + 1}"), F.col("place").alias(f"at{i + 1}")) for i in (0, 1))
     numbered = pairs.join(first, "u1").join(second, "u2").select("cand", "at1", "at2")
-    rows = _dealt(cum, keys).where(F.col("n") >= 2 * margin + 1).crossJoin(F.broadcast(rates))
-    (lo1, hi1), (lo2, hi2) = sides[1], sides[3]
+    whole = obs.repartition(_tasks(obs, obs.count(), units.count()), *keys).groupBy(*keys).agg(
+        F.count("*").cast("double").alias("n"), F.greatest(F.max("y"), F.lit(1.0)).alias("top"), F.sum("y").alias("s_y"), F.sum(F.expr("y*y")).alias("s_yy"), F.sort_array(F.collect_list(F.struct("t", "y"))).alias("days")
+    )
+    whole = whole.where(F.col("n") >= 2 * margin + 1).select(*keys, "n", "top", "s_y", "s_yy", F.col("days.y").alias("ys"))
+    (lo1, hi1), (lo2, hi2) = ([F.expr(bind(x, {"Y": "top", "n": "n", "E": "1.0D"})).cast("double") for x in spec.box[p]] for p in ("b1", "b2"))
     rate = F.when(F.col("i") == 0, lo1 + (hi1 - lo1) * F.col("u")).otherwise(lo2 + (hi2 - lo2) * F.col("u"))
-    sums = segment_sums(rows.withColumn("b", rate), spec.decay, [*keys, "i", "place"])
-    some = sums.where((F.col("t") >= margin) & (F.col("t") <= F.col("n") - margin) & ((F.col("t") - margin) % step == 0))
-    of = lambda i: F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("place", "b", "k", "kk", "ky", "y_after", "s_k", "s_kk", "s_ky"))))
-    at_tau = some.groupBy(*keys, "t").agg(*(F.max(c).alias(c) for c in ("n", "top", "s_yy")), of(0).alias("firsts"), of(1).alias("seconds"))
-    each = at_tau.crossJoin(F.broadcast(numbered)).withColumns({"f": F.get("firsts", F.col("at1")), "g": F.get("seconds", F.col("at2"))})
-    each = each.select(*keys, "t", "n", "s_yy", "cand", F.col("f.b").alias("b1"), F.col("g.b").alias("b2"), *(F.expr(v).alias(k) for k, v in _PAIR.items()), *(x.alias(f"{s}_{i}") for i, side in ((0, sides[0]), (1, sides[2])) for s, x in zip(("lo", "hi"), side)))
-    solved = each.withColumn("s", _solve("pair", False, ["lo_0", "lo_1"], ["hi_0", "hi_1"])).select(*keys, "t", "n", "cand", "b1", "b2", F.col("s.loss").alias("loss"), F.col("s.x0").alias("a1"), F.col("s.x1").alias("a2"))
-    order = F.col("loss") + F.abs("loss") * F.col("cand") * F.lit(2.0**-50) + F.col("cand") * F.lit(1e-290)
-    least = solved.where("loss is not null and not isnan(loss)").withColumn("_order", order).groupBy(*keys, "t").agg(F.max("n").alias("n"), *(F.min_by(c, "_order").alias(c) for c in ("loss", "a1", "b1", "a2", "b2")))
-    return least.select(*keys, F.col("t").alias("tau"), "n", F.array("a1", "b1", "a2", "b2").alias("params"), "loss")
+    kernel = "1-exp(-b*d)*(" + "+".join(f"({c})*power(d,{j})" if j else f"({c})" for j, c in enumerate(spec.decay)) + ")"
+    each = whole.crossJoin(F.broadcast(rates)).withColumn("b", rate).withColumns({"q": F.exp(-F.col("b")), "ks": F.expr(f"transform(sequence(0, cast(n as int)), d -> {kernel})")})
+    each = each.withColumn("v", F.expr(_kernel_sums(spec.decay)))
+    of = lambda i: F.sort_array(F.collect_list(F.when(F.col("i") == i, F.struct("place", "b", "v"))))
+    sides = {f"{s}_{k}": F.expr(bind(x, {"Y": "top", "n": "n", "E": "1.0D"})).cast("double") for k, p in enumerate(("a1", "a2")) for s, x in zip(("lo", "hi"), spec.box[p])}
+    series = each.groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("n", "top", "s_yy")), of(0).alias("firsts"), of(1).alias("seconds"))
+    series = series.withColumns(sides).withColumn("taus", F.expr(f"sequence({margin}, cast(n as int) - {margin}, {step})"))
+    rows = series.select(*keys, "n", "s_yy", *sides, "firsts", "seconds", F.explode("taus").alias("t")).crossJoin(F.broadcast(numbered))
+    rows = rows.withColumns({"one": F.get("firsts", F.col("at1")), "two": F.get("seconds", F.col("at2"))}).withColumns({"f": F.get("one.v", F.col("t")), "g": F.get("two.v", F.col("t"))})
+    rows = rows.select(*keys, "t", "n", "s_yy", "cand", *sides, F.col("one.b").alias("b1"), F.col("two.b").alias("b2"), F.col("f.q").alias("s_11"), F.expr("f.p*g.p").alias("s_12"), F.col("g.q").alias("s_22"), F.col("f.r").alias("s_y1"), F.col("g.r").alias("s_y2"))
+    # losses that are no numbers have no order, which min_by leaves out; a filter of them would be pushed below the cross join, all steps of the loss written out in it
+    order = F.nanvl(F.col("loss") + F.abs("loss") * F.col("cand") * F.lit(2.0**-50) + F.col("cand") * F.lit(1e-290), F.lit(None).cast("double"))
+    least = _pair_losses(rows).withColumn("_order", order).groupBy(*keys, "t").agg(F.max("n").alias("n"), *(F.min_by(c, "_order").alias(c) for c in ("loss", "a1", "b1", "a2", "b2"))).where("loss is not null")
+    return least.select(*keys, F.col("t").cast("double").alias("tau"), "n", F.array("a1", "b1", "a2", "b2").alias("params"), "loss")
 
 
 def profile_tau(cum: DataFrame, model: str = "exp_change_point", margin: int = 3, step: int = 1, units: DataFrame | None = None) -> DataFrame:
     """(series_id, model_id, tau, params, loss, n, k, aicc, best): the model refitted with each tau from margin to n - margin.
 
     params are those of the model with tau fixed, in its order; tau counts in k. Series under 2 * margin + 1 days have no rows. Models of two scales whose kernels name
-    their decay cost days by candidates: all places come from running sums (see segment_sums). Others are searched for every place.
+    their decay cost days by candidates: all places come from one pass for every rate (see _kernel_sums). Others are searched for every place.
     """
     spec = with_fixed_tau(MODELS[model])
     dims = len(spec.searched)
     units = units if units is not None else (grid(cum.sparkSession, dims, 16) if dims <= 2 else latin_hypercube(cum.sparkSession, dims, 400))
     k = F.lit(spec.k + 1)
     if spec.decay:
-        found = _profile_by_sums(cum, spec, units, margin, step, ["series_id"])
+        found = _profile_by_sums(cum, spec, units, margin, step)
         out = found.select("series_id", F.lit(model).alias("model_id"), "tau", "params", "loss", F.col("n").cast("long").alias("n"), k.alias("k"))
     else:
         n = cum.groupBy("series_id").agg(F.count("*").alias("n_days")).where(F.col("n_days") >= 2 * margin + 1)
@@ -171,11 +217,12 @@ def change_point_report(cum: DataFrame, model: str = "exp_change_point", holdout
     from .score import holdout_metrics, split_last_n
     from .uncertainty import sensitivity
 
+    cum = stored(cum, "days")  # nine steps read them
     profile = stored(profile_tau(cum, model), "profile")
     fits = stored(fit_change_point(cum, model, profile), "change-point-fits")
     sure = tau_reliability(profile).withColumnRenamed("grade", "reliability")
     split = split_last_n(cum, holdout)
-    held = holdout_metrics(split, fit_change_point(split.where("is_train").select(*cum.columns), model), [model])
+    held = holdout_metrics(split, stored(fit_change_point(split.where("is_train").select(*cum.columns), model), "held-fits"), [model])
     steps = milestones(cum, fits, [model], ratios).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("ratio", "target", "already_reached", "day", "remaining_days"))).alias("milestones"))
     moves = sensitivity(cum, fits, model).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct((-F.abs("elasticity")).alias("order"), "param", "elasticity", "grade"))).alias("sensitivity"))
     tau = F.col("params")[MODELS[model].params.index("tau")]
