@@ -144,7 +144,7 @@ def _profile_by_sums(cum: DataFrame, spec: ModelSpec, units: DataFrame, margin:
     first, second = (rates.where(F.col("i") == i).select(F.col("u").alias(f"u{i + 1}"), F.col("place").alias(f"at{i + 1}")) for i in (0, 1))
     numbered = pairs.join(first, "u1").join(second, "u2").select("cand", "at1", "at2")
     whole = obs.repartition(_tasks(obs, obs.count(), units.count()), *keys).groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"), F.greatest(F.max("y"), F.lit(1.0)).alias("top"), F.sum("y").alias("s_y"), F.sum(F.expr("y*y")).alias("s_yy"), F.sort_array(F.collect_list(F.struct("t", "y"))).alias("days")
+        F.count("*").cast("double").alias("n"), F.greatest(F.max("y"), F.lit(1.0)).alias("top"), F.sum("y").alias("s_y"), F.sum(F.expr("y*y")).alias("s_yy"), F.sort_array(F.collect_list(F.struct("t", F.coalesce("y", F.lit(0.0)).alias("y")))).alias("days")
     )
     whole = whole.where(F.col("n") >= 2 * margin + 1).select(*keys, "n", "top", "s_y", "s_yy", F.col("days.y").alias("ys"))
     (lo1, hi1), (lo2, hi2) = ([F.expr(bind(x, {"Y": "top", "n": "n", "E": "1.0D"})).cast("double") for x in spec.box[p]] for p in ("b1", "b2"))
