@@ -157,8 +157,11 @@ def numeric_hessian(cum: DataFrame, fits: DataFrame, model: str, kind: str = "po
     term = F.expr((_POISSON if kind == "poisson" else _SQUARE).format(now=now, before=before))
     sums = base.join(obs, "series_id").groupBy("series_id", "v.i", "v.j", "v.si", "v.sj").agg(F.sum(term).alias("f"), F.first(F.get("step", F.col("v.i"))).alias("hi"), F.first(F.get("step", F.col("v.j"))).alias("hj"))
     half = sums.groupBy("series_id", "i", "j").agg((F.sum(F.col("si") * F.col("sj") * F.col("f")) / (4 * F.first("hi") * F.first("hj"))).alias("value"))
-    # on the diagonal the moves add up to two steps, so the same quotient holds
-    return half.unionByName(half.where("i != j").select("series_id", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    # on the diagonal the moves add up to two steps, so the same quotient holds; off it one row makes both cells, since a union of the table with itself would plan the fits twice
+    # and, where its branches share an exchange, report a partitioning that it does not run with
+    cell = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "value")
+    cells = F.when(F.col("i") == F.col("j"), F.array(cell("i", "j"))).otherwise(F.array(cell("i", "j"), cell("j", "i")))
+    return half.select("series_id", F.explode(cells).alias("x")).select("series_id", "x.*")
 
 
 def param_standard_errors(cum: DataFrame, fits: DataFrame, model: str, kind: str = "poisson", level: float = 0.95) -> DataFrame:

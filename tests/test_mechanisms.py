@@ -40,6 +40,30 @@ def test_bands_need_no_python(spark):
     assert [e[p]["se"] for p in "ab"] == pytest.approx(np.sqrt(np.diag(np.linalg.inv(h)) * scale).tolist(), rel=1e-6)
 
 
+def fits_to_come(spark):
+    """Days of three series and their fits, not stored: whoever reads these twice shares exchanges between the two; with the covariances of a and b by hand."""
+    c = exact(spark, "exponential", [100.0, 0.08], sid="r").unionByName(exact(spark, "exponential", [60.0, 0.2], sid="s")).unionByName(exact(spark, "exponential", [300.0, 0.03], sid="u")).withColumn("y", F.col("y") + F.col("t") % 3)
+    f = fit.fit_profile(c, "exponential")
+    by_hand = {}
+    for r in f.collect():
+        t, y = (np.array(x) for x in zip(*((d["t"], d["y"]) for d in c.where(F.col("series_id") == r["series_id"]).orderBy("t").collect())))
+        (a, b), e = r["params"], np.exp(-r["params"][1] * t)
+        g, off = np.array([1 - e, a * t * e]), y - a * (1 - e)
+        second = np.array([[np.zeros_like(t), t * e], [t * e, -a * t * t * e]])
+        by_hand[r["series_id"]] = (t, a * (1 - e), g, np.linalg.inv(2 * (g @ g.T - second @ off)) * 2 * (off @ off) / (len(t) - 2))
+    return c, f, by_hand
+
+
+def test_bands_of_fits_to_come(spark):
+    c, f, by_hand = fits_to_come(spark)
+    got = uncertainty.delta_band(c, f, "exponential").orderBy("series_id", "t").collect()
+    assert len(got) == c.count() and by_hand.keys() == {"r", "s", "u"}
+    for s, (t, m, g, cov) in by_hand.items():
+        rows, half = [r for r in got if r["series_id"] == s], 1.959963984540054 * np.sqrt(np.einsum("it,ij,jt->t", g, cov, g))
+        assert [r["t"] for r in rows] == t.tolist() and [r["m"] for r in rows] == pytest.approx(m.tolist())
+        assert [(r["upper"] - r["lower"]) / 2 for r in rows] == pytest.approx(half.tolist(), rel=1e-3)
+
+
 def test_places_of_events(spark):
     rows = [("s", 1.0, 3.0), ("s", 2.0, 0.0), ("s", 3.0, 2.0), ("r", 1.0, 1.0)]
     expected = spark.createDataFrame(rows, "series_id string, t double, dy double").withColumn("model_id", F.lit("m"))
