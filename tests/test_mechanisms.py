@@ -64,6 +64,15 @@ def test_bands_of_fits_to_come(spark):
         assert [(r["upper"] - r["lower"]) / 2 for r in rows] == pytest.approx(half.tolist(), rel=1e-3)
 
 
+def test_correlations_of_fits_to_come(spark):
+    c, f, by_hand = fits_to_come(spark)
+    got = {(r["series_id"], r["a"], r["b"]): r["correlation"] for r in uncertainty.correlations(uncertainty.param_standard_errors(c, f, "exponential", "sse"), "exponential").collect()}
+    assert len(got) == 12
+    for s, (_, _, _, cov) in by_hand.items():
+        ab = cov[0, 1] / math.sqrt(cov[0, 0] * cov[1, 1])
+        assert [got[s, x, z] for x in "ab" for z in "ab"] == pytest.approx([1, ab, ab, 1], rel=1e-3)
+
+
 def test_places_of_events(spark):
     rows = [("s", 1.0, 3.0), ("s", 2.0, 0.0), ("s", 3.0, 2.0), ("r", 1.0, 1.0)]
     expected = spark.createDataFrame(rows, "series_id string, t double, dy double").withColumn("model_id", F.lit("m"))
