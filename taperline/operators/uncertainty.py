@@ -164,21 +164,25 @@ def numeric_hessian(cum: DataFrame, fits: DataFrame, model: str, kind: str = "po
     return half.select("series_id", F.explode(cells).alias("x")).select("series_id", "x.*")
 
 
-def param_standard_errors(cum: DataFrame, fits: DataFrame, model: str, kind: str = "poisson", level: float = 0.95) -> DataFrame:
-    """(series_id, param, value, se, low, high, covariance array): from the inverse Hessian; SSE Hessians are scaled by 2 SSE / (n - k); null for
-    a condition number over 1e10 (in the 1-norm) or a variance that isn't positive (H7). The k by k inverse is an expression on one row per series."""
+def _covariances(cum: DataFrame, fits: DataFrame, model: str, kind: str) -> DataFrame:
+    """(series_id, params, covariance) of one model's fits, which are stored: the Hessian, its scale and the estimates read them, and each would search again in one task."""
     from .fit import sse
 
-    spec = MODELS[model]
+    k = MODELS[model].k
+    fits = stored(fits.where(F.col("model_id") == model).select("series_id", "model_id", "params"), "fits")
     rows = numeric_hessian(cum, fits, model, kind).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "value"))), lambda x: x["value"]).alias("h"))
-    k = spec.k
-
-    scale = sse(cum, fits.where(F.col("model_id") == model), [model]).select("series_id", (2 * F.col("sse") / F.greatest(F.col("n") - k, F.lit(1))).alias("scale"))
-    joined = fits.where(F.col("model_id") == model).select("series_id", "params").join(rows, "series_id").join(scale, "series_id").withColumn("inv", inverse(F.col("h"), k))
+    scale = sse(cum, fits, [model]).select("series_id", (2 * F.col("sse") / F.greatest(F.col("n") - k, F.lit(1))).alias("scale"))
+    joined = fits.select("series_id", "params").join(rows, "series_id").join(scale, "series_id").withColumn("inv", inverse(F.col("h"), k))
     factor = F.col("scale") if kind == "sse" else F.lit(1.0)
-    cov = F.transform("inv", lambda x: x * factor)
-    out = joined.withColumn("covariance", cov).select("series_id", F.posexplode("params").alias("i", "value"), "covariance")
-    var = F.get("covariance", F.col("i") * (k + 1))
+    return joined.select("series_id", "params", F.transform("inv", lambda x: x * factor).alias("covariance"))
+
+
+def param_standard_errors(cum: DataFrame, fits: DataFrame, model: str, kind: str = "poisson", level: float = 0.95) -> DataFrame:
+    """(series_id, param, value, se, low, high, covariance array): from the inverse Hessian; SSE Hessians are scaled by 2 SSE / (n - k); null for
+    a condition number over 1e10 (in the 1-norm) or a variance that isn't positive (H7). The k by k inverse is an expression on one row per series."""
+    spec = MODELS[model]
+    out = _covariances(cum, fits, model, kind).select("series_id", F.posexplode("params").alias("i", "value"), "covariance")
+    var = F.get("covariance", F.col("i") * (spec.k + 1))
     z = normal_quantile(F.lit(0.5 + level / 2))
     se = F.when(var > 0, F.sqrt(var))
     names = F.array(*map(F.lit, spec.params))
@@ -196,8 +200,7 @@ def correlations(errors: DataFrame, model: str) -> DataFrame:
 def delta_band(cum: DataFrame, fits: DataFrame, model: str, times: DataFrame | None = None, kind: str = "sse", level: float = 0.95, h: float = 1e-5) -> DataFrame:
     """(series_id, t, m, lower, upper): m plus and minus z sqrt(g' C g), C the covariance of the parameters (H8)."""
     spec = MODELS[model]
-    cov = param_standard_errors(cum, fits, model, kind).where(F.col("param") == spec.params[0]).select("series_id", "covariance")
-    rows = fits.where(F.col("model_id") == model).select("series_id", "params").join((times if times is not None else cum).select("series_id", "t"), "series_id").join(cov, "series_id")
+    rows = _covariances(cum, fits, model, kind).join((times if times is not None else cum).select("series_id", "t"), "series_id")
     rows = rows.withColumn("m", F.expr(by_index(spec, spec.mean)))
     grads = []
     for i, p in enumerate(spec.params):

@@ -73,6 +73,19 @@ def test_correlations_of_fits_to_come(spark):
         assert [got[s, x, z] for x in "ab" for z in "ab"] == pytest.approx([1, ab, ab, 1], rel=1e-3)
 
 
+def test_standard_errors_of_fits_to_come(spark):
+    c, f, by_hand = fits_to_come(spark)
+    errors = uncertainty.param_standard_errors(c, f, "exponential", "sse")
+    assert "NestedLoop" not in errors._jdf.queryExecution().executedPlan().toString()  # days meet candidates once, before
+    got = {(r["series_id"], r["param"]): r for r in errors.collect()}
+    assert len(got) == 6
+    for s, (_, _, _, cov) in by_hand.items():
+        assert [got[s, p]["se"] for p in "ab"] == pytest.approx(np.sqrt(np.diag(cov)).tolist(), rel=1e-3)
+        assert all(got[s, p]["covariance"] == pytest.approx(cov.ravel().tolist(), rel=5e-3) for p in "ab")
+        assert all(got[s, p]["high"] - got[s, p]["value"] == pytest.approx(1.959963984540054 * got[s, p]["se"]) for p in "ab")
+    assert uncertainty.param_standard_errors(c, f, "gompertz").collect() == []  # no fits of that model
+
+
 def test_places_of_events(spark):
     rows = [("s", 1.0, 3.0), ("s", 2.0, 0.0), ("s", 3.0, 2.0), ("r", 1.0, 1.0)]
     expected = spark.createDataFrame(rows, "series_id string, t double, dy double").withColumn("model_id", F.lit("m"))
